@@ -1,0 +1,30 @@
+"""Size checks that guard every broadcast.
+
+A side is broadcast only after a bounded action proves it has at most
+``max_rows`` rows (``limit(max_rows + 1).count()`` stops early on big inputs).
+Otherwise the join is left to a shuffle, where AQE can still split skewed
+partitions or switch to a broadcast at run time.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Row bounds for broadcasting parameter-like tables (patterns, lookups,
+# namespaces). Rows here are short (names, ids), so 1M rows stays well under
+# the default 8 GB broadcast limit.
+BROADCAST_MAX_ROWS = 1_000_000
+# Up to this many patterns a broadcast nested-loop join is cheaper than
+# building per-row keys.
+LOOP_MAX_PATTERNS = 64
+
+
+def at_most(df: DataFrame, max_rows: int) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows (bounded work)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint only behind a proven row bound."""
+    return F.broadcast(df) if at_most(df, max_rows) else df
