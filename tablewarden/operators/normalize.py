@@ -166,15 +166,20 @@ def _apply_lookup(parsed: DataFrame, lookup: DataFrame | None, task_fn, max_rows
     tasks = F.col("_doc.settings.tasks")
     m = _lookup_map(lookup, max_rows)
     if lookup is None or m is not None:
-        fn = (lambda t: task_fn(t, None)) if m is None else \
-            (lambda t: task_fn(t, F.try_element_at(m, t["task_key"])))
-        return parsed.withColumn("_tasks", F.transform(tasks, fn))
+        if m is None:
+            return parsed.withColumn("_tasks", F.transform(tasks, lambda t: task_fn(t, None)))
+        # The map is a column of its own: subqueries may not sit inside a lambda.
+        with_map = parsed.withColumn("_lookup", m)
+        return with_map.withColumn("_tasks", F.transform(
+            tasks, lambda t: task_fn(t, F.try_element_at(F.col("_lookup"), t["task_key"])))).drop("_lookup")
     ex = parsed.select("record_key", F.posexplode(tasks).alias("_pos", "_t"))
     lk = lookup.select(F.col("name").alias("_k"), F.col("pipeline_id").alias("_new"))
     joined = ex.join(lk, ex["_t.task_key"] == lk["_k"], "left")
     fixed = joined.select("record_key", F.struct("_pos", task_fn(F.col("_t"), F.col("_new")).alias("t")).alias("_e"))
     regrouped = fixed.groupBy("record_key").agg(
-        F.transform(F.sort_array(F.collect_list("_e")), lambda e: e["t"]).alias("_tasks"))
+        F.transform(F.array_sort(F.collect_list("_e"), lambda x, y: (
+            F.when(x["_pos"] < y["_pos"], -1).when(x["_pos"] > y["_pos"], 1).otherwise(0))),
+            lambda e: e["t"]).alias("_tasks"))
     return parsed.join(regrouped, "record_key", "left").withColumn(
         "_tasks", F.when(tasks.isNotNull(), F.coalesce(F.col("_tasks"), F.array().cast(
             parsed.schema["_doc"].dataType["settings"].dataType["tasks"].dataType))))

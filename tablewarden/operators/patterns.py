@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from tablewarden.functions.text import affix_match
 from tablewarden.operators.sizing import LOOP_MAX_PATTERNS, at_most, broadcast_if_small
 
+# Most distinct (kind, anchor length) shapes the keyed strategy accepts.
+MAX_KEY_SHAPES = 1024
 PATTERN_COLUMNS = ("pattern_id", "prefix", "suffix", "contains")
 
 
@@ -77,26 +79,33 @@ def match_patterns(rows: DataFrame, patterns: DataFrame, name_col: str, *,
     anchor = F.coalesce("prefix", "suffix", "contains")
     keyed = pats.select("*", kind.alias("_kind"), F.length(anchor).alias("_alen"),
                         anchor.alias("_akey"))
-    # Distinct (kind, length) pairs: at most 3 x the longest anchor, so one small row.
-    lens = keyed.select(F.array_sort(F.collect_set(F.struct("_kind", "_alen")))).scalar()
+    # Distinct (kind, length) pairs: bounded by 3 x the longest anchor, fetched
+    # as a short parameter list (not data) to build the per-row key expressions.
+    lens = keyed.select("_kind", "_alen").distinct().limit(MAX_KEY_SHAPES + 1).collect()
+    if len(lens) > MAX_KEY_SHAPES:
+        raise ValueError(f"more than {MAX_KEY_SHAPES} distinct pattern lengths; use strategy='loop'")
 
     name = F.col(name_col)
     n = F.length(name)
 
-    def keys_for(l: Column) -> Column:
-        k, L = l["_kind"], l["_alen"]
+    def key(kind: str, length: int, start: Column) -> Column:
+        return F.struct(F.lit(kind).alias("_kind"), F.lit(length).alias("_alen"),
+                        name.substr(start, F.lit(length)).alias("_akey"))
 
-        def key(start: Column) -> Column:
-            return F.struct(k.alias("_kind"), L.alias("_alen"), name.substr(start, L).alias("_akey"))
-
-        return (F.when(name.isNull() | (n < L), F.array().cast(
-                    "array<struct<_kind:string,_alen:int,_akey:string>>"))
-                .when(k == "p", F.array(key(F.lit(1))))
-                .when(k == "s", F.array(key(n - L + 1)))
-                .otherwise(F.transform(F.sequence(F.lit(1), n - L + 1), key)))
+    def keys_for(kind: str, length: int) -> Column:
+        if kind == "p":
+            some = F.array(key(kind, length, F.lit(1)))
+        elif kind == "s":
+            some = F.array(key(kind, length, n - length + 1))
+        else:
+            some = F.transform(F.sequence(F.lit(1), n - length + 1), lambda i: key(kind, length, i))
+        return F.when(name.isNotNull() & (n >= length), some).otherwise(
+            F.array().cast("array<struct<_kind:string,_alen:int,_akey:string>>"))
 
     # Distinct keys per row, so each (row, pattern) pair joins at most once.
-    row_keys = F.array_distinct(F.flatten(F.transform(lens, keys_for)))
+    shapes = sorted((r["_kind"], int(r["_alen"])) for r in lens)
+    row_keys = F.array_distinct(F.concat(*[keys_for(k, L) for k, L in shapes])) if shapes else \
+        F.array().cast("array<struct<_kind:string,_alen:int,_akey:string>>")
     exploded = rows.select("*", F.explode(row_keys).alias("_k"))
     exploded = exploded.select(
         *[F.col(c) for c in rows.columns], F.col("_k._kind").alias("_kind"),

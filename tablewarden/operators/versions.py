@@ -99,7 +99,10 @@ def restore(archive: DataFrame, requests: DataFrame, run_ts: datetime) -> Restor
         F.max_by(F.struct("_st", "body"), F.col("version_ts")).alias("_latest"),
         F.max_by(F.struct("_st", "body"), F.when(exact, F.col("version_ts"))).alias("_exact"),
         F.count_if(exact).alias("_n_exact"))
-    res = req.join(agg, ["record_key", "req"], "left")
+    # Null-safe on the stamp: a null request means "latest".
+    agg = agg.withColumnRenamed("record_key", "_ak").withColumnRenamed("req", "_ar")
+    res = req.join(agg, (F.col("record_key") == F.col("_ak")) & F.col("req").eqNullSafe(F.col("_ar")),
+                   "left").drop("_ak", "_ar")
     pick = F.when(F.col("req").isNull(), F.col("_latest")).when(F.col("_n_exact") > 0, F.col("_exact"))
     out = res.select("record_key", F.col("req").alias("requested_stamp"), pick.alias("_p"),
                      F.col("_latest").isNotNull().alias("_any"))
