@@ -105,40 +105,78 @@ def _lookup_map(lookup: DataFrame | None, max_rows: int) -> Column | None:
         F.col("name"), F.col("pipeline_id"))))).scalar()
 
 
-def _with_cluster(t: Column, cluster_id: str | None) -> Column:
-    """Overwrite ``existing_cluster_id`` only where the task has one."""
-    if cluster_id is None:
-        return t
-    cur = t["existing_cluster_id"]
-    return t.withField("existing_cluster_id", F.when(cur.isNotNull(), F.lit(cluster_id)))
-
-
-def _with_pipeline(t: Column, new_id: Column | None) -> Column:
-    """Set ``pipeline_task.pipeline_id`` from the lookup when the task has a
-    pipeline task and its key is in the lookup; otherwise keep the old value."""
-    if new_id is None:
-        return t
-    pt = t["pipeline_task"]
-    return t.withField("pipeline_task", F.when(
-        pt.isNotNull(), pt.withField("pipeline_id", F.coalesce(new_id, pt["pipeline_id"]))))
-
-
-def _with_notebook(t: Column, storage_path: str | None, source_root: str, target_root: str) -> Column:
-    """P9 + P10 on ``notebook_task``."""
-    nt = t["notebook_task"]
-    bp = nt["base_parameters"]
-    if storage_path is not None:
-        kept = F.map_filter(bp, lambda k, v: ~k.isin("Path", "storage_account_name"))
-        new = F.create_map(F.lit("Path"), F.lit(storage_path),
-                           F.lit("storage_account_name"), F.lit(storage_path))
-        bp = F.when(F.map_contains_key(bp, "Path"), F.map_concat(kept, new)).otherwise(bp)
-    path = nt["notebook_path"]
-    at = F.locate(source_root, path)
-    moved = F.concat(path.substr(F.lit(1), at - 1), F.lit(target_root),
-                     path.substr(at + len(source_root), F.length(path) + 1))
-    path2 = F.when(path.isNull() | path.startswith(target_root) | (at == 0), path).otherwise(moved)
-    return t.withField("notebook_task", F.when(
-        nt.isNotNull(), nt.withField("base_parameters", bp).withField("notebook_path", path2)))
+_DROP = object()
+
+
+def _rebuild(c: Column, st: StructType, overrides: Mapping[str, object]) -> Column:
+    """A struct with ``st``'s fields in order, each taken from ``c`` unless
+    overridden (``_DROP`` removes it); one flat ``struct(...)`` instead of
+    chained ``withField`` calls, so every field is evaluated once."""
+    fields = []
+    for f in st.fields:
+        new = overrides.get(f.name, None)
+        if new is _DROP:
+            continue
+        fields.append((new if new is not None else c[f.name]).alias(f.name))
+    return F.struct(*fields)
+
+
+def _quote_regex(text: str) -> str:
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def _quote_replacement(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("$", "\\$")
+
+
+def reroot(path: Column, source_root: str, target_root: str) -> Column:
+    """P10: unless the path already starts with ``target_root``, replace the
+    first ``source_root`` anywhere in it by ``target_root``."""
+    first = F.regexp_replace(path, "(?s)^(.*?)" + _quote_regex(source_root),
+                             "$1" + _quote_replacement(target_root))
+    return F.when(path.startswith(target_root), path).otherwise(first)
+
+
+def with_parameters(bp: Column, storage_path: str) -> Column:
+    """If the parameters have ``Path``, set ``Path`` and
+    ``storage_account_name`` (map_concat refuses duplicate keys, so both are
+    filtered out first)."""
+    kept = F.map_filter(bp, lambda k, v: ~k.isin("Path", "storage_account_name"))
+    new = F.create_map(F.lit("Path"), F.lit(storage_path),
+                       F.lit("storage_account_name"), F.lit(storage_path))
+    return F.when(F.map_contains_key(bp, "Path"), F.map_concat(kept, new)).otherwise(bp)
+
+
+def _task_rewriter(task_type: StructType, *, cluster_id: str | None, create: bool,
+                   storage_path: str | None = None, source_root: str = SOURCE_ROOT,
+                   target_root: str = TARGET_ROOT):
+    """``fn(task, new_pipeline_id)`` applying P7, P8 and, for create, P9-P11."""
+    pt_type = task_type["pipeline_task"].dataType
+    nt_type = task_type["notebook_task"].dataType
+
+    def fn(t: Column, new_id: Column | None) -> Column:
+        ov: dict[str, object] = {}
+        if cluster_id is not None:
+            ov["existing_cluster_id"] = F.when(t["existing_cluster_id"].isNotNull(), F.lit(cluster_id))
+        if new_id is not None:
+            pt = t["pipeline_task"]
+            ov["pipeline_task"] = F.when(pt.isNotNull(), _rebuild(
+                pt, pt_type, {"pipeline_id": F.coalesce(new_id, pt["pipeline_id"])}))
+        if create:
+            nt = t["notebook_task"]
+            nt_ov: dict[str, object] = {"notebook_path": reroot(nt["notebook_path"], source_root, target_root)}
+            if storage_path is not None:
+                nt_ov["base_parameters"] = with_parameters(nt["base_parameters"], storage_path)
+            ov["notebook_task"] = F.when(nt.isNotNull(), _rebuild(nt, nt_type, nt_ov))
+            if "email_notifications" in task_type.names:
+                ov["email_notifications"] = _DROP
+        return _rebuild(t, task_type, ov)
+
+    return fn
+
+
+def _task_type(schema: StructType) -> StructType:
+    return schema["settings"].dataType["tasks"].dataType.elementType
 
 
 @dataclass(frozen=True)
@@ -151,8 +189,11 @@ class Rewrite:
 
 
 def _parse(current: DataFrame, text: Column, schema: StructType) -> DataFrame:
-    return current.select("record_key", text.alias("_text"),
-                          F.from_json(text, schema).alias("_doc"))
+    """Parse once. The parsed pair is produced by ``inline`` of a one-element
+    array: filters on it (records vs errors) cannot be pushed below the
+    generator, which would copy the parse into every predicate."""
+    pair = F.struct(text.alias("_text"), F.from_json(text, schema).alias("_doc"))
+    return current.select("record_key", F.inline(F.array(pair)))
 
 
 def _apply_lookup(parsed: DataFrame, lookup: DataFrame | None, task_fn, max_rows: int) -> DataFrame:
@@ -204,12 +245,9 @@ def create_from_stored(current: DataFrame, *, lookup: DataFrame | None = None,
     schema = schema or config_schema(coerced, "_ctext")
     parsed = _parse(coerced, F.col("_ctext"), schema)
 
-    def task_fn(t: Column, new_id: Column | None) -> Column:
-        t = _with_cluster(t, cluster_id)
-        t = _with_pipeline(t, new_id)
-        t = _with_notebook(t, storage_path, source_root, target_root)
-        return t.dropFields("email_notifications")
-
+    task_fn = _task_rewriter(_task_type(schema), cluster_id=cluster_id, create=True,
+                             storage_path=storage_path, source_root=source_root,
+                             target_root=target_root)
     rew = _apply_lookup(parsed, lookup, task_fn, lookup_max_rows)
     s = F.col("_doc.settings")
     tag_map = F.create_map(*[F.lit(x) for kv in tags.items() for x in kv]) if tags else \
@@ -244,9 +282,7 @@ def reset_from_stored(current: DataFrame, *, lookup: DataFrame | None = None,
     schema = schema or config_schema(current, "body")
     parsed = _parse(current, F.col("body"), schema)
 
-    def task_fn(t: Column, new_id: Column | None) -> Column:
-        return _with_pipeline(_with_cluster(t, cluster_id), new_id)
-
+    task_fn = _task_rewriter(_task_type(schema), cluster_id=cluster_id, create=False)
     rew = _apply_lookup(parsed, lookup, task_fn, lookup_max_rows)
     s = F.col("_doc.settings")
     new_settings = F.when(s["tasks"].isNotNull(), s.withField("tasks", F.col("_tasks"))).otherwise(s)

@@ -74,8 +74,10 @@ def filter_by_tags(listing: DataFrame, configs: DataFrame, want: Mapping[str, st
     contain all of ``want`` get ``matched``; jobs whose configuration is
     missing or not JSON are ``skipped`` with a reason; the rest are dropped.
     Missing ``settings.tags`` counts as no tags."""
-    cfg = configs.select("job_id", F.try_parse_json(F.col(body_col)).alias("_v"),
-                         F.lit(True).alias("_has_cfg"))
+    # Parsed once behind a generator so the status filter is not pushed into
+    # (and does not repeat) the parse.
+    cfg = configs.select("job_id", F.inline(F.array(F.struct(
+        F.try_parse_json(F.col(body_col)).alias("_v"), F.lit(True).alias("_has_cfg")))))
     j = listing.join(cfg, "job_id", "left")
     tags = F.coalesce(F.try_variant_get("_v", "$.settings.tags", "map<string,string>"),
                       F.create_map().cast("map<string,string>"))

@@ -214,7 +214,8 @@ def q_reset_tasks(spark: SparkSession, d: str) -> DataFrame:
 
 def q_coerce(spark: SparkSession, d: str) -> DataFrame:
     c = coerce_booleans(fx.f_bool_json(spark, d), "body", "coerced")
-    v = F.parse_json(F.col("coerced"))
+    c = c.select("doc_id", F.parse_json(F.col("coerced")).alias("v"))
+    v = F.col("v")
     return c.select(
         "doc_id", F.to_json(F.variant_get(v, "$.flag", "variant")).alias("flag"),
         F.to_json(F.variant_get(v, "$.nested.a", "variant")).alias("a"),
