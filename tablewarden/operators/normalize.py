@@ -221,9 +221,11 @@ def _apply_lookup(parsed: DataFrame, lookup: DataFrame | None, task_fn, max_rows
         F.transform(F.array_sort(F.collect_list("_e"), lambda x, y: (
             F.when(x["_pos"] < y["_pos"], -1).when(x["_pos"] > y["_pos"], 1).otherwise(0))),
             lambda e: e["t"]).alias("_tasks"))
+    # A record whose task array is empty has no group; transforming its empty
+    # array yields an empty array of the rewritten type.
+    empty = F.transform(tasks, lambda t: task_fn(t, F.lit(None).cast("string")))
     return parsed.join(regrouped, "record_key", "left").withColumn(
-        "_tasks", F.when(tasks.isNotNull(), F.coalesce(F.col("_tasks"), F.array().cast(
-            parsed.schema["_doc"].dataType["settings"].dataType["tasks"].dataType))))
+        "_tasks", F.when(tasks.isNotNull(), F.coalesce(F.col("_tasks"), empty)))
 
 
 def create_from_stored(current: DataFrame, *, lookup: DataFrame | None = None,
