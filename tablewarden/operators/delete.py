@@ -62,11 +62,17 @@ def _priority(types: Sequence[str]) -> Column:
     return F.array_position(F.array(*[F.lit(t) for t in types]), F.col("object_type"))
 
 
+def _first_type(types: Sequence[str]) -> Column:
+    """The type of the smallest priority; ``min`` over an int keeps the
+    aggregation hash-based (``min_by`` on a string would sort)."""
+    return F.get(F.array(*[F.lit(t) for t in types]), (F.min(_priority(types)) - 1).cast("int"))
+
+
 def resolve_types(inventory: DataFrame, types: Sequence[str]) -> DataFrame:
     """Per name, the first type in ``types`` order the inventory has it as."""
     return (inventory.filter(F.col("object_type").isin(list(types)))
             .groupBy(*KEY)
-            .agg(F.min_by("object_type", _priority(types)).alias("type")))
+            .agg(_first_type(types).alias("type")))
 
 
 def _namespaces(inventory: DataFrame, namespaces: DataFrame | None) -> DataFrame:
@@ -129,7 +135,7 @@ def plan_delete_by_pattern(inventory: DataFrame, patterns: DataFrame, *,
     inv = inventory.filter(F.col("object_type").isin(list(types)))
     pairs = match_patterns(inv, pats, "object", scope_cols=NS, strategy=strategy)
     hits = (pairs.groupBy("pattern_id", *KEY)
-            .agg(F.min_by("object_type", _priority(types)).alias("type")))
+            .agg(_first_type(types).alias("type")))
     fq = qualified_name(F.col("catalog"), F.col("schema"), F.col("object"))
     executed = hits.select(
         "pattern_id", "catalog", "schema", F.col("object").alias("name"), fq.alias("object"),

@@ -1,0 +1,6 @@
+"""Structured Streaming drivers for the operators (the reference has no
+streaming of its own; this only runs the backup operator continuously)."""
+
+from tablewarden.streaming.backup_stream import start_backup_stream
+
+__all__ = ["start_backup_stream"]

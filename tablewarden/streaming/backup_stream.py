@@ -1,0 +1,60 @@
+"""Continuous backup of arriving configuration captures.
+
+Capture files ``<record_key>.json`` land in a folder; each micro-batch runs
+:func:`tablewarden.operators.backup` against the latest current run, appends
+the replaced versions to the archive and writes a new current run. The run
+stamp of a batch is the newest file modification time in it, so a retried
+batch (same files) writes to the same run folders and partitions: with the
+stores' dynamic partition overwrite the retry is idempotent. Progress and
+exactly-once file tracking live in the stream checkpoint, which must be on
+shared storage (default: a folder under the session's checkpoint dir).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tablewarden.operators.versions import backup
+from tablewarden.session import checkpoint_dir
+from tablewarden.sources.store import CURRENT_SCHEMA, read_current, write_archive, write_current
+
+
+def _current_or_empty(spark: SparkSession, root: str) -> DataFrame:
+    try:
+        return read_current(spark, root)
+    except Exception:  # no run written yet
+        return spark.createDataFrame([], CURRENT_SCHEMA)
+
+
+def _process(current_root: str, archive_root: str):
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        incoming = batch.select(
+            F.regexp_extract("file_name", r"^(.*)\.json$", 1).alias("record_key"),
+            "body", F.col("modified").cast("timestamp_ntz").alias("saved_at"))
+        newest = incoming.agg(F.max("saved_at")).first()[0]  # one value per batch
+        if newest is None:
+            return
+        result = backup(incoming, _current_or_empty(spark, current_root), newest)
+        write_archive(result.archive, archive_root, newest)
+        write_current(result.current, current_root, newest)
+
+    return run
+
+
+def start_backup_stream(spark: SparkSession, captures_path: str, current_root: str,
+                        archive_root: str, *, checkpoint_location: str | None = None,
+                        available_now: bool = False, max_files_per_trigger: int = 1000) -> StreamingQuery:
+    """Start the stream; ``available_now`` processes what is there and stops."""
+    captures = (spark.readStream.format("text").option("wholetext", "true")
+                .option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", max_files_per_trigger)
+                .load(captures_path)
+                .select(F.col("value").alias("body"), F.col("_metadata.file_name").alias("file_name"),
+                        F.col("_metadata.file_modification_time").alias("modified")))
+    location = checkpoint_location or f"{checkpoint_dir(spark)}/backup-stream"
+    writer = captures.writeStream.foreachBatch(_process(current_root, archive_root)) \
+        .option("checkpointLocation", location)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()

@@ -1,0 +1,38 @@
+"""The continuous backup over arriving capture files."""
+
+import os
+import tempfile
+
+from tablewarden.sources.store import read_archive, read_current
+from tablewarden.streaming import start_backup_stream
+
+from conftest import rows
+
+
+def _put(folder, name, body, mtime):
+    path = os.path.join(folder, name)
+    with open(path, "w") as fh:
+        fh.write(body)
+    os.utime(path, (mtime, mtime))
+
+
+def test_backup_stream_archives_replaced_versions(spark):
+    root = tempfile.mkdtemp(prefix="tw-stream-")
+    inbox = os.path.join(root, "inbox")
+    os.makedirs(inbox)
+    _put(inbox, "job.json", '{"v": 1}', 1_700_000_000)
+    _put(inbox, "other.json", '{"o": 1}', 1_700_000_000)
+    q = start_backup_stream(spark, inbox, f"{root}/current", f"{root}/archive",
+                            checkpoint_location=f"{root}/ckpt", available_now=True)
+    q.awaitTermination(120)
+    assert rows(read_current(spark, f"{root}/current"), "record_key", "body") == [
+        ("job", '{"v": 1}'), ("other", '{"o": 1}')]
+    inbox2 = os.path.join(inbox, "b2")
+    os.makedirs(inbox2)
+    _put(inbox2, "job.json", '{"v": 2}', 1_700_000_100)
+    q = start_backup_stream(spark, f"{inbox}/b2", f"{root}/current", f"{root}/archive",
+                            checkpoint_location=f"{root}/ckpt2", available_now=True)
+    q.awaitTermination(120)
+    assert rows(read_current(spark, f"{root}/current"), "record_key", "body") == [
+        ("job", '{"v": 2}'), ("other", '{"o": 1}')]
+    assert rows(read_archive(spark, f"{root}/archive"), "record_key", "body") == [("job", '{"v": 1}')]
