@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablewarden.session import checkpoint_dir
 from tablewarden.functions.stamps import (
     archive_date, parse_version_file, version_file_name, version_stamp,
 )
@@ -120,15 +121,54 @@ def restore(archive: DataFrame, requests: DataFrame, run_ts: datetime) -> Restor
     return Restore(restored, missing, current)
 
 
-def version_history(archive: DataFrame) -> DataFrame:
+def version_history(archive: DataFrame, *, skew_safe: bool = True,
+                    partitions: int | None = None) -> DataFrame:
     """``(record_key, version_no, valid_from, valid_to)`` per archived
     version: its rank by stamp and the stamps that bound it (``valid_from`` is
-    the previous replacement stamp, null for the first)."""
-    w = Window.partitionBy("record_key").orderBy("version_ts")
-    st = version_stamp(F.col("version_ts"))
-    return archive.select(
-        "record_key", F.row_number().over(w).cast("bigint").alias("version_no"),
-        F.lag(st).over(w).alias("valid_from"), st.alias("valid_to"))
+    the previous replacement stamp, null for the first).
+
+    ``skew_safe`` (default) never sorts one key in one task: rows are range
+    partitioned on ``(record_key, version_ts)`` so a hot key spreads over
+    several partitions, ranked within ``(partition, key)``, and shifted by the
+    counts of the same key in earlier partitions. Only keys that cross a
+    partition boundary need a shift, so that table has at most 2 rows per
+    partition and is broadcast. ``skew_safe=False`` is the plain window.
+    """
+    st = lambda c: version_stamp(F.col(c))
+    if not skew_safe:
+        w = Window.partitionBy("record_key").orderBy("version_ts")
+        return archive.select(
+            "record_key", F.row_number().over(w).cast("bigint").alias("version_no"),
+            F.lag(st("version_ts")).over(w).alias("valid_from"), st("version_ts").alias("valid_to"))
+    spark = archive.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Materialised once (reliable checkpoint in spark.checkpoint.dir): both
+    # branches below must see the same partition ids, and range bounds are
+    # sampled per exchange, so recomputing the exchange could move rows.
+    checkpoint_dir(spark)
+    ranged = (archive.select("record_key", "version_ts")
+              .repartitionByRange(n, "record_key", "version_ts")
+              .withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+    w = Window.partitionBy("_pid", "record_key").orderBy("version_ts")
+    local = ranged.select("record_key", "version_ts", "_pid",
+                          F.row_number().over(w).alias("_ln"), F.lag("version_ts").over(w).alias("_lprev"))
+    per = ranged.groupBy("_pid", "record_key").agg(F.count(F.lit(1)).alias("_n"),
+                                                   F.max("version_ts").alias("_last"))
+    spanning = (per.groupBy("record_key").agg(F.min("_pid").alias("_p0"), F.max("_pid").alias("_p1"))
+                .filter(F.col("_p0") < F.col("_p1")).select("record_key"))
+    # At most 2 rows per partition: each boundary is crossed by at most one key.
+    crossing = per.join(F.broadcast(spanning), "record_key", "left_semi")
+    ws = Window.partitionBy("record_key").orderBy("_pid")
+    shifts = crossing.select(
+        "_pid", "record_key",
+        F.coalesce(F.sum("_n").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.lag("_last").over(ws).alias("_prev_last"))
+    j = local.join(F.broadcast(shifts), ["_pid", "record_key"], "left")
+    prev = F.when(F.col("_ln") == 1, F.col("_prev_last")).otherwise(F.col("_lprev"))
+    return j.select(
+        "record_key", (F.col("_ln") + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint").alias("version_no"),
+        version_stamp(prev).alias("valid_from"), st("version_ts").alias("valid_to"))
 
 
 def version_names(archive: DataFrame) -> DataFrame:

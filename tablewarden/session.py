@@ -48,6 +48,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
         current = tempfile.mkdtemp(prefix="tw-ckpt-")
     sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
