@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions.names import drop_statement, not_found_error, qualified_name
 from tablewarden.operators.patterns import match_patterns, normalize_patterns, semi_match
-from tablewarden.operators.sizing import broadcast_if_small
 
 # Object types, their default order, and outcome/status/message texts.
 OBJECT_TYPES = ("table", "view")
@@ -76,8 +75,11 @@ def resolve_types(inventory: DataFrame, types: Sequence[str]) -> DataFrame:
 
 
 def _namespaces(inventory: DataFrame, namespaces: DataFrame | None) -> DataFrame:
+    """Distinct namespaces. No hint: counting them first would cost a pass
+    over the inventory; AQE broadcasts them at run time from the measured
+    size of their (small) shuffle stage."""
     ns = (namespaces if namespaces is not None else inventory).select(*NS).distinct()
-    return broadcast_if_small(ns.withColumn("_ns_ok", F.lit(True)))
+    return ns.withColumn("_ns_ok", F.lit(True))
 
 
 def _status(dry_run: bool) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql.types import (
 
 from tablewarden.functions.jsonfix import coerce_boolean_json
 from tablewarden.functions.text import contains_ignore_case
-from tablewarden.operators.sizing import BROADCAST_MAX_ROWS, at_most
+from tablewarden.operators.sizing import at_most
 
 # Defaults of the create rewrite.
 DEFAULT_TAGS = {"Application": "kicks"}
@@ -31,6 +31,9 @@ TARGET_ROOT = "/Workspace/kicks/"
 NO_TASKS = "No tasks found in job config for job: "
 UNREADABLE = "config is not valid JSON"
 
+# Largest lookup shipped to every task as one map value; larger ones are joined.
+LOOKUP_MAP_MAX_ROWS = 100_000
+
 _STR_MAP = MapType(StringType(), StringType())
 # Fields the rewrites touch; added (all null) when no record in the batch has them.
 _TASK_FIELDS = {
@@ -181,18 +184,31 @@ def _task_type(schema: StructType) -> StructType:
 
 @dataclass(frozen=True)
 class Rewrite:
-    """``records``: ``(record_key, job_id, settings, payload)`` with the rewritten
-    struct and its JSON text; ``errors``: ``(record_key, job_id, error)``."""
+    """``outcomes``: ``(record_key, job_id, settings, payload, error)``, one row
+    per stored record (``error`` null when rewritten); ``records`` and
+    ``errors`` are its two halves. A caller needing both should read
+    ``outcomes`` once instead of running the plan twice."""
+
+    outcomes: DataFrame
+
+    @property
+    def records(self) -> DataFrame:
+        return self.outcomes.filter(F.col("error").isNull()).drop("error")
 
-    records: DataFrame
-    errors: DataFrame
+    @property
+    def errors(self) -> DataFrame:
+        return self.outcomes.filter(F.col("error").isNotNull()).select("record_key", "job_id", "error")
 
 
 def _parse(current: DataFrame, text: Column, schema: StructType) -> DataFrame:
     """Parse once. The parsed pair is produced by ``inline`` of a one-element
     array: filters on it (records vs errors) cannot be pushed below the
     generator, which would copy the parse into every predicate."""
-    pair = F.struct(text.alias("_text"), F.from_json(text, schema).alias("_doc"))
+    with_corrupt = StructType(schema.fields + [StructField("_corrupt", StringType())])
+    doc = F.from_json(text, with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    # Malformed text gives a struct of nulls with the raw text in ``_corrupt``.
+    doc = F.when(doc.isNotNull() & doc["_corrupt"].isNull(), doc.dropFields("_corrupt"))
+    pair = F.struct(text.alias("_text"), doc.alias("_doc"))
     return current.select("record_key", F.inline(F.array(pair)))
 
 
@@ -233,7 +249,7 @@ def create_from_stored(current: DataFrame, *, lookup: DataFrame | None = None,
                        tags: Mapping[str, str] = DEFAULT_TAGS, pause_status: str = DEFAULT_PAUSE,
                        source_root: str = SOURCE_ROOT, target_root: str = TARGET_ROOT,
                        schema: StructType | None = None,
-                       lookup_max_rows: int = BROADCAST_MAX_ROWS) -> Rewrite:
+                       lookup_max_rows: int = LOOKUP_MAP_MAX_ROWS) -> Rewrite:
     """C11: the create payload of every stored ``(record_key, body)``.
 
     Steps: coerce booleans (P17), name := record key (P15), reject records
@@ -263,20 +279,18 @@ def create_from_stored(current: DataFrame, *, lookup: DataFrame | None = None,
                                               sched.withField("pause_status", F.lit(pause_status)))))
     ok_json = F.col("_doc").isNotNull() & F.col("_text").isNotNull()
     has_tasks = F.coalesce(F.size(s["tasks"]), F.lit(0)) > 0
-    out = rew.select("record_key", F.col("_doc.job_id").alias("job_id"), ok_json.alias("_ok"),
-                     has_tasks.alias("_has"), settings.alias("settings"))
-    records = out.filter(F.col("_ok") & F.col("_has")).select(
-        "record_key", "job_id", "settings", F.to_json("settings").alias("payload"))
-    errors = out.filter(~(F.col("_ok") & F.col("_has"))).select(
-        "record_key", "job_id",
-        F.when(~F.col("_ok"), F.lit(UNREADABLE))
-        .otherwise(F.concat(F.lit(NO_TASKS), F.col("record_key").cast("string"))).alias("error"))
-    return Rewrite(records, errors)
+    good = ok_json & has_tasks
+    error = (F.when(~ok_json, F.lit(UNREADABLE))
+             .when(~has_tasks, F.concat(F.lit(NO_TASKS), F.col("record_key").cast("string"))))
+    out = rew.select("record_key", F.col("_doc.job_id").alias("job_id"),
+                     F.when(good, settings).alias("settings"), error.alias("error"))
+    return Rewrite(out.select("record_key", "job_id", "settings",
+                              F.to_json("settings").alias("payload"), "error"))
 
 
 def reset_from_stored(current: DataFrame, *, lookup: DataFrame | None = None,
                       cluster_id: str | None = None, schema: StructType | None = None,
-                      lookup_max_rows: int = BROADCAST_MAX_ROWS) -> Rewrite:
+                      lookup_max_rows: int = LOOKUP_MAP_MAX_ROWS) -> Rewrite:
     """The reset envelope ``{job_id, new_settings}`` of every stored record
     with only the cluster (P7) and pipeline (P8) rewritten: no coercion, no
     re-rooting, tags and other fields kept. Records without tasks pass
@@ -289,9 +303,8 @@ def reset_from_stored(current: DataFrame, *, lookup: DataFrame | None = None,
     s = F.col("_doc.settings")
     new_settings = F.when(s["tasks"].isNotNull(), s.withField("tasks", F.col("_tasks"))).otherwise(s)
     env = F.struct(F.col("_doc.job_id").alias("job_id"), new_settings.alias("new_settings"))
-    ok = F.col("_doc").isNotNull()
-    records = rew.filter(ok).select("record_key", F.col("_doc.job_id").alias("job_id"),
-                                    env.alias("settings"), F.to_json(env).alias("payload"))
-    errors = rew.filter(~ok).select("record_key", F.lit(None).cast("bigint").alias("job_id"),
-                                    F.lit(UNREADABLE).alias("error"))
-    return Rewrite(records, errors)
+    ok = F.col("_doc").isNotNull() & F.col("_text").isNotNull()
+    out = rew.select("record_key", F.col("_doc.job_id").alias("job_id"),
+                     F.when(ok, env).alias("settings"), F.when(~ok, F.lit(UNREADABLE)).alias("error"))
+    return Rewrite(out.select("record_key", "job_id", "settings",
+                              F.to_json("settings").alias("payload"), "error"))

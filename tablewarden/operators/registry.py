@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tablewarden.functions.text import invalid_path, split_key_value
 from tablewarden.operators.delete import check_types
 from tablewarden.operators.patterns import match_patterns, normalize_patterns
-from tablewarden.operators.sizing import broadcast_if_small
 
 # Messages for skipped configurations and bad filter text.
 CONFIG_MISSING = "config not found"
@@ -54,7 +53,8 @@ def select_records(listing: DataFrame, names: DataFrame, *, name_col: str = "job
     pairs = hits.unionByName(everything)
     rank = F.struct((F.col("_lname") != F.lower("name")).alias("_inexact"), F.col(id_col).alias("_id"))
     best = pairs.groupBy("name").agg(F.count(F.lit(1)).alias("n_matches"), F.min(rank).alias("_best"))
-    out = pairs.join(broadcast_if_small(best), "name")
+    # One row per requested name; AQE broadcasts it from its measured size.
+    out = pairs.join(best, "name")
     return out.select("name", id_col, name_col, F.col("n_matches").cast("bigint").alias("n_matches"),
                       (F.col(id_col) == F.col("_best._id")).alias("selected"))
 

@@ -188,22 +188,18 @@ def q_create_tasks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_create_settings(spark: SparkSession, d: str) -> DataFrame:
-    rw = _create(spark, d)
+    out = _create(spark, d).outcomes  # one pass for created and rejected records
     s = F.col("settings")
-    ok = rw.records.select(
-        F.col("job_id").cast("bigint").alias("job_id"), s["name"].alias("name"),
-        F.lit("created").alias("outcome"), F.lit(None).cast("string").alias("error"),
-        F.get_json_object("payload", "$.run_as").isNotNull().alias("has_run_as"),
+    ok = F.col("error").isNull()
+    return out.select(
+        F.col("job_id").cast("bigint").alias("job_id"),
+        F.coalesce(s["name"], F.col("record_key")).alias("name"),
+        F.when(ok, F.lit("created")).otherwise(F.lit("rejected")).alias("outcome"), "error",
+        F.when(ok, F.get_json_object("payload", "$.run_as").isNotNull()).alias("has_run_as"),
         F.try_element_at(s["tags"], F.lit("Application")).alias("tag_application"),
         F.size(s["tags"]).cast("bigint").alias("n_tags"),
         s["schedule"]["pause_status"].alias("pause_status"),
-        F.size(s["tasks"]).cast("bigint").alias("n_tasks"))
-    bad = rw.errors.select(
-        F.col("job_id").cast("bigint").alias("job_id"), F.col("record_key").alias("name"),
-        F.lit("rejected").alias("outcome"), "error", F.lit(None).cast("boolean").alias("has_run_as"),
-        F.lit(None).cast("string").alias("tag_application"), F.lit(None).cast("bigint").alias("n_tags"),
-        F.lit(None).cast("string").alias("pause_status"), F.lit(None).cast("bigint").alias("n_tasks"))
-    return ok.unionByName(bad)
+        F.when(ok, F.size(s["tasks"])).cast("bigint").alias("n_tasks"))
 
 
 def q_reset_tasks(spark: SparkSession, d: str) -> DataFrame:

@@ -104,3 +104,16 @@ def test_lookup_statuses_fallback_and_last_wins(spark):
     assert ent.count() == 4
     assert rows(build_lookup(ent, "WIDGET")) == [("A widget", "2")]
     assert rows(build_lookup(ent, None), "name", "pipeline_id") == [("", "n"), ("A widget", "2"), ("bolt", "3")]
+
+
+def test_unreadable_documents_go_to_errors(spark):
+    st = spark.createDataFrame([("bad", '{"job_id": 1, "settings": '), ("dup", '{"a": 1, "a": 2}'),
+                                ("ok", json.dumps({"job_id": 2, "settings": {"tasks": [{"task_key": "k"}]}}))],
+                               "record_key string, body string")
+    c = create_from_stored(st)
+    assert rows(c.errors, "record_key", "error") == [("bad", "config is not valid JSON"),
+                                                     ("dup", "config is not valid JSON")]
+    assert rows(c.records, "record_key") == [("ok",)]
+    r = reset_from_stored(st.filter("record_key != 'dup'"))
+    assert rows(r.errors, "record_key") == [("bad",)]
+    assert rows(r.records, "record_key") == [("ok",)]
