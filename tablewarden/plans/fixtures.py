@@ -101,19 +101,19 @@ def f_jobs(spark: SparkSession, d: str) -> DataFrame:
 
 def job_captures(spark: SparkSession, d: str) -> DataFrame:
     """Captured job-listing responses: parts grouped 100 per capture, as JSON
-    ``{"jobs": [{"job_id", "settings": {"name"}}]}``; every 5th capture lacks
-    ``jobs`` entirely."""
+    ``{"jobs": [{"job_id", "settings": {"name"}}]}``, each followed by a
+    trailer capture without ``jobs`` (which must add nothing)."""
     p = table(spark, d, "part")
     cap = F.floor(F.col("p_partkey") / 100).cast("bigint")
     entry = F.struct(F.col("p_partkey").alias("job_id"),
                      F.struct(F.col("p_name").alias("name")).alias("settings"))
-    grouped = p.groupBy(cap.alias("capture_pos")).agg(
+    grouped = p.groupBy(cap.alias("capture")).agg(
         F.sort_array(F.collect_list(F.struct(F.col("p_partkey").alias("k"), entry.alias("e")))).alias("a"))
-    doc = F.when(F.col("capture_pos") % 5 == 4,
-                 F.to_json(F.struct(F.lit(True).alias("has_more"))))\
-        .otherwise(F.to_json(F.struct(F.transform("a", lambda x: x["e"]).alias("jobs"))))
-    # Jobs of a capture without a "jobs" array are not in the listing.
-    return grouped.select("capture_pos", doc.alias("doc"))
+    pages = grouped.select((F.col("capture") * 2).alias("capture_pos"),
+                           F.to_json(F.struct(F.transform("a", lambda x: x["e"]).alias("jobs"))).alias("doc"))
+    trailers = grouped.select((F.col("capture") * 2 + 1).alias("capture_pos"),
+                              F.to_json(F.struct(F.lit(False).alias("has_more"))).alias("doc"))
+    return pages.unionByName(trailers)
 
 
 def pipeline_captures(spark: SparkSession, d: str) -> DataFrame:
