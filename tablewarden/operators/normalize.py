@@ -16,10 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    ArrayType, DataType, MapType, StringType, StructField, StructType,
+    ArrayType, DataType, MapType, StringType, StructField, StructType, VariantType,
 )
 
-from tablewarden.functions.jsonfix import coerce_boolean_json
+from tablewarden.functions.jsonfix import coerce_boolean_json, coerce_boolean_json_raw
 from tablewarden.functions.text import contains_ignore_case
 from tablewarden.operators.sizing import at_most
 
@@ -34,7 +34,8 @@ UNREADABLE = "config is not valid JSON"
 # Largest lookup shipped to every task as one map value; larger ones are joined.
 LOOKUP_MAP_MAX_ROWS = 100_000
 
-_STR_MAP = MapType(StringType(), StringType())
+# Maps keep their values as parsed JSON, so any value type survives exactly.
+_STR_MAP = MapType(StringType(), VariantType())
 # Fields the rewrites touch; added (all null) when no record in the batch has them.
 _TASK_FIELDS = {
     "task_key": StringType(),
@@ -145,8 +146,8 @@ def with_parameters(bp: Column, storage_path: str) -> Column:
     ``storage_account_name`` (map_concat refuses duplicate keys, so both are
     filtered out first)."""
     kept = F.map_filter(bp, lambda k, v: ~k.isin("Path", "storage_account_name"))
-    new = F.create_map(F.lit("Path"), F.lit(storage_path),
-                       F.lit("storage_account_name"), F.lit(storage_path))
+    value = F.lit(storage_path).cast("variant")
+    new = F.create_map(F.lit("Path"), value, F.lit("storage_account_name"), value)
     return F.when(F.map_contains_key(bp, "Path"), F.map_concat(kept, new)).otherwise(bp)
 
 
@@ -258,7 +259,7 @@ def create_from_stored(current: DataFrame, *, lookup: DataFrame | None = None,
     (P11); drop ``run_as`` (P12); replace ``tags`` (P13); set the pause status
     where a schedule exists (P14). The payload is the settings object.
     """
-    text = coerce_boolean_json(F.col("body"))
+    text = coerce_boolean_json_raw(F.col("body"))
     coerced = current.select("record_key", text.alias("_ctext"))
     schema = schema or config_schema(coerced, "_ctext")
     parsed = _parse(coerced, F.col("_ctext"), schema)
@@ -277,7 +278,7 @@ def create_from_stored(current: DataFrame, *, lookup: DataFrame | None = None,
                 .withField("tags", tag_map)
                 .withField("schedule", F.when(sched.isNotNull(),
                                               sched.withField("pause_status", F.lit(pause_status)))))
-    ok_json = F.col("_doc").isNotNull() & F.col("_text").isNotNull()
+    ok_json = F.col("_doc").isNotNull()
     has_tasks = F.coalesce(F.size(s["tasks"]), F.lit(0)) > 0
     good = ok_json & has_tasks
     error = (F.when(~ok_json, F.lit(UNREADABLE))

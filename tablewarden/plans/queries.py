@@ -164,6 +164,10 @@ def _lookup(spark: SparkSession, d: str) -> DataFrame:
     return build_lookup(fx.f_pipelines(spark, d), LOOKUP_FILTER)
 
 
+def _param(bp: Column, key: str) -> Column:
+    return F.variant_get(F.try_element_at(bp, F.lit(key)), "$", "string")
+
+
 def _tasks(records: DataFrame, tasks: Column) -> DataFrame:
     ex = records.select("job_id", F.posexplode(tasks).alias("_pos", "t"))
     bp = F.col("t.notebook_task.base_parameters")
@@ -172,9 +176,9 @@ def _tasks(records: DataFrame, tasks: Column) -> DataFrame:
         F.col("t.task_key").alias("task_key"), F.col("t.existing_cluster_id").alias("existing_cluster_id"),
         F.col("t.pipeline_task.pipeline_id").alias("pipeline_id"),
         F.col("t.notebook_task.notebook_path").alias("notebook_path"),
-        F.try_element_at(bp, F.lit("Path")).alias("param_path"),
-        F.try_element_at(bp, F.lit("storage_account_name")).alias("param_storage"),
-        F.try_element_at(bp, F.lit("k")).alias("param_k"),
+        _param(bp, "Path").alias("param_path"),
+        _param(bp, "storage_account_name").alias("param_storage"),
+        _param(bp, "k").alias("param_k"),
         F.get_json_object(F.to_json("t"), "$.email_notifications").isNotNull().alias("has_email"))
 
 

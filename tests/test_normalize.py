@@ -27,6 +27,18 @@ def test_coercion_cases(spark):
     assert json.loads(got[6]) == {"n": 2.5, "e": "tru"}
 
 
+def test_raw_coercion_agrees_with_canonical(spark):
+    from tablewarden.functions.jsonfix import coerce_boolean_json_raw
+    texts = ['{"a": "True", "b": [ "false" , "x"], "true": "TRUE", "c": {"d":"tRuE"}}',
+             '{\n  "k": "FALSE",\n  "s": "say \\"true\\", ok",\n  "e": "\\\\"\n}',
+             '  "true"  ', '[]', '{"q": "true:", "r": ",\\"false\\""}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    got = df.select("i", coerce_boolean_json_raw(F.col("s")).alias("r")).orderBy("i").collect()
+    canon = coerce(spark, texts)
+    for row, c in zip(got, canon):
+        assert json.loads(row["r"]) == json.loads(c)
+
+
 def test_coercion_is_idempotent(spark):
     once = coerce(spark, ['{"a": ["True", {"b": "false"}]}'])[0]
     assert coerce(spark, [once])[0] == once
@@ -45,7 +57,8 @@ DOC = {"job_id": 7, "settings": {
          "flag": "True"},
         {"task_key": "pipe", "pipeline_task": {"pipeline_id": "p0", "full": True},
          "notebook_task": {"notebook_path": "/Workspace/kicks/a"}},
-        {"task_key": "t3", "notebook_task": {"notebook_path": "/Repos/x", "base_parameters": {"z": "2"}}},
+        {"task_key": "t3", "notebook_task": {"notebook_path": "/Repos/x",
+                                             "base_parameters": {"z": "2", "on": "TRUE", "n": 3}}},
         {"task_key": "t4", "notebook_task": {"notebook_path": "a/Workspace/b"}}]}}
 
 
@@ -66,7 +79,8 @@ def test_create_rewrites_and_keeps_unknown_fields(spark):
     assert "existing_cluster_id" not in t2
     assert t2["pipeline_task"] == {"pipeline_id": "NEW", "full": True}
     assert t2["notebook_task"]["notebook_path"] == "/Workspace/kicks/a"
-    assert t3["notebook_task"] == {"notebook_path": "/Repos/x", "base_parameters": {"z": "2"}}
+    assert t3["notebook_task"] == {"notebook_path": "/Repos/x",
+                                   "base_parameters": {"z": "2", "on": True, "n": 3}}
     assert t4["notebook_task"]["notebook_path"] == "a/Workspace/kicks/b"
     assert rows(rw.errors, "record_key", "error") == [
         ("job_b", "No tasks found in job config for job: job_b"),
@@ -112,7 +126,7 @@ def test_unreadable_documents_go_to_errors(spark):
                                "record_key string, body string")
     c = create_from_stored(st)
     assert rows(c.errors, "record_key", "error") == [("bad", "config is not valid JSON"),
-                                                     ("dup", "config is not valid JSON")]
+                                                     ("dup", "No tasks found in job config for job: dup")]
     assert rows(c.records, "record_key") == [("ok",)]
     r = reset_from_stored(st.filter("record_key != 'dup'"))
     assert rows(r.errors, "record_key") == [("bad",)]
