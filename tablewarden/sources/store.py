@@ -37,12 +37,31 @@ def write_current(df: DataFrame, root: str, run_ts: datetime) -> str:
     return path
 
 
+def committed_runs(spark: SparkSession, root: str) -> list[str]:
+    """Names of run folders under ``root`` whose write committed (``_SUCCESS``
+    present), oldest first. A folder listing: metadata, not data."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    runs = []
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("run=") and \
+                fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            runs.append(name)
+    return sorted(runs)
+
+
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    """The latest complete run (runs are named by their stamp, so the
-    lexicographic maximum is the newest)."""
-    df = spark.read.schema(CURRENT_SCHEMA + ", run STRING").parquet(root)
-    latest = df.select(F.max("run").alias("run"))
-    return df.join(F.broadcast(latest), "run").drop("run")
+    """The latest committed run (runs are named by their stamp, so the
+    lexicographic maximum is the newest); only that folder is read.
+    Raises ``FileNotFoundError`` when no run has been committed."""
+    runs = committed_runs(spark, root)
+    if not runs:
+        raise FileNotFoundError(f"no committed current run under {root}")
+    return spark.read.schema(CURRENT_SCHEMA).parquet(f"{root}/{runs[-1]}")
 
 
 def write_archive(df: DataFrame, root: str, run_ts: datetime) -> None:
@@ -97,5 +116,5 @@ def read_documents(spark: SparkSession, path: str, key_from_name: bool = True) -
     return out
 
 
-__all__ = ["DATE_FORMAT", "read_archive", "read_current", "read_documents", "read_version_files",
+__all__ = ["DATE_FORMAT", "committed_runs", "read_archive", "read_current", "read_documents", "read_version_files",
            "write_archive", "write_current"]

@@ -18,14 +18,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tablewarden.operators.versions import backup
 from tablewarden.session import checkpoint_dir
-from tablewarden.sources.store import CURRENT_SCHEMA, read_current, write_archive, write_current
+from tablewarden.sources.store import (
+    CURRENT_SCHEMA, committed_runs, read_current, write_archive, write_current,
+)
 
 
 def _current_or_empty(spark: SparkSession, root: str) -> DataFrame:
-    try:
-        return read_current(spark, root)
-    except Exception:  # no run written yet
+    if not committed_runs(spark, root):
         return spark.createDataFrame([], CURRENT_SCHEMA)
+    return read_current(spark, root)
 
 
 def _process(current_root: str, archive_root: str):

@@ -1,5 +1,6 @@
 """Backup, restore, history and the stores on temporary folders."""
 
+import os
 import tempfile
 from datetime import datetime
 
@@ -74,6 +75,10 @@ def test_stores_round_trip(spark):
     write_archive(b.archive, f"{root}/archive", T2)  # a retried run is idempotent
     write_current(b.current, f"{root}/current", T2)
     assert rows(read_current(spark, f"{root}/current"), "record_key", "body") == [("job", "new"), ("x", "1")]
+    # A newer run that never committed (no _SUCCESS) is ignored.
+    cur(spark, [("junk", "j")]).write.parquet(f"{root}/current/run=29990101_000000")
+    os.remove(f"{root}/current/run=29990101_000000/_SUCCESS")
+    assert rows(read_current(spark, f"{root}/current"), "record_key") == [("job",), ("x",)]
     arc = read_archive(spark, f"{root}/archive", date_from="20250815")
     assert rows(arc, "record_key", "body", "archive_date") == [("job", "old", "20250815")]
     assert read_archive(spark, f"{root}/archive", date_to="20250814").count() == 0
