@@ -109,3 +109,14 @@ def test_history_skew_safe_equals_window_on_a_hot_key(spark):
     plain = version_history(arc, skew_safe=False)
     assert safe.count() == arc.count()
     assert rows(safe) == rows(plain)
+
+
+def test_document_scan_by_file_name(spark):
+    from tablewarden.sources.store import read_documents
+    root = tempfile.mkdtemp(prefix="tw-docs-")
+    os.makedirs(f"{root}/job_a")
+    with open(f"{root}/job_a/job_a.json", "w") as fh:
+        fh.write('{\n  "job_id": 1\n}')
+    with open(f"{root}/notes.txt", "w") as fh:
+        fh.write("x")
+    assert rows(read_documents(spark, root), "record_key", "body") == [("job_a", '{\n  "job_id": 1\n}')]
