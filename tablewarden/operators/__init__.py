@@ -5,7 +5,7 @@ from tablewarden.operators.delete import (
     inventory_from_listing, plan_delete, plan_delete_by_pattern, summarize,
 )
 from tablewarden.operators.normalize import (
-    build_lookup, coerce_booleans, config_schema, create_from_stored, reset_from_stored,
+    build_lookup, coerce_booleans, create_from_stored, reset_from_stored,
 )
 from tablewarden.operators.registry import (
     check_paths, filter_by_tags, list_object_names, list_objects, parse_tag_filters,
@@ -18,7 +18,7 @@ from tablewarden.operators.versions import (
 
 __all__ = [
     "backup", "build_lookup", "check_paths", "check_report", "cleanup_by_token", "cleanup_matrix",
-    "coerce_booleans", "config_schema", "create_from_stored", "delete_rows",
+    "coerce_booleans", "create_from_stored", "delete_rows",
     "delete_rows_by_pattern", "expand_grants", "filter_by_tags", "inventory_from_listing",
     "latest_per_key", "list_object_names", "list_objects", "parse_tag_filters", "pick_preferred",
     "plan_delete", "plan_delete_by_pattern", "reset_from_stored", "restore", "select_records",

@@ -1,23 +1,22 @@
 """Nested-record normalisation.
 
-Configurations are JSON text. Rewrites parse them into structs with a schema
-derived from the batch itself (``schema_of_variant_agg``), so fields this code
-does not know survive the round trip; ``tags`` and ``base_parameters`` are
-read as maps. Task arrays are rewritten in place with ``transform`` /
-``withField`` / ``dropFields``, keeping task order and leaving absent fields
-absent. Explicit JSON nulls are dropped by ``to_json``.
+Configurations are JSON text ``{job_id, settings, ...}``. The rewrites parse
+``settings`` as ``map<string, variant>``: every field, known or not, keeps its
+JSON value exactly (explicit nulls included), and nested objects are rewritten
+as maps and turned back into objects with ``to_variant_object``. No schema has
+to be inferred first, so a rewrite is one pass over the records. Task arrays
+are rewritten in place with ``transform``, keeping task order; a field the
+record does not have stays absent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    ArrayType, DataType, MapType, StringType, StructField, StructType, VariantType,
-)
 
 from tablewarden.functions.jsonfix import coerce_boolean_json, coerce_boolean_json_raw
 from tablewarden.functions.text import contains_ignore_case
@@ -34,56 +33,48 @@ UNREADABLE = "config is not valid JSON"
 # Largest lookup shipped to every task as one map value; larger ones are joined.
 LOOKUP_MAP_MAX_ROWS = 100_000
 
-# Maps keep their values as parsed JSON, so any value type survives exactly.
-_STR_MAP = MapType(StringType(), VariantType())
-# Fields the rewrites touch; added (all null) when no record in the batch has them.
-_TASK_FIELDS = {
-    "task_key": StringType(),
-    "existing_cluster_id": StringType(),
-    "pipeline_task": StructType([StructField("pipeline_id", StringType())]),
-    "notebook_task": StructType([StructField("notebook_path", StringType()),
-                                 StructField("base_parameters", _STR_MAP)]),
-}
-_SETTINGS_FIELDS = {"name": StringType(), "tags": _STR_MAP,
-                    "schedule": StructType([StructField("pause_status", StringType())]),
-                    "tasks": ArrayType(StructType([StructField(k, v) for k, v in _TASK_FIELDS.items()]))}
-
-
-def _ensure(st: StructType, wanted: Mapping[str, DataType], maps: set[str]) -> StructType:
-    """Add missing wanted fields; force fields named in ``maps`` to map<string,string>."""
-    fields, seen = [], set()
-    for f in st.fields:
-        seen.add(f.name)
-        t = f.dataType
-        if f.name in maps:
-            t = _STR_MAP
-        elif f.name in wanted and isinstance(wanted[f.name], StructType) and isinstance(t, StructType):
-            t = _ensure(t, {x.name: x.dataType for x in wanted[f.name].fields}, maps)
-        elif f.name == "tasks" and isinstance(t, ArrayType) and isinstance(t.elementType, StructType):
-            t = ArrayType(_ensure(t.elementType, _TASK_FIELDS, maps))
-        fields.append(StructField(f.name, t, True))
-    for name, t in wanted.items():
-        if name not in seen:
-            fields.append(StructField(name, t, True))
-    return StructType(fields)
-
-
-def config_schema(df: DataFrame, body_col: str = "body") -> StructType:
-    """Schema of ``{job_id, settings}`` documents of one batch.
-
-    A set-up step: one aggregation whose result is a schema string (its size
-    depends on the variety of fields, not on the row count)."""
-    ddl = df.select(F.schema_of_variant_agg(F.try_parse_json(F.col(body_col)))).first()[0]
-    if not ddl or not ddl.startswith("OBJECT<"):
-        ddl = "OBJECT<job_id: BIGINT, settings: OBJECT<name: STRING>>"
-    st = DataType.fromDDL(ddl.replace("OBJECT<", "STRUCT<"))
-    if not isinstance(st, StructType):
-        raise ValueError(f"configurations are not JSON objects: {ddl}")
-    top = {"job_id": st["job_id"].dataType if "job_id" in st.names else StringType(),
-           "settings": StructType([StructField(k, v) for k, v in _SETTINGS_FIELDS.items()])}
-    return _ensure(st, top, maps={"tags", "base_parameters"})
+OBJ = "map<string,variant>"
+DOC_SCHEMA = f"job_id BIGINT, settings {OBJ}, _corrupt STRING"
 
 
+# --- small helpers on JSON objects held as map<string, variant> -------------
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once and use it many times in ``body`` (a lambda
+    variable is a reference, not a copy of the expression)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def obj(v: Column) -> Column:
+    """A variant as an object (map), or null if it is not an object."""
+    return v.try_cast(OBJ)
+
+
+def field(m: Column, key: str) -> Column:
+    return F.try_element_at(m, F.lit(key))
+
+
+def text_of(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
+
+
+def as_variant(value: Column | str) -> Column:
+    return (F.lit(value) if isinstance(value, str) else value).cast("variant")
+
+
+def update(m: Column, changes: Mapping[str, Column], drop: tuple[str, ...] = ()) -> Column:
+    """``m`` with the keys of ``changes`` whose value is not null replaced (or
+    added) and the keys in ``drop`` removed; null changes leave ``m`` as is."""
+    if not changes:
+        return F.map_filter(m, lambda k, v: ~k.isin(*drop)) if drop else m
+    upd = F.map_filter(F.create_map(*[x for k, v in changes.items() for x in (F.lit(k), v)]),
+                       lambda k, v: v.isNotNull())
+    return let(upd, lambda u: F.map_concat(
+        F.map_filter(m, lambda k, v: ~k.isin(*drop) & ~F.map_contains_key(u, k)), u))
+
+
+# --- rewrites -----------------------------------------------------------------
+
 def coerce_booleans(df: DataFrame, json_col: str, out_col: str | None = None) -> DataFrame:
     """C17: ``json_col`` rewritten by P17 (canonical JSON; "true"/"false" string
     values of any case become booleans at any depth; invalid JSON -> null)."""
@@ -99,32 +90,6 @@ def build_lookup(entries: DataFrame, name_filter: str | None = None) -> DataFram
             .groupBy("name").agg(F.max_by("pipeline_id", F.col("pos")).alias("pipeline_id")))
 
 
-def _lookup_map(lookup: DataFrame | None, max_rows: int) -> Column | None:
-    """The lookup as one map value (scalar subquery), only behind a size check."""
-    if lookup is None:
-        return None
-    if not at_most(lookup, max_rows):
-        return None
-    return lookup.select(F.map_from_entries(F.collect_list(F.struct(
-        F.col("name"), F.col("pipeline_id"))))).scalar()
-
-
-_DROP = object()
-
-
-def _rebuild(c: Column, st: StructType, overrides: Mapping[str, object]) -> Column:
-    """A struct with ``st``'s fields in order, each taken from ``c`` unless
-    overridden (``_DROP`` removes it); one flat ``struct(...)`` instead of
-    chained ``withField`` calls, so every field is evaluated once."""
-    fields = []
-    for f in st.fields:
-        new = overrides.get(f.name, None)
-        if new is _DROP:
-            continue
-        fields.append((new if new is not None else c[f.name]).alias(f.name))
-    return F.struct(*fields)
-
-
 def _quote_regex(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
@@ -143,52 +108,51 @@ def reroot(path: Column, source_root: str, target_root: str) -> Column:
 
 def with_parameters(bp: Column, storage_path: str) -> Column:
     """If the parameters have ``Path``, set ``Path`` and
-    ``storage_account_name`` (map_concat refuses duplicate keys, so both are
-    filtered out first)."""
-    kept = F.map_filter(bp, lambda k, v: ~k.isin("Path", "storage_account_name"))
-    value = F.lit(storage_path).cast("variant")
-    new = F.create_map(F.lit("Path"), value, F.lit("storage_account_name"), value)
-    return F.when(F.map_contains_key(bp, "Path"), F.map_concat(kept, new)).otherwise(bp)
-
-
-def _task_rewriter(task_type: StructType, *, cluster_id: str | None, create: bool,
-                   storage_path: str | None = None, source_root: str = SOURCE_ROOT,
-                   target_root: str = TARGET_ROOT):
-    """``fn(task, new_pipeline_id)`` applying P7, P8 and, for create, P9-P11."""
-    pt_type = task_type["pipeline_task"].dataType
-    nt_type = task_type["notebook_task"].dataType
+    ``storage_account_name``; otherwise null (no change)."""
+    value = as_variant(storage_path)
+    return F.when(F.map_contains_key(bp, "Path"),
+                  update(bp, {"Path": value, "storage_account_name": value}))
+
+
+def _task_rewriter(*, cluster_id: str | None, create: bool, storage_path: str | None = None,
+                   source_root: str = SOURCE_ROOT, target_root: str = TARGET_ROOT):
+    """``fn(task_map, new_pipeline_id)``: P7, P8 and, for create, P9-P11."""
+
+    def notebook(nt: Column) -> Column:
+        path = text_of(field(nt, "notebook_path"))
+        changes = {"notebook_path": F.when(path.isNotNull(),
+                                           as_variant(reroot(path, source_root, target_root)))}
+        if storage_path is not None:
+            changes["base_parameters"] = let(
+                obj(field(nt, "base_parameters")),
+                lambda bp: F.to_variant_object(with_parameters(bp, storage_path)))
+        return F.when(nt.isNotNull(), F.to_variant_object(update(nt, changes)))
 
     def fn(t: Column, new_id: Column | None) -> Column:
-        ov: dict[str, object] = {}
+        changes: dict[str, Column] = {}
         if cluster_id is not None:
-            ov["existing_cluster_id"] = F.when(t["existing_cluster_id"].isNotNull(), F.lit(cluster_id))
+            changes["existing_cluster_id"] = F.when(F.map_contains_key(t, "existing_cluster_id"),
+                                                    as_variant(cluster_id))
         if new_id is not None:
-            pt = t["pipeline_task"]
-            ov["pipeline_task"] = F.when(pt.isNotNull(), _rebuild(
-                pt, pt_type, {"pipeline_id": F.coalesce(new_id, pt["pipeline_id"])}))
+            changes["pipeline_task"] = let(obj(field(t, "pipeline_task")), lambda pt: F.when(
+                pt.isNotNull() & new_id.isNotNull(),
+                F.to_variant_object(update(pt, {"pipeline_id": as_variant(new_id)}))))
+        drop: tuple[str, ...] = ()
         if create:
-            nt = t["notebook_task"]
-            nt_ov: dict[str, object] = {"notebook_path": reroot(nt["notebook_path"], source_root, target_root)}
-            if storage_path is not None:
-                nt_ov["base_parameters"] = with_parameters(nt["base_parameters"], storage_path)
-            ov["notebook_task"] = F.when(nt.isNotNull(), _rebuild(nt, nt_type, nt_ov))
-            if "email_notifications" in task_type.names:
-                ov["email_notifications"] = _DROP
-        return _rebuild(t, task_type, ov)
+            changes["notebook_task"] = let(obj(field(t, "notebook_task")), notebook)
+            drop = ("email_notifications",)
+        return update(t, changes, drop)
 
     return fn
 
 
-def _task_type(schema: StructType) -> StructType:
-    return schema["settings"].dataType["tasks"].dataType.elementType
-
-
 @dataclass(frozen=True)
 class Rewrite:
     """``outcomes``: ``(record_key, job_id, settings, payload, error)``, one row
-    per stored record (``error`` null when rewritten); ``records`` and
-    ``errors`` are its two halves. A caller needing both should read
-    ``outcomes`` once instead of running the plan twice."""
+    per stored record; ``settings`` is the rewritten object as
+    ``map<string, variant>``, ``payload`` its JSON text, ``error`` null when
+    rewritten. ``records`` and ``errors`` are its two halves; a caller needing
+    both should read ``outcomes`` once."""
 
     outcomes: DataFrame
 
@@ -201,111 +165,107 @@ class Rewrite:
         return self.outcomes.filter(F.col("error").isNotNull()).select("record_key", "job_id", "error")
 
 
-def _parse(current: DataFrame, text: Column, schema: StructType) -> DataFrame:
-    """Parse once. The parsed pair is produced by ``inline`` of a one-element
+def _parse(current: DataFrame, text: Column) -> DataFrame:
+    """Parse once. The document is produced by ``inline`` of a one-element
     array: filters on it (records vs errors) cannot be pushed below the
-    generator, which would copy the parse into every predicate."""
-    with_corrupt = StructType(schema.fields + [StructField("_corrupt", StringType())])
-    doc = F.from_json(text, with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    # Malformed text gives a struct of nulls with the raw text in ``_corrupt``.
-    doc = F.when(doc.isNotNull() & doc["_corrupt"].isNull(), doc.dropFields("_corrupt"))
-    pair = F.struct(text.alias("_text"), doc.alias("_doc"))
+    generator, which would copy the parse into every predicate. Malformed text
+    gives a struct of nulls with the raw text in ``_corrupt``."""
+    doc = F.from_json(text, DOC_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    ok = text.isNotNull() & doc.isNotNull() & doc["_corrupt"].isNull()
+    pair = F.struct(ok.alias("_ok"), doc["job_id"].alias("job_id"), doc["settings"].alias("_s"))
     return current.select("record_key", F.inline(F.array(pair)))
 
 
-def _apply_lookup(parsed: DataFrame, lookup: DataFrame | None, task_fn, max_rows: int) -> DataFrame:
-    """Rewrite ``_doc.settings.tasks`` with ``task_fn(task, new_pipeline_id)``.
+def _lookup_map(lookup: DataFrame | None, max_rows: int) -> Column | None:
+    """The lookup as one map value (scalar subquery), only behind a size check."""
+    if lookup is None or not at_most(lookup, max_rows):
+        return None
+    return lookup.select(F.map_from_entries(F.collect_list(F.struct(
+        F.col("name"), F.col("pipeline_id"))))).scalar()
+
+
+def _rewrite_tasks(parsed: DataFrame, lookup: DataFrame | None, task_fn, max_rows: int) -> DataFrame:
+    """Adds ``_tasks``: the rewritten task maps (null when the record has no
+    task array).
 
     Small lookup: one map value and ``transform`` (no shuffle of records).
     Large lookup: explode tasks with their position, left-join the lookup on
     ``task_key`` (AQE splits hot keys), regroup per record in task order; a
     record's group is bounded by its own task array.
     """
-    tasks = F.col("_doc.settings.tasks")
+    tasks = F.col("_s")["tasks"].try_cast(f"array<{OBJ}>")
+    parsed = parsed.withColumn("_t0", tasks)
     m = _lookup_map(lookup, max_rows)
     if lookup is None or m is not None:
         if m is None:
-            return parsed.withColumn("_tasks", F.transform(tasks, lambda t: task_fn(t, None)))
+            return parsed.withColumn("_tasks", F.transform("_t0", lambda t: task_fn(t, None)))
         # The map is a column of its own: subqueries may not sit inside a lambda.
         with_map = parsed.withColumn("_lookup", m)
-        return with_map.withColumn("_tasks", F.transform(
-            tasks, lambda t: task_fn(t, F.try_element_at(F.col("_lookup"), t["task_key"])))).drop("_lookup")
-    ex = parsed.select("record_key", F.posexplode(tasks).alias("_pos", "_t"))
+        return with_map.withColumn("_tasks", F.transform("_t0", lambda t: task_fn(
+            t, F.try_element_at(F.col("_lookup"), text_of(field(t, "task_key")))))).drop("_lookup")
+    ex = parsed.select("record_key", F.posexplode("_t0").alias("_pos", "_t"))
     lk = lookup.select(F.col("name").alias("_k"), F.col("pipeline_id").alias("_new"))
-    joined = ex.join(lk, ex["_t.task_key"] == lk["_k"], "left")
+    joined = ex.join(lk, text_of(field(ex["_t"], "task_key")) == lk["_k"], "left")
     fixed = joined.select("record_key", F.struct("_pos", task_fn(F.col("_t"), F.col("_new")).alias("t")).alias("_e"))
     regrouped = fixed.groupBy("record_key").agg(
         F.transform(F.array_sort(F.collect_list("_e"), lambda x, y: (
             F.when(x["_pos"] < y["_pos"], -1).when(x["_pos"] > y["_pos"], 1).otherwise(0))),
             lambda e: e["t"]).alias("_tasks"))
-    # A record whose task array is empty has no group; transforming its empty
-    # array yields an empty array of the rewritten type.
-    empty = F.transform(tasks, lambda t: task_fn(t, F.lit(None).cast("string")))
+    # A record whose task array is empty has no group: keep its empty array.
     return parsed.join(regrouped, "record_key", "left").withColumn(
-        "_tasks", F.when(tasks.isNotNull(), F.coalesce(F.col("_tasks"), empty)))
+        "_tasks", F.when(F.col("_t0").isNotNull(), F.coalesce(F.col("_tasks"), F.col("_t0"))))
+
+
+def _outcomes(rew: DataFrame, settings: Column, ok: Column, error: Column, payload) -> Rewrite:
+    out = rew.select("record_key", "job_id", F.when(ok, settings).alias("settings"), error.alias("error"))
+    return Rewrite(out.select("record_key", "job_id", "settings", payload, "error"))
 
 
 def create_from_stored(current: DataFrame, *, lookup: DataFrame | None = None,
                        cluster_id: str | None = None, storage_path: str | None = None,
                        tags: Mapping[str, str] = DEFAULT_TAGS, pause_status: str = DEFAULT_PAUSE,
                        source_root: str = SOURCE_ROOT, target_root: str = TARGET_ROOT,
-                       schema: StructType | None = None,
                        lookup_max_rows: int = LOOKUP_MAP_MAX_ROWS) -> Rewrite:
-    """C11: the create payload of every stored ``(record_key, body)``.
+    """C11: the create payload (the settings object) of every stored
+    ``(record_key, body)``.
 
     Steps: coerce booleans (P17), name := record key (P15), reject records
     without tasks (F9), per task: cluster (P7), pipeline lookup (P8/J3),
     parameters (P9), path re-rooting (P10), drop ``email_notifications``
     (P11); drop ``run_as`` (P12); replace ``tags`` (P13); set the pause status
-    where a schedule exists (P14). The payload is the settings object.
+    where a schedule exists (P14).
     """
-    text = coerce_boolean_json_raw(F.col("body"))
-    coerced = current.select("record_key", text.alias("_ctext"))
-    schema = schema or config_schema(coerced, "_ctext")
-    parsed = _parse(coerced, F.col("_ctext"), schema)
-
-    task_fn = _task_rewriter(_task_type(schema), cluster_id=cluster_id, create=True,
-                             storage_path=storage_path, source_root=source_root,
-                             target_root=target_root)
-    rew = _apply_lookup(parsed, lookup, task_fn, lookup_max_rows)
-    s = F.col("_doc.settings")
-    tag_map = F.create_map(*[F.lit(x) for kv in tags.items() for x in kv]) if tags else \
-        F.create_map().cast("map<string,string>")
-    sched = s["schedule"]
-    settings = (s.withField("name", F.col("record_key").cast("string"))
-                .withField("tasks", F.col("_tasks"))
-                .dropFields("run_as")
-                .withField("tags", tag_map)
-                .withField("schedule", F.when(sched.isNotNull(),
-                                              sched.withField("pause_status", F.lit(pause_status)))))
-    ok_json = F.col("_doc").isNotNull()
-    has_tasks = F.coalesce(F.size(s["tasks"]), F.lit(0)) > 0
-    good = ok_json & has_tasks
-    error = (F.when(~ok_json, F.lit(UNREADABLE))
+    parsed = _parse(current, coerce_boolean_json_raw(F.col("body")))
+    task_fn = _task_rewriter(cluster_id=cluster_id, create=True, storage_path=storage_path,
+                             source_root=source_root, target_root=target_root)
+    rew = _rewrite_tasks(parsed, lookup, task_fn, lookup_max_rows)
+    s = F.col("_s")
+    schedule = let(obj(field(s, "schedule")), lambda sc: F.when(
+        sc.isNotNull(), F.to_variant_object(update(sc, {"pause_status": as_variant(pause_status)}))))
+    settings = update(s, {
+        "name": as_variant(F.col("record_key").cast("string")),
+        "tasks": F.to_variant_object(F.col("_tasks")),
+        "tags": F.parse_json(F.lit(json.dumps(dict(tags)))),
+        "schedule": schedule,
+    }, drop=("run_as",))
+    has_tasks = F.coalesce(F.size("_t0"), F.lit(0)) > 0
+    error = (F.when(~F.col("_ok"), F.lit(UNREADABLE))
              .when(~has_tasks, F.concat(F.lit(NO_TASKS), F.col("record_key").cast("string"))))
-    out = rew.select("record_key", F.col("_doc.job_id").alias("job_id"),
-                     F.when(good, settings).alias("settings"), error.alias("error"))
-    return Rewrite(out.select("record_key", "job_id", "settings",
-                              F.to_json("settings").alias("payload"), "error"))
+    return _outcomes(rew, settings, F.col("_ok") & has_tasks, error,
+                     F.to_json("settings").alias("payload"))
 
 
 def reset_from_stored(current: DataFrame, *, lookup: DataFrame | None = None,
-                      cluster_id: str | None = None, schema: StructType | None = None,
+                      cluster_id: str | None = None,
                       lookup_max_rows: int = LOOKUP_MAP_MAX_ROWS) -> Rewrite:
     """The reset envelope ``{job_id, new_settings}`` of every stored record
     with only the cluster (P7) and pipeline (P8) rewritten: no coercion, no
     re-rooting, tags and other fields kept. Records without tasks pass
     unchanged."""
-    schema = schema or config_schema(current, "body")
-    parsed = _parse(current, F.col("body"), schema)
-
-    task_fn = _task_rewriter(_task_type(schema), cluster_id=cluster_id, create=False)
-    rew = _apply_lookup(parsed, lookup, task_fn, lookup_max_rows)
-    s = F.col("_doc.settings")
-    new_settings = F.when(s["tasks"].isNotNull(), s.withField("tasks", F.col("_tasks"))).otherwise(s)
-    env = F.struct(F.col("_doc.job_id").alias("job_id"), new_settings.alias("new_settings"))
-    ok = F.col("_doc").isNotNull() & F.col("_text").isNotNull()
-    out = rew.select("record_key", F.col("_doc.job_id").alias("job_id"),
-                     F.when(ok, env).alias("settings"), F.when(~ok, F.lit(UNREADABLE)).alias("error"))
-    return Rewrite(out.select("record_key", "job_id", "settings",
-                              F.to_json("settings").alias("payload"), "error"))
+    parsed = _parse(current, F.col("body"))
+    task_fn = _task_rewriter(cluster_id=cluster_id, create=False)
+    rew = _rewrite_tasks(parsed, lookup, task_fn, lookup_max_rows)
+    settings = update(F.col("_s"), {"tasks": F.when(F.col("_tasks").isNotNull(),
+                                                    F.to_variant_object(F.col("_tasks")))})
+    payload = F.to_json(F.struct(F.col("job_id"), F.col("settings").alias("new_settings"))).alias("payload")
+    return _outcomes(rew, settings, F.col("_ok"), F.when(~F.col("_ok"), F.lit(UNREADABLE)), payload)

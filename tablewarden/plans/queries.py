@@ -164,22 +164,29 @@ def _lookup(spark: SparkSession, d: str) -> DataFrame:
     return build_lookup(fx.f_pipelines(spark, d), LOOKUP_FILTER)
 
 
-def _param(bp: Column, key: str) -> Column:
-    return F.variant_get(F.try_element_at(bp, F.lit(key)), "$", "string")
+def _text(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "string")
 
 
-def _tasks(records: DataFrame, tasks: Column) -> DataFrame:
+def _tasks(records: DataFrame, settings: Column) -> DataFrame:
+    """One row per task of the rewritten settings (``map<string, variant>``)."""
+    tasks = F.try_element_at(settings, F.lit("tasks")).try_cast("array<map<string,variant>>")
     ex = records.select("job_id", F.posexplode(tasks).alias("_pos", "t"))
-    bp = F.col("t.notebook_task.base_parameters")
+    t = F.col("t")
+
+    def get(key: str) -> Column:
+        return F.try_element_at(t, F.lit(key))
+
     return ex.select(
         F.col("job_id").cast("bigint").alias("job_id"), (F.col("_pos") + 1).cast("bigint").alias("task_pos"),
-        F.col("t.task_key").alias("task_key"), F.col("t.existing_cluster_id").alias("existing_cluster_id"),
-        F.col("t.pipeline_task.pipeline_id").alias("pipeline_id"),
-        F.col("t.notebook_task.notebook_path").alias("notebook_path"),
-        _param(bp, "Path").alias("param_path"),
-        _param(bp, "storage_account_name").alias("param_storage"),
-        _param(bp, "k").alias("param_k"),
-        F.get_json_object(F.to_json("t"), "$.email_notifications").isNotNull().alias("has_email"))
+        _text(get("task_key"), "$").alias("task_key"),
+        _text(get("existing_cluster_id"), "$").alias("existing_cluster_id"),
+        _text(get("pipeline_task"), "$.pipeline_id").alias("pipeline_id"),
+        _text(get("notebook_task"), "$.notebook_path").alias("notebook_path"),
+        _text(get("notebook_task"), "$.base_parameters.Path").alias("param_path"),
+        _text(get("notebook_task"), "$.base_parameters.storage_account_name").alias("param_storage"),
+        _text(get("notebook_task"), "$.base_parameters.k").alias("param_k"),
+        F.map_contains_key(t, "email_notifications").alias("has_email"))
 
 
 def _create(spark: SparkSession, d: str):
@@ -188,27 +195,31 @@ def _create(spark: SparkSession, d: str):
 
 
 def q_create_tasks(spark: SparkSession, d: str) -> DataFrame:
-    return _tasks(_create(spark, d).records, F.col("settings.tasks"))
+    return _tasks(_create(spark, d).records, F.col("settings"))
 
 
 def q_create_settings(spark: SparkSession, d: str) -> DataFrame:
     out = _create(spark, d).outcomes  # one pass for created and rejected records
     s = F.col("settings")
     ok = F.col("error").isNull()
+
+    def get(key: str) -> Column:
+        return F.try_element_at(s, F.lit(key))
+
     return out.select(
         F.col("job_id").cast("bigint").alias("job_id"),
-        F.coalesce(s["name"], F.col("record_key")).alias("name"),
+        F.coalesce(_text(get("name"), "$"), F.col("record_key")).alias("name"),
         F.when(ok, F.lit("created")).otherwise(F.lit("rejected")).alias("outcome"), "error",
-        F.when(ok, F.get_json_object("payload", "$.run_as").isNotNull()).alias("has_run_as"),
-        F.try_element_at(s["tags"], F.lit("Application")).alias("tag_application"),
-        F.size(s["tags"]).cast("bigint").alias("n_tags"),
-        s["schedule"]["pause_status"].alias("pause_status"),
-        F.when(ok, F.size(s["tasks"])).cast("bigint").alias("n_tasks"))
+        F.when(ok, F.map_contains_key(s, "run_as")).alias("has_run_as"),
+        _text(get("tags"), "$.Application").alias("tag_application"),
+        F.size(get("tags").try_cast("map<string,variant>")).cast("bigint").alias("n_tags"),
+        _text(get("schedule"), "$.pause_status").alias("pause_status"),
+        F.size(get("tasks").try_cast("array<variant>")).cast("bigint").alias("n_tasks"))
 
 
 def q_reset_tasks(spark: SparkSession, d: str) -> DataFrame:
     rw = reset_from_stored(_stored(spark, d), lookup=_lookup(spark, d), cluster_id=CLUSTER_ID)
-    out = _tasks(rw.records, F.col("settings.new_settings.tasks"))
+    out = _tasks(rw.records, F.col("settings"))
     return out.drop("param_storage", "param_k")
 
 

@@ -131,3 +131,14 @@ def test_unreadable_documents_go_to_errors(spark):
     r = reset_from_stored(st.filter("record_key != 'dup'"))
     assert rows(r.errors, "record_key") == [("bad",)]
     assert rows(r.records, "record_key") == [("ok",)]
+
+
+def test_rewrite_keeps_nulls_and_mixed_types(spark):
+    docs = [("a", {"job_id": 1, "settings": {"x": "s", "nul": None, "tasks": [{"task_key": "k", "odd": None}]}}),
+            ("b", {"job_id": 2, "settings": {"x": {"deep": [1, "TRUE"]}, "tasks": [{"task_key": "k",
+                                                                                 "notebook_task": "not an object"}]}})]
+    out = {r["record_key"]: json.loads(r["payload"]) for r in create_from_stored(_store(spark, docs)).records.collect()}
+    assert out["a"]["nul"] is None and "nul" in out["a"] and out["a"]["x"] == "s"
+    assert out["a"]["tasks"] == [{"task_key": "k", "odd": None}]
+    assert out["b"]["x"] == {"deep": [1, True]}
+    assert out["b"]["tasks"][0]["notebook_task"] == "not an object"
