@@ -34,7 +34,6 @@ UNREADABLE = "config is not valid JSON"
 LOOKUP_MAP_MAX_ROWS = 100_000
 
 OBJ = "map<string,variant>"
-DOC_SCHEMA = f"job_id BIGINT, settings {OBJ}, _corrupt STRING"
 
 
 # --- small helpers on JSON objects held as map<string, variant> -------------
@@ -64,13 +63,19 @@ def as_variant(value: Column | str) -> Column:
 
 def update(m: Column, changes: Mapping[str, Column], drop: tuple[str, ...] = ()) -> Column:
     """``m`` with the keys of ``changes`` whose value is not null replaced (or
-    added) and the keys in ``drop`` removed; null changes leave ``m`` as is."""
+    added) and the keys in ``drop`` removed; null changes leave ``m`` as is.
+
+    The changed keys are known statically: they are filtered out and added
+    back with ``coalesce(new, old)``; a key that was absent and gets no new
+    value is dropped again by the final null filter (a JSON null stays: it is
+    a variant, not a SQL null)."""
     if not changes:
         return F.map_filter(m, lambda k, v: ~k.isin(*drop)) if drop else m
-    upd = F.map_filter(F.create_map(*[x for k, v in changes.items() for x in (F.lit(k), v)]),
-                       lambda k, v: v.isNotNull())
-    return let(upd, lambda u: F.map_concat(
-        F.map_filter(m, lambda k, v: ~k.isin(*drop) & ~F.map_contains_key(u, k)), u))
+    removed = (*drop, *changes)
+    added = F.map_filter(
+        F.create_map(*[x for k, v in changes.items() for x in (F.lit(k), F.coalesce(v, field(m, k)))]),
+        lambda k, v: v.isNotNull())
+    return F.map_concat(F.map_filter(m, lambda k, v: ~k.isin(*removed)), added)
 
 
 # --- rewrites -----------------------------------------------------------------
@@ -166,13 +171,17 @@ class Rewrite:
 
 
 def _parse(current: DataFrame, text: Column) -> DataFrame:
-    """Parse once. The document is produced by ``inline`` of a one-element
-    array: filters on it (records vs errors) cannot be pushed below the
-    generator, which would copy the parse into every predicate. Malformed text
-    gives a struct of nulls with the raw text in ``_corrupt``."""
-    doc = F.from_json(text, DOC_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    ok = text.isNotNull() & doc.isNotNull() & doc["_corrupt"].isNull()
-    pair = F.struct(ok.alias("_ok"), doc["job_id"].alias("job_id"), doc["settings"].alias("_s"))
+    """Parse once into a variant (``try_parse_json``: invalid JSON and
+    duplicate keys give null) and take ``job_id``, ``settings`` as an object
+    map and ``settings.tasks`` as an array of object maps. The values come
+    from ``inline`` of a one-element array: filters on them (records vs
+    errors) cannot be pushed below the generator, which would copy the parse
+    into every predicate."""
+    v = F.try_parse_json(text)
+    pair = F.struct(v.isNotNull().alias("_ok"),
+                    F.try_variant_get(v, "$.job_id", "bigint").alias("job_id"),
+                    F.try_variant_get(v, "$.settings", OBJ).alias("_s"),
+                    F.try_variant_get(v, "$.settings.tasks", f"array<{OBJ}>").alias("_t0"))
     return current.select("record_key", F.inline(F.array(pair)))
 
 
@@ -193,8 +202,6 @@ def _rewrite_tasks(parsed: DataFrame, lookup: DataFrame | None, task_fn, max_row
     ``task_key`` (AQE splits hot keys), regroup per record in task order; a
     record's group is bounded by its own task array.
     """
-    tasks = F.col("_s")["tasks"].try_cast(f"array<{OBJ}>")
-    parsed = parsed.withColumn("_t0", tasks)
     m = _lookup_map(lookup, max_rows)
     if lookup is None or m is not None:
         if m is None:
