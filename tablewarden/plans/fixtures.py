@@ -109,11 +109,11 @@ def job_captures(spark: SparkSession, d: str) -> DataFrame:
                      F.struct(F.col("p_name").alias("name")).alias("settings"))
     grouped = p.groupBy(cap.alias("capture")).agg(
         F.sort_array(F.collect_list(F.struct(F.col("p_partkey").alias("k"), entry.alias("e")))).alias("a"))
-    pages = grouped.select((F.col("capture") * 2).alias("capture_pos"),
-                           F.to_json(F.struct(F.transform("a", lambda x: x["e"]).alias("jobs"))).alias("doc"))
-    trailers = grouped.select((F.col("capture") * 2 + 1).alias("capture_pos"),
-                              F.to_json(F.struct(F.lit(False).alias("has_more"))).alias("doc"))
-    return pages.unionByName(trailers)
+    page = F.struct((F.col("capture") * 2).alias("capture_pos"),
+                    F.to_json(F.struct(F.transform("a", lambda x: x["e"]).alias("jobs"))).alias("doc"))
+    trailer = F.struct((F.col("capture") * 2 + 1).alias("capture_pos"),
+                       F.to_json(F.struct(F.lit(False).alias("has_more"))).alias("doc"))
+    return grouped.select(F.inline(F.array(page, trailer)))
 
 
 def pipeline_captures(spark: SparkSession, d: str) -> DataFrame:
