@@ -90,7 +90,8 @@ def f_url_patterns(spark: SparkSession) -> DataFrame:
 def rows_to_delete(spark: SparkSession, d: str) -> DataFrame:
     """Documents labelled toxic, plus two ids that do not exist."""
     lab = table(spark, d, "labels")
-    ghosts = spark.createDataFrame([(-1,), (-2,)], "doc_id bigint")
+    # From spark.range (not a local list) so the planner has size statistics.
+    ghosts = spark.range(1, 3).select((-F.col("id")).alias("doc_id"))
     return lab.filter(F.col("toxic") == 1).select("doc_id").unionByName(ghosts)
 
 
