@@ -54,11 +54,17 @@ def committed_runs(spark: SparkSession, root: str) -> list[str]:
     return sorted(runs)
 
 
-def read_current(spark: SparkSession, root: str) -> DataFrame:
+def read_current(spark: SparkSession, root: str, before: datetime | None = None) -> DataFrame:
     """The latest committed run (runs are named by their stamp, so the
     lexicographic maximum is the newest); only that folder is read.
-    Raises ``FileNotFoundError`` when no run has been committed."""
+
+    ``before``: only runs stamped earlier count. A job that writes run ``T``
+    should read its base with ``before=T``: if it is retried after writing,
+    it still reads the same base and writes the same output.
+    Raises ``FileNotFoundError`` when no run qualifies."""
     runs = committed_runs(spark, root)
+    if before is not None:
+        runs = [r for r in runs if r < f"run={_stamp(before)}"]
     if not runs:
         raise FileNotFoundError(f"no committed current run under {root}")
     return spark.read.schema(CURRENT_SCHEMA).parquet(f"{root}/{runs[-1]}")

@@ -23,10 +23,13 @@ from tablewarden.sources.store import (
 )
 
 
-def _current_or_empty(spark: SparkSession, root: str) -> DataFrame:
-    if not committed_runs(spark, root):
+def _current_before(spark: SparkSession, root: str, run_ts) -> DataFrame:
+    """The base of a batch: the latest run older than the batch's own, so a
+    retried batch reads what its first attempt read."""
+    stamp = f"run={run_ts.strftime('%Y%m%d_%H%M%S')}"
+    if not any(r < stamp for r in committed_runs(spark, root)):
         return spark.createDataFrame([], CURRENT_SCHEMA)
-    return read_current(spark, root)
+    return read_current(spark, root, before=run_ts)
 
 
 def _process(current_root: str, archive_root: str):
@@ -38,7 +41,7 @@ def _process(current_root: str, archive_root: str):
         newest = incoming.agg(F.max("saved_at")).first()[0]  # one value per batch
         if newest is None:
             return
-        result = backup(incoming, _current_or_empty(spark, current_root), newest)
+        result = backup(incoming, _current_before(spark, current_root, newest), newest)
         write_archive(result.archive, archive_root, newest)
         write_current(result.current, current_root, newest)
 

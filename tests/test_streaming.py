@@ -36,3 +36,21 @@ def test_backup_stream_archives_replaced_versions(spark):
     assert rows(read_current(spark, f"{root}/current"), "record_key", "body") == [
         ("job", '{"v": 2}'), ("other", '{"o": 1}')]
     assert rows(read_archive(spark, f"{root}/archive"), "record_key", "body") == [("job", '{"v": 1}')]
+
+
+def test_batch_retry_reads_the_same_base(spark):
+    from datetime import datetime
+
+    from tablewarden.operators import backup
+    from tablewarden.sources.store import write_archive, write_current
+    root = tempfile.mkdtemp(prefix="tw-retry-")
+    t1, t2 = datetime(2025, 1, 1), datetime(2025, 1, 2)
+    base = spark.createDataFrame([("job", "v1", t1)], "record_key string, body string, saved_at timestamp_ntz")
+    write_current(base, f"{root}/current", t1)
+    inc = spark.createDataFrame([("job", "v2", t2)], "record_key string, body string, saved_at timestamp_ntz")
+    for _ in range(2):  # the second pass is a retry after both writes succeeded
+        b = backup(inc, read_current(spark, f"{root}/current", before=t2), t2)
+        write_archive(b.archive, f"{root}/archive", t2)
+        write_current(b.current, f"{root}/current", t2)
+    assert rows(read_archive(spark, f"{root}/archive"), "record_key", "body") == [("job", "v1")]
+    assert rows(read_current(spark, f"{root}/current"), "record_key", "body") == [("job", "v2")]
