@@ -52,23 +52,18 @@ def backup(incoming: DataFrame, current: DataFrame, run_ts: datetime) -> Backup:
     with ``run_ts`` (always, even if unchanged: no comparison is made); the
     incoming rows become current, other current rows stay.
 
-    One full outer join on the key yields both outputs; incoming is reduced
-    to its latest row per key first.
+    Incoming is reduced to its latest row per key; then a semi join gives the
+    archive rows and an anti join the current rows that stay. Both join the
+    (usually small) incoming keys, so Spark / AQE can broadcast them and the
+    large current table is never shuffled.
     """
     inc = latest_per_key(incoming.select("record_key", "body", "saved_at"), "record_key", "saved_at")
-    i = inc.select("record_key", F.col("body").alias("_ib"), F.col("saved_at").alias("_is"),
-                   F.lit(True).alias("_in"))
-    c = current.select("record_key", F.col("body").alias("_cb"), F.col("saved_at").alias("_cs"),
-                       F.lit(True).alias("_cur"))
-    j = i.join(c, "record_key", "full")
-    new_current = j.select(
-        "record_key",
-        F.when(F.col("_in").isNotNull(), F.col("_ib")).otherwise(F.col("_cb")).alias("body"),
-        F.when(F.col("_in").isNotNull(), F.col("_is")).otherwise(F.col("_cs")).alias("saved_at"))
+    keys = inc.select("record_key")
+    cur = current.select("record_key", "body", "saved_at")
+    new_current = cur.join(keys, "record_key", "left_anti").unionByName(inc)
     stamp = _ts(run_ts)
-    archived = j.filter(F.col("_in").isNotNull() & F.col("_cur").isNotNull()).select(
-        "record_key", stamp.alias("version_ts"), F.col("_cb").alias("body"),
-        archive_date(stamp).alias("archive_date"))
+    archived = cur.join(keys, "record_key", "left_semi").select(
+        "record_key", stamp.alias("version_ts"), "body", archive_date(stamp).alias("archive_date"))
     return Backup(new_current, archived)
 
 
