@@ -151,20 +151,20 @@ def _task_rows(spark: SparkSession, d: str) -> DataFrame:
     return j.select("l_orderkey", F.struct(*order_cols).alias("ord"), task.alias("task"))
 
 
-def _by_ord(x, y):
-    """Comparator on the ``ord`` field (the task structs hold maps, which do
-    not order)."""
-    return F.when(x["ord"] < y["ord"], -1).when(x["ord"] > y["ord"], 1).otherwise(0)
-
-
 def f_configs(spark: SparkSession, d: str) -> DataFrame:
     """Stored job configurations ``(job_id, job_name, body)`` as JSON text, one
     per order (none when ``o_orderkey % 13 = 0``); tasks from its line items in
-    a fixed order; orders without lines have no ``tasks``."""
+    a fixed order; orders without lines have no ``tasks``.
+
+    Each task is serialised per line, so the grouping shuffles short strings
+    and sorts them with ``sort_array`` (the task structs hold maps, which do
+    not order); the joined array text is embedded as a variant.
+    """
     o = table(spark, d, "orders")
-    tasks = (_task_rows(spark, d).groupBy("l_orderkey")
-             .agg(F.array_sort(F.collect_list(F.struct("ord", "task")), _by_ord).alias("t"))
-             .select("l_orderkey", F.transform("t", lambda x: x["task"]).alias("tasks")))
+    rows = _task_rows(spark, d).select("l_orderkey", F.struct("ord", F.to_json("task").alias("j")).alias("e"))
+    tasks = (rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("e")).alias("t"))
+             .select("l_orderkey", F.parse_json(F.concat(F.lit("["), F.array_join(F.col("t.j"), ","),
+                                                        F.lit("]"))).alias("tasks")))
     k = F.col("o_orderkey")
     j = o.filter(k % 13 != 0).join(tasks, o.o_orderkey == tasks.l_orderkey, "left")
     name = F.concat(F.lit("job_"), k.cast("string"))
