@@ -47,10 +47,11 @@ def select_records(listing: DataFrame, names: DataFrame, *, name_col: str = "job
         F.col("name").alias("pattern_id"), F.lit(None).cast("string").alias("prefix"),
         F.lit(None).cast("string").alias("suffix"), F.lower("name").alias("contains")))
     lowered = listing.withColumn("_lname", F.lower(F.coalesce(F.col(name_col), F.lit(""))))
-    hits = match_patterns(lowered, pats, "_lname", strategy=strategy).withColumnRenamed("pattern_id", "name")
-    everything = lowered.withColumn("name", F.lit("")).join(
-        req.filter(F.col("name") == ""), "name", "left_semi")
-    pairs = hits.unionByName(everything)
+    pairs = match_patterns(lowered, pats, "_lname", strategy=strategy).withColumnRenamed("pattern_id", "name")
+    # The names are a parameter table: a bounded check decides whether the
+    # "empty name lists everything" branch (a second listing scan) is needed.
+    if req.filter(F.col("name") == "").limit(1).count() > 0:
+        pairs = pairs.unionByName(lowered.withColumn("name", F.lit("")))
     rank = F.struct((F.col("_lname") != F.lower("name")).alias("_inexact"), F.col(id_col).alias("_id"))
     best = pairs.groupBy("name").agg(F.count(F.lit(1)).alias("n_matches"), F.min(rank).alias("_best"))
     # One row per requested name; AQE broadcasts it from its measured size.
