@@ -177,12 +177,16 @@ def _parse(current: DataFrame, text: Column) -> DataFrame:
     from ``inline`` of a one-element array: filters on them (records vs
     errors) cannot be pushed below the generator, which would copy the parse
     into every predicate."""
-    v = F.try_parse_json(text)
+    # The variant is computed in its own projection below the generator: the
+    # generator does not share common sub-expressions, so referring to the
+    # parse four times inside it would parse (and coerce) four times.
+    staged = current.select("record_key", F.try_parse_json(text).alias("_v"))
+    v = F.col("_v")
     pair = F.struct(v.isNotNull().alias("_ok"),
                     F.try_variant_get(v, "$.job_id", "bigint").alias("job_id"),
                     F.try_variant_get(v, "$.settings", OBJ).alias("_s"),
                     F.try_variant_get(v, "$.settings.tasks", f"array<{OBJ}>").alias("_t0"))
-    return current.select("record_key", F.inline(F.array(pair)))
+    return staged.select("record_key", F.inline(F.array(pair)))
 
 
 def _lookup_map(lookup: DataFrame | None, max_rows: int) -> Column | None:
