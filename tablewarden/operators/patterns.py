@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.text import affix_match
-from tablewarden.operators.sizing import LOOP_MAX_PATTERNS, at_most, broadcast_if_small
+from tablewarden.operators.sizing import BROADCAST_MAX_ROWS, LOOP_MAX_PATTERNS, at_most
 
 # Most distinct (kind, anchor length) shapes the keyed strategy accepts.
 MAX_KEY_SHAPES = 1024
@@ -61,10 +61,15 @@ def match_patterns(rows: DataFrame, patterns: DataFrame, name_col: str, *,
         *[F.col(c).alias(f"_p_{c}") for c in scope_cols])
     p_scope = [f"_p_{c}" for c in scope_cols]
 
+    # One bounded count decides both the strategy and whether the keyed
+    # pattern table may be broadcast.
+    n_pats = pats.limit(BROADCAST_MAX_ROWS + 1).count()
     if strategy == "auto":
-        strategy = "loop" if at_most(pats, LOOP_MAX_PATTERNS) else "keyed"
+        strategy = "loop" if n_pats <= LOOP_MAX_PATTERNS else "keyed"
 
     if strategy == "loop":
+        if n_pats > BROADCAST_MAX_ROWS:
+            raise ValueError("too many patterns for the loop strategy; use strategy='keyed'")
         p = F.broadcast(pats)
         cond = affix_match(rows[name_col], p["prefix"], p["suffix"], p["contains"])
         for c, pc in zip(scope_cols, p_scope):
@@ -110,7 +115,7 @@ def match_patterns(rows: DataFrame, patterns: DataFrame, name_col: str, *,
     exploded = exploded.select(
         *[F.col(c) for c in rows.columns], F.col("_k._kind").alias("_kind"),
         F.col("_k._alen").alias("_alen"), F.col("_k._akey").alias("_akey"))
-    p = broadcast_if_small(keyed)
+    p = F.broadcast(keyed) if n_pats <= BROADCAST_MAX_ROWS else keyed
     cond = ((exploded["_kind"] == p["_kind"]) & (exploded["_alen"] == p["_alen"])
             & (exploded["_akey"] == p["_akey"])
             & affix_match(exploded[name_col], p["prefix"], p["suffix"], p["contains"]))
