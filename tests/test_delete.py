@@ -135,3 +135,21 @@ def test_cleanup_matrix_and_tokens(spark, inv):
 def test_list_objects_counts_include_zero(spark, inv):
     got = rows(list_objects(inv), "schema", "object_type", "n_objects")
     assert got == [("s", "table", 3), ("s", "view", 1), ("s2", "table", 1), ("s2", "view", 0)]
+
+
+def test_invariants_on_driver_tables(spark):
+    from pyspark.sql.window import Window
+    inv = inventory_from_listing(fx.f_listing(spark, SMALL))
+    req = fx.f_requests(spark, SMALL)
+    plan = plan_delete(inv, req)
+    key = ["catalog", "schema", "object"]
+    distinct = req.select(*key).distinct().count()
+    assert plan.count() == distinct
+    assert plan.filter(~F.col("outcome").isin("executed", "error")).count() == 0
+    assert plan.select("catalog", "schema", "name").distinct().count() == distinct
+    w = Window.partitionBy(*key).orderBy("pos")
+    first = req.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(
+        "catalog", "schema", F.col("object").alias("name"), "pos")
+    assert rows(plan, "catalog", "schema", "name", "pos") == rows(first)
+    s = summarize(plan, dry_run=True).collect()[0]
+    assert s["executed"] + s["errors"] == distinct

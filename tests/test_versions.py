@@ -120,3 +120,10 @@ def test_document_scan_by_file_name(spark):
     with open(f"{root}/notes.txt", "w") as fh:
         fh.write("x")
     assert rows(read_documents(spark, root), "record_key", "body") == [("job_a", '{\n  "job_id": 1\n}')]
+
+
+def test_backup_keeps_one_current_row_per_key(spark):
+    b = backup(fx.f_incoming(spark, SMALL), fx.f_current(spark, SMALL), T1)
+    assert b.current.count() == b.current.select("record_key").distinct().count()
+    keys = fx.f_incoming(spark, SMALL).select("record_key").union(fx.f_current(spark, SMALL).select("record_key"))
+    assert b.current.count() == keys.distinct().count()
