@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions.jsonfix import coerce_boolean_json, coerce_boolean_json_raw
 from tablewarden.functions.text import contains_ignore_case
-from tablewarden.operators.sizing import at_most
 
 # Defaults of the create rewrite.
 DEFAULT_TAGS = {"Application": "kicks"}
@@ -30,8 +29,9 @@ TARGET_ROOT = "/Workspace/kicks/"
 NO_TASKS = "No tasks found in job config for job: "
 UNREADABLE = "config is not valid JSON"
 
-# Largest lookup shipped to every task as one map value; larger ones are joined.
-LOOKUP_MAP_MAX_ROWS = 100_000
+# Largest lookup inlined into the plan as one constant map (shipped with the
+# tasks like a broadcast); larger lookups are joined instead.
+LOOKUP_MAP_MAX_ROWS = 10_000
 
 OBJ = "map<string,variant>"
 
@@ -190,18 +190,30 @@ def _parse(current: DataFrame, text: Column) -> DataFrame:
 
 
 def _lookup_map(lookup: DataFrame | None, max_rows: int) -> Column | None:
-    """The lookup as one map value (scalar subquery), only behind a size check."""
-    if lookup is None or not at_most(lookup, max_rows):
+    """A small lookup as one constant map, behind a size bound.
+
+    The (name, id) pairs are fetched with a bounded ``limit`` and become a
+    literal: it is folded once and every task reads it in place. (A scalar
+    subquery would be projected into every row, copying the map per record.)
+    Names are unique after :func:`build_lookup`; otherwise the last pair wins.
+    """
+    if lookup is None:
+        return None
+    pairs = lookup.select("name", "pipeline_id").limit(max_rows + 1).collect()
+    if len(pairs) > max_rows:
         return None
-    return lookup.select(F.map_from_entries(F.collect_list(F.struct(
-        F.col("name"), F.col("pipeline_id"))))).scalar()
+    table = {r["name"]: r["pipeline_id"] for r in pairs}
+    if not table:
+        return F.create_map().cast("map<string,string>")
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in table]),
+                             F.array(*[F.lit(v) for v in table.values()]))
 
 
 def _rewrite_tasks(parsed: DataFrame, lookup: DataFrame | None, task_fn, max_rows: int) -> DataFrame:
     """Adds ``_tasks``: the rewritten task maps (null when the record has no
     task array).
 
-    Small lookup: one map value and ``transform`` (no shuffle of records).
+    Small lookup: one constant map and ``transform`` (no shuffle of records).
     Large lookup: explode tasks with their position, left-join the lookup on
     ``task_key`` (AQE splits hot keys), regroup per record in task order; a
     record's group is bounded by its own task array.
@@ -210,10 +222,8 @@ def _rewrite_tasks(parsed: DataFrame, lookup: DataFrame | None, task_fn, max_row
     if lookup is None or m is not None:
         if m is None:
             return parsed.withColumn("_tasks", F.transform("_t0", lambda t: task_fn(t, None)))
-        # The map is a column of its own: subqueries may not sit inside a lambda.
-        with_map = parsed.withColumn("_lookup", m)
-        return with_map.withColumn("_tasks", F.transform("_t0", lambda t: task_fn(
-            t, F.try_element_at(F.col("_lookup"), text_of(field(t, "task_key")))))).drop("_lookup")
+        return parsed.withColumn("_tasks", F.transform("_t0", lambda t: task_fn(
+            t, F.try_element_at(m, text_of(field(t, "task_key"))))))
     ex = parsed.select("record_key", F.posexplode("_t0").alias("_pos", "_t"))
     lk = lookup.select(F.col("name").alias("_k"), F.col("pipeline_id").alias("_new"))
     joined = ex.join(lk, text_of(field(ex["_t"], "task_key")) == lk["_k"], "left")
