@@ -33,3 +33,15 @@ def test_pattern_join_broadcasts_patterns(spark):
     text = plan_text(plan_delete_by_pattern(inv, fx.f_patterns(spark)))
     assert "BroadcastNestedLoopJoin" in text or "BroadcastHashJoin" in text
     assert "CartesianProduct" not in text
+
+
+@pytest.mark.parametrize("name", ["q_create_tasks", "q_reset_tasks"])
+def test_small_lookup_is_a_constant_not_a_row_column(spark, name):
+    text = plan_text(queries()[name](spark, SMALL))
+    assert "Subquery" not in text  # a scalar subquery would be projected into every record
+
+
+def test_version_history_has_no_single_key_window(spark):
+    from tablewarden.operators.versions import version_history
+    text = plan_text(version_history(fx.f_archive(spark, SMALL)))
+    assert "_pid" in text  # ranked within (partition, key), not per key alone
