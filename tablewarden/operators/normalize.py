@@ -124,9 +124,8 @@ def _task_rewriter(*, cluster_id: str | None, create: bool, storage_path: str |
     """``fn(task_map, new_pipeline_id)``: P7, P8 and, for create, P9-P11."""
 
     def notebook(nt: Column) -> Column:
-        path = text_of(field(nt, "notebook_path"))
-        changes = {"notebook_path": F.when(path.isNotNull(),
-                                           as_variant(reroot(path, source_root, target_root)))}
+        changes = {"notebook_path": let(text_of(field(nt, "notebook_path")), lambda path: F.when(
+            path.isNotNull(), as_variant(reroot(path, source_root, target_root))))}
         if storage_path is not None:
             changes["base_parameters"] = let(
                 obj(field(nt, "base_parameters")),
