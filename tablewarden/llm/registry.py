@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tablewarden.llm import pii, toxicity
+from tablewarden.llm import packing, pii, simhash, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_simhash": simhash.op3_simhash,
+    "op5_packing": packing.op5_packing,
     "op7_pii": pii.op7_pii,
 }
 SQL: dict[str, str] = {}
