@@ -183,7 +183,7 @@ def _packed(items: DataFrame, capacity: int) -> DataFrame:
         frame = frame[kept].sort_values("uid", ignore_index=True)
         lengths = frame["length"].to_numpy(np.int64)
         bins, offsets, fill = best_fit(lengths, capacity)
-        return frame.assign(sequence_id=(frame["part"] << 28) + bins, offset=offsets, fill=fill[bins], bins=len(fill),
+        return frame.assign(sequence_id=frame["part"] * (1 << 28) + bins, offset=offsets, fill=fill[bins], bins=len(fill),
                             bound=lower_bound(lengths, capacity))
 
     return items.select(*kept).groupBy("part").applyInPandas(run, schema)
