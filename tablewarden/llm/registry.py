@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tablewarden.llm import packing, pii, simhash, toxicity
+from tablewarden.llm import linededup, packing, pii, simhash, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_simhash": simhash.op3_simhash,
+    "op4_line_dedup": linededup.op4_line_dedup,
     "op5_packing": packing.op5_packing,
     "op7_pii": pii.op7_pii,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_line_dedup": linededup.ORACLE_SQL,
+}
