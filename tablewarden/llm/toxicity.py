@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,7 +177,7 @@ def offending(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, columns as they are."""
     @F.pandas_udf("double")
-    def rate(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
+    def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = _sentence_scores(model)
         for texts in batches:
             yield texts.map(lambda t: -np.expm1(sum(x for _, x in run(t)))).astype(float)
