@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tablewarden.llm import linededup, packing, pii, simhash, toxicity
+from tablewarden.llm import bpe, linededup, packing, pii, simhash, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_simhash": simhash.op3_simhash,
     "op4_line_dedup": linededup.op4_line_dedup,
     "op5_packing": packing.op5_packing,
+    "op6_bpe": bpe.op6_bpe,
     "op7_pii": pii.op7_pii,
 }
 SQL: dict[str, str] = {
