@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewarden.llm import bpe, linededup, packing, pii, simhash, toxicity
+from tablewarden.llm import bpe, ctph, linededup, packing, pii, simhash, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_bpe": bpe.op6_bpe,
     "op7_pii": pii.op7_pii,
+    "op9_ctph": ctph.op9_ctph,
 }
 SQL: dict[str, str] = {
     "op4_line_dedup": linededup.ORACLE_SQL,
