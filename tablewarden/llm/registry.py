@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewarden.llm import bpe, ctph, linededup, packing, pii, simhash, toxicity
+from tablewarden.llm import bpe, ctph, linededup, packing, pii, simhash, substrings, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_bpe": bpe.op6_bpe,
     "op7_pii": pii.op7_pii,
     "op9_ctph": ctph.op9_ctph,
+    "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 SQL: dict[str, str] = {
     "op4_line_dedup": linededup.ORACLE_SQL,
