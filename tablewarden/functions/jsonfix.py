@@ -30,25 +30,3 @@ def coerce_boolean_json(text: Column) -> Column:
     """JSON text in, canonical JSON text out, with "true"/"false" string values
     (any case) turned into JSON booleans. Invalid JSON gives null."""
     return _replace_word(_replace_word(canonical_json(text), "true"), "false")
-
-
-# JSON whitespace, and the most whitespace allowed between a
-# ``:``/``[``/``,`` and a value for the raw-text rewrite (look-behind must be bounded).
-_WS = r"[ \t\r\n]"
-MAX_GAP = 256
-
-
-def _replace_word_raw(c: Column, word: str) -> Column:
-    # Match the token first, then look behind: the look-behind only runs where
-    # a quoted true/false was found, so the scan stays linear.
-    inner = rf'(?i)"{word}"(?<=[:\[,]{_WS}{{0,{MAX_GAP}}}"{word}")(?={_WS}*[,\]}}])'
-    bare = rf'(?i)^({_WS}*)"{word}"({_WS}*)$'
-    return F.regexp_replace(F.regexp_replace(c, inner, word), bare, f"$1{word}$2")
-
-
-def coerce_boolean_json_raw(text: Column) -> Column:
-    """P17 on JSON text as written (no canonicalisation, no validation): the
-    same rewrite as :func:`coerce_boolean_json` for valid JSON whose values sit
-    within ``MAX_GAP`` whitespace characters of the preceding ``:``, ``[`` or
-    ``,``. Used where a parser validates the result anyway."""
-    return _replace_word_raw(_replace_word_raw(text, "true"), "false")

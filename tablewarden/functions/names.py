@@ -14,8 +14,9 @@ def quote_ident(c: Column) -> Column:
 
 
 def qualified_name(catalog: Column, schema: Column, obj: Column) -> Column:
-    """`` `catalog`.`schema`.`object` ``."""
-    return F.concat_ws(".", quote_ident(catalog), quote_ident(schema), quote_ident(obj))
+    """`` `catalog`.`schema`.`object` ``; null if a part is null."""
+    dot = F.lit(".")
+    return F.concat(quote_ident(catalog), dot, quote_ident(schema), dot, quote_ident(obj))
 
 
 def drop_statement(object_type: Column, fq_name: Column, purge: bool) -> Column:

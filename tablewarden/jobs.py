@@ -7,17 +7,21 @@ reproduces its own output and never reads what it writes.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewarden.functions.stamps import archive_date
 from tablewarden.operators.delete import delete_rows
+from tablewarden.operators.normalize import Rewrite, create_from_stored, reset_from_stored
+from tablewarden.operators.registry import check_paths, filter_by_tags
 from tablewarden.operators.versions import backup, restore
 from tablewarden.sources.store import (
-    CURRENT_SCHEMA, committed_runs, read_archive, read_current, read_documents, write_archive,
-    write_current,
+    CURRENT_SCHEMA, committed_runs, read_archive, read_current, read_documents, read_version_files,
+    write_archive, write_current,
 )
 
 
@@ -26,7 +30,12 @@ def _stamp(run_ts: datetime) -> str:
 
 
 def _base(spark: SparkSession, current_root: str, run_ts: datetime) -> DataFrame:
-    if not any(r < f"run={_stamp(run_ts)}" for r in committed_runs(spark, current_root)):
+    """The newest run before ``run_ts``. Readers take the newest run of all, so a run
+    stamped before it would never be read: that is an error."""
+    runs, own = committed_runs(spark, current_root), f"run={_stamp(run_ts)}"
+    if runs and runs[-1] > own:
+        raise ValueError(f"{own} is older than the committed {runs[-1]}")
+    if not any(r < own for r in runs):
         return spark.createDataFrame([], CURRENT_SCHEMA)
     return read_current(spark, current_root, before=run_ts)
 
@@ -56,6 +65,68 @@ def run_restore(spark: SparkSession, requests: DataFrame, current_root: str, arc
     return res.missing
 
 
+def run_version_import(spark: SparkSession, files_path: str, archive_root: str, run_ts: datetime) -> DataFrame:
+    """S6 into S10: a tree of version files ``<key>_<stamp>.json`` becomes archive
+    rows of their own stamps, so a restore can serve them. Returns the files whose
+    stamp is no time; those are left out."""
+    files = read_version_files(spark, files_path)
+    good = files.filter(F.col("version_ts").isNotNull())
+    write_archive(good.select("record_key", "version_ts", "body", archive_date(F.col("version_ts")).alias("archive_date")),
+                  archive_root, run_ts)
+    return files.filter(F.col("version_ts").isNull()).select("file_name")
+
+
+@dataclass(frozen=True)
+class Selection:
+    """Stored records by the tags wanted: ``records`` (record_key, body) that match,
+    ``skipped`` (job_id, job_name, reason)."""
+
+    records: DataFrame
+    skipped: DataFrame
+
+
+def select_stored(listing: DataFrame, current: DataFrame, want: Mapping[str, object] | None) -> Selection:
+    """The records an operation works on: those of listed jobs whose stored
+    configuration has all of ``want``; ``None`` is all-mode, every stored record.
+    Records belong to jobs by name."""
+    if want is None:
+        return Selection(current.select("record_key", "body"), listing.select(
+            "job_id", "job_name", F.lit(None).cast("string").alias("reason")).limit(0))
+    stored = current.select(F.col("record_key").alias("_key"), "body")
+    configs = listing.select("job_id", "job_name").join(stored, F.col("job_name") == F.col("_key")).select("job_id", "body")
+    status = filter_by_tags(listing, configs, want)
+    matched = status.filter("status = 'matched'").select(F.col("job_name").alias("_name")).distinct()
+    records = current.select("record_key", "body").join(matched, F.col("record_key") == F.col("_name"), "left_semi")
+    return Selection(records, status.filter("status = 'skipped'").select("job_id", "job_name", "reason"))
+
+
+def _write_rewrite(rewrite: Rewrite, output_path: str) -> DataFrame:
+    """Write each record's payload or error once and return the errors as written."""
+    out = rewrite.outcomes.select("record_key", "job_id", "payload", "error")
+    out.write.mode("overwrite").parquet(output_path)
+    written = out.sparkSession.read.schema(out.schema).parquet(output_path)
+    return written.filter(F.col("error").isNotNull()).select("record_key", "job_id", "error")
+
+
+def run_create(spark: SparkSession, listing: DataFrame, current_root: str, output_path: str, *, storage_path: str,
+               want: Mapping[str, object] | None = None, **rewrite) -> DataFrame:
+    """C11 as a job: the create payloads of the selected records (all without
+    ``want``) into ``output_path``. An invalid storage path stops the run before
+    anything is read. Returns the records rejected."""
+    if not check_paths(spark.createDataFrame([(storage_path,)], "path string")).first()["valid"]:
+        raise ValueError(f"invalid path: {storage_path!r}")
+    chosen = select_stored(listing, read_current(spark, current_root), want)
+    return _write_rewrite(create_from_stored(chosen.records, storage_path=storage_path, **rewrite), output_path)
+
+
+def run_reset(spark: SparkSession, listing: DataFrame, current_root: str, output_path: str, *,
+              want: Mapping[str, object] | None = None, **rewrite) -> DataFrame:
+    """C12 as a job: the reset envelopes of the selected records (all without
+    ``want``) into ``output_path``. Returns the records rejected."""
+    chosen = select_stored(listing, read_current(spark, current_root), want)
+    return _write_rewrite(reset_from_stored(chosen.records, **rewrite), output_path)
+
+
 def run_row_deletion(spark: SparkSession, table_path: str, requests: DataFrame, key_cols: Sequence[str],
                      output_path: str, *, dry_run: bool = True) -> DataFrame:
     """C4 as a job: write the surviving rows of a Parquet table to

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.names import drop_statement, not_found_error, qualified_name
-from tablewarden.operators.patterns import match_patterns, normalize_patterns, semi_match
+from tablewarden.operators.patterns import match_patterns, normalize_patterns
 
 # Object types, their default order, and outcome/status/message texts.
 OBJECT_TYPES = ("table", "view")
@@ -116,9 +116,22 @@ def plan_delete(inventory: DataFrame, requests: DataFrame, *, types: Sequence[st
     )
 
 
+def _unknown_scopes(inventory: DataFrame, pats: DataFrame) -> DataFrame:
+    """usable patterns whose scope no namespace has. The three ways to be
+    scoped are three equi anti joins; the namespace side gets fresh columns, so
+    patterns may derive from the inventory."""
+    ns = inventory.select(F.col("catalog").alias("_nc"), F.col("schema").alias("_ns")).distinct()
+    p = pats.filter(~F.col("refused")).select("pattern_id", F.col("catalog").alias("_c"), F.col("schema").alias("_s"))
+    c, s = F.col("_c"), F.col("_s")
+    both = p.filter(c.isNotNull() & s.isNotNull()).join(ns, (c == F.col("_nc")) & (s == F.col("_ns")), "left_anti")
+    catalog = p.filter(c.isNotNull() & s.isNull()).join(ns.select("_nc").distinct(), c == F.col("_nc"), "left_anti")
+    schema = p.filter(c.isNull() & s.isNotNull()).join(ns.select("_ns").distinct(), s == F.col("_ns"), "left_anti")
+    return both.union(catalog).union(schema)
+
+
 def plan_delete_by_pattern(inventory: DataFrame, patterns: DataFrame, *,
                            types: Sequence[str] | None = None, dry_run: bool = True,
-                           purge: bool = False, strategy: str = "auto") -> DataFrame:
+                           purge: bool = False) -> DataFrame:
     """Match patterns ``(pattern_id, prefix, suffix, contains[, catalog, schema])``
     against the inventory and plan the deletion of every match.
 
@@ -135,7 +148,7 @@ def plan_delete_by_pattern(inventory: DataFrame, patterns: DataFrame, *,
             if c not in scope:
                 pats = pats.withColumn(c, F.lit(None).cast("string"))
     inv = inventory.filter(F.col("object_type").isin(list(types)))
-    pairs = match_patterns(inv, pats, "object", scope_cols=NS, strategy=strategy)
+    pairs = match_patterns(inv, pats, "object", scope_cols=NS)
     hits = (pairs.groupBy("pattern_id", *KEY)
             .agg(_first_type(types).alias("type")))
     fq = qualified_name(F.col("catalog"), F.col("schema"), F.col("object"))
@@ -145,13 +158,8 @@ def plan_delete_by_pattern(inventory: DataFrame, patterns: DataFrame, *,
         drop_statement(F.col("type"), fq, purge).alias("sql"),
         F.lit(None).cast("string").alias("error"))
 
-    ns = _namespaces(inventory, None)
-    scoped = pats.filter(~F.col("refused") & (F.col("catalog").isNotNull() | F.col("schema").isNotNull()))
-    bad_scope = scoped.join(ns, [F.coalesce(scoped["catalog"], ns["catalog"]) == ns["catalog"],
-                                 F.coalesce(scoped["schema"], ns["schema"]) == ns["schema"]],
-                            "left_anti")
-    errors = pats.filter("refused").withColumn("_err", F.lit(NO_FILTER)).unionByName(
-        bad_scope.withColumn("_err", F.lit(INVALID_NAMESPACE)))
+    errors = pats.filter("refused").select("pattern_id", *NS, F.lit(NO_FILTER).alias("_err")).union(
+        _unknown_scopes(inventory, pats).select("pattern_id", "_c", "_s", F.lit(INVALID_NAMESPACE)))
     error_rows = errors.select(
         "pattern_id", "catalog", "schema", F.lit(None).cast("string").alias("name"),
         F.lit(None).cast("string").alias("object"), F.lit(None).cast("string").alias("type"),
@@ -184,7 +192,8 @@ def summarize(outcomes: DataFrame, *, dry_run: bool, by_pattern: bool = False) -
 @dataclass(frozen=True)
 class RowDeletion:
     """C4 result. In a dry run ``survivors`` is the whole table and ``removed``
-    the preview; otherwise the caller writes ``survivors`` as the new table."""
+    the preview; otherwise the caller writes ``survivors`` as the new table.
+    ``not_found``: requests (or patterns) that match no row."""
 
     removed: DataFrame
     survivors: DataFrame
@@ -204,17 +213,21 @@ def delete_rows(table: DataFrame, requests: DataFrame, key_cols: Sequence[str],
     return RowDeletion(removed, survivors, not_found)
 
 
-def delete_rows_by_pattern(table: DataFrame, column: str, patterns: DataFrame,
-                           key_cols: Sequence[str], *, dry_run: bool = True,
-                           strategy: str = "auto") -> RowDeletion:
-    """C4 by pattern on one string column; refused patterns match nothing."""
+def delete_rows_by_pattern(table: DataFrame, column: str, patterns: DataFrame, *,
+                           dry_run: bool = True) -> RowDeletion:
+    """C4 by pattern on one string column; refused patterns match nothing.
+
+    The predicate depends on the column's value only, so distinct values are
+    matched, and ``removed`` (semi join) and ``survivors`` (anti join) split the
+    rows by value exactly: a null never matches and survives."""
     pats = normalize_patterns(patterns)
-    removed = semi_match(table, pats, column, key_cols, strategy=strategy)
-    if dry_run:
-        survivors = table
-    else:
-        survivors = table.join(removed.select(*key_cols), list(key_cols), "left_anti")
-    not_found = pats.filter(F.col("refused")).select("pattern_id")
+    hits = match_patterns(table.select(F.col(column).alias("_value")).distinct(), pats, "_value")
+    matched = hits.select("_value").distinct()
+    on = F.col(column) == F.col("_value")
+    removed = table.join(matched, on, "left_semi")
+    survivors = table if dry_run else table.join(matched, on, "left_anti")
+    not_found = pats.select("pattern_id", "refused").join(
+        hits.select(F.col("pattern_id").alias("_id")).distinct(), F.col("pattern_id") == F.col("_id"), "left_anti")
     return RowDeletion(removed, survivors, not_found)
 
 
@@ -252,7 +265,7 @@ def cleanup_matrix(inventory: DataFrame, schemas: DataFrame, prefixes: Sequence[
 
 def cleanup_by_token(inventory: DataFrame, tokens: DataFrame, *, template: str = "job_{}",
                      types: Sequence[str] | None = None, dry_run: bool = True,
-                     purge: bool = False, strategy: str = "auto") -> DataFrame:
+                     purge: bool = False) -> DataFrame:
     """The pattern plan with ``contains = template.format(token)`` for every
     row of ``tokens(token)``; outcome rows carry ``token`` as the pattern id."""
     head, _, tail = template.partition("{}")
@@ -260,5 +273,5 @@ def cleanup_by_token(inventory: DataFrame, tokens: DataFrame, *, template: str =
         F.col("token").cast("string").alias("pattern_id"),
         F.lit(None).cast("string").alias("prefix"), F.lit(None).cast("string").alias("suffix"),
         F.concat(F.lit(head), F.col("token").cast("string"), F.lit(tail)).alias("contains"))
-    return plan_delete_by_pattern(inventory, pats, types=types, dry_run=dry_run, purge=purge,
-                                  strategy=strategy).withColumnRenamed("pattern_id", "token")
+    return plan_delete_by_pattern(inventory, pats, types=types, dry_run=dry_run,
+                                  purge=purge).withColumnRenamed("pattern_id", "token")

@@ -18,20 +18,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.functions.jsonfix import coerce_boolean_json, coerce_boolean_json_raw
+from tablewarden.functions.jsonfix import coerce_boolean_json
 from tablewarden.functions.text import contains_ignore_case
 
-# Defaults of the create rewrite.
-DEFAULT_TAGS = {"Application": "kicks"}
+# Defaults of the create rewrite and error texts.
 DEFAULT_PAUSE = "PAUSED"
 SOURCE_ROOT = "/Workspace/"
-TARGET_ROOT = "/Workspace/kicks/"
 NO_TASKS = "No tasks found in job config for job: "
 UNREADABLE = "config is not valid JSON"
-
-# Largest lookup inlined into the plan as one constant map (shipped with the
-# tasks like a broadcast); larger lookups are joined instead.
-LOOKUP_MAP_MAX_ROWS = 10_000
+NO_JOB_ID = "config has no job_id"
+NO_SETTINGS = "config has no settings object"
 
 OBJ = "map<string,variant>"
 
@@ -120,7 +116,7 @@ def with_parameters(bp: Column, storage_path: str) -> Column:
 
 
 def _task_rewriter(*, cluster_id: str | None, create: bool, storage_path: str | None = None,
-                   source_root: str = SOURCE_ROOT, target_root: str = TARGET_ROOT):
+                   source_root: str = SOURCE_ROOT, target_root: str = ""):
     """``fn(task_map, new_pipeline_id)``: P7, P8 and, for create, P9-P11."""
 
     def notebook(nt: Column) -> Column:
@@ -172,7 +168,7 @@ class Rewrite:
 def _parse(current: DataFrame, text: Column) -> DataFrame:
     """Parse once into a variant (``try_parse_json``: invalid JSON and
     duplicate keys give null) and take ``job_id``, ``settings`` as an object
-    map and ``settings.tasks`` as an array of object maps. The values come
+    map and ``settings.tasks`` as an array of variants. The values come
     from ``inline`` of a one-element array: filters on them (records vs
     errors) cannot be pushed below the generator, which would copy the parse
     into every predicate."""
@@ -184,56 +180,38 @@ def _parse(current: DataFrame, text: Column) -> DataFrame:
     pair = F.struct(v.isNotNull().alias("_ok"),
                     F.try_variant_get(v, "$.job_id", "bigint").alias("job_id"),
                     F.try_variant_get(v, "$.settings", OBJ).alias("_s"),
-                    F.try_variant_get(v, "$.settings.tasks", f"array<{OBJ}>").alias("_t0"))
+                    F.try_variant_get(v, "$.settings.tasks", "array<variant>").alias("_t0"))
     return staged.select("record_key", F.inline(F.array(pair)))
 
 
-def _lookup_map(lookup: DataFrame | None, max_rows: int) -> Column | None:
-    """A small lookup as one constant map, behind a size bound.
+def _task_ids(current: DataFrame, text: Column, lookup: DataFrame) -> DataFrame:
+    """``(_key, _ids)``: for each record with a task in the lookup, the map from task
+    key to pipeline id. Records give up their distinct task keys only, and only
+    matched ones are grouped, so no document is shuffled for the lookup.
 
-    The (name, id) pairs are fetched with a bounded ``limit`` and become a
-    literal: it is folded once and every task reads it in place. (A scalar
-    subquery would be projected into every row, copying the map per record.)
-    Names are unique after :func:`build_lookup`; otherwise the last pair wins.
-    """
+    A name that the lookup has several times counts once: the last by its ``pos``
+    column if it has one, else the greatest id. A null name matches nothing."""
+    order = F.col("pos") if "pos" in lookup.columns else F.col("pipeline_id")
+    ids = (lookup.filter(F.col("name").isNotNull()).groupBy(F.col("name").alias("_name"))
+           .agg(F.max_by("pipeline_id", order).alias("_id")))
+    tasks = F.try_variant_get(F.try_parse_json(text), "$.settings.tasks", "array<variant>")
+    names = F.array_distinct(F.transform(tasks, lambda t: text_of(field(obj(t), "task_key"))))
+    wanted = current.select(F.col("record_key").alias("_key"), F.explode(names).alias("_task"))
+    return (wanted.join(ids, F.col("_task") == F.col("_name")).groupBy("_key")
+            .agg(F.map_from_entries(F.collect_set(F.struct("_task", "_id"))).alias("_ids")))
+
+
+def _rewrite_tasks(parsed: DataFrame, current: DataFrame, text: Column, lookup: DataFrame | None, task_fn) -> DataFrame:
+    """Adds ``_tasks``: the tasks in their order, objects rewritten, anything else as
+    it is (null when the record has no task array)."""
     if lookup is None:
-        return None
-    pairs = lookup.select("name", "pipeline_id").limit(max_rows + 1).collect()
-    if len(pairs) > max_rows:
-        return None
-    table = {r["name"]: r["pipeline_id"] for r in pairs}
-    if not table:
-        return F.create_map().cast("map<string,string>")
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in table]),
-                             F.array(*[F.lit(v) for v in table.values()]))
-
-
-def _rewrite_tasks(parsed: DataFrame, lookup: DataFrame | None, task_fn, max_rows: int) -> DataFrame:
-    """Adds ``_tasks``: the rewritten task maps (null when the record has no
-    task array).
-
-    Small lookup: one constant map and ``transform`` (no shuffle of records).
-    Large lookup: explode tasks with their position, left-join the lookup on
-    ``task_key`` (AQE splits hot keys), regroup per record in task order; a
-    record's group is bounded by its own task array.
-    """
-    m = _lookup_map(lookup, max_rows)
-    if lookup is None or m is not None:
-        if m is None:
-            return parsed.withColumn("_tasks", F.transform("_t0", lambda t: task_fn(t, None)))
-        return parsed.withColumn("_tasks", F.transform("_t0", lambda t: task_fn(
-            t, F.try_element_at(m, text_of(field(t, "task_key"))))))
-    ex = parsed.select("record_key", F.posexplode("_t0").alias("_pos", "_t"))
-    lk = lookup.select(F.col("name").alias("_k"), F.col("pipeline_id").alias("_new"))
-    joined = ex.join(lk, text_of(field(ex["_t"], "task_key")) == lk["_k"], "left")
-    fixed = joined.select("record_key", F.struct("_pos", task_fn(F.col("_t"), F.col("_new")).alias("t")).alias("_e"))
-    regrouped = fixed.groupBy("record_key").agg(
-        F.transform(F.array_sort(F.collect_list("_e"), lambda x, y: (
-            F.when(x["_pos"] < y["_pos"], -1).when(x["_pos"] > y["_pos"], 1).otherwise(0))),
-            lambda e: e["t"]).alias("_tasks"))
-    # A record whose task array is empty has no group: keep its empty array.
-    return parsed.join(regrouped, "record_key", "left").withColumn(
-        "_tasks", F.when(F.col("_t0").isNotNull(), F.coalesce(F.col("_tasks"), F.col("_t0"))))
+        new_id = lambda m: None
+    else:
+        ids = _task_ids(current, text, lookup)
+        parsed = parsed.join(ids, F.col("record_key").eqNullSafe(F.col("_key")), "left")
+        new_id = lambda m: F.try_element_at("_ids", text_of(field(m, "task_key")))
+    return parsed.withColumn("_tasks", F.transform("_t0", lambda t: let(
+        obj(t), lambda m: F.when(m.isNull(), t).otherwise(F.to_variant_object(task_fn(m, new_id(m)))))))
 
 
 def _outcomes(rew: DataFrame, settings: Column, ok: Column, error: Column, payload) -> Rewrite:
@@ -243,9 +221,8 @@ def _outcomes(rew: DataFrame, settings: Column, ok: Column, error: Column, paylo
 
 def create_from_stored(current: DataFrame, *, lookup: DataFrame | None = None,
                        cluster_id: str | None = None, storage_path: str | None = None,
-                       tags: Mapping[str, str] = DEFAULT_TAGS, pause_status: str = DEFAULT_PAUSE,
-                       source_root: str = SOURCE_ROOT, target_root: str = TARGET_ROOT,
-                       lookup_max_rows: int = LOOKUP_MAP_MAX_ROWS) -> Rewrite:
+                       tags: Mapping[str, str], target_root: str, pause_status: str = DEFAULT_PAUSE,
+                       source_root: str = SOURCE_ROOT) -> Rewrite:
     """C11: the create payload (the settings object) of every stored
     ``(record_key, body)``.
 
@@ -255,10 +232,11 @@ def create_from_stored(current: DataFrame, *, lookup: DataFrame | None = None,
     (P11); drop ``run_as`` (P12); replace ``tags`` (P13); set the pause status
     where a schedule exists (P14).
     """
-    parsed = _parse(current, coerce_boolean_json_raw(F.col("body")))
+    body = coerce_boolean_json(F.col("body"))
+    parsed = _parse(current, body)
     task_fn = _task_rewriter(cluster_id=cluster_id, create=True, storage_path=storage_path,
                              source_root=source_root, target_root=target_root)
-    rew = _rewrite_tasks(parsed, lookup, task_fn, lookup_max_rows)
+    rew = _rewrite_tasks(parsed, current, F.col("body"), lookup, task_fn)
     s = F.col("_s")
     schedule = let(obj(field(s, "schedule")), lambda sc: F.when(
         sc.isNotNull(), F.to_variant_object(update(sc, {"pause_status": as_variant(pause_status)}))))
@@ -276,16 +254,17 @@ def create_from_stored(current: DataFrame, *, lookup: DataFrame | None = None,
 
 
 def reset_from_stored(current: DataFrame, *, lookup: DataFrame | None = None,
-                      cluster_id: str | None = None,
-                      lookup_max_rows: int = LOOKUP_MAP_MAX_ROWS) -> Rewrite:
+                      cluster_id: str | None = None) -> Rewrite:
     """The reset envelope ``{job_id, new_settings}`` of every stored record
     with only the cluster (P7) and pipeline (P8) rewritten: no coercion, no
     re-rooting, tags and other fields kept. Records without tasks pass
-    unchanged."""
+    unchanged; without a job id or a settings object they are errors."""
     parsed = _parse(current, F.col("body"))
     task_fn = _task_rewriter(cluster_id=cluster_id, create=False)
-    rew = _rewrite_tasks(parsed, lookup, task_fn, lookup_max_rows)
+    rew = _rewrite_tasks(parsed, current, F.col("body"), lookup, task_fn)
     settings = update(F.col("_s"), {"tasks": F.when(F.col("_tasks").isNotNull(),
                                                     F.to_variant_object(F.col("_tasks")))})
-    payload = F.to_json(F.struct(F.col("job_id"), F.col("settings").alias("new_settings"))).alias("payload")
-    return _outcomes(rew, settings, F.col("_ok"), F.when(~F.col("_ok"), F.lit(UNREADABLE)), payload)
+    payload = F.to_json(F.struct(F.col("job_id"), F.col("settings").alias("new_settings")))
+    error = (F.when(~F.col("_ok"), F.lit(UNREADABLE)).when(F.col("job_id").isNull(), F.lit(NO_JOB_ID))
+             .when(F.col("_s").isNull(), F.lit(NO_SETTINGS)))
+    return _outcomes(rew, settings, error.isNull(), error, F.when(F.col("error").isNull(), payload).alias("payload"))

@@ -1,16 +1,15 @@
-"""Theta join of rows to prefix/suffix/contains patterns.
-
-Two exact strategies:
-
-* ``loop``: broadcast nested-loop join; each row is tested against every
-  pattern. Best for a handful of patterns.
-* ``keyed``: every pattern has one *anchor* (its prefix, else its suffix, else
-  its substring). Each row emits the keys an anchor of each distinct
-  (kind, length) could equal: its first L characters, its last L characters,
-  or all substrings of length L. An equi-join on (kind, length, key) finds the
-  candidates and the full predicate is applied as a residual. This turns
-  |rows| x |patterns| into a hash join, and the pattern table is broadcast only
-  behind a size check (AQE splits hot keys otherwise).
+"""Theta join of rows to prefix/suffix/contains patterns (J8), as one equi join.
+
+Each pattern has an *anchor*: the longest of its parts, cut to a power-of-two
+length (the start of a prefix or substring, the end of a suffix). A row emits
+the keys an anchor of each shape could equal: its first or last L characters, or
+its distinct substrings of length L. A shape is the kind of part, the power of
+two and which scope columns the pattern restricts; scope values are part of the
+join key. The full predicate is a residual. There is one method at every size;
+AQE broadcasts by measured bytes and splits hot keys.
+
+Which shapes occur comes from one pre-aggregated row of bit masks (31 powers of
+two for each kind and scope), so rows emit no keys that nothing could equal.
 """
 
 from __future__ import annotations
@@ -21,34 +20,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.text import affix_match
-from tablewarden.operators.sizing import BROADCAST_MAX_ROWS, LOOP_MAX_PATTERNS, at_most
 
-# Most distinct (kind, anchor length) shapes the keyed strategy accepts.
-MAX_KEY_SHAPES = 1024
-PATTERN_COLUMNS = ("pattern_id", "prefix", "suffix", "contains")
+PARTS = ("prefix", "suffix", "contains")
+POWERS = 31  # a string has fewer than 2^31 characters
 
 
 def normalize_patterns(patterns: DataFrame, scope_cols: Sequence[str] = ()) -> DataFrame:
     """Empty strings become null (absent); adds ``refused`` when all three are absent."""
     cols = [F.col("pattern_id")]
-    for c in ("prefix", "suffix", "contains"):
+    for c in PARTS:
         cols.append(F.nullif(F.col(c).cast("string"), F.lit("")).alias(c))
     cols += [F.col(c) for c in scope_cols]
     out = patterns.select(*cols)
-    return out.withColumn(
-        "refused", F.col("prefix").isNull() & F.col("suffix").isNull() & F.col("contains").isNull()
-    )
+    return out.withColumn("refused", F.coalesce(*PARTS).isNull())
 
 
-def _scope_condition(rows: DataFrame, pats: DataFrame, scope_cols: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in scope_cols:
-        cond = cond & (pats[c].isNull() | (rows[c] == pats[c]))
-    return cond
+def _cut(kind: int, text: Column, length: Column | int) -> Column:
+    """The end of a suffix, the start of the other kinds."""
+    length = length if isinstance(length, Column) else F.lit(length)
+    start = F.length(text) - length + 1 if kind == 1 else F.lit(1)
+    return text.substr(start, length)
+
+
+def _keyed(patterns: DataFrame, scope_cols: Sequence[str]) -> DataFrame:
+    """Usable patterns as ``_p_*`` columns with their shape and key. Every column is
+    new, so a pattern table may derive from the rows it is joined to."""
+    size = [F.coalesce(F.length(c), F.lit(0)) for c in PARTS]
+    longest = F.greatest(*size)
+    kind = F.when(size[0] == longest, 0).when(size[1] == longest, 1).otherwise(2)
+    scope = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(scope_cols)), F.lit(0))
+    p = patterns.filter(~F.col("refused")).select(
+        F.col("pattern_id").alias("_p_id"), *[F.col(c).alias(f"_p_{c}") for c in PARTS],
+        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_p_{c}") for c in scope_cols],
+        kind.alias("_p_kind"), scope.alias("_p_scope"), F.floor(F.log2(longest)).cast("int").alias("_p_power"))
+    length = F.call_function("shiftleft", F.lit(1), F.col("_p_power"))
+    key = F.when(F.col("_p_kind") == 0, _cut(0, F.col("_p_prefix"), length)).when(
+        F.col("_p_kind") == 1, _cut(1, F.col("_p_suffix"), length)).otherwise(_cut(2, F.col("_p_contains"), length))
+    return p.withColumn("_p_key", key)
+
+
+def _shapes(keyed: DataFrame, scopes: int) -> list[tuple[int, int, int]]:
+    """(kind, scope, power) that occur, from one aggregated row."""
+    cells = [(k, s) for k in range(len(PARTS)) for s in range(scopes)]
+    row = keyed.agg(*[F.bit_or(F.when((F.col("_p_kind") == k) & (F.col("_p_scope") == s), F.call_function("shiftleft", F.lit(1), F.col("_p_power")))
+                               ).alias(f"m{k}_{s}") for k, s in cells]).first()
+    return [(k, s, p) for k, s in cells for p in range(POWERS) if (row[f"m{k}_{s}"] or 0) >> p & 1]
 
 
 def match_patterns(rows: DataFrame, patterns: DataFrame, name_col: str, *,
-                   scope_cols: Sequence[str] = (), strategy: str = "auto") -> DataFrame:
+                   scope_cols: Sequence[str] = ()) -> DataFrame:
     """Pairs of ``rows`` and non-refused ``patterns`` whose predicate holds on
     ``rows[name_col]``; ``patterns`` must already be normalised.
 
@@ -56,90 +76,30 @@ def match_patterns(rows: DataFrame, patterns: DataFrame, name_col: str, *,
     value restricts it to rows with the same value. Each result row is a row
     of ``rows`` plus ``pattern_id``; a (row, pattern) pair appears once.
     """
-    pats = patterns.filter(~F.col("refused")).select(
-        "pattern_id", "prefix", "suffix", "contains",
-        *[F.col(c).alias(f"_p_{c}") for c in scope_cols])
-    p_scope = [f"_p_{c}" for c in scope_cols]
-
-    # One bounded count decides both the strategy and whether the keyed
-    # pattern table may be broadcast.
-    n_pats = pats.limit(BROADCAST_MAX_ROWS + 1).count()
-    if strategy == "auto":
-        strategy = "loop" if n_pats <= LOOP_MAX_PATTERNS else "keyed"
-
-    if strategy == "loop":
-        if n_pats > BROADCAST_MAX_ROWS:
-            raise ValueError("too many patterns for the loop strategy; use strategy='keyed'")
-        p = F.broadcast(pats)
-        cond = affix_match(rows[name_col], p["prefix"], p["suffix"], p["contains"])
-        for c, pc in zip(scope_cols, p_scope):
-            cond = cond & (p[pc].isNull() | (rows[c] == p[pc]))
-        return rows.join(p, cond, "inner").drop(*p_scope).drop("prefix", "suffix", "contains")
-
-    if strategy != "keyed":
-        raise ValueError(f"unknown strategy {strategy!r}")
-
-    kind = (F.when(F.col("prefix").isNotNull(), F.lit("p"))
-            .when(F.col("suffix").isNotNull(), F.lit("s")).otherwise(F.lit("c")))
-    anchor = F.coalesce("prefix", "suffix", "contains")
-    keyed = pats.select("*", kind.alias("_kind"), F.length(anchor).alias("_alen"),
-                        anchor.alias("_akey"))
-    # Distinct (kind, length) pairs: bounded by 3 x the longest anchor, fetched
-    # as a short parameter list (not data) to build the per-row key expressions.
-    lens = keyed.select("_kind", "_alen").distinct().limit(MAX_KEY_SHAPES + 1).collect()
-    if len(lens) > MAX_KEY_SHAPES:
-        raise ValueError(f"more than {MAX_KEY_SHAPES} distinct pattern lengths; use strategy='loop'")
-
+    keyed = _keyed(patterns, scope_cols)
     name = F.col(name_col)
     n = F.length(name)
+    kind_of = "array<struct<_kind:int,_scope:int,_power:int,_key:string>>"
 
-    def key(kind: str, length: int, start: Column) -> Column:
-        return F.struct(F.lit(kind).alias("_kind"), F.lit(length).alias("_alen"),
-                        name.substr(start, F.lit(length)).alias("_akey"))
+    def keys(kind: int, scope: int, power: int) -> Column:
+        def key(text: Column) -> Column:
+            return F.struct(F.lit(kind).alias("_kind"), F.lit(scope).alias("_scope"), F.lit(power).alias("_power"), text.alias("_key"))
 
-    def keys_for(kind: str, length: int) -> Column:
-        if kind == "p":
-            some = F.array(key(kind, length, F.lit(1)))
-        elif kind == "s":
-            some = F.array(key(kind, length, n - length + 1))
+        if kind < 2:
+            some = F.array(key(_cut(kind, name, 1 << power)))
         else:
-            some = F.transform(F.sequence(F.lit(1), n - length + 1), lambda i: key(kind, length, i))
-        return F.when(name.isNotNull() & (n >= length), some).otherwise(
-            F.array().cast("array<struct<_kind:string,_alen:int,_akey:string>>"))
-
-    # Distinct keys per row, so each (row, pattern) pair joins at most once.
-    shapes = sorted((r["_kind"], int(r["_alen"])) for r in lens)
-    row_keys = F.array_distinct(F.concat(*[keys_for(k, L) for k, L in shapes])) if shapes else \
-        F.array().cast("array<struct<_kind:string,_alen:int,_akey:string>>")
-    exploded = rows.select("*", F.explode(row_keys).alias("_k"))
-    exploded = exploded.select(
-        *[F.col(c) for c in rows.columns], F.col("_k._kind").alias("_kind"),
-        F.col("_k._alen").alias("_alen"), F.col("_k._akey").alias("_akey"))
-    p = F.broadcast(keyed) if n_pats <= BROADCAST_MAX_ROWS else keyed
-    cond = ((exploded["_kind"] == p["_kind"]) & (exploded["_alen"] == p["_alen"])
-            & (exploded["_akey"] == p["_akey"])
-            & affix_match(exploded[name_col], p["prefix"], p["suffix"], p["contains"]))
-    for c, pc in zip(scope_cols, p_scope):
-        cond = cond & (p[pc].isNull() | (exploded[c] == p[pc]))
-    return exploded.join(p, cond, "inner").select(
-        *[exploded[c] for c in rows.columns], p["pattern_id"])
-
-
-def semi_match(rows: DataFrame, patterns: DataFrame, name_col: str, key_cols: Sequence[str], *,
-               strategy: str = "auto") -> DataFrame:
-    """Rows of ``rows`` matching at least one pattern (whole rows, each once).
-
-    The loop strategy is a broadcast nested-loop left-semi join straight on
-    ``rows``. The keyed strategy matches a narrow projection (keys + name),
-    then semi-joins the distinct keys back, so wide columns never explode.
-    """
-    pats = patterns.filter(~F.col("refused"))
-    if strategy == "auto":
-        strategy = "loop" if at_most(pats, LOOP_MAX_PATTERNS) else "keyed"
-    if strategy == "loop":
-        p = F.broadcast(pats)
-        cond = affix_match(rows[name_col], p["prefix"], p["suffix"], p["contains"])
-        return rows.join(p, cond, "left_semi")
-    narrow = rows.select(*dict.fromkeys([*key_cols, name_col]))
-    ids = match_patterns(narrow, pats, name_col, strategy="keyed").select(*key_cols).distinct()
-    return rows.join(ids, list(key_cols), "left_semi")
+            parts = F.transform(F.sequence(F.lit(1), n - (1 << power) + 1), lambda i: name.substr(i, F.lit(1 << power)))
+            some = F.transform(F.array_distinct(parts), key)
+        return F.when(n >= (1 << power), some).otherwise(F.array().cast(kind_of))
+
+    shapes = [keys(*s) for s in _shapes(keyed, 1 << len(scope_cols))]
+    emitted = F.concat(*shapes) if shapes else F.array().cast(kind_of)
+    scoped = [F.when(F.col("_k._scope").bitwiseAND(1 << i) != 0, F.col(c).cast("string")).otherwise("").alias(f"_s_{c}")
+              for i, c in enumerate(scope_cols)]
+    e = rows.filter(name.isNotNull()).select("*", F.explode(emitted).alias("_k")).select(*rows.columns, "_k.*", *scoped)
+    equal = [e[f"_{c}"] == keyed[f"_p_{c}"] for c in ("kind", "scope", "power", "key")]
+    equal += [e[f"_s_{c}"] == keyed[f"_p_{c}"] for c in scope_cols]
+    cond = affix_match(e[name_col], keyed["_p_prefix"], keyed["_p_suffix"], keyed["_p_contains"])
+    for x in equal:
+        cond = cond & x
+    return e.join(keyed, cond).select(*rows.columns, F.col("_p_id").alias("pattern_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -36,7 +37,7 @@ def list_object_names(inventory: DataFrame, types: Sequence[str] | None = None)
 
 
 def select_records(listing: DataFrame, names: DataFrame, *, name_col: str = "job_name",
-                   id_col: str = "job_id", strategy: str = "auto") -> DataFrame:
+                   id_col: str = "job_id") -> DataFrame:
     """Every listing row whose name contains a requested name ignoring
     case (F1; an empty name matches all), with ``n_matches`` per requested
     name and ``selected`` marking the one a single-record operation uses:
@@ -47,7 +48,7 @@ def select_records(listing: DataFrame, names: DataFrame, *, name_col: str = "job
         F.col("name").alias("pattern_id"), F.lit(None).cast("string").alias("prefix"),
         F.lit(None).cast("string").alias("suffix"), F.lower("name").alias("contains")))
     lowered = listing.withColumn("_lname", F.lower(F.coalesce(F.col(name_col), F.lit(""))))
-    pairs = match_patterns(lowered, pats, "_lname", strategy=strategy).withColumnRenamed("pattern_id", "name")
+    pairs = match_patterns(lowered, pats, "_lname").withColumnRenamed("pattern_id", "name")
     # The names are a parameter table: a bounded check decides whether the
     # "empty name lists everything" branch (a second listing scan) is needed.
     if req.filter(F.col("name") == "").limit(1).count() > 0:
@@ -60,33 +61,35 @@ def select_records(listing: DataFrame, names: DataFrame, *, name_col: str = "job
                       (F.col(id_col) == F.col("_best._id")).alias("selected"))
 
 
-def _tags_match(tags: Column, want: Mapping[str, str]) -> Column:
-    """every wanted pair present with an equal value (case-sensitive);
-    an empty ``want`` matches everything."""
+def _tags_match(tags: Column, want: Mapping[str, object]) -> Column:
+    """every wanted pair present with an equal value of the same type (text is
+    case-sensitive, the number 1 is not "1"); an empty ``want`` matches everything.
+    Values are compared as canonical JSON."""
     cond = F.lit(True)
     for k, v in want.items():
-        cond = cond & F.try_element_at(tags, F.lit(k)).eqNullSafe(F.lit(v))
+        wanted = F.to_json(F.parse_json(F.lit(json.dumps(v))))
+        cond = cond & F.to_json(F.try_element_at(tags, F.lit(k))).eqNullSafe(wanted)
     return cond
 
 
-def filter_by_tags(listing: DataFrame, configs: DataFrame, want: Mapping[str, str], *,
+def filter_by_tags(listing: DataFrame, configs: DataFrame, want: Mapping[str, object], *,
                    body_col: str = "body") -> DataFrame:
     """``(job_id, job_name, status, reason)``. Jobs whose configuration tags
     contain all of ``want`` get ``matched``; jobs whose configuration is
     missing or not JSON are ``skipped`` with a reason; the rest are dropped.
     Missing ``settings.tags`` counts as no tags."""
-    # Parsed once behind a generator so the status filter is not pushed into
-    # (and does not repeat) the parse.
-    cfg = configs.select("job_id", F.inline(F.array(F.struct(
-        F.try_parse_json(F.col(body_col)).alias("_v"), F.lit(True).alias("_has_cfg")))))
+    # Two flags a configuration cross the join, not its document: both are computed
+    # below it, behind a generator that filters on them are not pushed through.
+    parsed = configs.select("job_id", F.try_parse_json(F.col(body_col)).alias("_v"))
+    tags = F.coalesce(F.try_variant_get("_v", "$.settings.tags", "map<string,variant>"),
+                      F.create_map().cast("map<string,variant>"))
+    cfg = parsed.select("job_id", F.inline(F.array(F.struct(
+        F.col("_v").isNotNull().alias("_readable"), _tags_match(tags, want).alias("_match")))))
     j = listing.join(cfg, "job_id", "left")
-    tags = F.coalesce(F.try_variant_get("_v", "$.settings.tags", "map<string,string>"),
-                      F.create_map().cast("map<string,string>"))
-    readable = F.col("_v").isNotNull()
-    status = (F.when(F.col("_has_cfg").isNull() | ~readable, F.lit("skipped"))
-              .when(_tags_match(tags, want), F.lit("matched")))
-    reason = (F.when(F.col("_has_cfg").isNull(), F.lit(CONFIG_MISSING))
-              .when(~readable, F.lit(CONFIG_UNREADABLE)))
+    status = (F.when(~F.coalesce("_readable", F.lit(False)), F.lit("skipped"))
+              .when(F.col("_match"), F.lit("matched")))
+    reason = (F.when(F.col("_readable").isNull(), F.lit(CONFIG_MISSING))
+              .when(~F.col("_readable"), F.lit(CONFIG_UNREADABLE)))
     return (j.select("job_id", "job_name", status.alias("status"), reason.alias("reason"))
             .filter(F.col("status").isNotNull()))
 

@@ -7,13 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The access-control list applied to every job, in order.
-DEFAULT_ACL = (
-    {"group_name": "DBX-eastus2-kicks-dev-developer", "permission_level": "CAN_MANAGE"},
-    {"group_name": "DBX-eastus2-kicks-dev-admin", "permission_level": "CAN_MANAGE"},
-    {"group_name": "DBX-eastus2-kicks-dev-reader", "permission_level": "CAN_VIEW"},
-    {"service_principal_name": "6c1e7b9a-8f24-4f98-a1d2-5b9de0c774aa", "permission_level": "IS_OWNER"},
-)
 # Principal fields of an ACL entry and the kind each denotes.
 PRINCIPAL_FIELDS = (("group_name", "group"), ("service_principal_name", "service_principal"),
                     ("user_name", "user"))
@@ -28,7 +21,7 @@ def _acl_entry(entry: Mapping[str, str], pos: int):
     raise ValueError(f"ACL entry without a principal: {entry}")
 
 
-def expand_grants(records: DataFrame, acl: Sequence[Mapping[str, str]] = DEFAULT_ACL) -> DataFrame:
+def expand_grants(records: DataFrame, acl: Sequence[Mapping[str, str]]) -> DataFrame:
     """One row per record and ACL entry with the principal kind resolved.
 
     The ACL is a short parameter list, so it becomes an array literal that

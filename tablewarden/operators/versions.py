@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewarden.session import checkpoint_dir
 from tablewarden.functions.stamps import (
     archive_date, parse_version_file, version_file_name, version_stamp,
 )
@@ -81,89 +80,60 @@ def restore(archive: DataFrame, requests: DataFrame, run_ts: datetime) -> Restor
     """Per request ``(record_key, restore_stamp)``: the version with that
     exact stamp, or the latest version when the stamp is null/empty.
 
-    One join of the archive to the requested keys and one aggregation per
-    request give the latest version, the exact version and whether the key
-    has any version; key equality is exact (a key that is a prefix of another
-    never matches it).
+    Versions are chosen on a narrow ``(record_key, version_ts)`` projection: the
+    latest is a pre-aggregated maximum, an exact one an equi join on key and stamp
+    (of several within that second the last). Only chosen bodies are then fetched,
+    by key and time; an archive with ``archive_date`` is pruned by it. Key
+    equality is exact (a key that is a prefix of another never matches it). Of
+    versions of one key and time the greatest body counts.
     """
-    req = requests.select("record_key", F.nullif(F.col("restore_stamp"), F.lit("")).alias("req")) \
-        .dropDuplicates(["record_key", "req"])
-    a = archive.select("record_key", "version_ts", "body", version_stamp(F.col("version_ts")).alias("_st"))
-    j = a.join(req, "record_key")
-    exact = F.col("_st") == F.col("req")
-    agg = j.groupBy("record_key", "req").agg(
-        F.max_by(F.struct("_st", "body"), F.col("version_ts")).alias("_latest"),
-        F.max_by(F.struct("_st", "body"), F.when(exact, F.col("version_ts"))).alias("_exact"),
-        F.count_if(exact).alias("_n_exact"))
-    # Null-safe on the stamp: a null request means "latest".
-    agg = agg.withColumnRenamed("record_key", "_ak").withColumnRenamed("req", "_ar")
-    res = req.join(agg, (F.col("record_key") == F.col("_ak")) & F.col("req").eqNullSafe(F.col("_ar")),
-                   "left").drop("_ak", "_ar")
-    pick = F.when(F.col("req").isNull(), F.col("_latest")).when(F.col("_n_exact") > 0, F.col("_exact"))
-    out = res.select("record_key", F.col("req").alias("requested_stamp"), pick.alias("_p"),
-                     F.col("_latest").isNotNull().alias("_any"))
-    restored = out.filter(F.col("_p").isNotNull()).select(
-        "record_key", "requested_stamp", F.col("_p._st").alias("version_stamp"),
-        F.col("_p.body").alias("body"),
-        F.when(F.col("requested_stamp").isNull(), F.lit("latest")).otherwise(F.lit("exact")).alias("mode"))
-    missing = out.filter(F.col("_p").isNull()).select(
-        "record_key", "requested_stamp",
-        F.when(~F.col("_any"), F.lit(NO_ARCHIVE))
-        .otherwise(F.concat(F.lit(NO_VERSION), F.col("requested_stamp"))).alias("error"))
+    key, ts = F.col("record_key"), F.col("version_ts")
+    req = requests.select(key.alias("_k"), F.nullif(F.col("restore_stamp"), F.lit("")).alias("req")).distinct()
+    by_stamp = archive.groupBy(key.alias("_ek"), version_stamp(ts).alias("_es")).agg(F.max(ts).alias("_exact"))
+    latest = archive.groupBy(key.alias("_lk")).agg(F.max(ts).alias("_latest"))
+    chosen = (req.join(latest, F.col("_k") == F.col("_lk"), "left")
+              .join(by_stamp, (F.col("_k") == F.col("_ek")) & (F.col("req") == F.col("_es")), "left")
+              .select("_k", "req", "_latest", F.when(F.col("req").isNull(), F.col("_latest")).otherwise(F.col("_exact")).alias("_ts")))
+    wanted = chosen.filter(F.col("_ts").isNotNull())
+    on = (key == F.col("_k")) & (ts == F.col("_ts"))
+    if "archive_date" in archive.columns:
+        on = on & (F.col("archive_date") == archive_date(F.col("_ts")))
+    restored = (archive.join(wanted, on).groupBy("record_key", F.col("req").alias("requested_stamp"), "version_ts")
+                .agg(F.max("body").alias("body"))
+                .select("record_key", "requested_stamp", version_stamp(ts).alias("version_stamp"), "body",
+                        F.when(F.col("requested_stamp").isNull(), F.lit("latest")).otherwise(F.lit("exact")).alias("mode")))
+    missing = chosen.filter(F.col("_ts").isNull()).select(
+        F.col("_k").alias("record_key"), F.col("req").alias("requested_stamp"),
+        F.when(F.col("_latest").isNull(), F.lit(NO_ARCHIVE))
+        .otherwise(F.concat(F.lit(NO_VERSION), F.col("req"))).alias("error"))
     cur = latest_per_key(restored.select("record_key", "body", F.col("version_stamp").alias("_o")),
                          "record_key", "_o")
     current = cur.select("record_key", "body", _ts(run_ts).alias("saved_at"))
     return Restore(restored, missing, current)
 
 
-def version_history(archive: DataFrame, *, skew_safe: bool = True,
-                    partitions: int | None = None) -> DataFrame:
+def version_history(archive: DataFrame) -> DataFrame:
     """``(record_key, version_no, valid_from, valid_to)`` per archived
     version: its rank by stamp and the stamps that bound it (``valid_from`` is
     the previous replacement stamp, null for the first).
 
-    ``skew_safe`` (default) never sorts one key in one task: rows are range
-    partitioned on ``(record_key, version_ts)`` so a hot key spreads over
-    several partitions, ranked within ``(partition, key)``, and shifted by the
-    counts of the same key in earlier partitions. Only keys that cross a
-    partition boundary need a shift, so that table has at most 2 rows per
-    partition and is broadcast. ``skew_safe=False`` is the plain window.
+    No task sorts a whole key: versions are ranked within their key and hour, and
+    shifted by the counts of the key's earlier hours, a table with one row per key
+    and hour. Hours are a value of the row, so a recomputed task sees the same.
     """
-    st = lambda c: version_stamp(F.col(c))
-    if not skew_safe:
-        w = Window.partitionBy("record_key").orderBy("version_ts")
-        return archive.select(
-            "record_key", F.row_number().over(w).cast("bigint").alias("version_no"),
-            F.lag(st("version_ts")).over(w).alias("valid_from"), st("version_ts").alias("valid_to"))
-    spark = archive.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Materialised once (reliable checkpoint in spark.checkpoint.dir): both
-    # branches below must see the same partition ids, and range bounds are
-    # sampled per exchange, so recomputing the exchange could move rows.
-    checkpoint_dir(spark)
-    ranged = (archive.select("record_key", "version_ts")
-              .repartitionByRange(n, "record_key", "version_ts")
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-    w = Window.partitionBy("_pid", "record_key").orderBy("version_ts")
-    local = ranged.select("record_key", "version_ts", "_pid",
-                          F.row_number().over(w).alias("_ln"), F.lag("version_ts").over(w).alias("_lprev"))
-    per = ranged.groupBy("_pid", "record_key").agg(F.count(F.lit(1)).alias("_n"),
-                                                   F.max("version_ts").alias("_last"))
-    spanning = (per.groupBy("record_key").agg(F.min("_pid").alias("_p0"), F.max("_pid").alias("_p1"))
-                .filter(F.col("_p0") < F.col("_p1")).select("record_key"))
-    # At most 2 rows per partition: each boundary is crossed by at most one key.
-    crossing = per.join(F.broadcast(spanning), "record_key", "left_semi")
-    ws = Window.partitionBy("record_key").orderBy("_pid")
-    shifts = crossing.select(
-        "_pid", "record_key",
-        F.coalesce(F.sum("_n").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.lag("_last").over(ws).alias("_prev_last"))
-    j = local.join(F.broadcast(shifts), ["_pid", "record_key"], "left")
-    prev = F.when(F.col("_ln") == 1, F.col("_prev_last")).otherwise(F.col("_lprev"))
-    return j.select(
-        "record_key", (F.col("_ln") + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint").alias("version_no"),
-        version_stamp(prev).alias("valid_from"), st("version_ts").alias("valid_to"))
+    bucket = ["record_key", "_hour"]
+    rows = archive.select("record_key", "version_ts", F.date_trunc("hour", "version_ts").alias("_hour"))
+    w = Window.partitionBy(*bucket).orderBy("version_ts")
+    local = rows.select(*bucket, "version_ts", F.row_number().over(w).alias("_n"), F.lag("version_ts").over(w).alias("_prev"))
+    hours = Window.partitionBy("record_key").orderBy("_hour")
+    shifts = (rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_c"), F.max("version_ts").alias("_last"))
+              .select(F.col("record_key").alias("_k"), F.col("_hour").alias("_h"),
+                      F.coalesce(F.sum("_c").over(hours.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+                      F.lag("_last").over(hours).alias("_last_before")))
+    j = local.join(shifts, F.col("record_key").eqNullSafe(F.col("_k")) & (F.col("_hour") == F.col("_h")))
+    prev = F.when(F.col("_n") == 1, F.col("_last_before")).otherwise(F.col("_prev"))
+    return j.select("record_key", (F.col("_n") + F.col("_before")).cast("bigint").alias("version_no"),
+                    version_stamp(prev).alias("valid_from"), version_stamp(F.col("version_ts")).alias("valid_to"))
 
 
 def version_names(archive: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 UNKNOWN_CATALOG = "ATLANTIS"
 VERSION_SPLIT = "2024-01-20 00:00:00"
 MISSING_STAMP = "19990101_000000"
+NEW_KEYS = 1_000_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,13 +74,32 @@ def f_requests(spark: SparkSession, d: str) -> DataFrame:
         "schema", "object")
 
 
-def f_patterns(spark: SparkSession) -> DataFrame:
+def f_patterns(spark: SparkSession, d: str) -> DataFrame:
     """Six name patterns (parameters): prefix+suffix, prefix+contains, contains
     only, a prefix with '_' (a LIKE implementation would match it), an empty
-    pattern (refused), and all three parts."""
-    rows = [(1, "Customer#", "7", None), (2, "Supplier#", None, "00"), (3, None, None, "12"),
-            (4, "Cust_mer", None, None), (5, "", "", ""), (6, "Customer#", "9", "55")]
-    return spark.createDataFrame(rows, "pattern_id int, prefix string, suffix string, contains string")
+    pattern (refused), and all three parts; and one per supplier, of six kinds:
+    a long prefix, a suffix, a substring, each whole, scoped to the supplier's
+    region or to its nation's schema, or to a namespace that may not exist."""
+    rows = [(-1, "Customer#", "7", None), (-2, "Supplier#", None, "00"), (-3, None, None, "12"),
+            (-4, "Cust_mer", None, None), (-5, "", "", ""), (-6, "Customer#", "9", "55")]
+    fixed = spark.createDataFrame(rows, "pattern_id bigint, prefix string, suffix string, contains string")
+    fixed = fixed.select("*", F.lit(None).cast("string").alias("catalog"), F.lit(None).cast("string").alias("schema"))
+    s, ns = table(spark, d, "supplier"), _namespaces(spark, d)
+    k = F.col("s_suppkey")
+    digits = F.lpad((k * 7 % 1500).cast("string"), 9, "0")
+    m = k % 6
+    return fixed.union(s.join(ns, s.s_nationkey == ns.n_nationkey).select(
+        k.cast("bigint"), F.when(m % 3 == 0, F.concat(F.lit("Customer#"), F.substring(digits, 1, 8))),
+        F.when(m % 3 == 1, F.substring(digits, 6, 4)), F.when(m % 3 == 2, F.substring(digits, 5, 4)),
+        F.when(m == 3, F.col("catalog")).when(m == 5, F.when(k % 5 == 0, F.lit(UNKNOWN_CATALOG)).otherwise(F.col("catalog"))),
+        F.when(m.isin(4, 5), F.when(k % 7 == 0, F.lit("no_schema")).otherwise(F.col("schema")))))
+
+
+def f_schemas(spark: SparkSession, d: str) -> DataFrame:
+    """Every schema there is, and one unknown beside every fifth."""
+    ns = _namespaces(spark, d)
+    return ns.select("catalog", "schema").union(
+        ns.filter(F.col("n_nationkey") % 5 == 0).select(F.lit(UNKNOWN_CATALOG), "schema"))
 
 
 def f_url_patterns(spark: SparkSession) -> DataFrame:
@@ -103,18 +123,21 @@ def f_jobs(spark: SparkSession, d: str) -> DataFrame:
 def job_captures(spark: SparkSession, d: str) -> DataFrame:
     """Captured job-listing responses: parts grouped 100 per capture, as JSON
     ``{"jobs": [{"job_id", "settings": {"name"}}]}``, each followed by a
-    trailer capture without ``jobs`` (which must add nothing)."""
+    trailer capture without ``jobs`` (which must add nothing) and, every third,
+    by one that broke off (an error)."""
     p = table(spark, d, "part")
     cap = F.floor(F.col("p_partkey") / 100).cast("bigint")
     entry = F.struct(F.col("p_partkey").alias("job_id"),
                      F.struct(F.col("p_name").alias("name")).alias("settings"))
     grouped = p.groupBy(cap.alias("capture")).agg(
         F.sort_array(F.collect_list(F.struct(F.col("p_partkey").alias("k"), entry.alias("e")))).alias("a"))
-    page = F.struct((F.col("capture") * 2).alias("capture_pos"),
+    page = F.struct((F.col("capture") * 3).alias("capture_pos"),
                     F.to_json(F.struct(F.transform("a", lambda x: x["e"]).alias("jobs"))).alias("doc"))
-    trailer = F.struct((F.col("capture") * 2 + 1).alias("capture_pos"),
+    trailer = F.struct((F.col("capture") * 3 + 1).alias("capture_pos"),
                        F.to_json(F.struct(F.lit(False).alias("has_more"))).alias("doc"))
-    return grouped.select(F.inline(F.array(page, trailer)))
+    broken = F.struct((F.col("capture") * 3 + 2).alias("capture_pos"), F.lit('{"jobs": [').alias("doc"))
+    return grouped.select(F.inline(F.when(F.col("capture") % 3 == 0, F.array(page, trailer, broken))
+                                   .otherwise(F.array(page, trailer))))
 
 
 def pipeline_captures(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +158,7 @@ def pipeline_captures(spark: SparkSession, d: str) -> DataFrame:
 def _task_rows(spark: SparkSession, d: str) -> DataFrame:
     li, p = table(spark, d, "lineitem"), table(spark, d, "part")
     ln = F.col("l_linenumber")
-    path = (F.when(ln == 1, F.lit("/Workspace/kicks/nb")).when(ln == 2, F.lit("/Workspace/a/Workspace/b"))
+    path = (F.when(ln == 1, F.lit("/Workspace/sample/nb")).when(ln == 2, F.lit("/Workspace/a/Workspace/b"))
             .when(ln == 3, F.lit("/Repos/x")).otherwise(F.concat(F.lit("/Workspace/nb"), ln.cast("string"))))
     params = (F.when(ln % 2 == 0, F.create_map(F.lit("Path"), F.lit("old"), F.lit("k"), F.col("l_returnflag")))
               .when(ln % 3 == 0, F.create_map(F.lit("k"), F.col("l_returnflag"))))
@@ -153,8 +176,9 @@ def _task_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def f_configs(spark: SparkSession, d: str) -> DataFrame:
     """Stored job configurations ``(job_id, job_name, body)`` as JSON text, one
-    per order (none when ``o_orderkey % 13 = 0``); tasks from its line items in
-    a fixed order; orders without lines have no ``tasks``.
+    per order; tasks from its line items in a fixed order; orders without lines
+    have no ``tasks``. The stored name differs from the job's, the tag Level is a
+    number or a text, and a flag is a boolean written as text.
 
     Each task is serialised per line, so the grouping shuffles short strings
     and sorts them with ``sort_array`` (the task structs hold maps, which do
@@ -166,12 +190,15 @@ def f_configs(spark: SparkSession, d: str) -> DataFrame:
              .select("l_orderkey", F.parse_json(F.concat(F.lit("["), F.array_join(F.col("t.j"), ","),
                                                         F.lit("]"))).alias("tasks")))
     k = F.col("o_orderkey")
-    j = o.filter(k % 13 != 0).join(tasks, o.o_orderkey == tasks.l_orderkey, "left")
+    j = o.join(tasks, o.o_orderkey == tasks.l_orderkey, "left")
     name = F.concat(F.lit("job_"), k.cast("string"))
+    level = (k % 3).cast("string")
     settings = F.struct(
-        name.alias("name"),
-        F.when(k % 11 != 0, F.create_map(F.lit("Application"), F.col("o_orderstatus"),
-                                         F.lit("Tier"), F.col("o_orderpriority"))).alias("tags"),
+        F.concat(F.lit("stored "), k.cast("string")).alias("name"),
+        F.when(k % 11 != 0, F.struct(
+            F.col("o_orderstatus").alias("Application"), F.col("o_orderpriority").alias("Tier"),
+            F.parse_json(F.when(k % 2 == 0, level).otherwise(F.concat(F.lit('"'), level, F.lit('"')))).alias("Level"))).alias("tags"),
+        F.when(k % 5 == 0, F.lit("True")).otherwise(F.lit("no")).alias("flag"),
         F.when(k % 2 == 0, F.struct(F.lit("UNPAUSED").alias("pause_status"),
                                     F.lit("0 0 * * *").alias("cron"))).alias("schedule"),
         F.struct(F.concat(F.lit("user"), F.col("o_custkey").cast("string")).alias("user_name")).alias("run_as"),
@@ -181,6 +208,14 @@ def f_configs(spark: SparkSession, d: str) -> DataFrame:
                     F.to_json(F.struct(k.alias("job_id"), settings.alias("settings"))).alias("body"))
 
 
+def f_faulty_configs(spark: SparkSession, d: str) -> DataFrame:
+    """The configurations with some broken off, without a job id or without settings."""
+    k = F.col("job_id")
+    body = (F.when(k % 17 == 0, F.substring("body", 1, 20)).when(k % 19 == 0, F.lit('{"settings": {"x": 1}}'))
+            .when(k % 23 == 0, F.lit('{"job_id": 1, "settings": []}')).otherwise(F.col("body")))
+    return f_configs(spark, d).withColumn("body", body)
+
+
 def f_config_listing(spark: SparkSession, d: str) -> DataFrame:
     """Job listing for the tag filter: every order is a job."""
     o = table(spark, d, "orders")
@@ -205,41 +240,40 @@ def _latest_flag(df: DataFrame) -> DataFrame:
     return df.join(last, "record_key").withColumn("_is_last", F.col("version_ts") == F.col("_last")).drop("_last")
 
 
-def _before(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d)
-    return _latest_flag(e.filter((F.col("version_ts") < F.lit(VERSION_SPLIT).cast("timestamp_ntz"))
-                                 & (F.col("record_key") % 10 != 1)))
-
-
 def f_current(spark: SparkSession, d: str) -> DataFrame:
-    """Latest version per key before the split: ``(record_key, body, saved_at)``."""
-    return _before(spark, d).filter("_is_last").select(
+    """Latest version per key before the split: ``(record_key, body, saved_at)``.
+    Every tenth key gets a name of its own, so it never comes in again."""
+    k = F.col("record_key")
+    e = _events(spark, d).filter(F.col("version_ts") < F.lit(VERSION_SPLIT).cast("timestamp_ntz"))
+    return _latest_flag(e.withColumn("record_key", F.when(k % 10 == 1, -k - 1).otherwise(k))).filter("_is_last").select(
         "record_key", "body", F.col("version_ts").alias("saved_at"))
 
 
 def f_archive(spark: SparkSession, d: str) -> DataFrame:
-    """Earlier versions before the split: ``(record_key, version_ts, body)``."""
-    return _before(spark, d).filter(~F.col("_is_last")).select("record_key", "version_ts", "body")
+    """Every event as an archived version: ``(record_key, version_ts, body)``."""
+    return _events(spark, d).select("record_key", "version_ts", "body")
 
 
 def f_incoming(spark: SparkSession, d: str) -> DataFrame:
-    """Latest version per key after the split: ``(record_key, body, saved_at)``."""
-    e = _events(spark, d)
-    return _latest_flag(e.filter((F.col("version_ts") >= F.lit(VERSION_SPLIT).cast("timestamp_ntz"))
-                                 & (F.col("record_key") % 10 != 0))).filter("_is_last").select(
+    """Latest version per key after the split: ``(record_key, body, saved_at)``;
+    every tenth key is new."""
+    k = F.col("record_key")
+    e = _events(spark, d).filter(F.col("version_ts") >= F.lit(VERSION_SPLIT).cast("timestamp_ntz"))
+    return _latest_flag(e.withColumn("record_key", F.when(k % 10 == 0, k + NEW_KEYS).otherwise(k))).filter("_is_last").select(
         "record_key", "body", F.col("version_ts").alias("saved_at"))
 
 
 def f_restore(spark: SparkSession, d: str) -> DataFrame:
-    """Restore requests per archived key: latest, the earliest stamp, or a
-    stamp that does not exist."""
-    a = f_archive(spark, d)
-    first = a.groupBy("record_key").agg(F.min("version_ts").alias("first_ts"))
-    k = F.col("record_key") % 3
-    stamp = (F.when(k == 0, F.lit(None).cast("string"))
-             .when(k == 1, F.date_format("first_ts", "yyyyMMdd_HHmmss"))
-             .otherwise(F.lit(MISSING_STAMP)))
-    return first.select("record_key", stamp.alias("restore_stamp"))
+    """Restore requests per archived key: the latest, the earliest stamp, a stamp
+    that does not exist, all three of these; and keys without an archive."""
+    first = f_archive(spark, d).groupBy("record_key").agg(F.min("version_ts").alias("first_ts"))
+    k = F.col("record_key") % 4
+    latest, missing = F.lit(None).cast("string"), F.lit(MISSING_STAMP)
+    exact = F.date_format("first_ts", "yyyyMMdd_HHmmss")
+    stamps = (F.when(k == 0, F.array(latest)).when(k == 1, F.array(exact)).when(k == 2, F.array(missing))
+              .otherwise(F.array(latest, exact, missing)))
+    ghosts = first.filter(F.col("record_key") % 5 == 0).select((-F.col("record_key") - 1).alias("record_key"), latest)
+    return first.select("record_key", F.explode(stamps).alias("restore_stamp")).union(ghosts)
 
 
 def f_bool_json(spark: SparkSession, d: str) -> DataFrame:
@@ -278,12 +312,17 @@ def f_tag_text(spark: SparkSession, d: str) -> DataFrame:
 
 def statement_results(spark: SparkSession, d: str) -> DataFrame:
     """Captured statement results, one per region: ``{"result": {"data_array":
-    [[catalog, schema, flag], ...]}}``; every 4th nation row has one value only."""
+    [[catalog, schema, flag], ...]}}``; every 4th nation row has one value only.
+    Each region also has a statement that failed and one whose response broke off."""
     n, r = table(spark, d, "nation"), table(spark, d, "region")
     row = F.when(F.col("n_nationkey") % 4 == 0, F.array(F.col("r_name")))\
         .otherwise(F.array(F.col("r_name"), F.col("n_name"), F.lit("false")))
     j = n.join(r, n.n_regionkey == r.r_regionkey)
     g = j.groupBy("r_regionkey", "r_name").agg(
         F.sort_array(F.collect_list(F.struct("n_nationkey", row.alias("row")))).alias("rows"))
-    doc = F.to_json(F.struct(F.struct(F.transform("rows", lambda x: x["row"]).alias("data_array")).alias("result")))
-    return g.select(F.col("r_name").alias("statement"), doc.alias("doc"))
+    doc = F.to_json(F.struct(F.struct(F.lit("SUCCEEDED").alias("state")).alias("status"),
+                             F.struct(F.transform("rows", lambda x: x["row"]).alias("data_array")).alias("result")))
+    failed = F.lit('{"status": {"state": "FAILED", "error": {"message": "no such schema"}}}')
+    answers = [(F.col("r_name"), doc), (F.concat("r_name", F.lit(" failed")), failed),
+               (F.concat("r_name", F.lit(" broken")), F.lit('{"status": '))]
+    return g.select(F.inline(F.array(*[F.struct(n.alias("statement"), t.alias("doc")) for n, t in answers])))

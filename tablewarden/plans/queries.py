@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from tablewarden.operators import (
     backup, build_lookup, check_paths, check_report, cleanup_by_token, cleanup_matrix,
     coerce_booleans, create_from_stored, delete_rows, delete_rows_by_pattern, expand_grants,
-    filter_by_tags, inventory_from_listing, list_objects, parse_tag_filters, pick_preferred,
+    filter_by_tags, inventory_from_listing, list_object_names, list_objects, parse_tag_filters, pick_preferred,
     plan_delete, plan_delete_by_pattern, reset_from_stored, restore, select_records, summarize,
     version_history, version_names,
 )
 from tablewarden.plans import fixtures as fx
-from tablewarden.sources.listings import decode_positional, job_listing, pipeline_entries
+from tablewarden.sources.listings import (
+    capture_errors, decode_positional, job_listing, pipeline_entries, statement_errors,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,9 +30,14 @@ CLUSTER_ID = "uc-0001"
 STORAGE = "acct01"
 LOOKUP_FILTER = "WIDGET"
 WANTED_TAGS = {"Application": "F", "Tier": "1-URGENT"}
+TYPED_TAGS = {"Level": 1}
+TAGS = {"Application": "sample"}
+TARGET_ROOT = "/Workspace/sample/"
+ACL = ({"group_name": "developers", "permission_level": "CAN_MANAGE"},
+       {"group_name": "admins", "permission_level": "CAN_MANAGE"},
+       {"group_name": "readers", "permission_level": "CAN_VIEW"},
+       {"service_principal_name": "deployer", "permission_level": "IS_OWNER"})
 SEARCH_NAMES = ["RING", "widget", "no-such-job"]
-CLEANUP_SCHEMAS = [("AMERICA", "NATION_1"), ("ASIA", "NATION_2"), ("EUROPE", "NATION_3"),
-                   ("ATLANTIS", "NATION_4"), ("AFRICA", "NATION_1")]
 CLEANUP_PREFIXES = ["Customer#00000001", "Supplier#", "tmp_"]
 TS_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -48,7 +55,25 @@ def q_delete_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_delete_by_pattern(spark: SparkSession, d: str) -> DataFrame:
-    return plan_delete_by_pattern(_inventory(spark, d), fx.f_patterns(spark), dry_run=True)
+    return plan_delete_by_pattern(_inventory(spark, d), fx.f_patterns(spark, d), dry_run=True)
+
+
+def q_delete_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Tables only, and not a dry run."""
+    return plan_delete(_inventory(spark, d), fx.f_requests(spark, d), types=["table"], dry_run=False)
+
+
+def q_delete_nothing(spark: SparkSession, d: str) -> DataFrame:
+    """No request at all is refused; patterns that match nothing are a success."""
+    inv = _inventory(spark, d)
+    none = summarize(plan_delete(inv, fx.f_requests(spark, d).filter("pos < 0")), dry_run=True)
+    odd = fx.f_patterns(spark, d).filter("prefix = 'Cust_mer'")
+    return none.withColumn("kind", F.lit("requests")).unionByName(
+        summarize(plan_delete_by_pattern(inv, odd), dry_run=True, by_pattern=True).withColumn("kind", F.lit("patterns")))
+
+
+def q_pattern_summary(spark: SparkSession, d: str) -> DataFrame:
+    return summarize(q_delete_by_pattern(spark, d), dry_run=True, by_pattern=True)
 
 
 def _doc_deletion(spark: SparkSession, d: str):
@@ -68,15 +93,30 @@ def q_rows_not_found(spark: SparkSession, d: str) -> DataFrame:
     return _doc_deletion(spark, d).not_found
 
 
+def _page_deletion(spark: SparkSession, d: str):
+    return delete_rows_by_pattern(fx.table(spark, d, "pages"), "url", fx.f_url_patterns(spark), dry_run=False)
+
+
 def q_rows_by_pattern(spark: SparkSession, d: str) -> DataFrame:
-    res = delete_rows_by_pattern(fx.table(spark, d, "pages"), "url", fx.f_url_patterns(spark),
-                                 ["page_id"], dry_run=False)
-    return res.removed
+    return _page_deletion(spark, d).removed
+
+
+def q_rows_by_pattern_survive(spark: SparkSession, d: str) -> DataFrame:
+    return _page_deletion(spark, d).survivors
+
+
+def q_rows_by_pattern_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' patterns that no part name matches, and those refused."""
+    parts = fx.table(spark, d, "part")
+    words = fx.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("pattern_id"), F.lit(None).cast("string").alias("prefix"),
+        F.lit(None).cast("string").alias("suffix"),
+        F.when(F.col("c_custkey") % 9 != 0, F.lower(F.substring("c_mktsegment", 1, 2))).alias("contains"))
+    return delete_rows_by_pattern(parts, "p_name", words).not_found
 
 
 def q_cleanup_matrix(spark: SparkSession, d: str) -> DataFrame:
-    schemas = spark.createDataFrame(CLEANUP_SCHEMAS, "catalog string, schema string")
-    return cleanup_matrix(_inventory(spark, d), schemas, CLEANUP_PREFIXES)
+    return cleanup_matrix(_inventory(spark, d), fx.f_schemas(spark, d), CLEANUP_PREFIXES)
 
 
 def q_cleanup_token(spark: SparkSession, d: str) -> DataFrame:
@@ -98,15 +138,28 @@ def q_listing_match(spark: SparkSession, d: str) -> DataFrame:
     return select_records(listing, names)
 
 
+def q_listing_errors(spark: SparkSession, d: str) -> DataFrame:
+    return capture_errors(fx.job_captures(spark, d), keep=["capture_pos"])
+
+
+def q_inventory_names(spark: SparkSession, d: str) -> DataFrame:
+    return list_object_names(_inventory(spark, d), ["view"])
+
+
 def q_inventory_counts(spark: SparkSession, d: str) -> DataFrame:
     return list_objects(_inventory(spark, d))
 
 
 def q_tag_filter(spark: SparkSession, d: str) -> DataFrame:
-    cfg = fx.f_configs(spark, d).select("job_id", "body")
+    cfg = fx.f_faulty_configs(spark, d).filter("job_id % 13 != 0").select("job_id", "body")
     return filter_by_tags(fx.f_config_listing(spark, d), cfg, WANTED_TAGS)
 
 
+def q_tag_typed(spark: SparkSession, d: str) -> DataFrame:
+    """A wanted number is not met by the same digits as text."""
+    return filter_by_tags(fx.f_config_listing(spark, d), fx.f_configs(spark, d).select("job_id", "body"), TYPED_TAGS)
+
+
 def q_lookup(spark: SparkSession, d: str) -> DataFrame:
     return build_lookup(pipeline_entries(fx.pipeline_captures(spark, d)), LOOKUP_FILTER)
 
@@ -161,7 +214,8 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lookup(spark: SparkSession, d: str) -> DataFrame:
-    return build_lookup(fx.f_pipelines(spark, d), LOOKUP_FILTER)
+    """All names, not only those of the filter."""
+    return build_lookup(fx.f_pipelines(spark, d))
 
 
 def _text(v: Column, path: str) -> Column:
@@ -191,7 +245,7 @@ def _tasks(records: DataFrame, settings: Column) -> DataFrame:
 
 def _create(spark: SparkSession, d: str):
     return create_from_stored(_stored(spark, d), lookup=_lookup(spark, d), cluster_id=CLUSTER_ID,
-                              storage_path=STORAGE)
+                              storage_path=STORAGE, tags=TAGS, target_root=TARGET_ROOT)
 
 
 def q_create_tasks(spark: SparkSession, d: str) -> DataFrame:
@@ -223,6 +277,28 @@ def q_reset_tasks(spark: SparkSession, d: str) -> DataFrame:
     return out.drop("param_storage", "param_k")
 
 
+def q_create_payload(spark: SparkSession, d: str) -> DataFrame:
+    """The payload text read back: name override and boolean coercion."""
+    v = F.parse_json("payload")
+    return _create(spark, d).records.select(
+        "record_key", F.try_variant_get(v, "$.name", "string").alias("name"),
+        F.to_json(F.try_variant_get(v, "$.flag", "variant")).alias("flag"),
+        F.try_variant_get(v, "$.budget", "double").alias("budget"),
+        F.size(F.try_variant_get(v, "$.tasks", "array<variant>")).cast("bigint").alias("n_tasks"))
+
+
+def q_reset_payload(spark: SparkSession, d: str) -> DataFrame:
+    """The envelope text read back, and the errors, over faulty configurations."""
+    stored = fx.f_faulty_configs(spark, d).select(F.col("job_name").alias("record_key"), "body")
+    v = F.parse_json("payload")
+    return reset_from_stored(stored, lookup=_lookup(spark, d), cluster_id=CLUSTER_ID).outcomes.select(
+        "record_key", F.try_variant_get(v, "$.job_id", "bigint").alias("job_id"),
+        F.try_variant_get(v, "$.new_settings.name", "string").alias("name"),
+        F.try_variant_get(v, "$.new_settings.run_as.user_name", "string").alias("run_as"),
+        F.to_json(F.try_variant_get(v, "$.new_settings.flag", "variant")).alias("flag"),
+        F.size(F.try_variant_get(v, "$.new_settings.tasks", "array<variant>")).cast("bigint").alias("n_tasks"), "error")
+
+
 def q_coerce(spark: SparkSession, d: str) -> DataFrame:
     c = coerce_booleans(fx.f_bool_json(spark, d), "body", "coerced")
     c = c.select("doc_id", F.parse_json(F.col("coerced")).alias("v"))
@@ -235,7 +311,7 @@ def q_coerce(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_grants(spark: SparkSession, d: str) -> DataFrame:
-    return expand_grants(fx.f_jobs(spark, d))
+    return expand_grants(fx.f_jobs(spark, d), ACL)
 
 
 def q_checks(spark: SparkSession, d: str) -> DataFrame:
@@ -254,6 +330,10 @@ def q_positional(spark: SparkSession, d: str) -> DataFrame:
     return decode_positional(fx.statement_results(spark, d), keep=["statement"])
 
 
+def q_statement_errors(spark: SparkSession, d: str) -> DataFrame:
+    return statement_errors(fx.statement_results(spark, d), keep=["statement"])
+
+
 def q_tag_text(spark: SparkSession, d: str) -> DataFrame:
     return parse_tag_filters(fx.f_tag_text(spark, d))
 

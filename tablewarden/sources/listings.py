@@ -18,9 +18,33 @@ from pyspark.sql.types import StructType
 JOB_LISTING_SCHEMA = "jobs ARRAY<STRUCT<job_id: BIGINT, settings: STRUCT<name: STRING>>>"
 PIPELINE_ENTRY = "STRUCT<name: STRING, pipeline_id: STRING>"
 PIPELINE_LISTING_SCHEMA = f"statuses ARRAY<{PIPELINE_ENTRY}>, pipelines ARRAY<{PIPELINE_ENTRY}>"
+# The state of a statement that has its result, and the error text.
+SUCCEEDED = "SUCCEEDED"
+UNREADABLE_CAPTURE = "response is not valid JSON"
 STATEMENT_SCHEMA = "result STRUCT<data_array: ARRAY<ARRAY<STRING>>>"
 
 
+def capture_errors(captures: DataFrame, doc_col: str = "doc", keep: Sequence[str] = ()) -> DataFrame:
+    """Captures that cannot be read (``keep`` columns and ``error``): text that is
+    not JSON, or null. The listings below take nothing from these; a caller reports
+    them in place of an empty result."""
+    return (captures.select(*keep, F.try_parse_json(F.col(doc_col)).isNull().alias("_bad"))
+            .filter("_bad").select(*keep, F.lit(UNREADABLE_CAPTURE).alias("error")))
+
+
+def statement_errors(statements: DataFrame, doc_col: str = "doc", keep: Sequence[str] = ()) -> DataFrame:
+    """Statement responses without a result (``keep`` columns and ``error``): text
+    that is not JSON, or a failed statement with its state and message."""
+    v = F.try_parse_json(F.col(doc_col))
+    parsed = statements.select(*keep, F.inline(F.array(F.struct(
+        v.isNull().alias("_bad"), F.try_variant_get(v, "$.status.state", "string").alias("_state"),
+        F.try_variant_get(v, "$.status.error.message", "string").alias("_message")))))
+    failed = F.col("_state").isNotNull() & (F.col("_state") != SUCCEEDED)
+    text = F.concat_ws(": ", F.concat(F.lit("Statement "), F.lower("_state")), "_message")
+    return parsed.filter(F.col("_bad") | failed).select(
+        *keep, F.when(F.col("_bad"), F.lit(UNREADABLE_CAPTURE)).otherwise(text).alias("error"))
+
+
 def job_listing(captures: DataFrame, doc_col: str = "doc") -> DataFrame:
     """S1 + P1: ``(job_id, job_name)``; a capture without ``jobs`` adds nothing."""
     parsed = captures.select(F.from_json(F.col(doc_col), JOB_LISTING_SCHEMA).alias("d"))
@@ -63,8 +87,6 @@ def rows_to_frame(spark: SparkSession, rows: Iterable[tuple], schema: str | Stru
 def requests_from_list(spark: SparkSession, names: Sequence[str], catalog: str,
                        schema: str) -> DataFrame:
     """A Python list of names to ``(pos, catalog, schema, object)``; the
-    position comes from ``posexplode``, never from row order."""
-    arr = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-    one = spark.range(1).select(F.posexplode(arr).alias("pos", "object"))
-    return one.select(F.col("pos").cast("bigint").alias("pos"), F.lit(catalog).alias("catalog"),
-                      F.lit(schema).alias("schema"), "object")
+    position is a value of the row, never row order."""
+    rows = rows_to_frame(spark, enumerate(names), "pos bigint, object string")
+    return rows.select("pos", F.lit(catalog).alias("catalog"), F.lit(schema).alias("schema"), "object")

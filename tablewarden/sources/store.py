@@ -1,8 +1,9 @@
 """Current and archive stores.
 
-* ``current``: ``<root>/run=<yyyyMMdd_HHmmss>/`` Parquet; each backup or
-  restore writes a new run and readers take the latest run, so the table is
-  never overwritten while it is read and a failed write leaves the old run.
+* ``current``: ``<root>/run=<yyyyMMdd_HHmmss>/`` Parquet, committed by a row in
+  ``<root>/commits``; each backup or restore writes a new run and readers take the
+  latest committed one, so the table is never overwritten while it is read and a
+  failed write leaves the old run.
 * ``archive``: ``<root>`` Parquet appended per run, partitioned by
   ``archive_date`` (string ``yyyyMMdd``) so a date filter prunes folders; the
   record key stays a column (per-key folders would make many tiny files).
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,28 +32,31 @@ def _stamp(run_ts: datetime) -> str:
     return run_ts.strftime("%Y%m%d_%H%M%S")
 
 
+def _commits(root: str) -> str:
+    return f"{root}/commits"
+
+
 def write_current(df: DataFrame, root: str, run_ts: datetime) -> str:
-    """Write a complete current snapshot as a new run folder."""
+    """Write a complete current snapshot as a new run folder, then commit
+    it by adding its stamp to the table of commits. A retried run adds it again,
+    which changes nothing."""
     path = f"{root}/run={_stamp(run_ts)}"
-    df.select("record_key", "body", "saved_at").write.mode("overwrite").parquet(path)
+    df.select("record_key", "body", "saved_at").hint("rebalance").write.mode("overwrite").parquet(path)
+    run = df.sparkSession.createDataFrame([(_stamp(run_ts),)], "run STRING")
+    run.coalesce(1).write.mode("append").parquet(_commits(root))
     return path
 
 
 def committed_runs(spark: SparkSession, root: str) -> list[str]:
-    """Names of run folders under ``root`` whose write committed (``_SUCCESS``
-    present), oldest first. A folder listing: metadata, not data."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    """Names of the committed runs under ``root``, oldest first: one short string a
+    run (metadata, not data)."""
+    try:
+        rows = spark.read.schema("run STRING").parquet(_commits(root)).distinct().collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return []
-    runs = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("run=") and \
-                fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            runs.append(name)
-    return sorted(runs)
+    return sorted(f"run={r[0]}" for r in rows)
 
 
 def read_current(spark: SparkSession, root: str, before: datetime | None = None) -> DataFrame:
@@ -76,15 +81,11 @@ def write_archive(df: DataFrame, root: str, run_ts: datetime) -> None:
     Dynamic partition overwrite replaces only this run's folders, so a retried
     run is idempotent and other runs of the same day are untouched.
     """
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (df.select("record_key", "version_ts", "body", "archive_date",
-                   F.lit(_stamp(run_ts)).alias("run"))
-         .write.mode("overwrite").partitionBy("archive_date", "run").parquet(root))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (df.select("record_key", "version_ts", "body", "archive_date", F.lit(_stamp(run_ts)).alias("run"))
+     # few files a folder; AQE splits a date that holds most rows
+     .hint("rebalance", "archive_date")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("archive_date", "run").parquet(root))
 
 
 def read_archive(spark: SparkSession, root: str, *, date_from: str | None = None,

@@ -91,16 +91,50 @@ def test_all_three_filters_conjunction(spark, inv):
     assert rows(plan, "name") == [("temp_a",)]
 
 
-def test_keyed_strategy_equals_loop(spark):
+def test_patterns_against_python(spark):
     inv = inventory_from_listing(fx.f_listing(spark, SMALL))
-    p = pats(spark, [(1, "Customer#", "7", None), (2, None, "00", None), (3, None, None, "12"),
-                     (4, "Cust_mer", None, None), (5, None, None, None), (6, None, "1", "0001"),
-                     (7, "Supplier#0", None, "9")])
-    n = normalize_patterns(p)
-    a = match_patterns(inv, n, "object", strategy="loop")
-    b = match_patterns(inv, n, "object", strategy="keyed")
-    assert a.count() > 0
-    assert rows(a, "pattern_id", "object") == rows(b, "pattern_id", "object")
+    raw = [(1, "Customer#", "7", None), (2, None, "00", None), (3, None, None, "12"),
+           (4, "Cust_mer", None, None), (5, None, None, None), (6, None, "1", "0001"),
+           (7, "Supplier#0", None, "9"), *((i, "Customer#0000000"[:i - 20], None, None) for i in range(30, 37))]
+    got = match_patterns(inv, normalize_patterns(pats(spark, raw)), "object")
+    want = [(i, r["object"]) for r in inv.collect() for i, p, s, c in raw if (p or s or c)
+            and r["object"].startswith(p or "") and r["object"].endswith(s or "") and (c or "") in r["object"]]
+    assert want and rows(got, "pattern_id", "object") == sorted(want, key=repr)
+
+
+def test_many_pattern_lengths(spark):
+    """No bound on patterns or lengths: 1,500 prefixes of as many lengths and 70 of one."""
+    name = "x" * 2000
+    inv = spark.createDataFrame([("c", "s", name, "table"), ("c", "s", "x" * 70, "table")],
+                                "catalog string, schema string, object string, object_type string")
+    many = [(i, "x" * i, None, None) for i in range(1, 1501)] + [(2000 + i, "x" * 69 + chr(97 + i % 26), None, None) for i in range(70)]
+    got = match_patterns(inv, normalize_patterns(pats(spark, many)), "object")
+    assert got.filter(F.length("object") == 2000).count() == 1500 + sum(i % 26 == 23 for i in range(70))
+    assert got.filter(F.length("object") == 70).count() == 70 + sum(i % 26 == 23 for i in range(70))
+
+
+def test_patterns_derived_from_the_inventory(spark, inv):
+    """Cleaning every schema there is: patterns and inventory are one table."""
+    m = cleanup_matrix(inv, inv.select("catalog", "schema"), ["temp"])
+    assert all(r["success"] for r in m.collect())
+    own = inv.select(F.col("object").alias("pattern_id"), F.col("object").alias("prefix"), F.lit(None).cast("string").alias("suffix"),
+                     F.lit(None).cast("string").alias("contains"), "catalog", "schema")
+    plan = plan_delete_by_pattern(inv, own)
+    assert plan.filter("outcome = 'error'").count() == 0
+    assert {r["name"] for r in plan.collect()} == {r["object"] for r in inv.collect()}
+
+
+def test_scopes(spark, inv):
+    p = spark.createDataFrame([(1, "t", "c", None), (2, "t", None, "s2"), (3, "t", "c", "s2"), (4, "t", "zz", None),
+                               (5, "t", None, "zz"), (6, "t", "c", "zz"), (7, "t", None, None)],
+                              "pattern_id int, prefix string, catalog string, schema string")
+    p = p.withColumn("suffix", F.lit(None).cast("string")).withColumn("contains", F.lit(None).cast("string"))
+    plan = plan_delete_by_pattern(inv, p).collect()
+    assert {r["pattern_id"] for r in plan if r["error"] == "Invalid catalog or schema"} == {4, 5, 6}
+    want = {(i, r["name"], r["schema"]) for i, c, s in [(1, "c", None), (2, None, "s2"), (3, "c", "s2"), (7, None, None)]
+            for r in plan if r["outcome"] == "executed" and r["pattern_id"] == 7
+            and (c is None or r["catalog"] == c) and (s is None or r["schema"] == s)}
+    assert {(r["pattern_id"], r["name"], r["schema"]) for r in plan if r["outcome"] == "executed"} == want
 
 
 def test_delete_rows_invariants(spark):
@@ -113,13 +147,17 @@ def test_delete_rows_invariants(spark):
     assert sorted(rows(res.not_found)) == [(-2,), (-1,)]
 
 
-def test_delete_rows_by_pattern_strategies(spark):
-    pages = fx.table(spark, SMALL, "pages")
-    p = fx.f_url_patterns(spark)
-    loop = delete_rows_by_pattern(pages, "url", p, ["page_id"], dry_run=False, strategy="loop")
-    keyed = delete_rows_by_pattern(pages, "url", p, ["page_id"], dry_run=False, strategy="keyed")
-    assert rows(loop.removed, "page_id") == rows(keyed.removed, "page_id")
-    assert loop.removed.count() + loop.survivors.count() == pages.count()
+@pytest.mark.parametrize("n", [1, 64, 65, 200])
+def test_rows_by_pattern_split_exactly(spark, n):
+    """Keys that are not unique or null, at any number of patterns."""
+    table = spark.createDataFrame([("h", "/en/x"), ("h", "/fr/y"), (None, "/en/z"), (None, None), ("k", "/fr/y")],
+                                  "k string, url string")
+    p = pats(spark, [(0, None, None, "/en/"), *((i, None, None, f"none{i}") for i in range(1, n)), (-1, "", "", "")])
+    res = delete_rows_by_pattern(table, "url", p, dry_run=False)
+    assert rows(res.removed) == sorted([("h", "/en/x"), (None, "/en/z")], key=repr)
+    assert rows(res.survivors) == sorted([("h", "/fr/y"), (None, None), ("k", "/fr/y")], key=repr)
+    assert rows(res.not_found) == sorted([(i, False) for i in range(1, n)] + [(-1, True)], key=repr)
+    assert delete_rows_by_pattern(table, "url", p).survivors.count() == 5
 
 
 def test_cleanup_matrix_and_tokens(spark, inv):

@@ -1,10 +1,15 @@
 """Batch jobs on temporary folders."""
 
+import json
 import os
 import tempfile
 from datetime import datetime
 
-from tablewarden.jobs import run_backup, run_restore, run_row_deletion
+import pytest
+
+from tablewarden.jobs import (
+    run_backup, run_create, run_reset, run_restore, run_row_deletion, run_version_import, select_stored,
+)
 from tablewarden.plans import fixtures as fx
 from tablewarden.sources.store import read_archive, read_current
 
@@ -46,3 +51,41 @@ def test_row_deletion_job(spark):
     kept = spark.read.parquet(out)
     assert kept.count() + fx.table(spark, SMALL, "documents").join(req, "doc_id", "left_semi").count() == \
         fx.table(spark, SMALL, "documents").count()
+
+
+def test_an_older_backup_is_an_error(spark):
+    root = tempfile.mkdtemp(prefix="tw-jobs-")
+    _captures(f"{root}/in", {"a": "{}"})
+    run_backup(spark, f"{root}/in", f"{root}/current", f"{root}/archive", datetime(2025, 3, 2))
+    with pytest.raises(ValueError, match="older"):
+        run_backup(spark, f"{root}/in", f"{root}/current", f"{root}/archive", datetime(2025, 3, 1))
+
+
+def test_create_and_reset_runs(spark):
+    root = tempfile.mkdtemp(prefix="tw-jobs-")
+    doc = lambda i, tag: json.dumps({"job_id": i, "settings": {"tags": {"t": tag}, "tasks": [{"task_key": "k"}]}})
+    _captures(f"{root}/in", {"a": doc(1, "x"), "b": doc(2, "y"), "c": "{broken", "d": json.dumps({"job_id": 4, "settings": {}})})
+    run_backup(spark, f"{root}/in", f"{root}/current", f"{root}/archive", datetime(2025, 3, 2))
+    listing = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "gone")], "job_id bigint, job_name string")
+    args = {"storage_path": "acct", "tags": {"o": "p"}, "target_root": "/Workspace/sample/"}
+    errors = run_create(spark, listing, f"{root}/current", f"{root}/all", **args)
+    assert rows(errors, "record_key") == [("c",), ("d",)]
+    assert json.loads(spark.read.parquet(f"{root}/all").filter("record_key = 'a'").first()["payload"])["tags"] == {"o": "p"}
+    assert run_create(spark, listing, f"{root}/current", f"{root}/some", want={"t": "x"}, **args).count() == 0
+    assert rows(spark.read.parquet(f"{root}/some"), "record_key") == [("a",)]
+    with pytest.raises(ValueError, match="invalid path"):
+        run_create(spark, listing, f"{root}/current", f"{root}/bad", **{**args, "storage_path": "a b"})
+    assert rows(run_reset(spark, listing, f"{root}/current", f"{root}/reset"), "record_key") == [("c",)]
+    assert spark.read.parquet(f"{root}/reset").filter("error IS NULL").count() == 3
+    chosen = select_stored(listing, read_current(spark, f"{root}/current"), {"t": "x"})
+    assert rows(chosen.skipped, "job_name", "reason") == [("c", "config unreadable"), ("gone", "config not found")]
+
+
+def test_version_files_can_be_restored(spark):
+    root = tempfile.mkdtemp(prefix="tw-jobs-")
+    _captures(f"{root}/in", {"job_a_20250814_100000": '{"v": 1}', "job_a_20250815_100000": '{"v": 2}', "job_a_99999999_999999": "{}"})
+    bad = run_version_import(spark, f"{root}/in", f"{root}/archive", datetime(2025, 9, 1))
+    assert rows(bad) == [("job_a_99999999_999999.json",)]
+    req = spark.createDataFrame([("job_a", "20250814_100000")], "record_key string, restore_stamp string")
+    assert run_restore(spark, req, f"{root}/current", f"{root}/archive", datetime(2025, 9, 2)).count() == 0
+    assert rows(read_current(spark, f"{root}/current"), "record_key", "body") == [("job_a", '{"v": 1}')]

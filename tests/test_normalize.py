@@ -10,6 +10,10 @@ from tablewarden.sources.listings import pipeline_entries
 from conftest import rows
 
 
+def create(store, **kw):
+    return create_from_stored(store, tags={"Application": "sample"}, target_root="/Workspace/sample/", **kw)
+
+
 def coerce(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
     return [r["s"] for r in coerce_booleans(df, "s").orderBy("i").collect()]
@@ -27,16 +31,10 @@ def test_coercion_cases(spark):
     assert json.loads(got[6]) == {"n": 2.5, "e": "tru"}
 
 
-def test_raw_coercion_agrees_with_canonical(spark):
-    from tablewarden.functions.jsonfix import coerce_boolean_json_raw
-    texts = ['{"a": "True", "b": [ "false" , "x"], "true": "TRUE", "c": {"d":"tRuE"}}',
-             '{\n  "k": "FALSE",\n  "s": "say \\"true\\", ok",\n  "e": "\\\\"\n}',
-             '  "true"  ', '[]', '{"q": "true:", "r": ",\\"false\\""}']
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
-    got = df.select("i", coerce_boolean_json_raw(F.col("s")).alias("r")).orderBy("i").collect()
-    canon = coerce(spark, texts)
-    for row, c in zip(got, canon):
-        assert json.loads(row["r"]) == json.loads(c)
+def test_coercion_at_any_distance(spark):
+    for n in (255, 256, 257, 5000):
+        got = coerce(spark, ['{"a":' + " " * n + '"true", "b": [' + "\n" * n + '"FALSE"]}'])[0]
+        assert json.loads(got) == {"a": True, "b": [False]}
 
 
 def test_coercion_is_idempotent(spark):
@@ -56,7 +54,7 @@ DOC = {"job_id": 7, "settings": {
          "notebook_task": {"notebook_path": "/Workspace/a/Workspace/b", "base_parameters": {"Path": "p", "z": "1"}},
          "flag": "True"},
         {"task_key": "pipe", "pipeline_task": {"pipeline_id": "p0", "full": True},
-         "notebook_task": {"notebook_path": "/Workspace/kicks/a"}},
+         "notebook_task": {"notebook_path": "/Workspace/sample/a"}},
         {"task_key": "t3", "notebook_task": {"notebook_path": "/Repos/x",
                                              "base_parameters": {"z": "2", "on": "TRUE", "n": 3}}},
         {"task_key": "t4", "notebook_task": {"notebook_path": "a/Workspace/b"}}]}}
@@ -66,33 +64,58 @@ def test_create_rewrites_and_keeps_unknown_fields(spark):
     lookup = spark.createDataFrame([("pipe", "NEW")], "name string, pipeline_id string")
     docs = [("job_a", DOC), ("job_b", {"job_id": 8, "settings": {"name": "b", "tasks": []}}),
             ("job_c", {"job_id": 9, "settings": {"name": "c"}})]
-    rw = create_from_stored(_store(spark, docs), lookup=lookup, cluster_id="C1", storage_path="S")
+    rw = create(_store(spark, docs), lookup=lookup, cluster_id="C1", storage_path="S")
     out = {r["record_key"]: json.loads(r["payload"]) for r in rw.records.collect()}
     s = out["job_a"]
-    assert s["name"] == "job_a" and "run_as" not in s and s["tags"] == {"Application": "kicks"}
+    assert s["name"] == "job_a" and "run_as" not in s and s["tags"] == {"Application": "sample"}
     assert s["schedule"] == {"pause_status": "PAUSED", "quartz": "0 0"}
     assert s["extra"] == {"keep": "me"}
     t1, t2, t3, t4 = s["tasks"]
     assert t1["existing_cluster_id"] == "C1" and "email_notifications" not in t1 and t1["flag"] is True
-    assert t1["notebook_task"] == {"notebook_path": "/Workspace/kicks/a/Workspace/b",
+    assert t1["notebook_task"] == {"notebook_path": "/Workspace/sample/a/Workspace/b",
                                    "base_parameters": {"z": "1", "Path": "S", "storage_account_name": "S"}}
     assert "existing_cluster_id" not in t2
     assert t2["pipeline_task"] == {"pipeline_id": "NEW", "full": True}
-    assert t2["notebook_task"]["notebook_path"] == "/Workspace/kicks/a"
+    assert t2["notebook_task"]["notebook_path"] == "/Workspace/sample/a"
     assert t3["notebook_task"] == {"notebook_path": "/Repos/x",
                                    "base_parameters": {"z": "2", "on": True, "n": 3}}
-    assert t4["notebook_task"]["notebook_path"] == "a/Workspace/kicks/b"
+    assert t4["notebook_task"]["notebook_path"] == "a/Workspace/sample/b"
     assert rows(rw.errors, "record_key", "error") == [
         ("job_b", "No tasks found in job config for job: job_b"),
         ("job_c", "No tasks found in job config for job: job_c")]
 
 
-def test_create_large_lookup_path_equals_map_path(spark):
-    lookup = spark.createDataFrame([("pipe", "NEW"), ("x", "1")], "name string, pipeline_id string")
-    st = _store(spark, [("job_a", DOC)])
-    small = create_from_stored(st, lookup=lookup, cluster_id="C1", storage_path="S")
-    large = create_from_stored(st, lookup=lookup, cluster_id="C1", storage_path="S", lookup_max_rows=1)
-    assert rows(small.records, "payload") == rows(large.records, "payload")
+def test_lookup_of_any_size_and_repeated_names(spark):
+    st = _store(spark, [("job_a", DOC), ("job_b", DOC)]).union(
+        spark.createDataFrame([(None, json.dumps(DOC))], "record_key string, body string"))
+    for extra in (0, 2, 20_000):
+        names = spark.range(extra).select(F.concat(F.lit("n"), "id").alias("name"), F.lit("x").alias("pipeline_id"), F.col("id").alias("pos"))
+        lookup = names.union(spark.createDataFrame([("pipe", "OLD", 1), ("pipe", "NEW", 9), (None, "none", 3), ("pipe", "MID", 5)],
+                                                   "name string, pipeline_id string, pos bigint"))
+        out = create(st, lookup=lookup, cluster_id="C1", storage_path="S").outcomes.collect()
+        assert len(out) == 3
+        for r in out:
+            if r["record_key"]:
+                assert [t.get("pipeline_task") for t in json.loads(r["payload"])["tasks"]] == [
+                    None, {"pipeline_id": "NEW", "full": True}, None, None]
+
+
+def test_tasks_that_are_no_objects_stay(spark):
+    doc = {"job_id": 1, "settings": {"tasks": ["x", None, 3, {"task_key": "k"}]}}
+    lookup = spark.createDataFrame([("k", "1")], "name string, pipeline_id string")
+    for kw in ({}, {"lookup": lookup}):
+        assert json.loads(create(_store(spark, [("a", doc)]), **kw).records.first()["payload"])["tasks"] == doc["settings"]["tasks"]
+        assert json.loads(reset_from_stored(_store(spark, [("a", doc)]), **kw).records.first()["payload"]) == {
+            "job_id": 1, "new_settings": doc["settings"]}
+
+
+def test_reset_needs_a_job_id_and_settings(spark):
+    st = spark.createDataFrame([("a", '{"job_id": 1}'), ("b", "[]"), ("c", '{"job_id": 1, "settings": []}'),
+                                ("d", '{"settings": {}}'), ("e", '{"job_id": 1, "settings": {}}')], "record_key string, body string")
+    assert rows(reset_from_stored(st).outcomes, "record_key", "payload", "error") == sorted([
+        ("a", None, "config has no settings object"), ("b", None, "config has no job_id"),
+        ("c", None, "config has no settings object"), ("d", None, "config has no job_id"),
+        ("e", '{"job_id":1,"new_settings":{}}', None)], key=repr)
 
 
 def test_reset_changes_only_cluster_and_pipeline(spark):
@@ -124,7 +147,7 @@ def test_unreadable_documents_go_to_errors(spark):
     st = spark.createDataFrame([("bad", '{"job_id": 1, "settings": '), ("dup", '{"a": 1, "a": 2}'),
                                 ("ok", json.dumps({"job_id": 2, "settings": {"tasks": [{"task_key": "k"}]}}))],
                                "record_key string, body string")
-    c = create_from_stored(st)
+    c = create(st)
     assert rows(c.errors, "record_key", "error") == [("bad", "config is not valid JSON"),
                                                      ("dup", "config is not valid JSON")]
     assert rows(c.records, "record_key") == [("ok",)]
@@ -137,7 +160,7 @@ def test_rewrite_keeps_nulls_and_mixed_types(spark):
     docs = [("a", {"job_id": 1, "settings": {"x": "s", "nul": None, "tasks": [{"task_key": "k", "odd": None}]}}),
             ("b", {"job_id": 2, "settings": {"x": {"deep": [1, "TRUE"]}, "tasks": [{"task_key": "k",
                                                                                  "notebook_task": "not an object"}]}})]
-    out = {r["record_key"]: json.loads(r["payload"]) for r in create_from_stored(_store(spark, docs)).records.collect()}
+    out = {r["record_key"]: json.loads(r["payload"]) for r in create(_store(spark, docs)).records.collect()}
     assert out["a"]["nul"] is None and "nul" in out["a"] and out["a"]["x"] == "s"
     assert out["a"]["tasks"] == [{"task_key": "k", "odd": None}]
     assert out["b"]["x"] == {"deep": [1, True]}

@@ -3,8 +3,10 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from tablewarden.plans.fixtures import TABLES
+from tablewarden.plans.oracle import ORACLE_SQL
+from tablewarden.plans.queries import QUERIES
 from tools.oracle_check import _digest
 
 from conftest import SMALL
@@ -19,14 +21,14 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    df = queries()[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     s_rows = [tuple(r) for r in df.collect()]
-    res = con.execute(oracle_sql()[name])
+    res = con.execute(ORACLE_SQL[name])
     d_cols = [c[0] for c in res.description]
     d_rows = res.fetchall()
     assert sorted(df.columns) == sorted(d_cols)

@@ -2,9 +2,8 @@
 
 import pytest
 
-from __spark_entry__ import queries
-from tablewarden.operators import inventory_from_listing, plan_delete_by_pattern
 from tablewarden.plans import fixtures as fx
+from tablewarden.plans.queries import QUERIES
 
 from conftest import SMALL
 
@@ -13,9 +12,9 @@ def plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_in_plans(spark, name):
-    text = plan_text(queries()[name](spark, SMALL))
+    text = plan_text(QUERIES[name](spark, SMALL))
     for marker in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas"):
         assert marker not in text
 
@@ -28,20 +27,31 @@ def test_prefix_filter_reaches_parquet_scan(spark):
     assert "ReadSchema: struct<page_id:bigint,url:string>" in text
 
 
-def test_pattern_join_broadcasts_patterns(spark):
-    inv = inventory_from_listing(fx.f_listing(spark, SMALL))
-    text = plan_text(plan_delete_by_pattern(inv, fx.f_patterns(spark)))
-    assert "BroadcastNestedLoopJoin" in text or "BroadcastHashJoin" in text
-    assert "CartesianProduct" not in text
+@pytest.mark.parametrize("name", ["q_cleanup_matrix", "q_cleanup_token", "q_delete_by_pattern", "q_rows_by_pattern",
+                                  "q_rows_by_pattern_survive", "q_listing_match"])
+def test_no_all_pairs_join(spark, name):
+    df = QUERIES[name](spark, SMALL)
+    df.collect()
+    text = plan_text(df)
+    assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
 
 
-@pytest.mark.parametrize("name", ["q_create_tasks", "q_reset_tasks"])
-def test_small_lookup_is_a_constant_not_a_row_column(spark, name):
-    text = plan_text(queries()[name](spark, SMALL))
-    assert "Subquery" not in text  # a scalar subquery would be projected into every record
+@pytest.mark.parametrize("name", ["q_restore_latest", "q_restore_exact"])
+def test_restore_fetches_chosen_bodies_only(spark, name):
+    """One scan reads bodies; those that choose the versions read two columns."""
+    import re
+    schemas = re.findall(r"ReadSchema: (\S+)", plan_text(QUERIES[name](spark, SMALL)))
+    assert sum("props" in s for s in schemas) == 1
 
 
-def test_version_history_has_no_single_key_window(spark):
+def test_version_history_has_no_whole_key_window_of_versions(spark):
+    import re
     from tablewarden.operators.versions import version_history
     text = plan_text(version_history(fx.f_archive(spark, SMALL)))
-    assert "_pid" in text  # ranked within (partition, key), not per key alone
+    specs = re.findall(r"row_number\(\) windowspecdefinition\(([^,]+), ([^,]+)", text)
+    assert specs and all("_hour" in second for _, second in specs) and "checkpoint" not in text.lower()
+
+
+def test_tags_are_read_below_the_join(spark):
+    plan = QUERIES["q_tag_filter"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "tags" not in plan[:plan.index("Join")]

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablewarden.functions.jsonfix import coerce_boolean_json, coerce_boolean_json_raw
+from tablewarden.functions.jsonfix import coerce_boolean_json
 from tablewarden.functions.text import affix_match, split_key_value
 from tablewarden.operators.patterns import match_patterns, normalize_patterns
 
@@ -37,15 +37,13 @@ def test_affix_match_is_python_semantics(spark, cases):
 @settings(max_examples=3, deadline=None)
 @given(st.lists(names, min_size=20, max_size=40, unique=True),
        st.lists(st.tuples(parts, parts, parts), min_size=1, max_size=12))
-def test_keyed_and_loop_strategies_match_python(spark, objs, pats):
+def test_pattern_join_is_python_semantics(spark, objs, pats):
     rows = spark.createDataFrame([(o,) for o in objs], "object string")
     p = normalize_patterns(spark.createDataFrame(
         [(i, *c) for i, c in enumerate(pats)], "pattern_id int, prefix string, suffix string, contains string"))
     want = sorted((i, o) for i, c in enumerate(pats) for o in objs if any(c) and py_affix(o, *c))
-    for strategy in ("loop", "keyed"):
-        got = sorted((r["pattern_id"], r["object"]) for r in
-                     match_patterns(rows, p, "object", strategy=strategy).collect())
-        assert got == want, strategy
+    got = sorted((r["pattern_id"], r["object"]) for r in match_patterns(rows, p, "object").collect())
+    assert got == want
 
 
 def py_coerce(v):
@@ -72,12 +70,10 @@ json_values = st.recursive(
 def test_coercion_is_python_semantics(spark, docs, indent):
     texts = [json.dumps(d, indent=indent) for d in docs]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
-    out = df.select("i", coerce_boolean_json(F.col("s")).alias("c"),
-                    coerce_boolean_json_raw(F.col("s")).alias("r")).collect()
+    out = df.select("i", coerce_boolean_json(F.col("s")).alias("c")).collect()
     for r in out:
         want = py_coerce(docs[r["i"]])
         assert json.loads(r["c"]) == want
-        assert json.loads(r["r"]) == want
 
 
 @settings(max_examples=4, deadline=None)

@@ -6,7 +6,9 @@ from tablewarden.operators import (
     check_paths, check_report, expand_grants, filter_by_tags, parse_tag_filters, pick_preferred,
     select_records,
 )
-from tablewarden.sources.listings import decode_positional, job_listing, rows_to_frame
+from tablewarden.sources.listings import (
+    capture_errors, decode_positional, job_listing, rows_to_frame, statement_errors,
+)
 
 from conftest import rows
 
@@ -24,11 +26,13 @@ def test_tag_filter_subset_missing_and_unreadable(spark):
                                     "job_id bigint, job_name string")
     cfg = spark.createDataFrame([
         (1, json.dumps({"settings": {"tags": {"Application": "Kicks", "x": "y"}}})),
-        (2, json.dumps({"settings": {"tags": {"Application": "kicks"}}})),
+        (2, json.dumps({"settings": {"tags": {"Application": "kicks", "n": 1}}})),
         (3, json.dumps({"settings": {}})), (4, "{not json")], "job_id bigint, body string")
     got = rows(filter_by_tags(listing, cfg, {"Application": "Kicks"}), "job_id", "status", "reason")
     assert got == [(1, "matched", None), (4, "skipped", "config unreadable"), (5, "skipped", "config not found")]
     assert filter_by_tags(listing, cfg, {}).filter("status = 'matched'").count() == 3
+    typed = lambda want: rows(filter_by_tags(listing, cfg, want).filter("status = 'matched'"), "job_id")
+    assert typed({"n": 1}) == [(2,)] and typed({"n": "1"}) == [] and typed({"n": True}) == []
 
 
 def test_select_records_exact_first_and_all(spark):
@@ -43,6 +47,14 @@ def test_select_records_exact_first_and_all(spark):
     assert sel == [("", 1, 3), ("ETL", 2, 3)]
 
 
+def test_unreadable_captures_are_errors(spark):
+    caps = spark.createDataFrame([(0, '{"jobs": ['), (1, "{}"), (2, None), (3, '{"status": {"state": "FAILED"}}'),
+                                  (4, '{"status": {"state": "SUCCEEDED"}, "result": {}}')], "capture_pos int, doc string")
+    bad = "response is not valid JSON"
+    assert rows(capture_errors(caps, keep=["capture_pos"])) == [(0, bad), (2, bad)]
+    assert rows(statement_errors(caps, keep=["capture_pos"])) == [(0, bad), (2, bad), (3, "Statement failed")]
+
+
 def test_empty_listing_has_a_schema(spark):
     df = rows_to_frame(spark, [], "job_id bigint, job_name string")
     assert df.count() == 0 and df.columns == ["job_id", "job_name"]
@@ -65,9 +77,9 @@ def test_check_report(spark):
 
 def test_grants(spark):
     jobs = spark.createDataFrame([(1, "a")], "job_id bigint, job_name string")
-    got = rows(expand_grants(jobs), "principal_kind", "permission_level")
-    assert got == [("group", "CAN_MANAGE"), ("group", "CAN_MANAGE"), ("group", "CAN_VIEW"),
-                   ("service_principal", "IS_OWNER")]
+    acl = [{"group_name": "g", "permission_level": "CAN_VIEW"}, {"service_principal_name": "p", "permission_level": "IS_OWNER"}]
+    got = rows(expand_grants(jobs, acl), "grant_pos", "principal_kind", "permission_level")
+    assert got == [(0, "group", "CAN_VIEW"), (1, "service_principal", "IS_OWNER")]
 
 
 def test_positional_and_paths(spark):
