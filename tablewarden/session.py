@@ -46,10 +46,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     unset (tests, local runs) do we create a private scratch folder.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
-        current = tempfile.mkdtemp(prefix="tw-ckpt-")
-    sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+    if not sc.getCheckpointDir():
+        base = sc.getConf().get("spark.checkpoint.dir", None)
+        if not base:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
+            base = tempfile.mkdtemp(prefix="tw-ckpt-")
+        # once a session: each call makes a new folder below the one it is given
+        sc.setCheckpointDir(base)
+    return sc.getCheckpointDir()

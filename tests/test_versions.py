@@ -127,3 +127,8 @@ def test_backup_keeps_one_current_row_per_key(spark):
     assert b.current.count() == b.current.select("record_key").distinct().count()
     keys = fx.f_incoming(spark, SMALL).select("record_key").union(fx.f_current(spark, SMALL).select("record_key"))
     assert b.current.count() == keys.distinct().count()
+
+
+def test_checkpoint_dir_is_one_folder_a_session(spark):
+    from tablewarden.session import checkpoint_dir
+    assert len({checkpoint_dir(spark) for _ in range(5)}) == 1
