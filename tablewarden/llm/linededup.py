@@ -8,10 +8,10 @@ doc_id, then line number; null ids last), whether or not that line stays itself.
 Lines without words are neither compared nor removed.
 
 Steps
-1. Equal lines become classes: 128-bit hash, earliest place. All that follows is
+1. Equal lines become classes: 96-bit hash, earliest place. All that follows is
    per class, so thousands of copies of a line cost one row.
 2. Prefilter without loss: of two lines one word apart, either the first or the
-   last half of the shorter is intact in the other, so each class has four hashed
+   last half of the shorter is intact in the other, so each class has three hashed
    halves; classes that share none with another are done.
 3. The others emit all variants within the bound as hashed keys. Replaced word i:
    (length, i, sum of positional word hashes without word i). Deleted word i: the
@@ -20,7 +20,10 @@ Steps
 4. Equal keys are joined. All lines that share a replacement key are within the
    bound of each other, so each meets the earliest only; a deletion key pairs a
    whole line with its one-word-longer neighbours. Neither makes all pairs of a group.
-5. The edit is verified word by word, and the later class is removed.
+5. The edit distance is verified on the words, and the later class is removed.
+
+Tables of shared keys are written before they are joined: AQE splits a hot key
+only where both sides of a join come straight from a shuffle or a table.
 
 Null texts count as empty and stay null. Rows that repeat a doc_id and text are the
 same document: they keep the same lines. Extra columns are kept by ``dedup_lines``.
@@ -60,13 +63,15 @@ def _doc_lines(docs: DataFrame) -> DataFrame:
 
 
 def _halves(words: Column, n: Column) -> Column:
-    """Hashed halves under which a line of n words meets lines of n, n + 1 and n - 1 words."""
-    def of(m: Column) -> list[Column]:
-        h = F.floor(m / 2).cast("int")
-        return [_hash(0, m, F.slice(words, F.lit(1), h)), _hash(1, m, F.slice(words, n - m + h + 1, m - h))]
-
-    return (F.when(n < MIN_WORDS, F.array().cast("array<bigint>")).when(n == MIN_WORDS, F.array(*of(n)))
-            .otherwise(F.array(*of(n), *of(n - 1))))
+    """Hashed halves under which a line of n words meets lines of n, n + 1 and n - 1
+    words: the first floor(m / 2) and the last ceil(m / 2) for m of n and n - 1. One
+    of the two lengths is the same for both, so there are three."""
+    low = F.floor((n - 1) / 2).cast("int")
+    front = lambda h: _hash(0, F.slice(words, F.lit(1), h))
+    back = lambda h: _hash(1, F.slice(words, n - h + 1, h))
+    odd = F.array(front(low), back(low + 1), back(low))
+    even = F.array(front(low + 1), front(low), back(low + 1))
+    return (F.when(n < MIN_WORDS, F.array().cast("array<bigint>")).when(n % 2 == 1, odd).otherwise(even))
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -75,14 +80,15 @@ def _classes(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "no")
     return (_doc_lines(docs)
             .select(F.xxhash64("words").alias("h1"),
-                    F.xxhash64(F.lit(1), "words").alias("h2"), place.alias("place"), _halves(F.col("words"), n).alias("halves"))
+                    F.hash("words").alias("h2"), place.alias("place"), _halves(F.col("words"), n).alias("halves"))
             .groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("halves").alias("halves")))
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
     """The classes that share a half with another class."""
     halves = classes.select("h1", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("half")
+    # the halves of one class differ, so two rows of a half are two classes
+    shared = scratch(halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half"), "halves")
     ids = halves.join(shared, "half", "left_semi").select("h1").distinct()
     return classes.join(ids, "h1", "left_semi").select("h1", "h2", "first")
 
@@ -110,39 +116,44 @@ def _variants(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                                _sum(F.col("pairs")).alias("pair_sum")), "line-sums")
     minus = lambda a, *bs: reduce(lambda x, b: (x - b).bitwiseAND(F.lit(_MASK)), bs, a)
     at = F.sequence(F.lit(0), F.col("n") - 1)
-    replaced = sums.select("h1", "h2", "first", F.posexplode(F.transform(
-        "own", lambda h, i: _hash(4, F.col("n"), i, minus(F.col("own_sum"), h)))).alias("i", "key"))
+    replaced = sums.select("h1", "h2", "first", F.explode(F.transform(
+        "own", lambda h, i: _hash(4, F.col("n"), i, minus(F.col("own_sum"), h)))).alias("key"))
     less = lambda i: (minus(F.col("pair_sum"), F.get("pairs", i), F.get("pairs", i + 1)) + link(
         F.when(i > 0, F.get("words", i - 1)), F.get("words", i + 1))).bitwiseAND(F.lit(_MASK))
-    deleted = sums.where(F.col("n") > MIN_WORDS).select("h1", "h2", "first", F.posexplode(F.transform(
-        at, lambda i: _hash(5, F.col("n") - 1, less(i)))).alias("i", "key"))
+    deleted = sums.where(F.col("n") > MIN_WORDS).select("h1", "h2", "first", F.explode(F.array_distinct(F.transform(
+        at, lambda i: _hash(5, F.col("n") - 1, less(i))))).alias("key"))
     whole = sums.select("h1", "h2", "first", _hash(5, F.col("n"), F.col("pair_sum")).alias("key"))
     return replaced, deleted, whole
 
 
+def _one_apart(x: Column, y: Column) -> Column:
+    """Whether word arrays differ by at most one inserted, deleted or replaced word:
+    the words they share from the front and from the back leave one at most."""
+    def shared(a: Column, b: Column) -> Column:
+        equal = F.zip_with(a, b, lambda u, v: F.coalesce(u == v, F.lit(False)))
+        return let(F.array_position(equal, False), lambda p: F.when(p > 0, p - 1).otherwise(F.size(a)))
+
+    return shared(x, y) + shared(F.reverse(x), F.reverse(y)) >= F.greatest(F.size(x), F.size(y)) - 1
+
+
 def _near(lines: DataFrame) -> DataFrame:
-    """(h1, h2) of the classes that have a near class with an earlier first place."""
+    """The first places of the classes that have a near class with an earlier one."""
     replaced, deleted, whole = _variants(lines)
-    earliest = (replaced.groupBy("key").agg(F.min(F.struct("first", "h1", "h2")).alias("e"), F.count("*").alias("c"))
-                .where("c > 1").select("key", "e"))
+    earliest = scratch(replaced.groupBy("key").agg(F.min(F.struct("first", "h1", "h2")).alias("e"), F.count("*").alias("c"))
+                       .where("c > 1").select("key", "e"), "replacements")
     by_replacing = replaced.join(earliest, "key").where(F.col("e.first") < F.col("first")).select(
-        F.struct("h1", "h2").alias("later"), F.struct("e.h1", "e.h2").alias("earlier"), "i", F.lit(False).alias("cut"),
-        F.lit(False).alias("cut_later"))
+        F.struct("h1", "h2").alias("later"), F.struct("e.h1", "e.h2").alias("earlier"))
     other = whole.select("key", F.struct("h1", "h2").alias("w"), F.col("first").alias("w_first"))
     first, mine = F.col("first") < F.col("w_first"), F.struct("h1", "h2")
     by_deleting = deleted.join(other, "key").select(
-        F.when(first, F.col("w")).otherwise(mine).alias("later"), F.when(first, mine).otherwise(F.col("w")).alias("earlier"),
-        "i", F.lit(True).alias("cut"), (~first).alias("cut_later"))
-    # one deletion can be read at several places of a run of equal words
-    pairs = by_replacing.unionByName(by_deleting).groupBy("later", "earlier", "cut", "cut_later").agg(F.min("i").alias("i"))
+        F.when(first, F.col("w")).otherwise(mine).alias("later"), F.when(first, mine).otherwise(F.col("w")).alias("earlier"))
+    pairs = by_replacing.union(by_deleting).distinct()
     text = lines.select(F.struct("h1", "h2").alias("line"), "words")
     both = (pairs.join(text.select(F.col("line").alias("later"), F.col("words").alias("x")), "later")
             .join(text.select(F.col("line").alias("earlier"), F.col("words").alias("y")), "earlier"))
-    without = lambda ws: F.concat(F.slice(ws, F.lit(1), F.col("i")), F.slice(ws, F.col("i") + 2, F.size(ws)))
-    x, y = F.col("x"), F.col("y")
-    same = (F.when(~F.col("cut"), (F.size(x) == F.size(y)) & (without(x) == without(y)))
-            .when(F.col("cut_later"), without(x) == y).otherwise(x == without(y)))
-    return both.where(same).select("later.h1", "later.h2").distinct()
+    same = _one_apart(F.col("x"), F.col("y"))
+    return both.where(same).select("later").distinct().join(
+        lines.select(F.struct("h1", "h2").alias("later"), "first"), "later").select("first")
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -150,13 +161,14 @@ def dedup_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n_lines and n_removed (replacing any of that name)."""
     named = docs.select(*(F.col(c).alias("doc_id" if c == "doc_id" else "text" if c == text_col else f"x_{c}")
                           for c in docs.columns))
-    named = named.withColumn("text_hash", F.xxhash64("text"))
+    named = named.withColumn("text_hash", F.hash("text"))
     own = named.select("doc_id", "text", "text_hash")
     classes = scratch(_classes(own), "line-classes")
     lines = scratch(_with_words(_candidates(classes), own), "line-words")
-    kept = (classes.join(_near(lines), ["h1", "h2"], "left_anti")
-            .groupBy(F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("t"))
-            .agg(F.collect_list("first.no").alias("kept")))
+    firsts = classes.select("first", F.lit(True).alias("own")).union(_near(lines).select("first", F.lit(False)))
+    of = lambda own: F.collect_list(F.when(F.col("own") == own, F.col("first.no")))
+    kept = (firsts.groupBy(F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("t"))
+            .agg(F.array_except(of(True), of(False)).alias("kept")))
     joined = named.join(kept, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
     first = F.coalesce("kept", F.array().cast("array<int>"))
 
