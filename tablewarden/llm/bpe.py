@@ -9,7 +9,8 @@ aggregation turns token rows into ids, and back into bytes for decoding. A text'
 ids and bytes are those of its words in order.
 
 Memory: words go to DuckDB in groups of bounded bytes, in one thread, without
-spilling; known words are kept per task up to MAX_KEPT bytes and then forgotten.
+spilling; known words are kept per worker process up to about MAX_KEPT bytes and
+then forgotten.
 A word longer than LONG bytes (a run of one class of characters) takes a heap of
 the same pairs in place of rows, as the query visits a word once for each merge;
 the result is the same. Null and empty texts have no ids; rows are independent,
@@ -21,6 +22,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import sys
+import types
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tablewarden.llm.common import small, table, to_arrow
 
 GROUP_BYTES = 400_000
-MAX_KEPT = 128 << 20
+MAX_KEPT = 256 << 20
 LONG = 512
 
 # key: rank and place of a pair in one number, so that its least is the leftmost of least rank
@@ -84,8 +87,8 @@ class Encoder:
         self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.by_id = {r: w for w, r in ranks.items()}
 
-    def _keep(self, word: str, ids: list[int], decoded: bytes) -> None:
-        self.known[word] = np.array(ids, "<u4").tobytes(), decoded
+    def _keep(self, word: str, ids: bytes, decoded: bytes) -> None:
+        self.known[word] = ids, decoded
         self.kept += 150 + 6 * len(decoded)
 
     def _learn(self, words: list[str]) -> None:
@@ -98,8 +101,13 @@ class Encoder:
         self.db.register("start", start)
         found = self.db.sql(ENCODE).to_arrow_table()
         self.db.unregister("start")
-        for i, ids, code in zip(*(found.column(c).to_pylist() for c in ("word", "ids", "hex"))):
-            self._keep(words[i], ids, bytes.fromhex(code))
+        ids = found.column("ids").combine_chunks()
+        data = ids.flatten().to_numpy().astype("<u4").tobytes()
+        ends = (np.cumsum(ids.value_lengths().to_numpy()) * 4).tolist()
+        start = 0
+        for i, end, code in zip(found.column("word").to_pylist(), ends, found.column("hex").to_pylist()):
+            self._keep(words[i], data[start:end], bytes.fromhex(code))
+            start = end
 
     def _learn_long(self, word: str) -> None:
         """The same contraction for one long word, with a heap of its pairs."""
@@ -120,7 +128,7 @@ class Encoder:
                 if k >= 0 and (r := rank(k)) is not None:
                     heapq.heappush(heap, (r, k, toks[k], toks[nxt[k]]))
         ids = [self.ranks[t] for t in toks if t]
-        self._keep(word, ids, b"".join(self.by_id[i] for i in ids))
+        self._keep(word, np.array(ids, "<u4").tobytes(), b"".join(self.by_id[i] for i in ids))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, decoded bytes) of each text."""
@@ -146,6 +154,15 @@ class Encoder:
         return out
 
 
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this worker process and rank file. Spark's workers run many
+    tasks; a later one starts with the words that earlier ones have met."""
+    kept = sys.modules.setdefault("tablewarden_encoders", types.ModuleType("tablewarden_encoders")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = False,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row; with ``keep_ids``
@@ -162,7 +179,7 @@ def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = False,
             for part in small(batch):
                 if not part.num_rows:
                     continue
-                encoder = encoder or Encoder(path)
+                encoder = encoder or encoder_of(path)
                 coded = encoder.encode([t or "" for t in part.column(1).to_pylist()])
                 columns = [part.column(0), [len(i) // 4 for i, _ in coded],
                            [hashlib.sha256(i).hexdigest() for i, _ in coded],
