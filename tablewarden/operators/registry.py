@@ -53,6 +53,9 @@ def select_records(listing: DataFrame, names: DataFrame, *, name_col: str = "job
     # "empty name lists everything" branch (a second listing scan) is needed.
     if req.filter(F.col("name") == "").limit(1).count() > 0:
         pairs = pairs.unionByName(lowered.withColumn("name", F.lit("")))
+    # Read twice below, by the aggregate and by the join to it: one shuffle of the
+    # pairs, reused, in place of matching twice; it has no key that could be hot.
+    pairs = pairs.select("name", id_col, name_col, "_lname").hint("rebalance")
     rank = F.struct((F.col("_lname") != F.lower("name")).alias("_inexact"), F.col(id_col).alias("_id"))
     best = pairs.groupBy("name").agg(F.count(F.lit(1)).alias("n_matches"), F.min(rank).alias("_best"))
     # One row per requested name; AQE broadcasts it from its measured size.
