@@ -20,7 +20,7 @@ Factors of a document are joined to spans and cut from its words.
 
 Scale: copies collapse in step 1, so step 2 sees distinct phrases only. All lookups
 pre-aggregate a least doc_id per key before the shuffle, and join it back one row
-to many, which AQE may split; no pairs of documents are made. Phrases and windows
+to many from a written table, which AQE may split; no pairs of documents are made. Phrases and windows
 are compared by 64-bit polynomial hashes of 64-bit word hashes.
 
 Null and empty texts have no words. Rows of a null doc_id neither lose words nor
@@ -172,7 +172,7 @@ def _windows(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
 
 def _earlier(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` with ``first``, the least doc_id of the row's key."""
-    return rows.join(rows.groupBy(key).agg(F.min("doc_id").alias("first")), key)
+    return rows.join(scratch(rows.groupBy(key).agg(F.min("doc_id").alias("first")), key), key)
 
 
 def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -180,15 +180,17 @@ def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ``docs`` has doc_id, text and text_hash."""
     named = docs.where(F.col("doc_id").isNotNull())
     phrases = scratch(_phrases(named, window), "phrases")
-    again = phrases.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    again = scratch(phrases.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "grams")
     shared = scratch(phrases.join(again, "gram", "left_semi"), "shared")
     owned = scratch(_earlier(shared, "phrase"), "owned")
     whole = owned.where("first < doc_id").select("doc_id", "text_hash", "start", (F.col("start") + F.col("windows") - 1 + window).alias("end"))
     firsts = owned.where("first = doc_id")
-    split_grams = (firsts.select("gram", "phrase").distinct().groupBy("gram").agg(F.count("*").alias("c"))
-                   .where("c > 1").select("gram"))
+    split_grams = scratch(firsts.select("gram", "phrase").distinct().groupBy("gram").agg(F.count("*").alias("c"))
+                          .where("c > 1").select("gram"), "split-grams")
     looked_up = scratch(_windows(named, firsts.join(split_grams, "gram", "left_semi"), window), "windows")
-    single = _earlier(looked_up, "hash").where("first < doc_id").select(
+    found = scratch(looked_up.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+                    .where("first < last").select("hash", "first"), "found")
+    single = looked_up.join(found, "hash").where("first < doc_id").select(
         "doc_id", "text_hash", "start", (F.col("start") + window).alias("end"))
     return whole.union(single)
 
