@@ -40,11 +40,15 @@ from tablewarden.llm.common import let, scratch, table
 
 MIN_WORDS = 5
 SPACE = r"[ \t\n\x0B\f\r]+"
+WORD = r"[^ \t\n\x0B\f\r]"
 _MASK = (1 << 62) - 1
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, SPACE), lambda w: w != "")
+    """The words of a line; most lines have single spaces only, and need no regex."""
+    odd = reduce(lambda a, b: a | b, [line.contains(s) for s in ("  ", "\t", "\v", "\f", "\r")])
+    plain = ~(odd | (line == "") | line.startswith(" ") | line.endswith(" "))
+    return F.when(plain, F.split(line, " ")).otherwise(F.filter(F.split(line, SPACE), lambda w: w != ""))
 
 
 def _hash(*parts) -> Column:
@@ -59,7 +63,8 @@ def _sum(hashes: Column) -> Column:
 def _doc_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, no, words of every line that has words."""
     lines = docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return lines.select("doc_id", "text_hash", "no", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
+    # a filter on the words would be pushed below and split each line twice
+    return lines.where(F.col("line").rlike(WORD)).select("doc_id", "text_hash", "no", _words(F.col("line")).alias("words"))
 
 
 def _halves(words: Column, n: Column) -> Column:
@@ -174,7 +179,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def rebuild(ls: Column) -> Column:
         """The kept lines and those without words, in their order; set operations keep it linear."""
-        blank = F.filter(F.transform(ls, lambda x, i: F.when(~x.rlike(r"[^ \t\n\x0B\f\r]"), i)), lambda i: i.isNotNull())
+        blank = F.filter(F.transform(ls, lambda x, i: F.when(~x.rlike(WORD), i)), lambda i: i.isNotNull())
         return let(F.array_sort(F.array_union(blank, first)), lambda at: F.struct(
             F.array_join(F.transform(at, lambda i: F.get(ls, i)), "\n").alias("text"),
             F.size(ls).alias("n_lines"), (F.size(ls) - F.size(at)).alias("n_removed")))

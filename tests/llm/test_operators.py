@@ -152,7 +152,7 @@ def test_lines_against_all_pairs(spark):
                 k = rng.randrange(len(w))
                 w[k:k + rng.choice([0, 1])] = [rng.choice("abcdxy")][:rng.choice([0, 1])]
                 w = w or ["a"]
-            lines.append(rng.choice([" ", "  "]).join(w))
+            lines.append(rng.choice(["", "", " "]) + rng.choice([" ", "  ", "\t"]).join(w))
         docs.append((i, "\n".join(lines) + rng.choice(["", "\n", "\n \n"])))
     places = [(i, n, line, line.split()) for i, t in docs for n, line in enumerate(t.split("\n"))]
     want = {}
