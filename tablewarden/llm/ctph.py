@@ -167,7 +167,7 @@ def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
 def with_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document."""
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {id_type}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
