@@ -67,7 +67,3 @@ def to_arrow(fields) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(fields)
-
-
-def row_count(df: DataFrame) -> int:
-    return df.count()

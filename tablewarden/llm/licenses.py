@@ -137,8 +137,9 @@ def inherit(own: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))))
     above = here.where(F.col("directory").isNotNull()).select("directory").distinct().select(
         "directory", F.posexplode(ancestors).alias("depth", "above"))
-    nearest = above.join(governed, "above").groupBy("directory").agg(
-        F.max_by(F.struct("file", "file_score", "from_path"), "depth").alias("up"))
+    # written, so that a directory that holds most rows can be split or its licence broadcast
+    nearest = scratch(above.join(governed, "above").groupBy("directory").agg(
+        F.max_by(F.struct("file", "file_score", "from_path"), "depth").alias("up")), "nearest")
     met = here.join(nearest, "directory", "left")
     pick = lambda file, header, up, none: (F.when(F.col("file").isNotNull(), file).when(F.col("header").isNotNull(), header)
                                            .when(F.col("up").isNotNull(), up).otherwise(none))
