@@ -14,8 +14,8 @@ Fitting uses at most ``max_rows`` labelled documents, those first by a hash of
 their id, of at most ``max_chars`` characters each (documented bounds: the fit is
 one bounded job). Scoring covers every whole text. Null and empty texts have no
 sentence and score 0. Rows are scored one by one: ties and repeated rows get
-equal scores. With no labelled row, or one class only, every score is the base
-rate (0 without labels) for any text with a sentence. Labels of null ids or null
+equal scores. With no labelled row, or one class only, every sentence scores the
+base rate (about 0 without labels). Labels of null ids or null
 values are not used; a document with contradicting labels counts as toxic.
 """
 
@@ -95,12 +95,14 @@ def fit(rows: Iterable[tuple[float, list[list[int]]]], steps: int = 100, rate: f
         p = float(y.mean()) if len(y) else 0.0
         return Model({}, float(np.log(max(p, 1e-9) / max(1 - p, 1e-9))))
     flat = np.concatenate(words)
-    sent_of = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    sent_of = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
+    n_sents = len(words)
+    del words  # the arrays below hold all that is needed; this is the fit's largest memory
     n, p = seen.sum(0), float(y.mean())
     chosen = (n >= min_docs) & (np.abs(seen[1] - n * p) >= min_z * np.sqrt(n * p * (1 - p)))
     flat, sent_of = flat[chosen[flat]], sent_of[chosen[flat]]
     ids, flat = np.unique(flat, return_inverse=True)
-    doc_of, n_sents, n_docs = np.array(doc_of), len(words), len(y)
+    doc_of, n_docs = np.array(doc_of), len(y)
     w, b = np.zeros(len(ids)), -4.0
     m, v = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
     weight = np.where(y > 0, min(5.0, (1 - y.mean()) / y.mean()) ** 0.5, 1.0)
