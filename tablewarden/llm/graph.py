@@ -1,7 +1,7 @@
 """Connected components of a link table, by alternating large-star and small-star
 joins. Nothing is collected but two numbers a round; each round is cut by a table
 in the shared folder. Hubs are safe: minima are pre-aggregated before the shuffle
-and the join back has one row per node on the other side, which AQE can split."""
+and written, so the join back has one row per node on a plain side, which AQE can split."""
 
 from __future__ import annotations
 
@@ -13,13 +13,13 @@ from tablewarden.llm.common import scratch
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = scratch(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Edges point from the larger node ``a`` to the smaller ``b``."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = scratch(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     linked = edges.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return linked.union(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -36,6 +36,6 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(seen) == state or not seen[0]:
             break
         state = tuple(seen)
-        edges = scratch(_small_star(_large_star(edges)), "star")
+        edges = scratch(_small_star(scratch(_large_star(edges), "large-star")), "star")
     roots = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -143,8 +143,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in MASKS]
     postings = fps.select("fp").distinct().select("fp", F.posexplode(
         F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("t", "m"))
-    lists = (postings.groupBy("t", "m").agg(F.count("*").alias("n")).where("n > 1")
-             .select("t", "m", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    lists = scratch(postings.groupBy("t", "m").agg(F.count("*").alias("n")).where("n > 1")
+                    .select("t", "m", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "lists")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     met = (postings.join(lists, ["t", "m"])
            .select("t", "m", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
@@ -158,16 +158,20 @@ def classes(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     null ids last) for each distinct fingerprint of ``fps`` (doc_id, fp)."""
     firsts = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("first"))
     roots = components(links(fps, max_bits))
-    named = firsts.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    return named.join(named.groupBy("root").agg(F.min("first").alias("rep")), "root").select(
-        "fp", F.col("rep.doc_id").alias("component_id"), F.struct("rep.doc_id", "rep.fp").alias("rep"))
+    # only linked fingerprints are grouped by component; the others stand for themselves
+    linked = scratch(firsts.join(roots, F.col("fp") == F.col("node")).select("node", "root", "first"), "linked")
+    reps = scratch(linked.groupBy("root").agg(F.min("first").alias("rep")), "reps")
+    named = firsts.join(linked.join(reps, "root").select("node", "rep"), F.col("fp") == F.col("node"), "left")
+    rep = F.coalesce("rep", "first")
+    return named.select("fp", rep["doc_id"].alias("component_id"),
+                        F.struct(rep["doc_id"].alias("doc_id"), rep["fp"].alias("fp")).alias("rep"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable) for every row of ``docs``."""
     fps = scratch(fingerprints(docs, shingle=shingle), "fingerprints")
-    return fps.join(classes(fps, max_bits).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = scratch(classes(fps, max_bits).select("fp", "component_id"), "classes")
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -178,9 +182,11 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
         return texts.map(lambda t: fingerprint(t, shingle)).astype("int64")
 
     fps = scratch(fingerprints(docs, shingle=shingle), "fingerprints")
-    reps = classes(fps, max_bits).select(F.col("rep.doc_id").alias("_rep_id"), F.col("rep.fp").alias("_rep_fp")).distinct()
+    reps = scratch(classes(fps, max_bits).select(
+        F.col("rep.doc_id").alias("_rep_id"), F.col("rep.fp").alias("_rep_fp")).distinct(), "reps")
+    # null-safe, as a filter on the mark would be pushed below and compute it twice
     marked = docs.withColumn("_own_fp", mark(F.coalesce(F.col("text"), F.lit(""))))
-    kept = marked.join(reps, F.col("doc_id").eqNullSafe(F.col("_rep_id")) & (F.col("_own_fp") == F.col("_rep_fp")), "left_semi")
+    kept = marked.join(reps, F.col("doc_id").eqNullSafe(F.col("_rep_id")) & F.col("_own_fp").eqNullSafe(F.col("_rep_fp")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_own_fp"]).select(*docs.columns)
 
 
