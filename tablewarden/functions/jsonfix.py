@@ -30,3 +30,11 @@ def coerce_boolean_json(text: Column) -> Column:
     """JSON text in, canonical JSON text out, with "true"/"false" string values
     (any case) turned into JSON booleans. Invalid JSON gives null."""
     return _replace_word(_replace_word(canonical_json(text), "true"), "false")
+
+
+def coerce_boolean_text(text: Column) -> Column:
+    """JSON text that parses to what :func:`coerce_boolean_json` gives. Text without a
+    quoted true or false (or an escape that could spell one) is handed on as it is,
+    so most records are parsed once."""
+    maybe = text.rlike(r'(?i)"(?:true|false)"') | text.contains("\\u")
+    return F.when(maybe, coerce_boolean_json(text)).otherwise(text)

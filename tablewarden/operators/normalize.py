@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.functions.jsonfix import coerce_boolean_json
+from tablewarden.functions.jsonfix import coerce_boolean_json, coerce_boolean_text
 from tablewarden.functions.text import contains_ignore_case
 
 # Defaults of the create rewrite and error texts.
@@ -232,8 +232,7 @@ def create_from_stored(current: DataFrame, *, lookup: DataFrame | None = None,
     (P11); drop ``run_as`` (P12); replace ``tags`` (P13); set the pause status
     where a schedule exists (P14).
     """
-    body = coerce_boolean_json(F.col("body"))
-    parsed = _parse(current, body)
+    parsed = _parse(current, coerce_boolean_text(F.col("body")))
     task_fn = _task_rewriter(cluster_id=cluster_id, create=True, storage_path=storage_path,
                              source_root=source_root, target_root=target_root)
     rew = _rewrite_tasks(parsed, current, F.col("body"), lookup, task_fn)

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tablewarden.functions.jsonfix import coerce_boolean_json, coerce_boolean_text
 from tablewarden.operators import build_lookup, coerce_booleans, create_from_stored, reset_from_stored
 from tablewarden.sources.listings import pipeline_entries
 
@@ -37,6 +38,13 @@ def test_coercion_at_any_distance(spark):
         assert json.loads(got) == {"a": True, "b": [False]}
 
 
+def test_coercion_before_parsing(spark):
+    texts = ['{"a": "True"}', '{"a": "\\u0074rue", "b": "x"}', '{"a": "yes", "true": 1}', '{"a": ', '["FALSE", {"k":   "true"}]', "3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    both = df.select(F.to_json(F.try_parse_json(coerce_boolean_text(F.col("s")))), coerce_boolean_json(F.col("s"))).collect()
+    assert all(a == b for a, b in both) and both[1][0] == '{"a":true,"b":"x"}'
+
+
 def test_coercion_is_idempotent(spark):
     once = coerce(spark, ['{"a": ["True", {"b": "false"}]}'])[0]
     assert coerce(spark, [once])[0] == once

@@ -13,7 +13,7 @@ import sys
 from collections import Counter
 
 sys.path.insert(0, ".")
-from __spark_entry__ import queries  # noqa: E402
+from tablewarden.plans.queries import QUERIES  # noqa: E402
 from tablewarden.session import get_session  # noqa: E402
 
 OPS = ["ShuffleExchange", "BroadcastExchange", "BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin",
@@ -75,7 +75,7 @@ def main() -> None:
           "scans list the columns read per table (`pushed` = filters pushed into the Parquet reader).\n")
     print("| query | shuffle | bcast | BHJ | SMJ | BNLJ | agg (hash/obj/sort) | window | python | scans |")
     print("|---|---|---|---|---|---|---|---|---|---|")
-    for name, fn in sorted(queries().items()):
+    for name, fn in sorted(QUERIES.items()):
         df = fn(spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         s = summarize(df._jdf.queryExecution().executedPlan())
