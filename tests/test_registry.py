@@ -25,10 +25,10 @@ def test_tag_filter_subset_missing_and_unreadable(spark):
     listing = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e")],
                                     "job_id bigint, job_name string")
     cfg = spark.createDataFrame([
-        (1, json.dumps({"settings": {"tags": {"Application": "Kicks", "x": "y"}}})),
-        (2, json.dumps({"settings": {"tags": {"Application": "kicks", "n": 1}}})),
+        (1, json.dumps({"settings": {"tags": {"Application": "Sample", "x": "y"}}})),
+        (2, json.dumps({"settings": {"tags": {"Application": "other", "n": 1}}})),
         (3, json.dumps({"settings": {}})), (4, "{not json")], "job_id bigint, body string")
-    got = rows(filter_by_tags(listing, cfg, {"Application": "Kicks"}), "job_id", "status", "reason")
+    got = rows(filter_by_tags(listing, cfg, {"Application": "Sample"}), "job_id", "status", "reason")
     assert got == [(1, "matched", None), (4, "skipped", "config unreadable"), (5, "skipped", "config not found")]
     assert filter_by_tags(listing, cfg, {}).filter("status = 'matched'").count() == 3
     typed = lambda want: rows(filter_by_tags(listing, cfg, want).filter("status = 'matched'"), "job_id")
