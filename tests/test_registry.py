@@ -26,7 +26,7 @@ def test_tag_filter_subset_missing_and_unreadable(spark):
                                     "job_id bigint, job_name string")
     cfg = spark.createDataFrame([
         (1, json.dumps({"settings": {"tags": {"Application": "Sample", "x": "y"}}})),
-        (2, json.dumps({"settings": {"tags": {"Application": "other", "n": 1}}})),
+        (2, json.dumps({"settings": {"tags": {"Application": "sample", "n": 1}}})),
         (3, json.dumps({"settings": {}})), (4, "{not json")], "job_id bigint, body string")
     got = rows(filter_by_tags(listing, cfg, {"Application": "Sample"}), "job_id", "status", "reason")
     assert got == [(1, "matched", None), (4, "skipped", "config unreadable"), (5, "skipped", "config not found")]
