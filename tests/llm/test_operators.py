@@ -85,6 +85,44 @@ def test_labels_find_the_sentence(spark):
     assert toxicity.fit([]).weights == {} and toxicity.fit([(1.0, [[1]])]).weights == {}
 
 
+def test_length_alone_is_not_toxic(spark):
+    rng = random.Random(4)
+    sentence = lambda *extra: " ".join([*rng.choices([f"w{i}" for i in range(50)], k=6), *extra]) + ". "
+    # every labelled document is longer than 20,000 characters
+    texts = ["".join([sentence() for _ in range(1200)] + [sentence("vile")] * (i % 3 == 0)) for i in range(60)]
+    assert min(map(len, texts)) > 20_000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    new = ["".join(sentence() for _ in range(n)) for n in (1, 300, 1500, 5000)]
+    new += [t + "w1 w2 vile w3." for t in new]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(new)), "doc_id bigint, text string"), model).collect()
+    low, high = [r.score for r in got if r.doc_id < 4], [r.score for r in got if r.doc_id >= 4]
+    assert max(low) < 0.01 and min(high) >= toxicity.THRESHOLD and max(high) - min(high) < 0.01
+
+
+def test_clean_documents_by_length(spark):
+    """Held-out clean documents of sf0.1 by length, and bags joined of them up to 1,000 sentences and more."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels, ~toxicity.held_out())
+    clean = (docs.join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic = 0"), "doc_id")
+             .where(toxicity.held_out()).select("doc_id", "text"))
+    rows = toxicity.score(clean, model).join(clean, "doc_id").collect()
+    for low, high, most in ((0, 2000, 0.01), (2000, 10_000, 0.03), (10_000, 1 << 30, 0.15)):
+        band = [r.score >= toxicity.THRESHOLD for r in rows if r.text and low <= len(r.text) < high]
+        assert band and np.mean(band) <= most
+    kept = [r.text for r in sorted(rows, key=lambda r: r.doc_id) if r.text and r.score < toxicity.THRESHOLD]
+    joined, part = [], []
+    for t in kept:
+        part.append(t)
+        if sum(len(toxicity.sentences(x)) for x in part) > 1000:
+            joined, part = [*joined, "\n".join(part)], []
+    got = toxicity.score(spark.createDataFrame(list(enumerate(joined)), "doc_id bigint, text string"), model).collect()
+    assert len(got) > 10 and np.mean([r.score >= toxicity.THRESHOLD for r in got]) < 0.2
+
+
 # --- simhash -------------------------------------------------------------------------
 
 def simhash_brute(text):
