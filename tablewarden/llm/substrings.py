@@ -143,7 +143,7 @@ def _phrases(docs: DataFrame, window: int) -> DataFrame:
         return one
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = map_texts(docs, f"doc_id {id_type}, text_hash int, found array<struct<gram:bigint,phrase:bigint,start:int,windows:int>>",
+    rows = map_texts(docs, f"doc_id {id_type}, text_hash bigint, found array<struct<gram:bigint,phrase:bigint,start:int,windows:int>>",
                      None, "doc_id", "text_hash", "text", setup=setup)
     return rows.select("doc_id", "text_hash", F.inline("found"))
 
@@ -165,7 +165,7 @@ def _windows(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = map_texts(docs.join(places, ["doc_id", "text_hash"]),
-                     f"doc_id {id_type}, text_hash int, found array<struct<start:int,hash:bigint>>",
+                     f"doc_id {id_type}, text_hash bigint, found array<struct<start:int,hash:bigint>>",
                      None, "doc_id", "text_hash", "text", "spans", setup=setup)
     return rows.select("doc_id", "text_hash", F.inline("found"))
 
@@ -210,7 +210,7 @@ def cut(text: str | None, spans: list | None) -> tuple[list[bytes], int]:
 def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row; with ``keep_text`` also
     ``kept``, the words that stay joined by one space."""
-    own = docs.select("doc_id", "text", F.hash("text").alias("text_hash"))
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     spans = factors(own, window).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 

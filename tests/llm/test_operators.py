@@ -410,3 +410,19 @@ def test_passages(spark, monkeypatch, chunk):
     for docs in (planted(), list(texts(spark).items())):
         got = substrings.dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == passages_brute(docs)
+
+
+# --- documents of one id -------------------------------------------------------------
+
+def test_texts_of_equal_short_hash_stay_apart(spark):
+    """Pairs of texts that Spark's 32-bit hash does not tell apart, under one id."""
+    short = lambda df: df.select(F.hash("text")).distinct().count()
+    near, alone = "one two three four six\nfirst 12753", "b140010 alone and not like others"
+    df = spark.createDataFrame([(None, near), (None, alone), (0, "one two three four five")], "doc_id bigint, text string")
+    assert short(df.where("doc_id is null")) == 1
+    assert sorted(r.text for r in linededup.dedup_lines(df).collect()) == [alone, "first 12753", "one two three four five"]
+    p, q = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    df = spark.createDataFrame([(1, p), (2, f"{p} 17627"), (2, f"{q} 278865")], "doc_id bigint, text string")
+    assert short(df.where("doc_id = 2")) == 1
+    got = substrings.dedup(df, keep_text=True).collect()
+    assert sorted(r.kept for r in got) == ["17627", p, f"{q} 278865"]
