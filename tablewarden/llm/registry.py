@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tablewarden.llm import annforest, bpe, ctph, licenses, linededup, packing, pii, simhash, substrings, toxicity
+from tablewarden.llm import (
+    annforest, bpe, conversations, ctph, licenses, linededup, packing, phrases, pii, simhash, substrings, suffixes, toxicity,
+)
 
 QUERIES = {
     "op1_ann": annforest.op1_ann,
@@ -15,8 +17,12 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_ctph": ctph.op9_ctph,
     "op10_substring_dedup": substrings.op10_substring_dedup,
+    "op11_suffixes": suffixes.op11_suffixes,
+    "op12_conversations": conversations.op12_conversations,
+    "op13_phrases": phrases.op13_phrases,
 }
 SQL: dict[str, str] = {
     "op4_line_dedup": linededup.ORACLE_SQL,
     "op8_licenses": licenses.ORACLE_SQL,
+    "op13_phrases": phrases.ORACLE_SQL,
 }
