@@ -15,11 +15,11 @@ repeated throughout.
    order, hands each suffix's predecessor to the next free place of its bucket.
 3. Neighbours in suffix order that share WINDOW bytes are repeated.
 
-Scale: only narrow rows (a digest about every 170 bytes) are shuffled for step 1, and
+Scale: only narrow rows (a digest about every 140 bytes) are shuffled for step 1, and
 only stretches whose gram is met in another one are fetched. A gram with more than
 CROWD different stretches is halved by the windows' distance from the gram: windows of
-half the distances share a longer string, which takes the gram's place; at last single
-windows are left, which one count settles. So no sort holds more than CROWD stretches
+half the distances share a longer string, which takes the gram's place, and pieces that
+are now equal settle each other (single windows always are). So no sort holds more than CROWD stretches
 of one key, and a passage in a third of all texts is spread over many tasks.
 
 Null texts are empty; texts shorter than WINDOW have nothing to remove. Long texts are
@@ -34,15 +34,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.llm.common import map_texts, scratch, small, table, to_arrow
 
 WINDOW = 400
-GRAM = 64
+GRAM = 128
 CROWD = 256
-_SORT = 1 << 18  # bytes sorted at once
+_SORT = 1 << 16  # bytes sorted at once
 _CHUNK = 1 << 19  # window starts of a text handled at once
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE_BITS = 20
@@ -193,6 +193,11 @@ def repeated_windows(pieces: list[bytes], window: int) -> list[np.ndarray]:
 # --- candidate stretches -----------------------------------------------------------
 
 _PIECE = "key binary, low int, high int, n bigint, uid binary, start bigint, place int, piece binary"
+_OPEN = "c > 1 AND single > 0"  # of a key: something in it is not known to be repeated
+
+
+def _sizes() -> list[Column]:
+    return [F.count("*").alias("c"), F.count_if(F.col("n") == 1).alias("single")]
 
 
 def _halved(rows: DataFrame, window: int) -> DataFrame:
@@ -205,11 +210,12 @@ def _halved(rows: DataFrame, window: int) -> DataFrame:
             if a < b and first <= last:
                 shared = piece[max(0, place - a):place - b + 1 + window]
                 name = xxhash.xxh3_128_digest(key + bytes([a >> 8, a & 255, b >> 8, b & 255]) + shared)
-                out.append((name, a, b, n, uid, start + first, place - first, piece[first:last + window]))
-        return [dict(zip(("key", "low", "high", "n", "uid", "start", "place", "piece"), r)) for r in out],
+                own = piece[first:last + window]
+                out.append((name, a, b, n, uid, start + first, place - first, own, xxhash.xxh3_128_digest(name + own)))
+        return [dict(zip((*names, "content"), r)) for r in out],
 
     names = [c.split()[0] for c in _PIECE.split(", ")]
-    struct = ",".join(f"{c.split()[0]}:{c.split()[1]}" for c in _PIECE.split(", "))
+    struct = ",".join(f"{c.split()[0]}:{c.split()[1]}" for c in _PIECE.split(", ")) + ",content:binary"
     return map_texts(rows, f"rows array<struct<{struct}>>", one, *names).select(F.inline("rows"))
 
 
@@ -254,17 +260,19 @@ def _texts(docs: DataFrame) -> DataFrame:
 def spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(uid, start, windows): runs of repeated window starts in the texts of
     ``texts`` (uid, doc_id, text). Every run of a text is there, some more than once."""
+    raw = scratch(_stretches(texts, window, gram), "stretches")
+    grams = scratch(raw.groupBy("gram").agg(F.sum("again").alias("c")).filter("c > 1").select("gram"), "grams")
     # rows of one text collapse before the shuffle
-    found = scratch(_stretches(texts, window, gram).groupBy("uid", "gram", "place", "digest", "start", "windows", "again")
-                    .agg(F.count("*").alias("rows"), F.min("doc_id").alias("doc_id")), "stretches")
+    found = scratch(raw.join(grams, "gram", "left_semi").groupBy("uid", "gram", "place", "digest", "start", "windows", "again")
+                    .agg(F.count("*").alias("rows"), F.min("doc_id").alias("doc_id")), "found")
     classes = scratch(found.groupBy("gram", "place", "digest", "windows").agg(
         F.sum(F.col("rows") * F.col("again")).alias("n"), F.min(F.struct("uid", "start", "doc_id")).alias("one")), "classes")
-    crowds = scratch(classes.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1"), "crowds")
+    unsettled = scratch(classes.groupBy("gram").agg(*_sizes()).filter(_OPEN).select("gram"), "unsettled")
     twice = scratch(classes.filter("n > 1").select("gram", "place", "digest"), "twice")
     whole = found.join(twice, ["gram", "place", "digest"], "left_semi").select(
         "uid", "start", (F.col("windows") * F.col("again")).alias("windows"))
 
-    wanted = (classes.join(crowds, "gram", "left_semi").select("gram", "place", "windows", "n", "one.*")
+    wanted = (classes.join(unsettled, "gram", "left_semi").select("gram", "place", "windows", "n", "one.*")
               .groupBy(F.col("uid").alias("_uid"), F.col("doc_id").alias("_doc_id"))
               .agg(F.collect_list(F.struct("gram", "place", "windows", "n", "start")).alias("_wanted")))
     with_text = texts.join(wanted, (F.col("uid") == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")))
@@ -276,15 +284,20 @@ def spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int =
         .dropDuplicates(["key", "uid", "start"]), "pieces")
     parts = [whole]
     while True:
-        sizes = scratch(todo.groupBy("key", "low", "high").agg(F.count("*").alias("c")).filter("c > 1"), "sizes")
-        of = todo.join(sizes.select(F.col("key").alias("_key"), "c"), F.col("key") == F.col("_key")).drop("_key")
-        single = F.col("high") - F.col("low") == 1
-        parts.append(_sorted_spans(of.filter((F.col("c") <= crowd) & ~single), window))
-        parts.append(of.filter(single & (F.col("n") == 1)).select("uid", "start", F.lit(1).cast("bigint").alias("windows")))
-        large = of.filter((F.col("c") > crowd) & ~single).drop("c")
-        if sizes.filter((F.col("c") > crowd) & ~single).isEmpty():
+        sizes = scratch(todo.groupBy(F.col("key").alias("_key")).agg(*_sizes()).filter(_OPEN), "sizes")
+        of = todo.join(sizes, F.col("key") == F.col("_key"))
+        parts.append(_sorted_spans(of.filter(F.col("c") <= crowd), window))
+        if sizes.filter(F.col("c") > crowd).isEmpty():
             break
-        todo = scratch(_halved(large, window), "halves")
+        halves = scratch(_halved(of.filter(F.col("c") > crowd), window), "halves")
+        # equal pieces settle each other; one of them stays, for others to be compared with
+        alike = scratch(halves.groupBy(F.col("content").alias("_content")).agg(
+            F.sum("n").alias("total"), F.min(F.struct("uid", "start")).alias("one")), "alike")
+        known = halves.join(alike, F.col("content") == F.col("_content"))
+        parts.append(known.filter("total > 1 AND n = 1").select(
+            "uid", "start", (F.length("piece") - (window - 1)).cast("bigint").alias("windows")))
+        todo = scratch(known.filter((F.col("one.uid") == F.col("uid")) & (F.col("one.start") == F.col("start"))).select(
+            "key", "low", "high", F.col("total").alias("n"), "uid", "start", "place", "piece"), "todo")
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
