@@ -72,10 +72,11 @@ class _Ids(dict):
 
 
 class Run:
-    """Suffixes of texts of one language, gathered to be sorted together."""
+    """Suffixes of texts of one language, gathered to be sorted together; only their
+    first ``depth`` words are told apart."""
 
-    def __init__(self):
-        self.ids, self.parts, self.size = _Ids({_BREAK: 0}), [], 0
+    def __init__(self, depth: int = DEPTH):
+        self.depth, self.ids, self.parts, self.size = depth, _Ids({_BREAK: 0}), [], 0
 
     def add(self, text: bytes | None) -> Iterator[None]:
         """Yields after each slice, when the run may be taken."""
@@ -97,19 +98,20 @@ class Run:
         if not starts:
             return
         padded = np.append(ids, np.zeros(DEPTH, np.uint64))
-        packed, alive = np.zeros(starts, np.uint64), np.ones(starts, bool)
-        for k in range(DEPTH):
+        word = padded[:starts]
+        packed, alive = word.copy(), word > 0
+        for k in range(1, self.depth):
             word = padded[k:k + starts]
-            alive &= word > 0
-            packed = packed << np.uint64(16) | np.where(alive, word, np.uint64(0))
-        self.parts.append(packed[packed > 0])
+            alive = alive & (word > 0)
+            packed = packed << np.uint64(16) | word * alive
+        self.parts.append(packed[packed > 0] << np.uint64(16 * (DEPTH - self.depth)))
         self.size += len(self.parts[-1])
 
     def sorted(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Words by id, distinct packed suffixes in order, their counts; then empty again."""
         suffixes, counts = np.unique(np.concatenate(self.parts), return_counts=True) if self.parts else (np.zeros(0, np.uint64),) * 2
         words = list(self.ids)
-        self.__init__()
+        self.__init__(self.depth)
         return words, suffixes, counts.astype(np.int64)
 
 
@@ -149,21 +151,43 @@ class Prefixes:
         return out
 
 
-def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
-    """Sorted runs of (lang, text) rows."""
+def _runs(batches: Iterable[pa.RecordBatch], depth: int = DEPTH) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
+    """Sorted runs of (lang, text) rows. Short texts are joined by a break first."""
     runs: dict[str, Run] = {}
+    short: dict[str, list[bytes]] = {}
+    held = 0
+
+    def add(lang, text):
+        run = runs.setdefault(lang, Run(depth))
+        for _ in run.add(text):
+            yield (lang, *run.sorted())
+
+    def rest():
+        for lang, texts in short.items():
+            yield from add(lang, _BREAK.join(texts))
+        short.clear()
+        for lang, run in runs.items():
+            yield (lang, *run.sorted())
+        runs.clear()
+
     for batch in batches:
         for part in small(batch):
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                run = runs.setdefault(lang, Run())
-                for _ in run.add(text):
-                    yield (lang, *run.sorted())
-                if sum(r.size for r in runs.values()) > 2 * _RUN:
-                    for key, held in runs.items():
-                        yield (key, *held.sorted())
-                    runs = {}
-    for key, held in runs.items():
-        yield (key, *held.sorted())
+                if not text:
+                    continue
+                held += len(text)
+                if len(text) >= _SLICE:
+                    yield from add(lang, text)
+                else:
+                    texts = short.setdefault(lang, [])
+                    texts.append(text)
+                    if sum(map(len, texts)) >= _SLICE:
+                        yield from add(lang, _BREAK.join(short.pop(lang)))
+                # languages that are many would each hold a run
+                if held > 16 * _RUN:
+                    yield from rest()
+                    held = 0
+    yield from rest()
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -187,7 +211,7 @@ def prefix_counts(texts: DataFrame, depth: int, below: Iterable[tuple[str, bytes
     wanted = None if below is None else frozenset(below)
 
     def run(batches):
-        for lang, words, suffixes, counts in _runs(batches):
+        for lang, words, suffixes, counts in _runs(batches, depth):
             starts = _first(suffixes >> np.uint64(16 * (DEPTH - depth)))
             if not len(starts):
                 continue
@@ -359,7 +383,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = MIN_COUNT, budget
             .filter(F.col("_f").isNull() | (exact("_f") * 100 < exact("a") * COVER))
             .select("lang", "phrase", "a", "_b.l", "_b.r", "_b.score"))
     order = [F.desc("score"), F.desc("a"), "phrase"]
-    salted = kept.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(256)))
+    salted = kept.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(16)))
     near = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order))).filter(F.col("rank") <= top)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -97,6 +97,18 @@ def _stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches):
         finder = Stretches(window, gram)
+        held: list[tuple] = []
+
+        def done():
+            uids, ids, grams, places, digests, first, count, again = zip(*held)
+            sizes = [len(g) for g in grams]
+            columns = ([u for u, n in zip(uids, sizes) for _ in range(n)], [i for i, n in zip(ids, sizes) for _ in range(n)],
+                       np.concatenate(grams).view(np.int64), np.concatenate(places), [d for own in digests for d in own],
+                       *map(np.concatenate, (first, count, again)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out)], schema=out)
+
+        rows = 0
         for batch in batches:
             for part in small(batch):
                 for uid, doc_id, text in zip(*(c.to_pylist() for c in part.columns)):
@@ -106,11 +118,14 @@ def _stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
                         halves = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
                         same = (halves[1:] == halves[:-1]).all(1) & (np.diff(first) == count[:-1])
                         head = np.flatnonzero(np.append(True, ~same))
-                        again = np.diff(np.append(head, len(first)))
-                        n = len(head)
-                        columns = ([uid] * n, [doc_id] * n, grams[head].view(np.int64), (place - first)[head], [digests[i] for i in head.tolist()],
-                                   first[head], count[head], again)
-                        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out)], schema=out)
+                        held.append((uid, doc_id, grams[head], (place - first)[head], [digests[i] for i in head.tolist()],
+                                     first[head], count[head], np.diff(np.append(head, len(first)))))
+                        rows += len(head)
+                        if rows > 20_000:
+                            yield done()
+                            rows = 0
+        if held:
+            yield done()
 
     return texts.select("uid", "doc_id", "text").mapInArrow(run, fields)
 
@@ -319,8 +334,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int =
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``keep_text``
     also ``kept``, the bytes that stay."""
     texts = _texts(docs)
-    runs = (spans(texts, window, gram, crowd).distinct().groupBy(F.col("uid").alias("_uid"))
-            .agg(F.collect_list(F.struct("start", "windows")).alias("runs")))
+    # written, so that a text that stands in many rows is a join key that AQE can split
+    runs = scratch(spans(texts, window, gram, crowd).distinct().groupBy(F.col("uid").alias("_uid"))
+                   .agg(F.collect_list(F.struct("start", "windows")).alias("runs")), "runs")
 
     def one(doc_id, text, runs):
         out, at, kept = removed(runs, len(text), window), 0, []
