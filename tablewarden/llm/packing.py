@@ -14,7 +14,8 @@ documents longer than the capacity, into full pieces; the first may be shorter.
    a partition rounds up, that of all together only once). These are exchanged,
    dealt anew into as few partitions as hold them, and packed again. The new
    packing stands if it needs fewer sequences. Rounds end when nothing is left to
-   exchange or nothing is gained, after ``max_rounds`` at most.
+   exchange, or when ``patience`` deals in a row, each salted anew, gained nothing;
+   ``bins`` and ``bound`` show what gap is left.
 
 Null and empty texts are the end id alone. Rows with a null doc_id are packed like
 others; repeated rows are packed as often as they stand; ties of length go by the
@@ -23,7 +24,8 @@ row's place in the table of pieces. An empty table gives no rows.
 Tokens: the rank file holds the tokenizer file's vocabulary, and the rank encoder
 is about five times faster. The two may disagree only on characters that their
 regex libraries date differently, so texts outside the long-settled blocks of
-_SETTLED go to the tokenizer itself; the rest to the ranks. Marker strings of the
+_SETTLED go to the tokenizer itself, as do those with runs of white space that the rank
+encoder's regex can not take; the rest to the ranks. Marker strings of the
 tokenizer's added tokens become their ids in both.
 """
 
@@ -78,7 +80,10 @@ class Tokens:
 
         def encode(text: str) -> list[int]:
             if _SETTLED.fullmatch(text):
-                return fast.encode(text, allowed_special=marks, disallowed_special=())
+                try:
+                    return fast.encode(text, allowed_special=marks, disallowed_special=())
+                except ValueError:  # its regex gives up on runs of about a million white spaces
+                    pass
             if not exact:
                 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
                 from tokenizers import Tokenizer
@@ -189,23 +194,27 @@ def _packed(items: DataFrame, capacity: int) -> DataFrame:
     return items.select(*kept).groupBy("part").applyInPandas(run, schema)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, max_rounds: int = 3) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, patience: int = 3) -> DataFrame:
     """``items`` (rows of ``pieces``, or any rows with a ``length`` up to ``capacity``)
     with sequence_id and offset. part, bins and bound are of the packing that made the
     sequence: its part was packed into ``bins`` sequences and none has fewer than
     ``bound``."""
     items = scratch(items.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     now = scratch(_packed(_deal(items, items.count(), part_rows, 0), capacity), "packed")
-    for r in range(1, max_rounds + 1):
+    deal = idle = 0
+    while idle < patience:
         open_ = (F.col("fill") < capacity) & (
             (F.col("bins") > F.col("bound")) | (F.col("fill") < capacity * SPARE))
         pool = now.where(open_)
         rows, parts, bins = pool.agg(F.count("*"), F.countDistinct("part"), F.countDistinct("sequence_id")).first()
         if parts < 2:
             break
-        again = scratch(_packed(_deal(pool, rows, part_rows, r), capacity), "repacked")
+        deal += 1
+        again = scratch(_packed(_deal(pool, rows, part_rows, deal), capacity), "repacked")
         if again.agg(F.countDistinct("sequence_id")).first()[0] >= bins:
-            break
+            idle += 1
+            continue
+        idle = 0
         now = scratch(now.where(~open_).unionByName(again), "exchanged")
     return now.drop("uid", "fill")
 
@@ -219,4 +228,4 @@ def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"))).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bins", "bound")
