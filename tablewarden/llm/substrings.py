@@ -181,13 +181,14 @@ def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     named = docs.where(F.col("doc_id").isNotNull())
     phrases = scratch(_phrases(named, window), "phrases")
     again = scratch(phrases.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "grams")
-    shared = scratch(phrases.join(again, "gram", "left_semi"), "shared")
+    # rows that repeat a doc_id and text are one document from here on
+    shared = scratch(phrases.join(again, "gram", "left_semi").distinct(), "shared")
     owned = scratch(_earlier(shared, "phrase"), "owned")
     whole = owned.where("first < doc_id").select("doc_id", "text_hash", "start", (F.col("start") + F.col("windows") - 1 + window).alias("end"))
     firsts = owned.where("first = doc_id")
     split_grams = scratch(firsts.select("gram", "phrase").distinct().groupBy("gram").agg(F.count("*").alias("c"))
                           .where("c > 1").select("gram"), "split-grams")
-    looked_up = scratch(_windows(named, firsts.join(split_grams, "gram", "left_semi"), window), "windows")
+    looked_up = scratch(_windows(named, firsts.join(split_grams, "gram", "left_semi"), window).distinct(), "windows")
     found = scratch(looked_up.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
                     .where("first < last").select("hash", "first"), "found")
     single = looked_up.join(found, "hash").where("first < doc_id").select(

@@ -74,3 +74,32 @@ def test_vectors(spark):
     got = sorted(map(tuple, annforest.search(df, F.col("vec_id") % 50 == 0).collect()))
     assert got == [(0, 1, 5, 1.0), (0, 2, 50, 1.0), (0, 3, 6, 0.0), (50, 1, 0, 1.0), (50, 2, 5, 1.0), (50, 3, 6, 0.0)]
     assert annforest.search(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+
+
+@pytest.mark.parametrize("run", [" " * 10_000_000, "\t" * 1_500_000, "\n" * 3_000_000, "\r\n" * 1_000_000], ids=["space", "tab", "lf", "crlf"])
+def test_long_runs_of_white_space_get_the_tokenizers_ids(run):
+    from tokenizers import Tokenizer
+
+    tokens = packing.Tokens.default()
+    text = "a" + run + "b"
+    assert tokens.encoder()(text) == Tokenizer.from_file(tokens.tokenizer).encode(text, add_special_tokens=False).ids
+
+
+def test_a_long_run_goes_through_packing(spark):
+    rows = [(1, "a" + " " * 1_200_000 + "b", 0), (2, "\n" * 1_100_000, 0), (3, "word", 0)]
+    packed = packing.pack(packing.pieces(docs(spark, rows))).collect()
+    assert {r.doc_id for r in packed} == {1, 2, 3}
+    assert sum(r.length for r in packed if r.doc_id == 1) == 1_200_000 + 1 + 1
+
+
+def test_repeated_rows_stay_linear_in_substring_dedup(spark):
+    rng = __import__("random").Random(1)
+    text = " ".join(rng.choice("abcdefgh") * rng.randrange(1, 5) for _ in range(300))
+    other = "new words " + text[:900]
+    df = spark.createDataFrame([(1, text)] * 400 + [(2, other)] * 400 + [(3, text)], "doc_id bigint, text string")
+    spans = substrings.factors(df.select("*", F.xxhash64("text").alias("text_hash")))
+    per_text = {r.doc_id: r["count"] for r in spans.groupBy("doc_id").count().collect()}
+    assert set(per_text) == {2, 3} and max(per_text.values()) < 300
+    out = substrings.dedup(df).groupBy("doc_id", "n_removed").count().collect()
+    assert {(r.doc_id, r["count"]) for r in out} == {(1, 400), (2, 400), (3, 1)}
+    assert {r.n_removed for r in out if r.doc_id == 1} == {0} and {r.n_removed for r in out if r.doc_id == 3} == {300}
