@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,12 @@ from pyspark.sql import functions as F
 _PY_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once and use it many times in ``body`` (a lambda
+    variable is a reference, not a copy of the expression)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def blank_to_null(c: Column) -> Column:
     """Empty string counts as 'not given' (Python truthiness of the reference)."""
     return F.nullif(c, F.lit(""))
@@ -63,3 +71,43 @@ def invalid_path(path: Column) -> Column:
     return F.coalesce(
         path.isNull() | (path == "") | path.contains(" ") | path.contains("%"), F.lit(True)
     )
+
+
+def minimizers(text: Column, windows: Sequence[int], gram: int) -> Column:
+    """(window, hash) of the least-hashed ``gram`` of every window of ``text``, for each of
+    ``windows`` (powers of two, in characters), each hash once; a window of up to
+    ``gram`` (a power of two) is its own gram. A text that contains another of at least
+    ``window`` characters has all of the other's hashes, about one for every half window.
+
+    Hashes of 2n characters come from those of n, and least hashes of 2n grams from
+    those of n, so all windows share one pass."""
+    def pairs(a: Column, shift: int, fn: Callable) -> Column:
+        left = F.greatest(F.size(a) - shift, F.lit(0))
+        return F.zip_with(F.slice(a, 1, left), F.slice(a, shift + 1, left), fn)
+
+    def found(a: Column, window: int) -> Column:
+        return F.transform(F.array_distinct(a), lambda g: F.struct(F.lit(window).alias("window"), g.alias("gram")))
+
+    def hashes(a: Column, size: int) -> Column:
+        out = [found(a, size)] if size in windows else []
+        if size < gram and any(w > size for w in windows):
+            out.append(let(pairs(a, size, lambda x, y: F.xxhash64(x, y)), lambda b: hashes(b, 2 * size)))
+        elif size == gram and any(w > gram for w in windows):
+            out.append(least(a, 1))
+        return F.concat(*out)
+
+    def least(a: Column, width: int) -> Column:
+        spans = {w: w - gram + 1 for w in windows if w > gram}
+        out = [found(pairs(a, n - width, lambda x, y: F.least(x, y)), w) for w, n in spans.items() if width <= n < 2 * width]
+        if any(n >= 2 * width for n in spans.values()):
+            out.append(let(pairs(a, width, lambda x, y: F.least(x, y)), lambda b: least(b, 2 * width)))
+        return F.concat(*out)
+
+    return let(F.transform(F.split(text, ""), lambda c: F.xxhash64(c)), lambda a: hashes(a, 1))
+
+
+def blocks(text: Column, size: int, overlap: int) -> Column:
+    """``text`` in pieces of ``size`` characters, each with up to ``overlap`` (at most
+    ``size``) of the next, so that work on a long text stays small at a time."""
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), lambda parts: F.transform(
+        parts, lambda part, i: F.concat(part, F.coalesce(F.get(parts, i + 1).substr(1, overlap), F.lit("")))))

@@ -4,7 +4,8 @@ Configurations are JSON text ``{job_id, settings, ...}``. The rewrites parse
 ``settings`` as ``map<string, variant>``: every field, known or not, keeps its
 JSON value exactly (explicit nulls included), and nested objects are rewritten
 as maps and turned back into objects with ``to_variant_object``. No schema has
-to be inferred first, so a rewrite is one pass over the records. Task arrays
+to be inferred first, so a rewrite is one pass over the records; with a lookup the
+parsed records are written on the way, which runs when the rewrite is called. Task arrays
 are rewritten in place with ``transform``, keeping task order; a field the
 record does not have stays absent.
 """
@@ -12,14 +13,15 @@ record does not have stays absent.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.jsonfix import coerce_boolean_json, coerce_boolean_text
-from tablewarden.functions.text import contains_ignore_case
+from tablewarden.functions.text import contains_ignore_case, let
+from tablewarden.sources.scratch import written
 
 # Defaults of the create rewrite and error texts.
 DEFAULT_PAUSE = "PAUSED"
@@ -34,12 +36,6 @@ OBJ = "map<string,variant>"
 
 # --- small helpers on JSON objects held as map<string, variant> -------------
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once and use it many times in ``body`` (a lambda
-    variable is a reference, not a copy of the expression)."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def obj(v: Column) -> Column:
     """A variant as an object (map), or null if it is not an object."""
     return v.try_cast(OBJ)
@@ -184,7 +180,7 @@ def _parse(current: DataFrame, text: Column) -> DataFrame:
     return staged.select("record_key", F.inline(F.array(pair)))
 
 
-def _task_ids(current: DataFrame, text: Column, lookup: DataFrame) -> DataFrame:
+def _task_ids(parsed: DataFrame, lookup: DataFrame) -> DataFrame:
     """``(_key, _ids)``: for each record with a task in the lookup, the map from task
     key to pipeline id. Records give up their distinct task keys only, and only
     matched ones are grouped, so no document is shuffled for the lookup.
@@ -194,21 +190,26 @@ def _task_ids(current: DataFrame, text: Column, lookup: DataFrame) -> DataFrame:
     order = F.col("pos") if "pos" in lookup.columns else F.col("pipeline_id")
     ids = (lookup.filter(F.col("name").isNotNull()).groupBy(F.col("name").alias("_name"))
            .agg(F.max_by("pipeline_id", order).alias("_id")))
-    tasks = F.try_variant_get(F.try_parse_json(text), "$.settings.tasks", "array<variant>")
-    names = F.array_distinct(F.transform(tasks, lambda t: text_of(field(obj(t), "task_key"))))
-    wanted = current.select(F.col("record_key").alias("_key"), F.explode(names).alias("_task"))
+    wanted = parsed.select(F.col("record_key").alias("_key"), F.explode("_names").alias("_task"))
     return (wanted.join(ids, F.col("_task") == F.col("_name")).groupBy("_key")
             .agg(F.map_from_entries(F.collect_set(F.struct("_task", "_id"))).alias("_ids")))
 
 
-def _rewrite_tasks(parsed: DataFrame, current: DataFrame, text: Column, lookup: DataFrame | None, task_fn) -> DataFrame:
+def _rewrite_tasks(parsed: DataFrame, lookup: DataFrame | None, task_fn) -> DataFrame:
     """Adds ``_tasks``: the tasks in their order, objects rewritten, anything else as
-    it is (null when the record has no task array)."""
+    it is (null when the record has no task array).
+
+    With a lookup the parsed records are written first, with their task keys beside
+    them: each body is read and parsed once, and the lookup reads the keys alone."""
     if lookup is None:
         new_id = lambda m: None
     else:
-        ids = _task_ids(current, text, lookup)
-        parsed = parsed.join(ids, F.col("record_key").eqNullSafe(F.col("_key")), "left")
+        names = F.array_distinct(F.transform("_t0", lambda t: text_of(field(obj(t), "task_key"))))
+        wide = written(parsed.select("record_key", "_ok", "job_id", F.to_variant_object("_s").alias("_sv"), names.alias("_names")), "parsed")
+        ids = _task_ids(wide, lookup)
+        parsed = wide.join(ids, F.col("record_key").eqNullSafe(F.col("_key")), "left").select(
+            "record_key", "_ok", "job_id", obj(F.col("_sv")).alias("_s"),
+            F.try_variant_get("_sv", "$.tasks", "array<variant>").alias("_t0"), "_ids")
         new_id = lambda m: F.try_element_at("_ids", text_of(field(m, "task_key")))
     return parsed.withColumn("_tasks", F.transform("_t0", lambda t: let(
         obj(t), lambda m: F.when(m.isNull(), t).otherwise(F.to_variant_object(task_fn(m, new_id(m)))))))
@@ -235,7 +236,7 @@ def create_from_stored(current: DataFrame, *, lookup: DataFrame | None = None,
     parsed = _parse(current, coerce_boolean_text(F.col("body")))
     task_fn = _task_rewriter(cluster_id=cluster_id, create=True, storage_path=storage_path,
                              source_root=source_root, target_root=target_root)
-    rew = _rewrite_tasks(parsed, current, F.col("body"), lookup, task_fn)
+    rew = _rewrite_tasks(parsed, lookup, task_fn)
     s = F.col("_s")
     schedule = let(obj(field(s, "schedule")), lambda sc: F.when(
         sc.isNotNull(), F.to_variant_object(update(sc, {"pause_status": as_variant(pause_status)}))))
@@ -260,7 +261,7 @@ def reset_from_stored(current: DataFrame, *, lookup: DataFrame | None = None,
     unchanged; without a job id or a settings object they are errors."""
     parsed = _parse(current, F.col("body"))
     task_fn = _task_rewriter(cluster_id=cluster_id, create=False)
-    rew = _rewrite_tasks(parsed, current, F.col("body"), lookup, task_fn)
+    rew = _rewrite_tasks(parsed, lookup, task_fn)
     settings = update(F.col("_s"), {"tasks": F.when(F.col("_tasks").isNotNull(),
                                                     F.to_variant_object(F.col("_tasks")))})
     payload = F.to_json(F.struct(F.col("job_id"), F.col("settings").alias("new_settings")))

@@ -1,15 +1,22 @@
 """Theta join of rows to prefix/suffix/contains patterns (J8), as one equi join.
 
-Each pattern has an *anchor*: the longest of its parts, cut to a power-of-two
-length (the start of a prefix or substring, the end of a suffix). A row emits
-the keys an anchor of each shape could equal: its first or last L characters, or
-its distinct substrings of length L. A shape is the kind of part, the power of
-two and which scope columns the pattern restricts; scope values are part of the
-join key. The full predicate is a residual. There is one method at every size;
-AQE broadcasts by measured bytes and splits hot keys.
-
-Which shapes occur comes from one pre-aggregated row of bit masks (31 powers of
-two for each kind and scope), so rows emit no keys that nothing could equal.
+Every part of a pattern gives *anchors*, values that each matching row must have:
+the part itself for a prefix or suffix (longer ones cut to a power of two), and for a
+substring the least-hashed grams of its windows. Of a pattern's anchors the one that
+fewest rows have is used: rows are counted by anchor in a sketch of SKETCH counters,
+so a common prefix or a one-letter part is no key where another part is rarer.
+
+A row has one anchor for each prefix and suffix length in use, and one for about every
+half window of a substring's length (not one for every place). Anchors are 64-bit
+hashes of the kind, the length, the scope columns that the pattern restricts and the
+value; the join carries hashes only, (row hash, anchor), and candidate pairs come back
+to the rows by the row hash, where the full predicate decides. There is one method at
+every size; AQE broadcasts by measured bytes and splits hot keys.
+
+Building the plan runs one small job, the distinct shapes (kind, length, scope) of the
+patterns: at most some hundred rows, and rows have no anchors of other shapes. Where
+patterns have a choice of anchors, it also writes the rows' anchors (two numbers each), as
+both the sketch and the join read them.
 """
 
 from __future__ import annotations
@@ -19,10 +26,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.functions.text import affix_match
+from tablewarden.functions.text import affix_match, blocks, minimizers
+from tablewarden.sources.scratch import written
 
 PARTS = ("prefix", "suffix", "contains")
-POWERS = 31  # a string has fewer than 2^31 characters
+EXACT = 64  # prefixes and suffixes up to here are anchors as a whole
+GRAM = 16
+WINDOW = 4096  # the longest window of a substring; also the size of a text's blocks
+SKETCH = 1 << 16
 
 
 def normalize_patterns(patterns: DataFrame, scope_cols: Sequence[str] = ()) -> DataFrame:
@@ -35,36 +46,72 @@ def normalize_patterns(patterns: DataFrame, scope_cols: Sequence[str] = ()) -> D
     return out.withColumn("refused", F.coalesce(*PARTS).isNull())
 
 
-def _cut(kind: int, text: Column, length: Column | int) -> Column:
-    """The end of a suffix, the start of the other kinds."""
-    length = length if isinstance(length, Column) else F.lit(length)
-    start = F.length(text) - length + 1 if kind == 1 else F.lit(1)
-    return text.substr(start, length)
+def _power(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), F.floor(F.log2(n)).cast("int"))
 
 
-def _keyed(patterns: DataFrame, scope_cols: Sequence[str]) -> DataFrame:
-    """Usable patterns as ``_p_*`` columns with their shape and key. Every column is
-    new, so a pattern table may derive from the rows it is joined to."""
-    size = [F.coalesce(F.length(c), F.lit(0)) for c in PARTS]
-    longest = F.greatest(*size)
-    kind = F.when(size[0] == longest, 0).when(size[1] == longest, 1).otherwise(2)
-    scope = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(scope_cols)), F.lit(0))
-    p = patterns.filter(~F.col("refused")).select(
+def _end(kind: int, text: Column, length: Column) -> Column:
+    return text.substr(F.length(text) - length + 1, length) if kind == 1 else text.substr(F.lit(1), length)
+
+
+def _anchor(kind: int, length: Column, mask: Column, scope: Sequence[Column], value: Column) -> Column:
+    return F.xxhash64(F.lit(kind), length, mask, *scope, value)
+
+
+def _parts(patterns: DataFrame, scope_cols: Sequence[str]) -> DataFrame:
+    """Usable patterns as ``_p_*`` columns, one row per present part, with its shape.
+    Every column is new, so a pattern table may derive from the rows it is joined to."""
+    mask = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(scope_cols)), F.lit(0))
+    n = [F.length(c) for c in PARTS]
+    length = [F.when(x <= EXACT, x).otherwise(_power(x)) for x in n[:2]] + [F.least(_power(n[2]), F.lit(WINDOW))]
+    shapes = [F.when(n[k].isNotNull(), F.struct(F.lit(k).alias("kind"), length[k].cast("int").alias("length"),
+                                                F.col(c).alias("part"))) for k, c in enumerate(PARTS)]
+    return patterns.filter(~F.col("refused")).select(
         F.col("pattern_id").alias("_p_id"), *[F.col(c).alias(f"_p_{c}") for c in PARTS],
-        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_p_{c}") for c in scope_cols],
-        kind.alias("_p_kind"), scope.alias("_p_scope"), F.floor(F.log2(longest)).cast("int").alias("_p_power"))
-    length = F.call_function("shiftleft", F.lit(1), F.col("_p_power"))
-    key = F.when(F.col("_p_kind") == 0, _cut(0, F.col("_p_prefix"), length)).when(
-        F.col("_p_kind") == 1, _cut(1, F.col("_p_suffix"), length)).otherwise(_cut(2, F.col("_p_contains"), length))
-    return p.withColumn("_p_key", key)
+        *[F.col(c).cast("string").alias(f"_p_{c}") for c in scope_cols], mask.alias("_p_mask"),
+        F.inline(F.filter(F.array(*shapes), lambda x: x.isNotNull())))
+
+
+def _pattern_anchors(parts: DataFrame, scope_cols: Sequence[str], windows: Sequence[int]) -> DataFrame:
+    """One row per pattern and anchor that could stand for it."""
+    scope = [F.coalesce(F.col(f"_p_{c}"), F.lit("")) for c in scope_cols]
+    kind, length, part, mask = (F.col(c) for c in ("kind", "length", "part", "_p_mask"))
+    out = F.array().cast("array<bigint>")
+    if windows:
+        # windows of a substring's start are enough; two blocks of it at most
+        grams = F.filter(minimizers(part.substr(1, 2 * WINDOW), windows, GRAM), lambda x: x["window"] == length)
+        out = F.when(kind == 2, F.transform(grams, lambda x: _anchor(2, length, mask, scope, x["gram"]))).otherwise(out)
+    for k in (0, 1):
+        out = F.when(kind == k, F.array(_anchor(k, length, mask, scope, F.xxhash64(_end(k, part, length))))).otherwise(out)
+    kept = [c for c in parts.columns if c.startswith("_p_") and c != "_p_mask"]
+    return parts.select(*kept, F.explode(out).alias("_p_anchor"))
+
+
+def _row_anchors(rows: DataFrame, name_col: str, shapes: Sequence[tuple[int, int, int]], scope_cols: Sequence[str]) -> DataFrame:
+    """(_id, _anchor): the hash of each row's name and the anchors it has."""
+    name = F.col(name_col)
+    found = []
+    for kind, mask in sorted({(k, m) for k, _, m in shapes}):
+        lengths = sorted(n for k, n, m in shapes if (k, m) == (kind, mask))
+        scope = [F.coalesce(F.col(c).cast("string"), F.lit("")) if mask >> i & 1 else F.lit("") for i, c in enumerate(scope_cols)]
+        if kind < 2:
+            long_enough = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(name))
+            found.append(F.transform(long_enough, lambda n: _anchor(
+                kind, n, F.lit(mask), scope, F.xxhash64(_end(kind, name, n)))))
+            continue
+        grams = F.array_distinct(F.flatten(F.transform(blocks(name, WINDOW, max(lengths) - 1), lambda b: minimizers(b, lengths, GRAM))))
+        found.append(F.transform(grams, lambda x: _anchor(2, x["window"], F.lit(mask), scope, x["gram"])))
+    every = F.concat(*found) if found else F.array().cast("array<bigint>")
+    return rows.filter(name.isNotNull()).select(F.xxhash64(name).alias("_id"), F.explode(every).alias("_anchor"))
 
 
-def _shapes(keyed: DataFrame, scopes: int) -> list[tuple[int, int, int]]:
-    """(kind, scope, power) that occur, from one aggregated row."""
-    cells = [(k, s) for k in range(len(PARTS)) for s in range(scopes)]
-    row = keyed.agg(*[F.bit_or(F.when((F.col("_p_kind") == k) & (F.col("_p_scope") == s), F.call_function("shiftleft", F.lit(1), F.col("_p_power")))
-                               ).alias(f"m{k}_{s}") for k, s in cells]).first()
-    return [(k, s, p) for k, s in cells for p in range(POWERS) if (row[f"m{k}_{s}"] or 0) >> p & 1]
+def _rarest(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Of each pattern's anchors the one that fewest rows have, by the sketch."""
+    bucket = lambda c: F.col(c).bitwiseAND(SKETCH - 1)
+    sketch = anchors.groupBy(bucket("_anchor").alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    kept = [c for c in candidates.columns if c != "_p_anchor"]
+    counted = candidates.withColumn("_at", bucket("_p_anchor")).join(sketch, F.col("_at") == F.col("_bucket"), "left")
+    return counted.groupBy(*kept).agg(F.min_by("_p_anchor", F.struct(F.coalesce("_n", F.lit(0)), "_p_anchor")).alias("_p_anchor"))
 
 
 def match_patterns(rows: DataFrame, patterns: DataFrame, name_col: str, *,
@@ -74,32 +121,22 @@ def match_patterns(rows: DataFrame, patterns: DataFrame, name_col: str, *,
 
     ``scope_cols`` name columns present on both sides; a non-null pattern
     value restricts it to rows with the same value. Each result row is a row
-    of ``rows`` plus ``pattern_id``; a (row, pattern) pair appears once.
+    of ``rows`` plus ``pattern_id``; a (row, pattern) pair appears once. Building the
+    plan runs jobs: the patterns' shapes, and where there is a choice the rows' anchors.
     """
-    keyed = _keyed(patterns, scope_cols)
-    name = F.col(name_col)
-    n = F.length(name)
-    kind_of = "array<struct<_kind:int,_scope:int,_power:int,_key:string>>"
-
-    def keys(kind: int, scope: int, power: int) -> Column:
-        def key(text: Column) -> Column:
-            return F.struct(F.lit(kind).alias("_kind"), F.lit(scope).alias("_scope"), F.lit(power).alias("_power"), text.alias("_key"))
-
-        if kind < 2:
-            some = F.array(key(_cut(kind, name, 1 << power)))
-        else:
-            parts = F.transform(F.sequence(F.lit(1), n - (1 << power) + 1), lambda i: name.substr(i, F.lit(1 << power)))
-            some = F.transform(F.array_distinct(parts), key)
-        return F.when(n >= (1 << power), some).otherwise(F.array().cast(kind_of))
-
-    shapes = [keys(*s) for s in _shapes(keyed, 1 << len(scope_cols))]
-    emitted = F.concat(*shapes) if shapes else F.array().cast(kind_of)
-    scoped = [F.when(F.col("_k._scope").bitwiseAND(1 << i) != 0, F.col(c).cast("string")).otherwise("").alias(f"_s_{c}")
-              for i, c in enumerate(scope_cols)]
-    e = rows.filter(name.isNotNull()).select("*", F.explode(emitted).alias("_k")).select(*rows.columns, "_k.*", *scoped)
-    equal = [e[f"_{c}"] == keyed[f"_p_{c}"] for c in ("kind", "scope", "power", "key")]
-    equal += [e[f"_s_{c}"] == keyed[f"_p_{c}"] for c in scope_cols]
-    cond = affix_match(e[name_col], keyed["_p_prefix"], keyed["_p_suffix"], keyed["_p_contains"])
-    for x in equal:
-        cond = cond & x
-    return e.join(keyed, cond).select(*rows.columns, F.col("_p_id").alias("pattern_id"))
+    parts = _parts(patterns, scope_cols)
+    seen = parts.groupBy("kind", "length", "_p_mask").agg(F.max(F.size(F.array_compact(F.array(*[f"_p_{c}" for c in PARTS])))).alias("n")).collect()
+    shapes = [tuple(r)[:3] for r in seen]
+    candidates = _pattern_anchors(parts, scope_cols, sorted({n for k, n, _ in shapes if k == 2}))
+    anchors = _row_anchors(rows, name_col, shapes, scope_cols)
+    # prefixes or suffixes alone leave nothing to choose
+    choice = any(r["n"] > 1 or r["kind"] == 2 for r in seen)
+    if choice:
+        anchors = written(anchors, "anchors")
+    chosen = _rarest(candidates, anchors) if choice else candidates
+    pairs = anchors.join(chosen, F.col("_anchor") == F.col("_p_anchor")).drop("_anchor", "_p_anchor").distinct()
+    cond = F.xxhash64(rows[name_col]) == pairs["_id"]
+    cond = cond & affix_match(rows[name_col], pairs["_p_prefix"], pairs["_p_suffix"], pairs["_p_contains"])
+    for c in scope_cols:
+        cond = cond & (pairs[f"_p_{c}"].isNull() | (rows[c].cast("string") == pairs[f"_p_{c}"]))
+    return rows.join(pairs, cond).select(*[rows[c] for c in rows.columns], F.col("_p_id").alias("pattern_id"))

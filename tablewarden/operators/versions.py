@@ -23,6 +23,10 @@ from tablewarden.functions.stamps import (
 # Messages for restore requests that cannot be served.
 NO_ARCHIVE = "No archived configs found"
 NO_VERSION = "No archive found for timestamp: "
+CROWD = 50_000  # versions of one key in one hour that one task ranks
+HOUR = 3_600_000_000  # in microseconds
+_STAMP = r"^\d{8}_\d{6}$"
+_DATE = r"^\d{4,}$"
 
 
 def _ts(run_ts: datetime):
@@ -80,24 +84,35 @@ def restore(archive: DataFrame, requests: DataFrame, run_ts: datetime) -> Restor
     """Per request ``(record_key, restore_stamp)``: the version with that
     exact stamp, or the latest version when the stamp is null/empty.
 
-    Versions are chosen on a narrow ``(record_key, version_ts)`` projection: the
-    latest is a pre-aggregated maximum, an exact one an equi join on key and stamp
-    (of several within that second the last). Only chosen bodies are then fetched,
-    by key and time; an archive with ``archive_date`` is pruned by it. Key
-    equality is exact (a key that is a prefix of another never matches it). Of
-    versions of one key and time the greatest body counts.
+    Versions are chosen on narrow columns, and only those of requested keys are
+    aggregated: a semi join with the requests comes first. The latest is a
+    pre-aggregated maximum, an exact one an equi join on key and stamp (of several within
+    that second the last). Only chosen bodies are then fetched, by key and time. An
+    archive with ``archive_date`` (the date of ``version_ts``) is pruned by it: exact
+    versions and bodies are looked for in the folders of their dates only (dynamic
+    partition pruning). Key equality is exact (a key that is a prefix of another never
+    matches it). Of versions of one key and time the greatest body counts.
     """
     key, ts = F.col("record_key"), F.col("version_ts")
     req = requests.select(key.alias("_k"), F.nullif(F.col("restore_stamp"), F.lit("")).alias("req")).distinct()
-    by_stamp = archive.groupBy(key.alias("_ek"), version_stamp(ts).alias("_es")).agg(F.max(ts).alias("_exact"))
-    latest = archive.groupBy(key.alias("_lk")).agg(F.max(ts).alias("_latest"))
+    dated = "archive_date" in archive.columns
+    narrow = archive.select("record_key", "version_ts", *["archive_date"] * dated)
+    keys = req.select(F.col("_k").alias("_rk")).distinct()
+    latest = (narrow.join(keys, key == F.col("_rk"), "left_semi").groupBy(key.alias("_lk")).agg(F.max(ts).alias("_latest")))
+    # a request that is no stamp can match nothing
+    exact = req.filter(F.col("req").rlike(_STAMP)).select(F.col("_k").alias("_xk"), F.col("req").alias("_xs"))
+    on = (key == F.col("_xk")) & (version_stamp(ts) == F.col("_xs"))
+    if dated:
+        on = on & (F.col("archive_date") == F.col("_xs").substr(1, 8))
+    by_stamp = narrow.join(exact, on).groupBy(F.col("_xk").alias("_ek"), F.col("_xs").alias("_es")).agg(F.max(ts).alias("_exact"))
     chosen = (req.join(latest, F.col("_k") == F.col("_lk"), "left")
               .join(by_stamp, (F.col("_k") == F.col("_ek")) & (F.col("req") == F.col("_es")), "left")
               .select("_k", "req", "_latest", F.when(F.col("req").isNull(), F.col("_latest")).otherwise(F.col("_exact")).alias("_ts")))
     wanted = chosen.filter(F.col("_ts").isNotNull())
     on = (key == F.col("_k")) & (ts == F.col("_ts"))
-    if "archive_date" in archive.columns:
-        on = on & (F.col("archive_date") == archive_date(F.col("_ts")))
+    if dated:
+        wanted = wanted.withColumn("_date", archive_date(F.col("_ts"))).filter(F.col("_date").rlike(_DATE))
+        on = on & (F.col("archive_date") == F.col("_date"))
     restored = (archive.join(wanted, on).groupBy("record_key", F.col("req").alias("requested_stamp"), "version_ts")
                 .agg(F.max("body").alias("body"))
                 .select("record_key", "requested_stamp", version_stamp(ts).alias("version_stamp"), "body",
@@ -117,20 +132,30 @@ def version_history(archive: DataFrame) -> DataFrame:
     version: its rank by stamp and the stamps that bound it (``valid_from`` is
     the previous replacement stamp, null for the first).
 
-    No task sorts a whole key: versions are ranked within their key and hour, and
-    shifted by the counts of the key's earlier hours, a table with one row per key
-    and hour. Hours are a value of the row, so a recomputed task sees the same.
+    No task sorts a whole key: versions are ranked within their key and bucket of time,
+    and shifted by the counts of the key's earlier buckets. A bucket is an hour, or,
+    where a key has more than CROWD versions in an hour, an equal part of it, down to a
+    microsecond: the parts are as many as the hour's count asks for, so a key with all
+    its versions in one hour is ranked by many tasks. Buckets are values of the row, so a
+    recomputed task sees the same.
     """
-    bucket = ["record_key", "_hour"]
-    rows = archive.select("record_key", "version_ts", F.date_trunc("hour", "version_ts").alias("_hour"))
+    hour = F.date_trunc("hour", "version_ts")
+    counts = archive.groupBy(F.col("record_key").alias("_k"), hour.alias("_h")).agg(F.count(F.lit(1)).alias("_in_hour"))
+    crowded = counts.filter(F.col("_in_hour") > CROWD).select("_k", "_h", F.greatest(
+        F.floor(F.lit(HOUR * CROWD) / F.col("_in_hour")), F.lit(1)).cast("bigint").alias("_width"))
+    rows = archive.select("record_key", "version_ts", hour.alias("_hour")).join(
+        crowded, F.col("record_key").eqNullSafe(F.col("_k")) & (F.col("_hour") == F.col("_h")), "left")
+    micros = F.unix_micros(F.col("version_ts").cast("timestamp")) - F.unix_micros(F.col("_hour").cast("timestamp"))
+    rows = rows.select("record_key", "version_ts", "_hour", F.coalesce(F.floor(micros / F.col("_width")), F.lit(0)).alias("_part"))
+    bucket = ["record_key", "_hour", "_part"]
     w = Window.partitionBy(*bucket).orderBy("version_ts")
     local = rows.select(*bucket, "version_ts", F.row_number().over(w).alias("_n"), F.lag("version_ts").over(w).alias("_prev"))
-    hours = Window.partitionBy("record_key").orderBy("_hour")
+    earlier = Window.partitionBy("record_key").orderBy("_hour", "_part")
     shifts = (rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_c"), F.max("version_ts").alias("_last"))
-              .select(F.col("record_key").alias("_k"), F.col("_hour").alias("_h"),
-                      F.coalesce(F.sum("_c").over(hours.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-                      F.lag("_last").over(hours).alias("_last_before")))
-    j = local.join(shifts, F.col("record_key").eqNullSafe(F.col("_k")) & (F.col("_hour") == F.col("_h")))
+              .select(F.col("record_key").alias("_k"), F.col("_hour").alias("_h"), F.col("_part").alias("_p"),
+                      F.coalesce(F.sum("_c").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+                      F.lag("_last").over(earlier).alias("_last_before")))
+    j = local.join(shifts, F.col("record_key").eqNullSafe(F.col("_k")) & (F.col("_hour") == F.col("_h")) & (F.col("_part") == F.col("_p")))
     prev = F.when(F.col("_n") == 1, F.col("_last_before")).otherwise(F.col("_prev"))
     return j.select("record_key", (F.col("_n") + F.col("_before")).cast("bigint").alias("version_no"),
                     version_stamp(prev).alias("valid_from"), version_stamp(F.col("version_ts")).alias("valid_to"))

@@ -107,6 +107,24 @@ def f_url_patterns(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "pattern_id int, prefix string, suffix string, contains string")
 
 
+def f_family_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """One pattern a customer, all with one prefix: a suffix, a substring, both, or the
+    prefix alone with the customer's whole name as a suffix."""
+    k = F.col("c_custkey")
+    digits = F.lpad((k * 13 % 2000).cast("string"), 4, "0")
+    return table(spark, d, "customer").select(
+        k.cast("bigint").alias("pattern_id"), F.lit("Customer#").alias("prefix"),
+        F.when(k % 4 == 0, F.lit(None).cast("string")).when(k % 4 == 3, F.col("c_name")).otherwise(F.substring(digits, 2, 3)).alias("suffix"),
+        F.when(k % 4 == 0, digits).when(k % 4 == 1, F.substring(digits, 1, 2)).alias("contains"))
+
+
+def f_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark texts as substrings to be found in documents."""
+    none = F.lit(None).cast("string")
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("pattern_id"), none.alias("prefix"), none.alias("suffix"),
+                                               F.col("text").alias("contains"))
+
+
 def rows_to_delete(spark: SparkSession, d: str) -> DataFrame:
     """Documents labelled toxic, plus two ids that do not exist."""
     lab = table(spark, d, "labels")

@@ -138,6 +138,16 @@ QUERY_SQL: dict[str, str] = {
           CASE WHEN executed + errors = 0 THEN 'No objects found matching pattern' END AS message
         FROM (SELECT count(*) FILTER (WHERE outcome = 'executed') AS executed,
                      count(*) FILTER (WHERE outcome = 'error') AS errors FROM f_pattern_plan)""",
+    "q_pattern_family": """WITH p AS (SELECT c_custkey AS pattern_id, c_custkey % 4 AS m, c_name,
+              lpad(CAST(c_custkey * 13 % 2000 AS VARCHAR), 4, '0') AS g FROM customer)
+        SELECT CAST(p.pattern_id AS BIGINT) AS pattern_id, count(DISTINCT (i.catalog, i.schema, i.object)) AS n_objects,
+               min(i.object) AS first_name, max(i.object) AS last_name
+        FROM p JOIN f_inv i ON starts_with(i.object, 'Customer#')
+          AND CASE p.m WHEN 0 THEN contains(i.object, p.g) WHEN 3 THEN ends_with(i.object, p.c_name)
+                WHEN 1 THEN ends_with(i.object, substr(p.g, 2, 3)) AND contains(i.object, substr(p.g, 1, 2))
+                ELSE ends_with(i.object, substr(p.g, 2, 3)) END
+        GROUP BY p.pattern_id""",
+    "q_passages": """SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)""",
     "q_delete_tables": """SELECT pos, catalog, schema, name, fq AS object,
           CASE WHEN ok THEN 'table' END AS type, CASE WHEN ok THEN 'executed' ELSE 'error' END AS outcome,
           CASE WHEN ok THEN 'deleted' END AS status, CASE WHEN ok THEN 'DROP TABLE IF EXISTS ' || fq END AS sql,

@@ -17,6 +17,7 @@ from tablewarden.operators import (
     plan_delete, plan_delete_by_pattern, reset_from_stored, restore, select_records, summarize,
     version_history, version_names,
 )
+from tablewarden.operators.patterns import match_patterns, normalize_patterns
 from tablewarden.plans import fixtures as fx
 from tablewarden.sources.listings import (
     capture_errors, decode_positional, job_listing, pipeline_entries, statement_errors,
@@ -58,6 +59,19 @@ def q_delete_by_pattern(spark: SparkSession, d: str) -> DataFrame:
     return plan_delete_by_pattern(_inventory(spark, d), fx.f_patterns(spark, d), dry_run=True)
 
 
+def q_pattern_family(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns that share a prefix: objects of each."""
+    plan = plan_delete_by_pattern(_inventory(spark, d), fx.f_family_patterns(spark, d))
+    return plan.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n_objects"), F.min("name").alias("first_name"),
+                                          F.max("name").alias("last_name"))
+
+
+def q_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts that contain a whole benchmark text."""
+    docs = fx.table(spark, d, "documents").select("doc_id", "text")
+    return match_patterns(docs, normalize_patterns(fx.f_passages(spark, d)), "text").select("doc_id", F.col("pattern_id").alias("item_id"))
+
+
 def q_delete_tables(spark: SparkSession, d: str) -> DataFrame:
     """Tables only, and not a dry run."""
     return plan_delete(_inventory(spark, d), fx.f_requests(spark, d), types=["table"], dry_run=False)

@@ -132,3 +132,23 @@ def test_backup_keeps_one_current_row_per_key(spark):
 def test_checkpoint_dir_is_one_folder_a_session(spark):
     from tablewarden.session import checkpoint_dir
     assert len({checkpoint_dir(spark) for _ in range(5)}) == 1
+
+
+def test_a_key_with_all_versions_in_one_hour_is_ranked_in_parts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tablewarden.operators import versions
+    monkeypatch.setattr(versions, "CROWD", 20)
+    ids = spark.range(1000).select(
+        F.when(F.col("id") < 900, "hot").when(F.col("id") < 980, "cold").alias("record_key"),
+        (F.lit("2025-01-01 10:00:00").cast("timestamp_ntz") + F.make_interval(secs=(F.col("id") * 37 % 3599).cast("decimal(18,6)"))).alias("version_ts"))
+    plan = versions.version_history(ids)
+    got = sorted((str(r.record_key), r.version_no, r.valid_from, r.valid_to) for r in plan.collect())
+    by_key = {}
+    for r in ids.collect():
+        by_key.setdefault(str(r.record_key), []).append(r.version_ts)
+    want = []
+    for key, times in by_key.items():
+        stamps = [t.strftime("%Y%m%d_%H%M%S") for t in sorted(times)]
+        want += [(key, i + 1, stamps[i - 1] if i else None, s) for i, s in enumerate(stamps)]
+    assert got == sorted(want)
