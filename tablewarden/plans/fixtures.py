@@ -158,6 +158,23 @@ def job_captures(spark: SparkSession, d: str) -> DataFrame:
                                    .otherwise(F.array(page, trailer))))
 
 
+def odd_captures(spark: SparkSession, d: str) -> DataFrame:
+    """Job listings that are JSON but not always a listing: per 100 parts a good page, an
+    error body, an object and a text in place of the list, a list in place of the body,
+    and a page with an entry without an id and one that is no object."""
+    p = table(spark, d, "part")
+    cap = F.floor(F.col("p_partkey") / 100).cast("bigint")
+    entry = F.struct(F.col("p_partkey").alias("job_id"), F.struct(F.col("p_name").alias("name")).alias("settings"))
+    grouped = p.groupBy(cap.alias("capture")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("p_partkey").alias("k"), entry.alias("e")))).alias("a"))
+    page = F.to_json(F.struct(F.transform("a", lambda x: x["e"]).alias("jobs")))
+    denied = F.format_string('{"error_code": "DENIED", "message": "no access to %s"}', F.col("capture").cast("string"))
+    texts = [page, denied, F.lit('{"jobs": {"a": 1}}'), F.lit('{"jobs": "none"}'), F.lit("[]"),
+             F.lit('{"jobs": [{"settings": {"name": "x"}}, 7]}'), F.lit('{"jobs": null}')]
+    return grouped.select(F.posexplode(F.array(*texts)).alias("_i", "doc"), "capture").select(
+        (F.col("capture") * 10 + F.col("_i")).alias("capture_pos"), "doc")
+
+
 def pipeline_captures(spark: SparkSession, d: str) -> DataFrame:
     """Captured pipeline listings from part, 100 entries per capture; even
     captures use ``statuses``, odd ones an empty ``statuses`` plus ``pipelines``."""

@@ -170,6 +170,22 @@ QUERY_SQL: dict[str, str] = {
         WHERE c_custkey % 9 = 0 OR NOT EXISTS (SELECT 1 FROM part WHERE contains(p_name, lower(c_mktsegment[1:2])))""",
     "q_listing_errors": """SELECT DISTINCT CAST(floor(p_partkey / 100) AS BIGINT) * 3 + 2 AS capture_pos,
           'response is not valid JSON' AS error FROM part WHERE CAST(floor(p_partkey / 100) AS BIGINT) % 3 = 0""",
+    "q_listing_decode": """WITH caps AS (SELECT DISTINCT CAST(floor(p_partkey / 100) AS BIGINT) AS c FROM part)
+        SELECT CAST(floor(p_partkey / 100) AS BIGINT) * 10 AS capture_pos,
+          CAST(row_number() OVER (PARTITION BY floor(p_partkey / 100) ORDER BY p_partkey) - 1 AS INTEGER) AS entry,
+          p_partkey AS job_id, p_name AS job_name, CAST(NULL AS VARCHAR) AS error FROM part
+        UNION ALL
+        SELECT c * 10 + k, e, NULL, n, replace(error, '#', CAST(c AS VARCHAR)) FROM caps, (VALUES
+          (1, NULL, NULL, 'DENIED: no access to #'), (2, NULL, NULL, 'jobs is not a list'), (3, NULL, NULL, 'jobs is not a list'),
+          (4, NULL, NULL, 'response is not a JSON object'), (5, 0, 'x', 'job without a job_id'), (5, 1, NULL, 'entry is not an object'))
+          t(k, e, n, error)""",
+    "q_ordered_requests": """SELECT object, min(p) AS first_pos, count(*) AS n
+        FROM (SELECT object, row_number() OVER (ORDER BY pos) - 1 AS p FROM f_requests) GROUP BY object""",
+    "q_current_runs": f"""SELECT CAST(record_key AS VARCHAR) AS record_key, body, strftime(saved_at, {_TS}) AS saved_at, CAST(2 AS BIGINT) AS n_runs
+        FROM (SELECT record_key, body, saved_at FROM f_incoming
+          UNION ALL SELECT record_key, body, saved_at FROM f_current WHERE record_key NOT IN (SELECT record_key FROM f_incoming))""",
+    "q_archive_compacted": """SELECT CAST(record_key AS VARCHAR) AS record_key, stamp AS version_stamp, body,
+          strftime(version_ts, '%Y%m%d') AS archive_date, CAST(3 AS BIGINT) AS n_replaced FROM f_archive""",
     "q_inventory_names": "SELECT catalog, schema, object, object_type FROM f_inv WHERE object_type = 'view'",
     "q_statement_errors": """SELECT r_name || k AS statement, error FROM region,
           (VALUES (' failed', 'Statement failed: no such schema'), (' broken', 'response is not valid JSON')) t(k, error)""",

@@ -20,7 +20,11 @@ from tablewarden.operators import (
 from tablewarden.operators.patterns import match_patterns, normalize_patterns
 from tablewarden.plans import fixtures as fx
 from tablewarden.sources.listings import (
-    capture_errors, decode_positional, job_listing, pipeline_entries, statement_errors,
+    capture_errors, decode_jobs, decode_positional, job_listing, ordered_lines, pipeline_entries, statement_errors,
+)
+from tablewarden.sources.scratch import new_folder
+from tablewarden.sources.store import (
+    committed_runs, compact_archive, read_archive, read_current, write_archive, write_current,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,6 +160,20 @@ def q_listing_errors(spark: SparkSession, d: str) -> DataFrame:
     return capture_errors(fx.job_captures(spark, d), keep=["capture_pos"])
 
 
+def q_listing_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and errors of one pass over listings, some of which are none."""
+    return decode_jobs(fx.odd_captures(spark, d), keep=["capture_pos"])
+
+
+def q_ordered_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requested names written to ordered text files and read back with their places:
+    the first of each name."""
+    root = new_folder(spark, "requests")
+    fx.f_requests(spark, d).repartitionByRange("pos").sortWithinPartitions("pos").select("object").write.text(root)
+    return ordered_lines(spark, root).groupBy(F.col("value").alias("object")).agg(
+        F.min("pos").cast("bigint").alias("first_pos"), F.count(F.lit(1)).alias("n"))
+
+
 def q_inventory_names(spark: SparkSession, d: str) -> DataFrame:
     return list_object_names(_inventory(spark, d), ["view"])
 
@@ -197,6 +215,29 @@ def q_backup_archive(spark: SparkSession, d: str) -> DataFrame:
                       "archive_date", "body")
 
 
+def q_current_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs of the current store: the second is read back, its base is named."""
+    root = new_folder(spark, "current")
+    named = lambda df: df.withColumn("record_key", F.col("record_key").cast("string"))
+    write_current(named(fx.f_current(spark, d)), root, datetime(2024, 1, 20))
+    base = read_current(spark, root)
+    write_current(backup(named(fx.f_incoming(spark, d)), base, RUN_TS).current, root, RUN_TS)
+    return read_current(spark, root).select("record_key", "body", _ts_text("saved_at").alias("saved_at"),
+                                            F.lit(len(committed_runs(spark, root))).cast("bigint").alias("n_runs"))
+
+
+def q_archive_compacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every version written to the archive in three runs, compacted and read back."""
+    root = new_folder(spark, "archive")
+    rows = fx.f_archive(spark, d).select(F.col("record_key").cast("string").alias("record_key"), "version_ts", "body",
+                                         F.date_format("version_ts", "yyyyMMdd").alias("archive_date"))
+    for i in range(3):
+        write_archive(rows.filter(F.pmod(F.dayofmonth("version_ts"), F.lit(3)) == i), root, datetime(2024, 3, 1 + i))
+    replaced = compact_archive(spark, root, RUN_TS)
+    return read_archive(spark, root).select("record_key", F.date_format("version_ts", "yyyyMMdd_HHmmss").alias("version_stamp"), "body",
+                                            "archive_date", F.lit(len(replaced)).cast("bigint").alias("n_replaced"))
+
+
 def _restore(spark: SparkSession, d: str):
     return restore(fx.f_archive(spark, d), fx.f_restore(spark, d), RUN_TS)
 

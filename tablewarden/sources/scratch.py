@@ -16,12 +16,18 @@ from tablewarden.session import checkpoint_dir
 _written: dict[str, list[str]] = {}
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder for tables that :func:`drop_written` shall drop."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/written-{uuid.uuid4().hex}-{name}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` computed once: written now and read back."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/written-{uuid.uuid4().hex}-{name}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
