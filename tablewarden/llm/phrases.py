@@ -4,23 +4,26 @@ Texts have A-Z lower-cased and are split at ``.,;:!?`` and line ends (LF, VT, FF
 into pieces, those at spaces and tabs into words. Everything is per language. Every
 word of a piece starts a suffix, cut after DEPTH words (or at the end of its piece).
 
-1. Words are counted. A prefix (at first one word) that starts more suffixes than the
-   budget is *split*: its extensions by one word take its place and are counted in
-   turn. What is left are the prefixes whose subtrees fit the budget. Those that
-   fill an eighth of it or more are packed into groups first-fit, the rest are
-   dealt to groups by hash.
+1. One pass counts all words, and longer prefixes where a sorted run of texts has LOCAL
+   or more of them. A prefix (at first one word) that starts more suffixes than the
+   budget is *split*: its extensions by one word take its place, in turn. What is left
+   are the prefixes whose subtrees fit the budget. Those that fill an eighth of it or
+   more are packed into groups first-fit, the rest are dealt to groups by hash. (The
+   counts of longer prefixes are lower bounds and only decide who does what.)
 2. Each task sorts the suffixes of its texts, counts equal ones and sends each group
    its share as one block with its own word list.
 3. Each group merges its blocks, sorts, and forms its subtrees: neighbours that share
    their first k words lie below one node of depth k, whose count is the sum of its
-   leaves. No subtree needs another group; split prefixes were counted in step 1.
+   leaves. No subtree needs another group; a split prefix, which is above the subtrees,
+   has its leaves added up over all groups.
 4. Nodes with at least MIN_COUNT are joined to the counts of their cuts and scored in
    Spark, in decimals.
 
 Scale: a group holds at most about the budget in suffixes, plus one share of the
-small prefixes, and budgets grow only so far that prefixes that are named, not hashed,
-stay under NAMED (a bound on what is sent to tasks, whatever the input). The most
-frequent word is split, never one group's work. A language's best rows are found
+small prefixes. Beyond NAMED budgets of input the budget grows with it, so that prefixes
+that are named, not hashed, stay few (a bound on what is sent to tasks, whatever the
+input) and are frequent enough for step 1 to see. The most frequent word is split, never
+one group's work. A language's best rows are found
 within salted parts first.
 
 Null texts are empty, a null language is ``und``. Texts of any length are read in
@@ -45,7 +48,8 @@ MIN_COUNT = 30
 COVER = 80  # per cent of a phrase's occurrences inside a longer one that drop it
 TOP = 2000
 BUDGET = 1 << 21  # suffixes of a group
-NAMED = 1 << 16  # prefixes known by name to every task, at most about this many a depth
+NAMED = 1 << 14  # a prefix this part of all suffixes can be split
+LOCAL = 64  # a run's count of a longer prefix that step 1 takes note of: this part of a run
 _SLICE = 1 << 16
 _VOCABULARY = 40_000  # words of a sorted run: with a slice more still 16 bits
 _RUN = 1 << 20
@@ -72,11 +76,10 @@ class _Ids(dict):
 
 
 class Run:
-    """Suffixes of texts of one language, gathered to be sorted together; only their
-    first ``depth`` words are told apart."""
+    """Suffixes of texts of one language, gathered to be sorted together."""
 
-    def __init__(self, depth: int = DEPTH):
-        self.depth, self.ids, self.parts, self.size = depth, _Ids({_BREAK: 0}), [], 0
+    def __init__(self):
+        self.ids, self.parts, self.size = _Ids({_BREAK: 0}), [], 0
 
     def add(self, text: bytes | None) -> Iterator[None]:
         """Yields after each slice, when the run may be taken."""
@@ -100,18 +103,18 @@ class Run:
         padded = np.append(ids, np.zeros(DEPTH, np.uint64))
         word = padded[:starts]
         packed, alive = word.copy(), word > 0
-        for k in range(1, self.depth):
+        for k in range(1, DEPTH):
             word = padded[k:k + starts]
             alive = alive & (word > 0)
             packed = packed << np.uint64(16) | word * alive
-        self.parts.append(packed[packed > 0] << np.uint64(16 * (DEPTH - self.depth)))
+        self.parts.append(packed[packed > 0])
         self.size += len(self.parts[-1])
 
     def sorted(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Words by id, distinct packed suffixes in order, their counts; then empty again."""
         suffixes, counts = np.unique(np.concatenate(self.parts), return_counts=True) if self.parts else (np.zeros(0, np.uint64),) * 2
         words = list(self.ids)
-        self.__init__(self.depth)
+        self.__init__()
         return words, suffixes, counts.astype(np.int64)
 
 
@@ -151,14 +154,14 @@ class Prefixes:
         return out
 
 
-def _runs(batches: Iterable[pa.RecordBatch], depth: int = DEPTH) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
     """Sorted runs of (lang, text) rows. Short texts are joined by a break first."""
     runs: dict[str, Run] = {}
     short: dict[str, list[bytes]] = {}
     held = 0
 
     def add(lang, text):
-        run = runs.setdefault(lang, Run(depth))
+        run = runs.setdefault(lang, Run())
         for _ in run.add(text):
             yield (lang, *run.sorted())
 
@@ -205,42 +208,39 @@ def _in_arrow(df: DataFrame, schema: str, run) -> DataFrame:
     return df.mapInArrow(task, fields)
 
 
-def prefix_counts(texts: DataFrame, depth: int, below: Iterable[tuple[str, bytes]] | None = None) -> DataFrame:
-    """(lang, prefix, n): suffixes that start with each prefix of ``depth`` words; with
-    ``below`` only the extensions of those prefixes."""
-    wanted = None if below is None else frozenset(below)
-
+def census(texts: DataFrame) -> DataFrame:
+    """(lang, prefix, depth, n): suffixes that start with each word, and at least how many
+    start with longer prefixes that are frequent somewhere."""
     def run(batches):
-        for lang, words, suffixes, counts in _runs(batches, depth):
-            starts = _first(suffixes >> np.uint64(16 * (DEPTH - depth)))
-            if not len(starts):
-                continue
-            sums, firsts = np.add.reduceat(counts, starts), suffixes[starts].tolist()
-            keep = [i for i, p in enumerate(firsts) if p >> 16 * (DEPTH - depth) & 0xFFFF
-                    and (wanted is None or (lang, _prefix(words, p, depth - 1)) in wanted)]
-            yield [lang] * len(keep), [_prefix(words, firsts[i], depth) for i in keep], sums[keep]
+        for lang, words, suffixes, counts in _runs(batches):
+            for depth in range(1, DEPTH + 1):
+                starts = _first(suffixes >> np.uint64(16 * (DEPTH - depth)))
+                if not len(starts):
+                    continue
+                sums = np.add.reduceat(counts, starts)
+                whole = (suffixes[starts] >> np.uint64(16 * (DEPTH - depth)) & np.uint64(0xFFFF)) > 0
+                keep = np.flatnonzero(whole & ((sums >= LOCAL) | (depth == 1)))
+                firsts = suffixes[starts[keep]].tolist()
+                yield [lang] * len(keep), [_prefix(words, p, depth) for p in firsts], [depth] * len(keep), sums[keep]
 
-    return _in_arrow(texts, "lang string, prefix binary, n bigint", run).groupBy("lang", "prefix").agg(F.sum("n").alias("n"))
+    return _in_arrow(texts, "lang string, prefix binary, depth int, n bigint", run).groupBy("lang", "prefix", "depth").agg(F.sum("n").alias("n"))
 
 
-def partition(texts: DataFrame, words: DataFrame, total: int, budget: int) -> tuple[Prefixes, DataFrame]:
-    """The prefixes' groups, and the counts (lang, prefix, n) of split prefixes of two
-    words and more. ``words`` are the counts of depth one."""
+def partition(counts: DataFrame, total: int, budget: int) -> Prefixes:
+    """The groups of the prefixes of a :func:`census`."""
     budget = max(budget, total // NAMED, 1)
     groups = max(1, -(-2 * total // budget))
-    spark, counts, split, known, large, below = texts.sparkSession, words, set(), [], [], None
-    for depth in range(1, DEPTH + 1):
-        if depth > 1:
-            counts = scratch(prefix_counts(texts, depth, below), "prefixes")
-        # the budget is at least total / NAMED, which bounds the rows that come here
-        rows = counts.filter(F.col("n") > budget // 8).collect()
-        below = [(r.lang, bytes(r.prefix)) for r in rows if r.n > budget and depth < DEPTH]
-        split.update(below)
-        if depth > 1:
-            known += [(r.lang, bytes(r.prefix), r.n) for r in rows if (r.lang, bytes(r.prefix)) in split]
-        large += [(r.n, r.lang, bytes(r.prefix)) for r in rows if (r.lang, bytes(r.prefix)) not in split]
-        if not below:
-            break
+    # the budget is at least total / NAMED, which bounds the rows that come here
+    rows = sorted(((r.depth, r.lang, bytes(r.prefix), r.n) for r in counts.filter(F.col("n") > budget // 8).collect()))
+    split, large = set(), []
+    for depth, lang, prefix, n in rows:
+        above = prefix[:prefix.rindex(b" ", 0, -1) + 1] if depth > 1 else None
+        if above is not None and (lang, above) not in split:
+            continue
+        if n > budget and depth < DEPTH:
+            split.add((lang, prefix))
+        else:
+            large.append((n, lang, prefix))
     named, room = {}, []
     for n, lang, prefix in sorted(large, key=lambda x: (-x[0], x[1:])):
         group = next((g for g in range(max(0, len(room) - 64), len(room)) if room[g] >= n), None)
@@ -249,7 +249,7 @@ def partition(texts: DataFrame, words: DataFrame, total: int, budget: int) -> tu
             group = len(room) - 1
         room[group] -= n
         named[lang, prefix] = groups + group
-    return Prefixes(split, named, groups), spark.createDataFrame(known, "lang string, prefix binary, n bigint")
+    return Prefixes(split, named, groups)
 
 
 def _blocks(texts: DataFrame, prefixes: Prefixes) -> DataFrame:
@@ -276,8 +276,8 @@ def _blocks(texts: DataFrame, prefixes: Prefixes) -> DataFrame:
 
 
 def tree(blocks: Iterable[tuple[bytes, bytes, bytes]], split: frozenset[bytes], least: int) -> Iterator[tuple[bytes, int]]:
-    """(prefix, count) of the nodes of two words and more that have ``least`` leaves at
-    least, but for split prefixes, of the subtrees over a group's blocks."""
+    """(prefix, count) of the nodes of two words and more over a group's blocks: those
+    that have ``least`` leaves at least, and split prefixes with the leaves they have here."""
     ids, columns, totals = _Ids({b"": 0}), [[] for _ in range(DEPTH)], []
     for names, suffixes, counts in blocks:
         own = names.split(b" ") if names else []
@@ -302,9 +302,11 @@ def tree(blocks: Iterable[tuple[bytes, bytes, bytes]], split: frozenset[bytes],
         edge = edge | np.append(True, cols[depth - 1][1:] != cols[depth - 1][:-1])
         starts = np.flatnonzero(edge)
         sums = np.add.reduceat(counts, starts)
-        for i in np.flatnonzero((sums >= least) & (cols[depth - 1][starts] > 0)).tolist():
+        above = {ids[p[:p.index(b" ")]] for p in split if p.count(b" ") == depth and p[:p.index(b" ")] in ids}
+        maybe = np.isin(cols[0][starts], list(above)) if above else np.zeros(len(starts), bool)
+        for i in np.flatnonzero(((sums >= least) | maybe) & (cols[depth - 1][starts] > 0)).tolist():
             prefix = b"".join(words[c[starts[i]]] + b" " for c in cols[:depth])
-            if prefix not in split:
+            if sums[i] >= least or prefix in split:
                 yield prefix, int(sums[i])
 
 
@@ -335,21 +337,24 @@ def _nodes(blocks: DataFrame, split: Iterable[tuple[str, bytes]], least: int) ->
             yield from done()
 
     dealt = blocks.repartition("part", "lang").sortWithinPartitions("part", "lang")
-    return _in_arrow(dealt, "lang string, prefix binary, n bigint", run)
+    # a split prefix has a row of each group
+    found = _in_arrow(dealt, "lang string, prefix binary, n bigint", run)
+    return found.groupBy("lang", "prefix").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 def phrase_counts(docs: DataFrame, least: int = MIN_COUNT, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of the phrases of 1 to DEPTH words that stand at least
     ``least`` times; (lang, n) of all languages with words."""
     texts = _texts(docs)
-    words = scratch(prefix_counts(texts, 1), "words")
+    counts = scratch(census(texts), "census")
+    words = counts.filter("depth = 1").select("lang", "prefix", "n")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     total = totals.agg(F.sum("n")).first()[0] or 0
     # groups for every task of a shuffle, also where the input is small
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    prefixes, known = partition(texts, words, total, min(budget, max(1 << 14, total // tasks)))
+    prefixes = partition(counts, total, min(budget, max(1 << 14, total // tasks)))
     nodes = _nodes(_blocks(texts, prefixes), prefixes.split, least)
-    found = scratch(words.filter(F.col("n") >= least).union(nodes).union(known.filter(F.col("n") >= least)), "nodes")
+    found = scratch(words.filter(F.col("n") >= least).union(nodes), "nodes")
     phrase = F.rtrim(F.col("prefix").cast("string"), F.lit(" "))
     return found.select("lang", phrase.alias("phrase"), F.size(F.split(phrase, " ")).alias("size"), F.col("n").alias("f")), totals
 

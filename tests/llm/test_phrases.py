@@ -56,12 +56,14 @@ def test_equals_plain_counts(spark, monkeypatch, budget):
     counts, totals = P.phrase_counts(df, budget=budget)
     assert got(P.collocations(df, budget=budget)) == want
     # budgets below the smallest that phrase_counts takes, through the partition itself
+    monkeypatch.setattr(P, "LOCAL", 2)
     texts = P._texts(df)
-    found = P.prefix_counts(texts, 1).cache()
-    prefixes, known = P.partition(texts, found, found.agg(F.sum("n")).first()[0], budget)
+    found = P.census(texts).cache()
+    words = found.filter("depth = 1")
+    prefixes = P.partition(found, words.agg(F.sum("n")).first()[0], budget)
     if budget == 40:
         assert {p.count(b" ") for _, p in prefixes.split} == {1, 2, 3}
-    nodes = P._nodes(P._blocks(texts, prefixes), prefixes.split, 30).union(known.filter("n >= 30"))
+    nodes = P._nodes(P._blocks(texts, prefixes), prefixes.split, 30)
     got_nodes = {(r.lang, bytes(r.prefix).decode()[:-1]): r.n for r in nodes.collect()}
     assert len(got_nodes) == nodes.count()
     assert got_nodes == {(r.lang, r.phrase): r.f for r in counts.filter("size > 1").collect()}
