@@ -150,7 +150,7 @@ def _phrases(docs: DataFrame, window: int) -> DataFrame:
 
 def _windows(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     """doc_id, text_hash, start, hash of every window in ``spans`` (doc_id, text_hash, start, windows)."""
-    places = spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "windows"))).alias("spans"))
+    places = spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "windows"))).alias("spans"))
 
     def setup():
         hasher = Hasher(window)
@@ -181,8 +181,8 @@ def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     named = docs.where(F.col("doc_id").isNotNull())
     phrases = scratch(_phrases(named, window), "phrases")
     again = scratch(phrases.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "grams")
-    # rows that repeat a doc_id and text are one document from here on
-    shared = scratch(phrases.join(again, "gram", "left_semi").distinct(), "shared")
+    # nothing is grouped in the stage of this join, so that AQE may split a gram that many phrases hold
+    shared = scratch(phrases.join(again, "gram", "left_semi"), "shared")
     owned = scratch(_earlier(shared, "phrase"), "owned")
     whole = owned.where("first < doc_id").select("doc_id", "text_hash", "start", (F.col("start") + F.col("windows") - 1 + window).alias("end"))
     firsts = owned.where("first = doc_id")
@@ -193,7 +193,8 @@ def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     .where("first < last").select("hash", "first"), "found")
     single = looked_up.join(found, "hash").where("first < doc_id").select(
         "doc_id", "text_hash", "start", (F.col("start") + window).alias("end"))
-    return whole.union(single)
+    # rows that repeat a doc_id and text share their spans
+    return whole.union(single).distinct()
 
 
 def cut(text: str | None, spans: list | None) -> tuple[list[bytes], int]:
