@@ -161,9 +161,9 @@ def _near(lines: DataFrame) -> DataFrame:
         lines.select(F.struct("h1", "h2").alias("later"), "first"), "later").select("first")
 
 
-def dedup_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with near-duplicate lines taken out of ``text_col``, and the columns
-    n_lines and n_removed (replacing any of that name)."""
+def dedup_lines(docs: DataFrame, text_col: str = "text", counts: bool = True) -> DataFrame:
+    """``docs`` with near-duplicate lines taken out of ``text_col``; with ``counts`` also the
+    columns n_lines and n_removed (replacing any of that name)."""
     named = docs.select(*(F.col(c).alias("doc_id" if c == "doc_id" else "text" if c == text_col else f"x_{c}")
                           for c in docs.columns))
     named = named.withColumn("text_hash", F.xxhash64("text"))
@@ -186,7 +186,9 @@ def dedup_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     done = joined.withColumn("done", F.when(F.col("text").isNotNull(), let(F.split("text", "\n"), rebuild)))
     out = [F.col("done.text").alias(c) if c == text_col else F.col("doc_id" if c == "doc_id" else f"x_{c}").alias(c)
-           for c in docs.columns if c not in ("n_lines", "n_removed")]
+           for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
+    if not counts:
+        return done.select(*out)
     count = lambda c: F.coalesce(F.col(f"done.{c}"), F.lit(0)).cast("long").alias(c)
     return done.select(*out, count("n_lines"), count("n_removed"))
 

@@ -174,20 +174,33 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as make it no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of each component: the smallest doc_id (null ids last), and one only of
-    rows that repeat it with the same fingerprint. Columns as they are."""
+    """One row of each component: the smallest doc_id (null ids last). Of rows that repeat
+    it with the same fingerprint the least text stays (null first), then the least of the
+    other columns in their order; columns of nested types do not decide. Columns as they are."""
     @F.pandas_udf("bigint")
     def mark(texts):
         return texts.map(lambda t: fingerprint(t, shingle)).astype("int64")
 
+    own, rep_id, rep_fp = (_unused(docs, n) for n in ("own_fp", "rep_id", "rep_fp"))
     fps = scratch(fingerprints(docs, shingle=shingle), "fingerprints")
     reps = scratch(classes(fps, max_bits).select(
-        F.col("rep.doc_id").alias("_rep_id"), F.col("rep.fp").alias("_rep_fp")).distinct(), "reps")
+        F.col("rep.doc_id").alias(rep_id), F.col("rep.fp").alias(rep_fp)).distinct(), "reps")
     # null-safe, as a filter on the mark would be pushed below and compute it twice
-    marked = docs.withColumn("_own_fp", mark(F.coalesce(F.col("text"), F.lit(""))))
-    kept = marked.join(reps, F.col("doc_id").eqNullSafe(F.col("_rep_id")) & F.col("_own_fp").eqNullSafe(F.col("_rep_fp")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_own_fp"]).select(*docs.columns)
+    marked = docs.withColumn(own, mark(F.coalesce(F.col("text"), F.lit(""))))
+    kept = marked.join(reps, F.col("doc_id").eqNullSafe(F.col(rep_id)) & F.col(own).eqNullSafe(F.col(rep_fp)), "left_semi")
+    nested = [f.name for f in docs.schema if f.dataType.typeName() in ("map", "array", "struct", "variant")]
+    deciding = F.struct("text", *(c for c in docs.columns if c != "text" and c not in nested))
+    row = F.min_by(F.struct(*docs.columns), deciding) if nested else F.min(deciding)
+    return kept.groupBy("doc_id", own).agg(row.alias("row")).select("row.*").select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

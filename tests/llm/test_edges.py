@@ -12,7 +12,8 @@ LONG = "word " * 60_000 + "\n" + "x" * 100_000
 ROWS = [(1, "some clean line of plain words\n\nanother line", 3), (2, None, 4), (None, "a text without an id", 5),
         (3, "", None), (4, "   \n\t", 1), (5, LONG, 2), (5, LONG, 2), (None, None, None)]
 # names that operators give to their own columns
-CLASHES = ["score", "fp", "n_lines", "piece", "start", "length", "spans", "place", "path", "text_hash", "uid", "part"]
+CLASHES = ["score", "fp", "n_lines", "piece", "start", "length", "spans", "place", "path", "text_hash", "uid", "part",
+           "own_fp", "rep_id", "rep_fp", "_own_fp", "_rep_id", "_rep_fp", "row"]
 
 
 def docs(spark, rows=ROWS):
@@ -59,6 +60,7 @@ def test_stage(spark, tmp_path, name, stage, rows):
         assert {r.doc_id for r in got} == {r[0] for r in rows}
         return
     assert out.columns == given.columns
+    assert all(r[c] == i for r in got for i, c in enumerate(CLASHES))
     ids = {r.doc_id for r in got}
     if name in ("line_dedup", "pii"):
         assert len(got) == len(rows)
@@ -67,6 +69,15 @@ def test_stage(spark, tmp_path, name, stage, rows):
         assert ids == {1, 2, 5, None} and len(got) == 4
 
 
+def test_rows_of_one_id_and_fingerprint(spark):
+    """Their least text stays, however they are dealt; nested columns come along."""
+    rows = [(1, "b C d e", 2, [1]), (1, "b c d e", 1, [2]), (1, "B c d e", 9, [3]), (1, "B c d e", 4, [4]), (2, "b c d e", 0, [5])]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id bigint, text string, n_chars bigint, tags array<int>").repartition(3)
+        assert [tuple(r) for r in simhash.keep_first(df).collect()] == [(1, "B c d e", 4, [4])]
+        assert [tuple(r) for r in simhash.keep_first(df.drop("tags")).collect()] == [(1, "B c d e", 4)]
+
+
 def test_vectors(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]),
             (5, [2.0, 0.0]), (6, [0.0, 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [float("inf"), 1.0]), (6, [0.0, 1.0])]
