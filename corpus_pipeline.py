@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that stand near-identical in an earlier place.
     One whose lines all do stays with an empty text; the next stage merges those."""
-    return _counted(linededup.dedup_lines(docs).select(*docs.columns))
+    return _counted(linededup.dedup_lines(docs, counts=False))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
