@@ -8,12 +8,14 @@ leaf of each tree.
 
 Search: one priority queue is shared by all trees of a query. It holds branches by
 the worst margin on the way to them, so the most promising branch of any tree is
-opened next, until ``share`` of the forest's leaves are open and they hold enough
-vectors (a tenth: vectors without any structure, the hardest case, need that for a
-recall above 0.9; clustered ones far less). Queries
-meet the vectors of their leaves in groups of leaf and block; a leaf with many
-vectors has many blocks. Each group reranks its candidates exactly: cosine of the
-original vectors in double precision; ties go to the smaller id.
+opened next, until ``probes`` leaves are open and they hold enough vectors. How many
+are needed for a recall of ``recall`` is learned: the nearest of TRIALS sample vectors
+in the sample are found by brute force, and the leaves counted that come before the
+first that holds them. Clustered vectors need few leaves, vectors without any
+structure many. Queries meet the vectors of their leaves in groups of leaf and block;
+a leaf with many vectors has many blocks, and the queries of a group pass by in
+batches. Each group reranks its candidates exactly: cosine of the original vectors in
+double precision; ties go to the smaller id.
 
 Equal vectors are merged first: a vector that a third of the rows hold is indexed
 and searched once, with its k + 1 smallest ids, which is all that k neighbours can
@@ -29,18 +31,21 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewarden.llm.common import scratch, table
 
 SAMPLE = 20_000
-LEAF_ROWS = 128
+LEAF_ROWS = 32
+TRIALS = 200
 BLOCK = 4096
+PAIRS = 65536  # scored at once
 
 
 @dataclass(frozen=True)
@@ -50,6 +55,7 @@ class Forest:
     normals: np.ndarray  # tree, node, component
     offsets: np.ndarray  # tree, node
     depth: int
+    probes: int = 0  # leaves to open for a query, where learned
 
     @property
     def trees(self) -> int:
@@ -66,6 +72,17 @@ class Forest:
             out[:, t] = node - ((1 << self.depth) - 1)
         return out
 
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """The place of each leaf in the order in which ``search`` opens them: (tree, leaf)."""
+        margins = (self.normals @ q - self.offsets) if self.depth else self.offsets
+        worst = np.full((self.trees, 1), -np.inf)
+        for level in range(self.depth):
+            m = margins[:, (1 << level) - 1:(2 << level) - 1]
+            worst = np.stack([np.maximum(worst, m), np.maximum(worst, -m)], axis=2).reshape(self.trees, -1)
+        place = np.empty(worst.size, np.int64)
+        place[np.argsort(worst, axis=None, kind="stable")] = np.arange(worst.size)
+        return place.reshape(worst.shape)
+
     def search(self, q: np.ndarray, counts: np.ndarray, probes: int, least: int) -> list[tuple[int, int]]:
         """(tree, leaf) to open for unit vector ``q``, most promising first, from one
         queue: ``probes`` of them that hold vectors, and on until a tree has ``least``."""
@@ -108,6 +125,25 @@ def fit(sample: np.ndarray, trees: int, leaf_rows: int = LEAF_ROWS, seed: int =
     return Forest(normals, offsets, depth)
 
 
+def learn_probes(forest: Forest, sample: np.ndarray, k: int, recall: float) -> Forest:
+    """``forest`` with the leaves that a query must open so that ``recall`` of the ``k``
+    nearest are met, by TRIALS rows of ``sample`` as queries against all its rows."""
+    x = unit(sample)
+    held = forest.leaves(x)
+    trial = np.unique(np.linspace(0, len(x) - 1, min(TRIALS, len(x))).astype(int))
+    near = x[trial] @ x.T
+    near[np.arange(len(trial)), trial] = -np.inf
+    k = min(k, len(x) - 1)
+    if not k:
+        return replace(forest, probes=forest.trees)
+    needed = []
+    for i, row in zip(trial, near):
+        place = forest.order(x[i])
+        for j in np.argpartition(-row, k - 1)[:k]:
+            needed.append(1 + place[np.arange(forest.trees), held[j]].min())
+    return replace(forest, probes=max(forest.trees, int(np.quantile(needed, recall, method="higher"))))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small components stay finite
@@ -159,52 +195,49 @@ def _reranker(keep: int):
     keys = ["tree", "leaf", "block"]
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
 
-    def nearest(rows: pa.Table) -> Iterator[tuple]:
-        """Each query of one group with its ``keep`` nearest vectors there."""
-        is_query = rows.column("kind").to_numpy() == 1
-        n = len(is_query) - int(is_query.sum())
-        if not n or n == len(is_query):
-            return
-        vecs = _matrix(rows.column("vec").combine_chunks())
-        ids = rows.column("ids").slice(0, n).to_pylist()
-        a, b = (rows.column(c).slice(n).to_pylist() for c in "ab")
-        x, q = vecs[:n], vecs[n:]
-        ux, least_id = unit(x), np.array([i[0] for i in ids])
+    def answer(vectors: pa.Table, queries: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Each query with its ``keep`` nearest of ``vectors``."""
+        ids = vectors.column("ids").combine_chunks()
+        x, q = (_matrix(t.column("vec").combine_chunks()).astype(np.float64) for t in (vectors, queries))
+        ux, size, least_id = unit(x), np.sqrt((x * x).sum(axis=1)), pc.list_element(ids, 0).to_numpy()
         for at in range(0, len(q), 256):
-            rough = unit(q[at:at + 256]) @ ux.T
-            floor = np.partition(rough, max(0, n - keep), axis=1)[:, max(0, n - keep)] - 1e-9
-            for i, (row, low) in enumerate(zip(rough, floor)):
-                near = np.flatnonzero(row >= low)
-                score = cosine(q[at + i], x[near])
-                for k in np.lexsort((least_id[near], -score))[:keep]:
-                    yield a[at + i], b[at + i], ids[near[k]], float(score[k])
+            part = q[at:at + 256]
+            rough = unit(part) @ ux.T
+            last = max(0, len(x) - keep)
+            row, near = np.nonzero(rough >= np.partition(rough, last, axis=1)[:, last:last + 1] - 1e-9)
+            length = np.sqrt((part * part).sum(axis=1))
+            score = np.concatenate([(x[n] * part[r]).sum(axis=1) / (size[n] * length[r]) for n, r in (
+                (near[i:i + PAIRS], row[i:i + PAIRS]) for i in range(0, len(row), PAIRS))])
+            best = np.lexsort((least_id[near], -score, row))
+            row, near, score = row[best], near[best], score[best]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < keep
+            of = pa.array(at + row[kept])
+            yield pa.RecordBatch.from_arrays(
+                [queries.column("a").combine_chunks().take(of), queries.column("b").combine_chunks().take(of),
+                 ids.take(pa.array(near[kept])).cast(out.field("ids").type), pa.array(score[kept])], schema=out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group, vectors before queries; a group may span batches."""
-        def answer(group: pa.Table) -> Iterator[pa.RecordBatch]:
-            found = list(nearest(group))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), out)], schema=out)
-
-        waiting, last = [], None
+        """Rows come sorted by group, vectors before queries; a group may span batches.
+        The vectors of one group are held, of its queries those of one batch."""
+        held, last = [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            place = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+            place = np.stack([batch.column(k).to_numpy() for k in (*keys, "kind")], axis=1)
             cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
             for s, e in zip(cuts, cuts[1:]):
-                if waiting and tuple(place[s]) != last:
-                    yield from answer(pa.Table.from_batches(waiting))
-                    waiting = []
-                waiting.append(batch.slice(s, e - s))
-                last = tuple(place[s])
-        if waiting:
-            yield from answer(pa.Table.from_batches(waiting))
+                *group, kind = place[s].tolist()
+                if group != last:
+                    held, last = [], group
+                if kind == 0:
+                    held.append(batch.slice(s, e - s))
+                elif held:
+                    yield from answer(pa.Table.from_batches(held), pa.Table.from_batches([batch.slice(s, e - s)]))
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = 10, share: float = 0.1,
+def search(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = 10, recall: float = 0.96,
            id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each row where
     ``is_query`` (of the id, as column vec_id) holds, among all other rows."""
@@ -218,8 +251,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = 10, sh
     sample = distinct.orderBy("a", "b").limit(SAMPLE).select("vec").toPandas()["vec"]
     if not len(sample):
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    forest = fit(np.stack(sample), trees)
-    probes = max(2 * trees, int(share * trees * (1 << forest.depth)))
+    sample = np.stack(sample)
+    forest = learn_probes(fit(sample, trees), sample, k, recall)
     placed = scratch(_placed(distinct, forest, None, 0, 0), "leaves")
     counts = np.zeros((trees, 1 << forest.depth), np.int64)
     for t, leaf, n in placed.groupBy("tree", "leaf").count().toLocalIterator():  # as many as the forest has leaves
@@ -229,7 +262,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = 10, sh
     asked = rows.where(is_query).groupBy("a", "b").agg(F.first("vec").alias("vec"))
     data = placed.join(F.broadcast(blocks), ["tree", "leaf"]).select(
         "tree", "leaf", F.pmod("a", "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "a", "b", "vec", "ids")
-    probed = _placed(asked, forest, counts, probes, k + 1).join(F.broadcast(blocks), ["tree", "leaf"]).select(
+    probed = _placed(asked, forest, counts, forest.probes, k + 1).join(F.broadcast(blocks), ["tree", "leaf"]).select(
         "tree", "leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"),
         "a", "b", "vec", F.array().cast("array<bigint>").alias("ids"))
     groups = ["tree", "leaf", "block"]

@@ -52,6 +52,49 @@ def test_recall_and_exact_scores(spark):
     assert hit >= 0.9 * total
 
 
+def test_clustered_vectors_need_few_candidates():
+    """200,000 vectors around 2,000 centres: a query meets under a tenth of them."""
+    rng = np.random.default_rng(3)
+    x = annforest.unit(rng.normal(size=(2000, 32))[rng.integers(0, 2000, 200_000)] + 0.3 * rng.normal(size=(200_000, 32)))
+    sample = x[:annforest.SAMPLE]
+    forest = annforest.learn_probes(annforest.fit(sample, 10), sample, 5, 0.96)
+    leaf = forest.leaves(x)
+    counts = np.stack([np.bincount(leaf[:, t], minlength=1 << forest.depth) for t in range(10)])
+    hit, met = [], []
+    for q in range(0, 200_000, 2000):
+        opened = forest.search(x[q], counts, forest.probes, 6)
+        seen = np.zeros(len(x), bool)
+        for t, at in opened:
+            seen |= leaf[:, t] == at
+        score = x @ x[q]
+        score[q] = -1
+        hit += seen[np.argsort(-score)[:5]].tolist()
+        met.append(sum(int(counts[t, at]) for t, at in opened))
+    print(f"recall {np.mean(hit):.3f}, candidates a query {np.mean(met):.0f} of {len(x)}, leaves opened {forest.probes}")
+    assert np.mean(hit) >= 0.9 and np.mean(met) < 0.1 * len(x)
+
+
+def test_leaves_are_opened_in_order():
+    x = annforest.unit(np.random.default_rng(5).normal(size=(2000, 8)))
+    forest = annforest.fit(x, 3)
+    place = forest.order(x[7])
+    every = forest.search(x[7], np.ones(place.shape, int), place.size, 1)
+    assert sorted(place.ravel().tolist()) == list(range(place.size))
+    margins = forest.normals @ x[7] - forest.offsets
+
+    def worst(t, leaf):
+        node, path = leaf + (1 << forest.depth) - 1, []
+        while node:
+            up = (node - 1) // 2
+            path.append(margins[t, up] if node == 2 * up + 1 else -margins[t, up])
+            node = up
+        return max(path)
+
+    by_search = [worst(t, leaf) for t, leaf in every]
+    by_order = [worst(t, leaf) for t, leaf in sorted(np.ndindex(place.shape), key=lambda p: place[p])]
+    assert by_search == by_order == sorted(by_order)
+
+
 def test_a_vector_that_many_rows_hold(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(300)] + [(i, [float(i), 1.0, 0.0]) for i in range(300, 330)]
     got = annforest.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("vec_id") == 250).collect()
