@@ -366,6 +366,67 @@ def test_checksums_context_and_redaction():
 
 # --- licences ------------------------------------------------------------------------
 
+def test_whole_licence_texts_and_wrapped_notices(spark):
+    import textwrap
+
+    held = dict(licenses.TEMPLATES)  # the last text of each licence: the longest
+    opening = dict(licenses.OPENINGS)
+    wrap = lambda t, mark="": "\n".join(mark + line for line in textwrap.wrap(t, 60))
+    body = "\n\n".join(wrap(" ".join(f"clause{i * j % 97} term{j}" for j in range(200))) for i in range(1, 20))
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and t.startswith("This program"))
+    code = "\n".join(f"int value{i} = compute{i}(value{i + 1});" for i in range(200))
+    rows = [
+        (1, "a/LICENSE", wrap(held["MIT"].replace("Copyright (c).", "Copyright (c) 2019 Some Name and others"))),
+        (2, "b/LICENSE", wrap(held["BSD-3-Clause"].replace("the copyright holder", "Example Labs"))),
+        (3, "c/LICENSE", wrap(opening["Apache-2.0"]) + "\n\n" + body),
+        (4, "d/COPYING", wrap(opening["GPL-3.0"]) + "\n\n" + body),
+        (5, "e/x.c", "/*\n" + wrap(gpl, " * ") + "\n *\n */\n" + code),
+        (6, "f/README", "This project is licensed under the Apache License, Version 2.0 - see the LICENSE file for details"),
+        (7, "g/x.c", "/*\n" + wrap(held["MIT"], " * ") + "\n */\n\n" + code),
+        (8, "h/x.c", code), (9, "h/y", body), (10, "a/sub/z.c", code), (11, "g/z.c", code),
+    ]
+    filler = [(i, f"z/{i}", "see the file for details of this project and its license terms, under version 2") for i in range(100, 400)]
+    df = spark.createDataFrame(rows + filler, "doc_id bigint, path string, text string")
+    got = {r.doc_id: (r.license, r.via) for r in licenses.inherit(licenses.own_licenses(df)).collect()}
+    assert {i: got[i] for i in range(1, 12)} == {
+        1: ("MIT", "file"), 2: ("BSD-3-Clause", "file"), 3: ("Apache-2.0", "file"), 4: ("GPL-3.0", "file"),
+        5: ("GPL-3.0", "header"), 6: ("Apache-2.0", "file"), 7: ("MIT", "header"), 8: (None, "none"), 9: (None, "none"),
+        10: ("MIT", "inherited"), 11: (None, "none")}
+    assert all(got[i] == (None, "none") for i in range(100, 400))
+
+
+def test_license_scores_are_plain_tfidf(spark):
+    """Every part of every text against every template, without bounds or prefilters."""
+    import collections
+    import math
+
+    rng = random.Random(6)
+    words = licenses.terms(" ".join(t for _, t in licenses.TEMPLATES)) + [f"w{i}" for i in range(60)]
+    made = ["\n".join(" ".join(rng.choices(words, k=rng.randrange(8))) for _ in range(rng.randrange(6))) for _ in range(60)]
+    made += [made[3], made[3], "", None, " ".join(t for _, t in licenses.TEMPLATES[:2]), licenses.OPENINGS[0][1]]
+    made += [text.replace("software", rng.choice(words)) for _, text in licenses.TEMPLATES]
+    n, cos = len(made), {}
+    df = collections.Counter(t for text in made for t in set(licenses.terms(text or "")))
+    vector = lambda ts: {t: c * (math.log((1 + n) / (1 + df[t])) + 1) for t, c in collections.Counter(ts).items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+
+    def best(parts, templates):
+        scored = [(-round(sum(x * b.get(t, 0) for t, x in a.items()) / size(a) / size(b), 6), name)
+                  for a in map(vector, parts) if a for name, b in templates]
+        return min([s for s in scored if -s[0] >= licenses.THRESHOLD], default=(0.0, None))
+
+    whole = [(name, vector(licenses.terms(t))) for name, t in licenses.TEMPLATES]
+    heads = [(name, vector(licenses.terms(t)[:licenses.OPENING])) for name, t in licenses.OPENINGS]
+    for i, text in enumerate(made):
+        lines = [licenses.terms(line) for line in (text or "").split("\n")]
+        runs = [sum(g, []) for held, g in itertools.groupby(lines, key=bool) if held]
+        flat = sum(lines, [])
+        cos[i] = best(lines + runs, whole), min(best([flat], whole), best([flat[:licenses.OPENING]], heads))
+    rows = spark.createDataFrame([(i, f"p/{i}", t) for i, t in enumerate(made)], "doc_id bigint, path string, text string")
+    got = {r.doc_id: ((-r.header_score, r.header), (-r.file_score, r.file)) for r in licenses.own_licenses(rows).collect()}
+    assert got == cos and sum(h[1] is not None for h, _ in cos.values()) > 10
+
+
 def test_inheritance(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     words = " ".join(f"word{i}" for i in range(40))
