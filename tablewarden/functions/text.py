@@ -75,12 +75,12 @@ def invalid_path(path: Column) -> Column:
 
 def minimizers(text: Column, windows: Sequence[int], gram: int) -> Column:
     """(window, hash) of the least-hashed ``gram`` of every window of ``text``, for each of
-    ``windows`` (powers of two, in characters), each hash once; a window of up to
+    ``windows`` (characters; beyond ``gram`` powers of two), each hash once; a window of up to
     ``gram`` (a power of two) is its own gram. A text that contains another of at least
     ``window`` characters has all of the other's hashes, about one for every half window.
 
-    Hashes of 2n characters come from those of n, and least hashes of 2n grams from
-    those of n, so all windows share one pass."""
+    Hashes of 2n characters come from those of n (as do those between, of two that overlap),
+    and least hashes of 2n grams from those of n, so all windows share one pass."""
     def pairs(a: Column, shift: int, fn: Callable) -> Column:
         left = F.greatest(F.size(a) - shift, F.lit(0))
         return F.zip_with(F.slice(a, 1, left), F.slice(a, shift + 1, left), fn)
@@ -89,8 +89,9 @@ def minimizers(text: Column, windows: Sequence[int], gram: int) -> Column:
         return F.transform(F.array_distinct(a), lambda g: F.struct(F.lit(window).alias("window"), g.alias("gram")))
 
     def hashes(a: Column, size: int) -> Column:
-        out = [found(a, size)] if size in windows else []
-        if size < gram and any(w > size for w in windows):
+        out = [found(pairs(a, w - size, lambda x, y: F.xxhash64(x, y)) if w > size else a, w)
+               for w in windows if size <= w < 2 * size and w <= gram]
+        if size < gram and any(w >= 2 * size for w in windows):
             out.append(let(pairs(a, size, lambda x, y: F.xxhash64(x, y)), lambda b: hashes(b, 2 * size)))
         elif size == gram and any(w > gram for w in windows):
             out.append(least(a, 1))

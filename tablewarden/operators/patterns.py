@@ -1,14 +1,15 @@
 """Theta join of rows to prefix/suffix/contains patterns (J8), as one equi join.
 
 Every part of a pattern gives *anchors*, values that each matching row must have:
-the part itself for a prefix or suffix (longer ones cut to a power of two), and for a
-substring the least-hashed grams of its windows. Of a pattern's anchors the one that
-fewest rows have is used: rows are counted by anchor in a sketch of SKETCH counters,
-so a common prefix or a one-letter part is no key where another part is rarer.
-
-A row has one anchor for each prefix and suffix length in use, and one for about every
-half window of a substring's length (not one for every place). Anchors are 64-bit
-hashes of the kind, the length, the scope columns that the pattern restricts and the
+the part itself for a prefix or suffix (longer ones cut to a power of two) and for a
+substring of up to GRAM characters, and for a longer one the least-hashed grams of its
+windows. Of a pattern's anchors the one that fewest rows have is used: rows are counted
+by anchor in a sketch of SKETCH counters, so a common prefix or a one-letter part is no
+key where another part is rarer.
+
+A row has one anchor for each prefix and suffix length in use, one for every place of a
+short substring's length, and one for about every half window of a long one's. Anchors are
+64-bit hashes of the kind, the length, the scope columns that the pattern restricts and the
 value; the join carries hashes only, (row hash, anchor), and candidate pairs come back
 to the rows by the row hash, where the full predicate decides. There is one method at
 every size; AQE broadcasts by measured bytes and splits hot keys.
@@ -31,7 +32,7 @@ from tablewarden.sources.scratch import written
 
 PARTS = ("prefix", "suffix", "contains")
 EXACT = 64  # prefixes and suffixes up to here are anchors as a whole
-GRAM = 16
+GRAM = 16  # substrings up to here are anchors as a whole
 WINDOW = 4096  # the longest window of a substring; also the size of a text's blocks
 SKETCH = 1 << 16
 
@@ -63,7 +64,7 @@ def _parts(patterns: DataFrame, scope_cols: Sequence[str]) -> DataFrame:
     Every column is new, so a pattern table may derive from the rows it is joined to."""
     mask = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(scope_cols)), F.lit(0))
     n = [F.length(c) for c in PARTS]
-    length = [F.when(x <= EXACT, x).otherwise(_power(x)) for x in n[:2]] + [F.least(_power(n[2]), F.lit(WINDOW))]
+    length = [F.when(x <= EXACT, x).otherwise(_power(x)) for x in n[:2]] + [F.when(n[2] <= GRAM, n[2]).otherwise(F.least(_power(n[2]), F.lit(WINDOW)))]
     shapes = [F.when(n[k].isNotNull(), F.struct(F.lit(k).alias("kind"), length[k].cast("int").alias("length"),
                                                 F.col(c).alias("part"))) for k, c in enumerate(PARTS)]
     return patterns.filter(~F.col("refused")).select(
@@ -125,16 +126,19 @@ def match_patterns(rows: DataFrame, patterns: DataFrame, name_col: str, *,
     plan runs jobs: the patterns' shapes, and where there is a choice the rows' anchors.
     """
     parts = _parts(patterns, scope_cols)
-    seen = parts.groupBy("kind", "length", "_p_mask").agg(F.max(F.size(F.array_compact(F.array(*[f"_p_{c}" for c in PARTS])))).alias("n")).collect()
+    present = F.size(F.array_compact(F.array(*[f"_p_{c}" for c in PARTS])))
+    seen = parts.groupBy("kind", "length", "_p_mask").agg(
+        F.max(present).alias("most")).collect()
     shapes = [tuple(r)[:3] for r in seen]
     candidates = _pattern_anchors(parts, scope_cols, sorted({n for k, n, _ in shapes if k == 2}))
     anchors = _row_anchors(rows, name_col, shapes, scope_cols)
-    # prefixes or suffixes alone leave nothing to choose
-    choice = any(r["n"] > 1 or r["kind"] == 2 for r in seen)
+    # a prefix, suffix or short substring alone leaves nothing to choose
+    choice = any(r["most"] > 1 or r["kind"] == 2 and r["length"] > GRAM for r in seen)
     if choice:
         anchors = written(anchors, "anchors")
     chosen = _rarest(candidates, anchors) if choice else candidates
-    pairs = anchors.join(chosen, F.col("_anchor") == F.col("_p_anchor")).drop("_anchor", "_p_anchor").distinct()
+    pairs = anchors.join(chosen, F.col("_anchor") == F.col("_p_anchor"))
+    pairs = pairs.drop("_anchor", "_p_anchor").distinct()
     cond = F.xxhash64(rows[name_col]) == pairs["_id"]
     cond = cond & affix_match(rows[name_col], pairs["_p_prefix"], pairs["_p_suffix"], pairs["_p_contains"])
     for c in scope_cols:

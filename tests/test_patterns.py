@@ -102,3 +102,25 @@ def test_scopes(spark):
                                      PATTERN + ", c string, s string")
     got = match_patterns(rows, normalize_patterns(patterns, ["c", "s"]), "name", scope_cols=["c", "s"])
     assert sorted((r.i, r.pattern_id) for r in got.collect()) == [(1, 1), (1, 2), (1, 4), (2, 2), (2, 3), (2, 4), (3, 1), (3, 4)]
+
+
+def test_short_substrings_give_no_candidates_but_matches(spark):
+    """6 digits are looked up as 6 digits: their first 4 would meet a hundred times the rows."""
+    names = spark.range(20_000).select(F.format_string("Customer#%09d", F.col("id") * 37).alias("name"))
+    tokens = spark.range(2000).select(F.col("id").alias("pattern_id"), F.lit(None).cast("string").alias("prefix"),
+                                      F.lit(None).cast("string").alias("suffix"), F.lpad((F.col("id") * 331).cast("string"), 6, "0").alias("contains"))
+    pats = normalize_patterns(tokens)
+    parts = _parts(pats, [])
+    shapes = [tuple(r) for r in parts.select("kind", "length", "_p_mask").distinct().collect()]
+    anchors, keys = _row_anchors(names, "name", shapes, []), _pattern_anchors(parts, [], [n for _, n, _ in shapes])
+    pairs = anchors.join(keys, F.col("_anchor") == F.col("_p_anchor")).count()
+    want = names.crossJoin(tokens).filter(F.col("name").contains(F.col("contains"))).count()
+    assert pairs == want > 200 and match_patterns(names, pats, "name").count() == want
+
+
+def test_minimizers_of_lengths_that_are_no_powers(spark):
+    r = spark.createDataFrame([("abcdefghijklmnopqrst",)], "t string").select(
+        *[minimizers(F.col("t").substr(1, n), [3, 5, 6, 11, 16], 16).alias(f"n{n}") for n in (2, 5, 20)]).first()
+    count = lambda found: {n: sum(x.window == n for x in found) for n in (3, 5, 6, 11, 16)}
+    assert count(r.n2) == dict.fromkeys((3, 5, 6, 11, 16), 0) and count(r.n5) == {3: 3, 5: 1, 6: 0, 11: 0, 16: 0}
+    assert count(r.n20) == {3: 18, 5: 16, 6: 15, 11: 10, 16: 5} and set(r.n5) <= set(r.n20)
