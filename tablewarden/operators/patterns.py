@@ -11,8 +11,9 @@ A row has one anchor for each prefix and suffix length in use, one for every pla
 short substring's length, and one for about every half window of a long one's. Anchors are
 64-bit hashes of the kind, the length, the scope columns that the pattern restricts and the
 value; the join carries hashes only, (row hash, anchor), and candidate pairs come back
-to the rows by the row hash, where the full predicate decides. There is one method at
-every size; AQE broadcasts by measured bytes and splits hot keys.
+to the rows by the row hash, where the full predicate decides. Patterns that a count
+finds few and short are broadcast; rows and their anchors never are, as files of repeated
+names are far smaller than their rows. AQE splits hot keys.
 
 Building the plan runs one small job, the distinct shapes (kind, length, scope) of the
 patterns: at most some hundred rows, and rows have no anchors of other shapes. Where
@@ -35,6 +36,7 @@ EXACT = 64  # prefixes and suffixes up to here are anchors as a whole
 GRAM = 16  # substrings up to here are anchors as a whole
 WINDOW = 4096  # the longest window of a substring; also the size of a text's blocks
 SKETCH = 1 << 16
+FEW_PATTERNS, FEW_CHARS = 50_000, 1 << 22  # parts, and their characters, that are broadcast
 
 
 def normalize_patterns(patterns: DataFrame, scope_cols: Sequence[str] = ()) -> DataFrame:
@@ -128,7 +130,7 @@ def match_patterns(rows: DataFrame, patterns: DataFrame, name_col: str, *,
     parts = _parts(patterns, scope_cols)
     present = F.size(F.array_compact(F.array(*[f"_p_{c}" for c in PARTS])))
     seen = parts.groupBy("kind", "length", "_p_mask").agg(
-        F.max(present).alias("most")).collect()
+        F.max(present).alias("most"), F.count(F.lit(1)).alias("rows"), F.sum(F.length("part")).alias("chars")).collect()
     shapes = [tuple(r)[:3] for r in seen]
     candidates = _pattern_anchors(parts, scope_cols, sorted({n for k, n, _ in shapes if k == 2}))
     anchors = _row_anchors(rows, name_col, shapes, scope_cols)
@@ -137,10 +139,11 @@ def match_patterns(rows: DataFrame, patterns: DataFrame, name_col: str, *,
     if choice:
         anchors = written(anchors, "anchors")
     chosen = _rarest(candidates, anchors) if choice else candidates
-    pairs = anchors.join(chosen, F.col("_anchor") == F.col("_p_anchor"))
+    few = sum(r["rows"] for r in seen) <= FEW_PATTERNS and sum(r["chars"] for r in seen) <= FEW_CHARS
+    pairs = anchors.join(chosen.hint("broadcast" if few else "merge"), F.col("_anchor") == F.col("_p_anchor"))
     pairs = pairs.drop("_anchor", "_p_anchor").distinct()
     cond = F.xxhash64(rows[name_col]) == pairs["_id"]
     cond = cond & affix_match(rows[name_col], pairs["_p_prefix"], pairs["_p_suffix"], pairs["_p_contains"])
     for c in scope_cols:
         cond = cond & (pairs[f"_p_{c}"].isNull() | (rows[c].cast("string") == pairs[f"_p_{c}"]))
-    return rows.join(pairs, cond).select(*[rows[c] for c in rows.columns], F.col("_p_id").alias("pattern_id"))
+    return rows.join(pairs.hint("merge"), cond).select(*[rows[c] for c in rows.columns], F.col("_p_id").alias("pattern_id"))

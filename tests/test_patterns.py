@@ -124,3 +124,14 @@ def test_minimizers_of_lengths_that_are_no_powers(spark):
     count = lambda found: {n: sum(x.window == n for x in found) for n in (3, 5, 6, 11, 16)}
     assert count(r.n2) == dict.fromkeys((3, 5, 6, 11, 16), 0) and count(r.n5) == {3: 3, 5: 1, 6: 0, 11: 0, 16: 0}
     assert count(r.n20) == {3: 18, 5: 16, 6: 15, 11: 10, 16: 5} and set(r.n5) <= set(r.n20)
+
+
+def test_rows_of_repeated_names_are_not_broadcast(spark, tmp_path):
+    """A file of few names is far smaller than its rows, so its size says nothing of them."""
+    path = str(tmp_path / "rows")
+    spark.range(50_000).select("id", F.concat(F.lit("a quite ordinary name "), F.col("id") % 3).alias("name")).write.parquet(path)
+    pats = normalize_patterns(spark.createDataFrame([(1, None, None, "name 2"), (2, "a quite ordinary", None, None)], PATTERN))
+    df = match_patterns(spark.read.parquet(path), pats, "name")
+    assert df.count() == 50_000 + 16_666
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in text and "BuildRight" in text
