@@ -2,7 +2,7 @@
 
 from tablewarden.operators.delete import (
     cleanup_by_token, cleanup_matrix, delete_rows, delete_rows_by_pattern,
-    inventory_from_listing, plan_delete, plan_delete_by_pattern, summarize,
+    inventory_from_listing, plan_delete, plan_delete_by_pattern, share_patterns, summarize,
 )
 from tablewarden.operators.normalize import (
     build_lookup, coerce_booleans, create_from_stored, reset_from_stored,
@@ -21,6 +21,6 @@ __all__ = [
     "coerce_booleans", "create_from_stored", "delete_rows",
     "delete_rows_by_pattern", "expand_grants", "filter_by_tags", "inventory_from_listing",
     "latest_per_key", "list_object_names", "list_objects", "parse_tag_filters", "pick_preferred",
-    "plan_delete", "plan_delete_by_pattern", "reset_from_stored", "restore", "select_records",
+    "plan_delete", "plan_delete_by_pattern", "reset_from_stored", "restore", "select_records", "share_patterns",
     "summarize", "version_history", "version_names",
 ]

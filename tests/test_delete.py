@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.operators import (
     cleanup_by_token, cleanup_matrix, delete_rows, delete_rows_by_pattern, inventory_from_listing,
-    list_objects, plan_delete, plan_delete_by_pattern, summarize,
+    list_objects, plan_delete, plan_delete_by_pattern, share_patterns, summarize,
 )
 from tablewarden.operators.patterns import match_patterns, normalize_patterns
 from tablewarden.plans import fixtures as fx
@@ -191,3 +191,32 @@ def test_invariants_on_driver_tables(spark):
     assert rows(plan, "catalog", "schema", "name", "pos") == rows(first)
     s = summarize(plan, dry_run=True).collect()[0]
     assert s["executed"] + s["errors"] == distinct
+
+
+def test_patterns_that_are_alike_are_planned_once(spark):
+    schema = "pattern_id bigint, prefix string, suffix string, contains string"
+    patterns = spark.createDataFrame([(5, "a", None, None), (3, "a", None, None), (None, "a", None, None), (4, "b", None, "x"), (3, "a", None, None),
+                                      (7, None, "1", None), (7, "b", None, "x"), (9, None, None, None)], schema)
+    shared, members = share_patterns(patterns)
+    assert rows(shared) == sorted([(3, "a", None, None), (4, "b", None, "x"), (7, None, "1", None), (7, "b", None, "x"), (9, None, None, None)], key=repr)
+    assert rows(members) == sorted([(3, 3), (3, 5), (3, None), (4, 4), (7, 7), (9, 9)], key=repr)
+    inventory = spark.createDataFrame([("c", "s", n, t) for n, t in (("a1", "table"), ("a1", "view"), ("bx1", "table"), ("q", "view"))],
+                                      "catalog string, schema string, object string, object_type string")
+    plan = plan_delete_by_pattern(inventory, patterns)
+    want = [(p, "a1", "table", "executed") for p in (3, 5, None, 7)] + [(p, "bx1", "table", "executed") for p in (4, 7)] + [(9, None, None, "error")]
+    assert rows(plan, "pattern_id", "name", "type", "outcome") == sorted(want, key=repr)
+
+
+def test_patterns_that_are_alike_meet_the_names_once(spark):
+    """100 ids of one pattern: the rows before the last join are those of one id."""
+    inventory = spark.range(200).select(F.lit("c").alias("catalog"), F.lit("s").alias("schema"), F.format_string("t%04d", "id").alias("object"),
+                                        F.lit("table").alias("object_type"))
+    patterns = spark.range(100).select(F.col("id").alias("pattern_id"), F.lit("t").alias("prefix"), F.lit(None).cast("string").alias("suffix"),
+                                       F.lit(None).cast("string").alias("contains"))
+    shared, members = share_patterns(patterns)
+    assert (shared.count(), members.count()) == (1, 100)
+    plan = plan_delete_by_pattern(inventory, patterns)
+    assert plan.count() == 20_000 and plan.select("pattern_id", "object").distinct().count() == 20_000
+    nodes = plan._jdf.queryExecution().optimizedPlan().toString()
+    # no step groups or deduplicates by the id of a pattern and a name
+    assert not [x for x in nodes.splitlines() if "Aggregate [" in x and "_member" in x.split("]")[0]]
