@@ -14,7 +14,7 @@ from tablewarden.operators import (
     backup, build_lookup, check_paths, check_report, cleanup_by_token, cleanup_matrix,
     coerce_booleans, create_from_stored, delete_rows, delete_rows_by_pattern, expand_grants,
     filter_by_tags, inventory_from_listing, list_object_names, list_objects, parse_tag_filters, pick_preferred,
-    plan_delete, plan_delete_by_pattern, reset_from_stored, restore, select_records, summarize,
+    plan_delete, plan_delete_by_pattern, reset_from_stored, restore, select_records, share_patterns, summarize,
     version_history, version_names,
 )
 from tablewarden.operators.patterns import match_patterns, normalize_patterns
@@ -64,10 +64,14 @@ def q_delete_by_pattern(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_pattern_family(spark: SparkSession, d: str) -> DataFrame:
-    """Patterns that share a prefix: objects of each."""
-    plan = plan_delete_by_pattern(_inventory(spark, d), fx.f_family_patterns(spark, d))
-    return plan.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n_objects"), F.min("name").alias("first_name"),
-                                          F.max("name").alias("last_name"))
+    """Patterns that share a prefix: objects of each. Patterns that are alike have the same
+    objects, which are counted once."""
+    shared, members = share_patterns(fx.f_family_patterns(spark, d))
+    plan = plan_delete_by_pattern(_inventory(spark, d), shared)
+    per = plan.groupBy(F.col("pattern_id").alias("_id")).agg(
+        F.count(F.lit(1)).alias("n_objects"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
+    return members.join(per.hint("merge"), F.col("shared_id").eqNullSafe(F.col("_id"))).select(
+        "pattern_id", "n_objects", "first_name", "last_name")
 
 
 def q_passages(spark: SparkSession, d: str) -> DataFrame:
