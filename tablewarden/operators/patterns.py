@@ -2,13 +2,15 @@
 
 Every part of a pattern gives *anchors*, values that each matching row must have:
 the part itself for a prefix or suffix (longer ones cut to a power of two) and for a
-substring of up to GRAM characters, and for a longer one the least-hashed grams of its
-windows. Of a pattern's anchors the one that fewest rows have is used: rows are counted
+substring of up to GRAM characters, for a longer one of enough words its longest run of
+WORDS words (its first and last word may be parts of longer ones), and for any other the
+least-hashed grams of its windows. Of a pattern's anchors the one that fewest rows have is used: rows are counted
 by anchor in a sketch of SKETCH counters, so a common prefix or a one-letter part is no
 key where another part is rarer.
 
 A row has one anchor for each prefix and suffix length in use, one for every place of a
-short substring's length, and one for about every half window of a long one's. Anchors are
+short substring's length, one for every run of WORDS words, and one for about every half
+window of a long substring's. Anchors are
 64-bit hashes of the kind, the length, the scope columns that the pattern restricts and the
 value; the join carries hashes only, (row hash, anchor), and candidate pairs come back
 to the rows by the row hash, where the full predicate decides. Patterns that a count
@@ -28,12 +30,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.functions.text import affix_match, blocks, minimizers
+from tablewarden.functions.text import affix_match, blocks, let, minimizers
 from tablewarden.sources.scratch import written
 
 PARTS = ("prefix", "suffix", "contains")
 EXACT = 64  # prefixes and suffixes up to here are anchors as a whole
 GRAM = 16  # substrings up to here are anchors as a whole
+WORDS = 3  # words, parted by a space, of a longer substring's anchor
 WINDOW = 4096  # the longest window of a substring; also the size of a text's blocks
 SKETCH = 1 << 16
 FEW_PATTERNS, FEW_CHARS = 50_000, 1 << 22  # parts, and their characters, that are broadcast
@@ -61,13 +64,45 @@ def _anchor(kind: int, length: Column, mask: Column, scope: Sequence[Column], va
     return F.xxhash64(F.lit(kind), length, mask, *scope, value)
 
 
+def _words(text: Column) -> Column:
+    return F.split(text, " ", -1)
+
+
+def _inner_words(part: Column) -> Column:
+    """The words of a substring that are whole words of any text it stands in; of a long
+    substring, those of its start."""
+    return let(_words(part.substr(1, 2 * WINDOW)), lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))))
+
+
+def _word_runs(words: Column) -> Column:
+    """Hashes of every WORDS words that follow each other."""
+    def longer(hashes: Column, more: int) -> Column:
+        if not more:
+            return hashes
+        return let(hashes, lambda h: longer(F.zip_with(
+            F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, 2, F.size(h)), lambda a, b: F.xxhash64(a, b)), more - 1))
+
+    return longer(F.transform(words, lambda w: F.xxhash64(w)), WORDS - 1)
+
+
+def _longest_run(part: Column) -> Column:
+    """The hash of the run of most characters among a substring's inner words."""
+    def sizes(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(w) - (WORDS - 1))
+        return F.transform(at, lambda i: F.struct(F.length(F.array_join(F.slice(w, i, WORDS), "")).alias("n"), i.alias("i")))
+
+    return let(_inner_words(part), lambda w: F.get(_word_runs(w), F.array_max(sizes(w))["i"] - 1))
+
+
 def _parts(patterns: DataFrame, scope_cols: Sequence[str]) -> DataFrame:
     """Usable patterns as ``_p_*`` columns, one row per present part, with its shape.
     Every column is new, so a pattern table may derive from the rows it is joined to."""
     mask = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(scope_cols)), F.lit(0))
     n = [F.length(c) for c in PARTS]
     length = [F.when(x <= EXACT, x).otherwise(_power(x)) for x in n[:2]] + [F.when(n[2] <= GRAM, n[2]).otherwise(F.least(_power(n[2]), F.lit(WINDOW)))]
-    shapes = [F.when(n[k].isNotNull(), F.struct(F.lit(k).alias("kind"), length[k].cast("int").alias("length"),
+    worded = (n[2] > GRAM) & (F.size(_inner_words(F.col("contains"))) >= WORDS)
+    kinds, length = [F.lit(0), F.lit(1), F.when(worded, 3).otherwise(2)], [*length[:2], F.when(worded, WORDS).otherwise(length[2])]
+    shapes = [F.when(n[k].isNotNull(), F.struct(kinds[k].alias("kind"), length[k].cast("int").alias("length"),
                                                 F.col(c).alias("part"))) for k, c in enumerate(PARTS)]
     return patterns.filter(~F.col("refused")).select(
         F.col("pattern_id").alias("_p_id"), *[F.col(c).alias(f"_p_{c}") for c in PARTS],
@@ -84,6 +119,7 @@ def _pattern_anchors(parts: DataFrame, scope_cols: Sequence[str], windows: Seque
         # windows of a substring's start are enough; two blocks of it at most
         grams = F.filter(minimizers(part.substr(1, 2 * WINDOW), windows, GRAM), lambda x: x["window"] == length)
         out = F.when(kind == 2, F.transform(grams, lambda x: _anchor(2, length, mask, scope, x["gram"]))).otherwise(out)
+    out = F.when(kind == 3, F.array(_anchor(3, length, mask, scope, _longest_run(part)))).otherwise(out)
     for k in (0, 1):
         out = F.when(kind == k, F.array(_anchor(k, length, mask, scope, F.xxhash64(_end(k, part, length))))).otherwise(out)
     kept = [c for c in parts.columns if c.startswith("_p_") and c != "_p_mask"]
@@ -102,6 +138,9 @@ def _row_anchors(rows: DataFrame, name_col: str, shapes: Sequence[tuple[int, int
             found.append(F.transform(long_enough, lambda n: _anchor(
                 kind, n, F.lit(mask), scope, F.xxhash64(_end(kind, name, n)))))
             continue
+        if kind == 3:
+            found.append(F.transform(F.array_distinct(_word_runs(_words(name))), lambda run: _anchor(3, F.lit(WORDS), F.lit(mask), scope, run)))
+            continue
         grams = F.array_distinct(F.flatten(F.transform(blocks(name, WINDOW, max(lengths) - 1), lambda b: minimizers(b, lengths, GRAM))))
         found.append(F.transform(grams, lambda x: _anchor(2, x["window"], F.lit(mask), scope, x["gram"])))
     every = F.concat(*found) if found else F.array().cast("array<bigint>")
@@ -134,7 +173,7 @@ def match_patterns(rows: DataFrame, patterns: DataFrame, name_col: str, *,
     shapes = [tuple(r)[:3] for r in seen]
     candidates = _pattern_anchors(parts, scope_cols, sorted({n for k, n, _ in shapes if k == 2}))
     anchors = _row_anchors(rows, name_col, shapes, scope_cols)
-    # a prefix, suffix or short substring alone leaves nothing to choose
+    # a prefix, a suffix, and a substring that is short or of words, alone leave nothing to choose
     choice = any(r["most"] > 1 or r["kind"] == 2 and r["length"] > GRAM for r in seen)
     if choice:
         anchors = written(anchors, "anchors")

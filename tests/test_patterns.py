@@ -135,3 +135,23 @@ def test_rows_of_repeated_names_are_not_broadcast(spark, tmp_path):
     assert df.count() == 50_000 + 16_666
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "BuildLeft" not in text and "BuildRight" in text
+
+
+def test_long_substrings_of_words_have_an_anchor_a_word(spark):
+    rng = random.Random(5)
+    words = lambda n: [rng.choice(["a", "", "é😀", "the", "\n", "of\tthe", "longer", "Word."]) for _ in range(n)]
+    names = [None, "", "no space", *(" ".join(words(rng.randrange(1, 80))) for _ in range(60)), " ".join(words(9000))]
+    patterns = []
+    for pid in range(90):
+        host = rng.choice([n for n in names if n and len(n) > 60])
+        at = rng.randrange(0, len(host) - 40)
+        patterns.append((pid, None, host[-12:] if pid % 9 == 0 else None, host[at:at + rng.choice([17, 25, 40, 300])]))
+    patterns.append((90, None, None, names[-1] + " "))  # longer than any name
+    patterns.append((91, None, None, names[-1]))
+    assert matched(spark, names, patterns) == brute(names, patterns)
+    # those of words alone: an anchor for each run of words and no work for each character
+    pats = normalize_patterns(spark.createDataFrame([(1, None, None, "he long run of words stands he")], PATTERN))
+    shapes = [tuple(r) for r in _parts(pats, []).select("kind", "length", "_p_mask").distinct().collect()]
+    rows = spark.createDataFrame([("the long run of words stands here",)], "name string")
+    assert shapes == [(3, 3, 0)] and _row_anchors(rows, "name", shapes, []).count() == 5
+    assert _pattern_anchors(_parts(pats, []), [], []).count() == 1
