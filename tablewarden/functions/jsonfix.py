@@ -33,8 +33,12 @@ def coerce_boolean_json(text: Column) -> Column:
 
 
 def coerce_boolean_text(text: Column) -> Column:
-    """JSON text that parses to what :func:`coerce_boolean_json` gives. Text without a
-    quoted true or false (or an escape that could spell one) is handed on as it is,
-    so most records are parsed once."""
-    maybe = text.rlike(r'(?i)"(?:true|false)"') | text.contains("\\u")
-    return F.when(maybe, coerce_boolean_json(text)).otherwise(text)
+    """JSON text that parses to what :func:`coerce_boolean_json` gives. Text with
+    an escape that could spell a letter goes through canonical text, which is slow; any
+    other with a quoted true or false is changed as it is. In JSON a quote before a word is no string's end, and an escaped one follows a
+    backslash, so a quoted word without one is a whole string: a key if a colon follows."""
+    raw = text
+    for word in ("true", "false"):
+        raw = F.regexp_replace(raw, rf'(?i)(?<!\\)"{word}"(?!\s*+:)', word)
+    return (F.when(text.contains("\\u"), coerce_boolean_json(text))
+            .when(F.lower(text).contains('"true"') | F.lower(text).contains('"false"'), F.when(F.try_parse_json(text).isNotNull(), raw)).otherwise(text))

@@ -13,11 +13,12 @@ record does not have stays absent.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 from tablewarden.functions.jsonfix import coerce_boolean_json, coerce_boolean_text
 from tablewarden.functions.text import contains_ignore_case, let
@@ -32,6 +33,7 @@ NO_JOB_ID = "config has no job_id"
 NO_SETTINGS = "config has no settings object"
 
 OBJ = "map<string,variant>"
+FEW_NAMES, FEW_CHARS = 256, 1 << 16  # a lookup of so many names, and their characters, is a constant
 
 
 # --- small helpers on JSON objects held as map<string, variant> -------------
@@ -70,6 +72,20 @@ def update(m: Column, changes: Mapping[str, Column], drop: tuple[str, ...] = ())
     return F.map_concat(F.map_filter(m, lambda k, v: ~k.isin(*removed)), added)
 
 
+def replaced(m: Column, changes: Mapping[str, Callable[[Column], Column]], drop: tuple[str, ...] = ()) -> Column:
+    """``m`` with the values of the keys in ``changes`` that it has replaced by what the
+    key's function makes of them (null: left as is) and the keys in ``drop`` removed."""
+    kept = F.map_filter(m, lambda k, v: ~k.isin(*drop)) if drop else m
+
+    def value(k: Column, v: Column) -> Column:
+        out = None
+        for key, change in changes.items():
+            out = (F if out is None else out).when(k == key, F.coalesce(change(v), v))
+        return v if out is None else out.otherwise(v)
+
+    return F.transform_values(kept, value) if changes else kept
+
+
 # --- rewrites -----------------------------------------------------------------
 
 def coerce_booleans(df: DataFrame, json_col: str, out_col: str | None = None) -> DataFrame:
@@ -115,29 +131,29 @@ def _task_rewriter(*, cluster_id: str | None, create: bool, storage_path: str |
                    source_root: str = SOURCE_ROOT, target_root: str = ""):
     """``fn(task_map, new_pipeline_id)``: P7, P8 and, for create, P9-P11."""
 
-    def notebook(nt: Column) -> Column:
-        changes = {"notebook_path": let(text_of(field(nt, "notebook_path")), lambda path: F.when(
-            path.isNotNull(), as_variant(reroot(path, source_root, target_root))))}
-        if storage_path is not None:
-            changes["base_parameters"] = let(
-                obj(field(nt, "base_parameters")),
-                lambda bp: F.to_variant_object(with_parameters(bp, storage_path)))
-        return F.when(nt.isNotNull(), F.to_variant_object(update(nt, changes)))
+    def path(v: Column) -> Column:
+        return let(text_of(v), lambda p: F.when(p.isNotNull(), as_variant(reroot(p, source_root, target_root))))
+
+    def parameters(v: Column) -> Column:
+        return let(obj(v), lambda bp: F.to_variant_object(with_parameters(bp, storage_path)))
+
+    def notebook(v: Column) -> Column:
+        changes = {"notebook_path": path} | ({"base_parameters": parameters} if storage_path is not None else {})
+        return F.to_variant_object(replaced(obj(v), changes))
 
     def fn(t: Column, new_id: Column | None) -> Column:
-        changes: dict[str, Column] = {}
+        def pipeline(v: Column) -> Column:
+            return let(new_id, lambda i: F.when(i.isNotNull(), let(obj(v), lambda pt: F.to_variant_object(
+                update(pt, {"pipeline_id": as_variant(i)})))))
+
+        changes: dict[str, Callable[[Column], Column]] = {}
         if cluster_id is not None:
-            changes["existing_cluster_id"] = F.when(F.map_contains_key(t, "existing_cluster_id"),
-                                                    as_variant(cluster_id))
+            changes["existing_cluster_id"] = lambda v: as_variant(cluster_id)
         if new_id is not None:
-            changes["pipeline_task"] = let(obj(field(t, "pipeline_task")), lambda pt: F.when(
-                pt.isNotNull() & new_id.isNotNull(),
-                F.to_variant_object(update(pt, {"pipeline_id": as_variant(new_id)}))))
-        drop: tuple[str, ...] = ()
+            changes["pipeline_task"] = pipeline
         if create:
-            changes["notebook_task"] = let(obj(field(t, "notebook_task")), notebook)
-            drop = ("email_notifications",)
-        return update(t, changes, drop)
+            changes["notebook_task"] = notebook
+        return replaced(t, changes, ("email_notifications",) if create else ())
 
     return fn
 
@@ -163,8 +179,7 @@ class Rewrite:
 
 def _parse(current: DataFrame, text: Column) -> DataFrame:
     """Parse once into a variant (``try_parse_json``: invalid JSON and
-    duplicate keys give null) and take ``job_id``, ``settings`` as an object
-    map and ``settings.tasks`` as an array of variants. The values come
+    duplicate keys give null) and take ``job_id`` and ``settings``. The values come
     from ``inline`` of a one-element array: filters on them (records vs
     errors) cannot be pushed below the generator, which would copy the parse
     into every predicate."""
@@ -175,46 +190,66 @@ def _parse(current: DataFrame, text: Column) -> DataFrame:
     v = F.col("_v")
     pair = F.struct(v.isNotNull().alias("_ok"),
                     F.try_variant_get(v, "$.job_id", "bigint").alias("job_id"),
-                    F.try_variant_get(v, "$.settings", OBJ).alias("_s"),
-                    F.try_variant_get(v, "$.settings.tasks", "array<variant>").alias("_t0"))
+                    F.try_variant_get(v, "$.settings", "variant").alias("_sv"))
     return staged.select("record_key", F.inline(F.array(pair)))
 
 
-def _task_ids(parsed: DataFrame, lookup: DataFrame) -> DataFrame:
+def _last_ids(lookup: DataFrame) -> DataFrame:
+    """``(_name, _id)``: a name that the lookup has several times counts once: the last by
+    its ``pos`` column if it has one, else the greatest id. A null name matches nothing."""
+    order = F.col("pos") if "pos" in lookup.columns else F.col("pipeline_id")
+    return (lookup.filter(F.col("name").isNotNull()).groupBy(F.col("name").alias("_name"))
+            .agg(F.max_by("pipeline_id", order).alias("_id")))
+
+
+def _few_ids(ids: DataFrame) -> Column | None:
+    """A lookup of few short names as one constant map from name to id, else null."""
+    kind = ids.schema["_id"].dataType
+    rows = ids.limit(FEW_NAMES + 1).collect()
+    if len(rows) > FEW_NAMES or sum(len(r["_name"]) for r in rows) > FEW_CHARS:
+        return None
+    pairs = [F.lit(x) for r in rows for x in (r["_name"], r["_id"])]
+    return (F.create_map(*pairs) if pairs else F.create_map()).cast(MapType(StringType(), kind))
+
+
+def _task_ids(parsed: DataFrame, ids: DataFrame) -> DataFrame:
     """``(_key, _ids)``: for each record with a task in the lookup, the map from task
     key to pipeline id. Records give up their distinct task keys only, and only
-    matched ones are grouped, so no document is shuffled for the lookup.
-
-    A name that the lookup has several times counts once: the last by its ``pos``
-    column if it has one, else the greatest id. A null name matches nothing."""
-    order = F.col("pos") if "pos" in lookup.columns else F.col("pipeline_id")
-    ids = (lookup.filter(F.col("name").isNotNull()).groupBy(F.col("name").alias("_name"))
-           .agg(F.max_by("pipeline_id", order).alias("_id")))
+    matched ones are grouped, so no document is shuffled for the lookup."""
     wanted = parsed.select(F.col("record_key").alias("_key"), F.explode("_names").alias("_task"))
     return (wanted.join(ids, F.col("_task") == F.col("_name")).groupBy("_key")
             .agg(F.map_from_entries(F.collect_set(F.struct("_task", "_id"))).alias("_ids")))
 
 
 def _rewrite_tasks(parsed: DataFrame, lookup: DataFrame | None, task_fn) -> DataFrame:
-    """Adds ``_tasks``: the tasks in their order, objects rewritten, anything else as
-    it is (null when the record has no task array).
-
-    With a lookup the parsed records are written first, with their task keys beside
-    them: each body is read and parsed once, and the lookup reads the keys alone."""
-    if lookup is None:
-        new_id = lambda m: None
-    else:
-        names = F.array_distinct(F.transform("_t0", lambda t: text_of(field(obj(t), "task_key"))))
-        wide = written(parsed.select("record_key", "_ok", "job_id", F.to_variant_object("_s").alias("_sv"), names.alias("_names")), "parsed")
-        ids = _task_ids(wide, lookup)
-        parsed = wide.join(ids, F.col("record_key").eqNullSafe(F.col("_key")), "left").select(
-            "record_key", "_ok", "job_id", obj(F.col("_sv")).alias("_s"),
-            F.try_variant_get("_sv", "$.tasks", "array<variant>").alias("_t0"), "_ids")
-        new_id = lambda m: F.try_element_at("_ids", text_of(field(m, "task_key")))
-    return parsed.withColumn("_tasks", F.transform("_t0", lambda t: let(
+    """Adds ``_s``, the settings as an object map, ``_t0``, their tasks, and ``_tasks``: the
+    tasks in their order, objects rewritten, anything else as it is (null when the record
+    has no task array).
+
+    With a lookup the parsed records are written first: each body is read and parsed once.
+    A lookup of few names is a constant of the rewrite; for any other the records' task
+    keys are written beside them, and the lookup reads the keys alone."""
+    ids = None
+    if lookup is not None:
+        known = _last_ids(lookup)
+        ids = _few_ids(known)
+        if ids is None:
+            names = F.array_distinct(F.transform(_task_array(), lambda t: F.try_variant_get(t, "$.task_key", "string")))
+            wide = written(parsed.withColumn("_names", names), "parsed")
+            found = _task_ids(wide, known)
+            parsed = wide.join(found, F.col("record_key").eqNullSafe(F.col("_key")), "left")
+            ids = F.col("_ids")
+        else:
+            parsed = written(parsed, "parsed")
+    new_id = lambda m: None if ids is None else F.try_element_at(ids, text_of(field(m, "task_key")))
+    return parsed.withColumns({"_s": obj(F.col("_sv")), "_t0": _task_array()}).withColumn("_tasks", F.transform("_t0", lambda t: let(
         obj(t), lambda m: F.when(m.isNull(), t).otherwise(F.to_variant_object(task_fn(m, new_id(m)))))))
 
 
+def _task_array() -> Column:
+    return F.try_variant_get("_sv", "$.tasks", "array<variant>")
+
+
 def _outcomes(rew: DataFrame, settings: Column, ok: Column, error: Column, payload) -> Rewrite:
     out = rew.select("record_key", "job_id", F.when(ok, settings).alias("settings"), error.alias("error"))
     return Rewrite(out.select("record_key", "job_id", "settings", payload, "error"))

@@ -7,7 +7,7 @@ DuckDB SQL in :mod:`tablewarden.plans.oracle`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -195,14 +195,15 @@ def _task_rows(spark: SparkSession, d: str) -> DataFrame:
     ln = F.col("l_linenumber")
     path = (F.when(ln == 1, F.lit("/Workspace/sample/nb")).when(ln == 2, F.lit("/Workspace/a/Workspace/b"))
             .when(ln == 3, F.lit("/Repos/x")).otherwise(F.concat(F.lit("/Workspace/nb"), ln.cast("string"))))
+    # in the order of their names, as objects are stored
     params = (F.when(ln % 2 == 0, F.create_map(F.lit("Path"), F.lit("old"), F.lit("k"), F.col("l_returnflag")))
               .when(ln % 3 == 0, F.create_map(F.lit("k"), F.col("l_returnflag"))))
     task = F.struct(
-        F.col("p_name").alias("task_key"),
+        F.lit("m").alias("email_notifications"),
         F.when(F.col("l_returnflag") == "A", F.lit("old")).alias("existing_cluster_id"),
+        F.struct(params.alias("base_parameters"), path.alias("notebook_path")).alias("notebook_task"),
         F.when(F.col("l_linestatus") == "F", F.struct(F.lit("p0").alias("pipeline_id"))).alias("pipeline_task"),
-        F.struct(path.alias("notebook_path"), params.alias("base_parameters")).alias("notebook_task"),
-        F.lit("m").alias("email_notifications"))
+        F.col("p_name").alias("task_key"))
     order_cols = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                   "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     j = li.join(p, li.l_partkey == p.p_partkey)
@@ -217,30 +218,36 @@ def f_configs(spark: SparkSession, d: str) -> DataFrame:
 
     Each task is serialised per line, so the grouping shuffles short strings
     and sorts them with ``sort_array`` (the task structs hold maps, which do
-    not order); the joined array text is embedded as a variant.
+    not order); the body is put together from the texts of its parts.
     """
     o = table(spark, d, "orders")
     rows = _task_rows(spark, d).select("l_orderkey", F.struct("ord", F.to_json("task").alias("j")).alias("e"))
     tasks = (rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("e")).alias("t"))
-             .select("l_orderkey", F.parse_json(F.concat(F.lit("["), F.array_join(F.col("t.j"), ","),
-                                                        F.lit("]"))).alias("tasks")))
+             .select("l_orderkey", F.concat(F.lit("["), F.array_join(F.col("t.j"), ","), F.lit("]")).alias("tasks")))
     k = F.col("o_orderkey")
     j = o.join(tasks, o.o_orderkey == tasks.l_orderkey, "left")
     name = F.concat(F.lit("job_"), k.cast("string"))
-    level = (k % 3).cast("string")
-    settings = F.struct(
-        F.concat(F.lit("stored "), k.cast("string")).alias("name"),
-        F.when(k % 11 != 0, F.struct(
-            F.col("o_orderstatus").alias("Application"), F.col("o_orderpriority").alias("Tier"),
-            F.parse_json(F.when(k % 2 == 0, level).otherwise(F.concat(F.lit('"'), level, F.lit('"')))).alias("Level"))).alias("tags"),
-        F.when(k % 5 == 0, F.lit("True")).otherwise(F.lit("no")).alias("flag"),
-        F.when(k % 2 == 0, F.struct(F.lit("UNPAUSED").alias("pause_status"),
-                                    F.lit("0 0 * * *").alias("cron"))).alias("schedule"),
-        F.struct(F.concat(F.lit("user"), F.col("o_custkey").cast("string")).alias("user_name")).alias("run_as"),
-        F.col("tasks"),
-        F.col("o_totalprice").alias("budget"))
-    return j.select(k.alias("job_id"), name.alias("job_name"),
-                    F.to_json(F.struct(k.alias("job_id"), settings.alias("settings"))).alias("body"))
+    tags = [F.col("o_orderstatus").alias("Application"), F.col("o_orderpriority").alias("Tier")]
+    level = k % 3
+
+    def member(key: str, text: Column) -> Column:
+        return F.concat(F.lit(f'"{key}":'), text)
+
+    def members(*cols: Column) -> Column:
+        """Those of a flat struct, without the braces; none if all are null."""
+        text = F.to_json(F.struct(*cols))
+        return F.nullif(F.substring(text, F.lit(2), F.length(text) - 2), F.lit(""))
+
+    settings = F.concat_ws(
+        ",", members(F.concat(F.lit("stored "), k.cast("string")).alias("name")),
+        F.when(k % 11 != 0, member("tags", F.when(k % 2 == 0, F.to_json(F.struct(*tags, level.alias("Level"))))
+                                   .otherwise(F.to_json(F.struct(*tags, level.cast("string").alias("Level")))))),
+        F.when(k % 5 == 0, F.lit('"flag":"True"')).otherwise(F.lit('"flag":"no"')),
+        F.when(k % 2 == 0, F.lit('"schedule":{"pause_status":"UNPAUSED","cron":"0 0 * * *"}')),
+        member("run_as", F.to_json(F.struct(F.concat(F.lit("user"), F.col("o_custkey").cast("string")).alias("user_name")))),
+        member("tasks", F.col("tasks")), members(F.col("o_totalprice").alias("budget")))
+    body = F.concat(F.lit("{"), F.concat_ws(",", members(k.alias("job_id")), member("settings", F.concat(F.lit("{"), settings, F.lit("}")))), F.lit("}"))
+    return j.select(k.alias("job_id"), name.alias("job_name"), body.alias("body"))
 
 
 def f_faulty_configs(spark: SparkSession, d: str) -> DataFrame:

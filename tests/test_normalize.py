@@ -173,3 +173,30 @@ def test_rewrite_keeps_nulls_and_mixed_types(spark):
     assert out["a"]["tasks"] == [{"task_key": "k", "odd": None}]
     assert out["b"]["x"] == {"deep": [1, True]}
     assert out["b"]["tasks"][0]["notebook_task"] == "not an object"
+
+
+def test_coercion_leaves_readable_text_as_it_is(spark):
+    """Only what is a whole value changes, without the slow way through canonical text."""
+    texts = ['{"b": "True", "a": 1.50, "false" : "FALSE"}', '{"a": "say \\"true\\"", "c": ":\\"true\\","}', '["abc"true"]"]', '["abc "true"]"]',
+             '"tRue"', '{"k":"x,true", "t": [ "true" ,"false"]}', '{"a": "\\\\", "b":"true"}', None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    text = coerce_boolean_text(F.col("s"))
+    got = df.select(text.alias("t"), F.to_json(F.try_parse_json(text)).alias("a"), coerce_boolean_json(F.col("s")).alias("b")).orderBy("i").collect()
+    assert [r.a for r in got] == [r.b for r in got]
+    assert got[0].t == '{"b": true, "a": 1.50, "false" : false}'
+
+
+def test_few_names_need_no_shuffle_and_many_give_the_same(spark, monkeypatch):
+    from tablewarden.operators import normalize
+    st = _store(spark, [("job_a", DOC), ("job_b", {"job_id": 8, "settings": {"tasks": [{"task_key": "pipe", "pipeline_task": 5}, 3]}}),
+                        ("job_c", {"job_id": 9, "settings": {"tasks": [{"task_key": "none", "pipeline_task": {"pipeline_id": "p1"}}]}})])
+    entries = [("pipe", "NEW", 9), ("pipe", "OLD", 1), ("none", None, 2), (None, "x", 3)]
+    for lookup in (spark.createDataFrame(entries, "name string, pipeline_id string, pos int"),
+                   spark.createDataFrame([], "name string, pipeline_id string, pos int")):
+        found = []
+        for few in (256, -1):
+            monkeypatch.setattr(normalize, "FEW_NAMES", few)
+            for out in (create(st, lookup=lookup, storage_path="S").outcomes, reset_from_stored(st, lookup=lookup).outcomes):
+                assert few < 0 or "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+                found.append(sorted((r.record_key, r.payload, r.error) for r in out.collect()))
+        assert found[:2] == found[2:]
