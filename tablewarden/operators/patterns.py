@@ -5,27 +5,29 @@ the part itself for a prefix or suffix (longer ones cut to a power of two) and f
 substring of up to GRAM characters, for a longer one of enough words its longest run of
 WORDS words (its first and last word may be parts of longer ones), and for any other the
 least-hashed grams of its windows. Of a pattern's anchors the one that fewest rows have is used: rows are counted
-by anchor in a sketch of SKETCH counters, so a common prefix or a one-letter part is no
-key where another part is rarer.
+by anchor, each anchor for itself, so a common prefix or a one-letter part is no
+key where another part is rarer, however many patterns there are.
 
 A row has one anchor for each prefix and suffix length in use, one for every place of a
 short substring's length, one for every run of WORDS words, and one for about every half
 window of a long substring's. Anchors are
 64-bit hashes of the kind, the length, the scope columns that the pattern restricts and the
-value; the join carries hashes only, (row hash, anchor), and candidate pairs come back
+value, whose lowest bits are a code of the shape (kind, length, scope); the join carries hashes only, (row hash, anchor), and candidate pairs come back
 to the rows by the row hash, where the full predicate decides. Patterns that a count
 finds few and short are broadcast; rows and their anchors never are, as files of repeated
 names are far smaller than their rows. AQE splits hot keys.
 
-Building the plan runs one small job, the distinct shapes (kind, length, scope) of the
+Building the plan runs one small job, the distinct shapes of the
 patterns: at most some hundred rows, and rows have no anchors of other shapes. Where
 patterns have a choice of anchors, it also writes the rows' anchors (two numbers each), as
-both the sketch and the join read them.
+both the count and the join read them, and the patterns with the anchor chosen. Then shapes that
+few patterns chose are broadcast though others are not, and rows' anchors of shapes that none chose are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +40,8 @@ EXACT = 64  # prefixes and suffixes up to here are anchors as a whole
 GRAM = 16  # substrings up to here are anchors as a whole
 WORDS = 3  # words, parted by a space, of a longer substring's anchor
 WINDOW = 4096  # the longest window of a substring; also the size of a text's blocks
-SKETCH = 1 << 16
+BLOCK = 64  # characters of a text's blocks for short substrings
+CODES = 1 << 10  # shapes are told apart by so many codes
 FEW_PATTERNS, FEW_CHARS = 50_000, 1 << 22  # parts, and their characters, that are broadcast
 
 
@@ -60,8 +63,20 @@ def _end(kind: int, text: Column, length: Column) -> Column:
     return text.substr(F.length(text) - length + 1, length) if kind == 1 else text.substr(F.lit(1), length)
 
 
+def _code(anchor: Column) -> Column:
+    """The code of an anchor's shape; two shapes may share one."""
+    return anchor.bitwiseAND(F.lit(CODES - 1).cast("bigint"))
+
+
 def _anchor(kind: int, length: Column, mask: Column, scope: Sequence[Column], value: Column) -> Column:
-    return F.xxhash64(F.lit(kind), length, mask, *scope, value)
+    shape = _code(F.xxhash64(F.lit(kind), length.cast("int"), mask))
+    return F.xxhash64(F.lit(kind), length, mask, *scope, value).bitwiseAND(F.lit(-CODES).cast("bigint")).bitwiseOR(shape)
+
+
+def _grams(text: Column, length: Column, most: int, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of the substrings of ``length`` characters that start at one of the first ``most``."""
+    starts = F.sequence(F.lit(1), F.least(F.length(text) - length + 1, F.lit(most)))
+    return F.when(F.length(text) >= length, F.transform(starts, lambda i: fn(text.substr(i, length)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _words(text: Column) -> Column:
@@ -115,10 +130,14 @@ def _pattern_anchors(parts: DataFrame, scope_cols: Sequence[str], windows: Seque
     scope = [F.coalesce(F.col(f"_p_{c}"), F.lit("")) for c in scope_cols]
     kind, length, part, mask = (F.col(c) for c in ("kind", "length", "part", "_p_mask"))
     out = F.array().cast("array<bigint>")
-    if windows:
+    if long := [n for n in windows if n > GRAM]:
         # windows of a substring's start are enough; two blocks of it at most
-        grams = F.filter(minimizers(part.substr(1, 2 * WINDOW), windows, GRAM), lambda x: x["window"] == length)
+        grams = F.filter(minimizers(part.substr(1, 2 * WINDOW), long, GRAM), lambda x: x["window"] == length)
         out = F.when(kind == 2, F.transform(grams, lambda x: _anchor(2, length, mask, scope, x["gram"]))).otherwise(out)
+    if len(long) < len(windows):
+        # one for a part of up to GRAM characters; those of fewer than 2 * GRAM have some of GRAM
+        short = F.array_distinct(_grams(part, length, GRAM, lambda x: _anchor(2, length, mask, scope, F.xxhash64(x))))
+        out = F.when((kind == 2) & (length <= GRAM), short).otherwise(out)
     out = F.when(kind == 3, F.array(_anchor(3, length, mask, scope, _longest_run(part)))).otherwise(out)
     for k in (0, 1):
         out = F.when(kind == k, F.array(_anchor(k, length, mask, scope, F.xxhash64(_end(k, part, length))))).otherwise(out)
@@ -141,21 +160,36 @@ def _row_anchors(rows: DataFrame, name_col: str, shapes: Sequence[tuple[int, int
         if kind == 3:
             found.append(F.transform(F.array_distinct(_word_runs(_words(name))), lambda run: _anchor(3, F.lit(WORDS), F.lit(mask), scope, run)))
             continue
-        grams = F.array_distinct(F.flatten(F.transform(blocks(name, WINDOW, max(lengths) - 1), lambda b: minimizers(b, lengths, GRAM))))
-        found.append(F.transform(grams, lambda x: _anchor(2, x["window"], F.lit(mask), scope, x["gram"])))
+        if long := [n for n in lengths if n > GRAM]:
+            grams = F.array_distinct(F.flatten(F.transform(blocks(name, WINDOW, max(long) - 1), lambda b: minimizers(b, long, GRAM))))
+            found.append(F.transform(grams, lambda x: _anchor(2, x["window"], F.lit(mask), scope, x["gram"])))
+        if short := [n for n in lengths if n <= GRAM]:
+            found.append(F.array_distinct(F.flatten(F.transform(blocks(name, BLOCK, GRAM - 1), lambda b: F.concat(*[
+                _grams(b, F.lit(n), BLOCK, lambda x: _anchor(2, F.lit(n), F.lit(mask), scope, F.xxhash64(x))) for n in short])))))
     every = F.concat(*found) if found else F.array().cast("array<bigint>")
     return rows.filter(name.isNotNull()).select(F.xxhash64(name).alias("_id"), F.explode(every).alias("_anchor"))
 
 
 def _rarest(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Of each pattern's anchors the one that fewest rows have, by the sketch."""
-    bucket = lambda c: F.col(c).bitwiseAND(SKETCH - 1)
-    sketch = anchors.groupBy(bucket("_anchor").alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    """Of each pattern's anchors the one that fewest rows have. The count is exact: in a sketch
+    some of many patterns would find their rare anchor under a common one's count, and meet every row."""
+    counts = anchors.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_n"))
     kept = [c for c in candidates.columns if c != "_p_anchor"]
-    counted = candidates.withColumn("_at", bucket("_p_anchor")).join(sketch, F.col("_at") == F.col("_bucket"), "left")
+    counted = candidates.join(counts.hint("merge"), F.col("_p_anchor") == F.col("_anchor"), "left")
     return counted.groupBy(*kept).agg(F.min_by("_p_anchor", F.struct(F.coalesce("_n", F.lit(0)), "_p_anchor")).alias("_p_anchor"))
 
 
+def _few(counts: Sequence[tuple[int, int, int]]) -> set[int]:
+    """Of (code, patterns, characters) the codes of fewest patterns that can be broadcast together."""
+    out, patterns, chars = set(), 0, 0
+    for code, n, size in sorted(counts, key=lambda x: (x[1], x[2])):
+        patterns, chars = patterns + n, chars + size
+        if patterns > FEW_PATTERNS or chars > FEW_CHARS:
+            break
+        out.add(code)
+    return out
+
+
 def match_patterns(rows: DataFrame, patterns: DataFrame, name_col: str, *,
                    scope_cols: Sequence[str] = ()) -> DataFrame:
     """Pairs of ``rows`` and non-refused ``patterns`` whose predicate holds on
@@ -164,7 +198,8 @@ def match_patterns(rows: DataFrame, patterns: DataFrame, name_col: str, *,
     ``scope_cols`` name columns present on both sides; a non-null pattern
     value restricts it to rows with the same value. Each result row is a row
     of ``rows`` plus ``pattern_id``; a (row, pattern) pair appears once. Building the
-    plan runs jobs: the patterns' shapes, and where there is a choice the rows' anchors.
+    plan runs jobs: the patterns' shapes, and where there is a choice the rows' anchors
+    and the patterns' chosen ones.
     """
     parts = _parts(patterns, scope_cols)
     present = F.size(F.array_compact(F.array(*[f"_p_{c}" for c in PARTS])))
@@ -177,9 +212,20 @@ def match_patterns(rows: DataFrame, patterns: DataFrame, name_col: str, *,
     choice = any(r["most"] > 1 or r["kind"] == 2 and r["length"] > GRAM for r in seen)
     if choice:
         anchors = written(anchors, "anchors")
-    chosen = _rarest(candidates, anchors) if choice else candidates
-    few = sum(r["rows"] for r in seen) <= FEW_PATTERNS and sum(r["chars"] for r in seen) <= FEW_CHARS
-    pairs = anchors.join(chosen.hint("broadcast" if few else "merge"), F.col("_anchor") == F.col("_p_anchor"))
+        chosen = written(_rarest(candidates, anchors), "chosen")
+        size = sum((F.coalesce(F.length(f"_p_{c}"), F.lit(0)) for c in PARTS), F.lit(0))
+        counts = [tuple(r) for r in chosen.groupBy(_code(F.col("_p_anchor"))).agg(F.count(F.lit(1)), F.sum(size)).collect()]
+        few = _few(counts)
+        sides = [("broadcast", few), ("merge", {code for code, *_ in counts} - few)]
+        # no pattern at all still needs a join
+        pairs = [anchors.filter(_code(F.col("_anchor")).isin(codes)).join(
+            chosen.filter(_code(F.col("_p_anchor")).isin(codes)).hint(how), F.col("_anchor") == F.col("_p_anchor"))
+            for how, codes in sides if codes] or [anchors.join(chosen.hint("broadcast"), F.col("_anchor") == F.col("_p_anchor"))]
+        pairs = reduce(DataFrame.union, pairs)
+    else:
+        # rows are read once, as their anchors are not written
+        few = sum(r["rows"] for r in seen) <= FEW_PATTERNS and sum(r["chars"] for r in seen) <= FEW_CHARS
+        pairs = anchors.join(candidates.hint("broadcast" if few else "merge"), F.col("_anchor") == F.col("_p_anchor"))
     pairs = pairs.drop("_anchor", "_p_anchor").distinct()
     cond = F.xxhash64(rows[name_col]) == pairs["_id"]
     cond = cond & affix_match(rows[name_col], pairs["_p_prefix"], pairs["_p_suffix"], pairs["_p_contains"])

@@ -155,3 +155,26 @@ def test_long_substrings_of_words_have_an_anchor_a_word(spark):
     rows = spark.createDataFrame([("the long run of words stands here",)], "name string")
     assert shapes == [(3, 3, 0)] and _row_anchors(rows, "name", shapes, []).count() == 5
     assert _pattern_anchors(_parts(pats, []), [], []).count() == 1
+
+
+def test_each_of_many_patterns_has_its_rarest_anchor(spark):
+    """No pattern takes a common anchor because its rare one is counted together with another."""
+    names = spark.range(20_000).select(F.format_string("Customer#%09d", "id").alias("name"))
+    pats = normalize_patterns(names.select(F.col("name").alias("pattern_id"), F.lit("Customer#").alias("prefix"),
+                                           F.col("name").alias("suffix"), F.lit("0").alias("contains")))
+    parts = _parts(pats, [])
+    shapes = [tuple(r) for r in parts.select("kind", "length", "_p_mask").distinct().collect()]
+    anchors = _row_anchors(names, "name", shapes, [])
+    chosen = _rarest(_pattern_anchors(parts, [], [n for k, n, _ in shapes if k == 2]), anchors)
+    assert anchors.join(chosen, F.col("_anchor") == F.col("_p_anchor")).count() == 20_000
+
+
+@pytest.mark.parametrize("few", [0, 30])
+def test_shapes_of_few_patterns_beside_those_of_many(spark, monkeypatch, few):
+    """Patterns that are broadcast and those that are not give each of their rows once."""
+    monkeypatch.setattr("tablewarden.operators.patterns.FEW_PATTERNS", few)
+    names = [f"n#{i * 37 % 1000:04d}" + "-xyz" * (i % 40) for i in range(200)]
+    patterns = [(i, "n#", n[-9:] if i % 3 else None, None if i % 3 == 1 else n[3:6]) for i, n in enumerate(names)]
+    patterns += [(1000 + i, "n#", None, f"{i:02d}") for i in range(10)] + [(1010, "", "", "")]
+    assert matched(spark, names, patterns) == brute(names, patterns)
+    assert matched(spark, names, []) == matched(spark, names, [(1, "n#", "no", "such")]) == []
