@@ -20,7 +20,7 @@ names are far smaller than their rows. AQE splits hot keys.
 Building the plan runs one small job, the distinct shapes of the
 patterns: at most some hundred rows, and rows have no anchors of other shapes. Where
 patterns have a choice of anchors, it also writes the rows' anchors (two numbers each), as
-both the count and the join read them, and the patterns with the anchor chosen. Then shapes that
+both the count and the join read them, the patterns' anchors, their counts, and the patterns with the anchor chosen. Then shapes that
 few patterns chose are broadcast though others are not, and rows' anchors of shapes that none chose are left out.
 """
 
@@ -42,6 +42,7 @@ WORDS = 3  # words, parted by a space, of a longer substring's anchor
 WINDOW = 4096  # the longest window of a substring; also the size of a text's blocks
 BLOCK = 64  # characters of a text's blocks for short substrings
 CODES = 1 << 10  # shapes are told apart by so many codes
+SHARED = 1000  # an anchor of more patterns is no key of a join of patterns
 FEW_PATTERNS, FEW_CHARS = 50_000, 1 << 22  # parts, and their characters, that are broadcast
 
 
@@ -172,11 +173,20 @@ def _row_anchors(rows: DataFrame, name_col: str, shapes: Sequence[tuple[int, int
 
 def _rarest(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
     """Of each pattern's anchors the one that fewest rows have. The count is exact: in a sketch
-    some of many patterns would find their rare anchor under a common one's count, and meet every row."""
-    counts = anchors.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_n"))
+    some of many patterns would find their rare anchor under a common one's count, and meet every row.
+    Counts of the anchors that over SHARED patterns have, few by that, are broadcast to them."""
+    counts = anchors.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_rows"))
+    wanted = candidates.groupBy("_p_anchor").agg((F.count(F.lit(1)) > SHARED).alias("_common"))
+    known = written(wanted.join(counts.hint("merge"), F.col("_p_anchor") == F.col("_anchor"), "left").select(
+        F.col("_p_anchor").alias("_known"), "_common", F.coalesce("_rows", F.lit(0)).alias("_n")), "counts")
+    common = known.filter("_common").select(F.col("_known").alias("_shared"), F.col("_n").alias("_shared_n"))
+    counted = candidates.join(common.hint("broadcast"), F.col("_p_anchor") == F.col("_shared"), "left")
+    # a pattern whose count is there already goes anywhere, to no match
+    key = F.when(F.col("_shared").isNull(), F.col("_p_anchor")).otherwise(F.xxhash64("_p_id"))
+    counted = counted.join(known.filter(~F.col("_common")).select("_known", "_n").hint("merge"),
+                           (key == F.col("_known")) & F.col("_shared").isNull(), "left")
     kept = [c for c in candidates.columns if c != "_p_anchor"]
-    counted = candidates.join(counts.hint("merge"), F.col("_p_anchor") == F.col("_anchor"), "left")
-    return counted.groupBy(*kept).agg(F.min_by("_p_anchor", F.struct(F.coalesce("_n", F.lit(0)), "_p_anchor")).alias("_p_anchor"))
+    return counted.groupBy(*kept).agg(F.min_by("_p_anchor", F.struct(F.coalesce("_shared_n", "_n"), "_p_anchor")).alias("_p_anchor"))
 
 
 def _few(counts: Sequence[tuple[int, int, int]]) -> set[int]:
@@ -212,7 +222,7 @@ def match_patterns(rows: DataFrame, patterns: DataFrame, name_col: str, *,
     choice = any(r["most"] > 1 or r["kind"] == 2 and r["length"] > GRAM for r in seen)
     if choice:
         anchors = written(anchors, "anchors")
-        chosen = written(_rarest(candidates, anchors), "chosen")
+        chosen = written(_rarest(written(candidates, "candidates"), anchors), "chosen")
         size = sum((F.coalesce(F.length(f"_p_{c}"), F.lit(0)) for c in PARTS), F.lit(0))
         counts = [tuple(r) for r in chosen.groupBy(_code(F.col("_p_anchor"))).agg(F.count(F.lit(1)), F.sum(size)).collect()]
         few = _few(counts)
